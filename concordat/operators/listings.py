@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from concordat.functions import paths as P
 from concordat.functions import patterns as M
 from concordat.operators.ordered import salted_join
+from concordat.session import materialize
 
 # Fixed value: longest chain of links that is followed.
 MAX_HOPS = 100
@@ -59,7 +60,7 @@ def atomic_groups(plan: DataFrame, patterns: Sequence[str], col: str = "path") -
     Conflicting groups are reduced to one row each before they meet the plan;
     no group is ever brought together in one task.
     """
-    grouped = plan.withColumn("_group", atomic_group(F.col(col), patterns))
+    grouped = materialize(plan.withColumn("_group", atomic_group(F.col(col), patterns)), "grouped")
     bad = (grouped.where(F.col("_group").isNotNull() & F.col("direction").isin("conflict", "problem"))
            .select("_group").distinct().withColumn("_bad", F.lit(True)))
     inside = grouped.where(F.col("_group").isNotNull())
@@ -97,18 +98,23 @@ def follow_links(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
     Chains are shortened by doubling: after k joins of the link table with
     itself every link has advanced 2**k hops, so seven joins cover the limit
-    of 100 instead of one join per hop. A link on or into a cycle, or beyond
-    the limit, stays a link; a chain that ends nowhere drops out.
+    of 100 instead of one join per hop. Each round is written out, which keeps
+    the plan of the next one flat. A link on or into a cycle, or beyond the
+    limit, stays a link; a chain that ends nowhere drops out.
     """
-    links = link_targets(df)
-    chain = links.withColumn("hops", F.lit(1))
+    links = materialize(link_targets(df), "links")
+    chain = links.withColumns({"hops": F.lit(1), "open": F.lit(True)})
     for _ in range(MAX_HOPS.bit_length()):
         ahead = chain.select(F.col("path").alias("next"), F.col("next").alias("_next"),
                              F.col("hops").alias("_hops"), F.lit(True).alias("_is_link"))
-        chain = salted_join(chain, ahead, ["next"], "left").select(
+        moving = F.coalesce(F.col("_is_link"), F.lit(False))
+        chain = materialize(salted_join(chain, ahead, ["next"], "left").select(
             "path",
-            F.when(F.col("_is_link"), F.col("_next")).otherwise(F.col("next")).alias("next"),
-            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"))
+            F.when(moving, F.col("_next")).otherwise(F.col("next")).alias("next"),
+            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+            moving.alias("open")), "links")
+        if chain.where("open").isEmpty():
+            break
     wanted = links.where(M.any_of(F.col("path"), patterns)).select("path")
     still_links = links.select(F.col("path").alias("next"))
     ends = chain.join(wanted, "path", "left_semi").where(F.col("hops") <= MAX_HOPS)

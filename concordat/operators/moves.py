@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from concordat import schemas as S
 from concordat.functions import paths as P
-from concordat.operators.ordered import GROUP_ROWS, rank_in_groups
+from concordat.operators.ordered import GROUP_ROWS, rank_in_groups, salted_join
+from concordat.session import materialize
 
 
 def _candidates(plan: DataFrame, status: str, fp: str, path: str) -> DataFrame:
@@ -34,8 +35,8 @@ def detect_moves(plan: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     ones, say). Fingerprints present on one set only never reach the
     numbering.
     """
-    gone = _candidates(plan, S.DELETED, "prev_fp", "old_path")
-    new = _candidates(plan, S.CREATED, "fp", "new_path")
+    gone = materialize(_candidates(plan, S.DELETED, "prev_fp", "old_path"), "gone")
+    new = materialize(_candidates(plan, S.CREATED, "fp", "new_path"), "new")
     gone_fps = gone.select("side", "fp").distinct()
     new_fps = new.select("side", "fp").distinct()
     gone = gone.join(new_fps, ["side", "fp"], "left_semi")
@@ -92,7 +93,5 @@ def same_file_guess(listing: DataFrame) -> DataFrame:
     known = listing.where(F.col("length").isNotNull() & F.col("mtime").isNotNull()).select("path", *cls)
     groups = (known.groupBy(*cls).agg(F.min("path").alias("path1"), F.count(F.lit(1)).alias("n_class"))
               .where(F.col("n_class") > 1))
-    from concordat.operators.ordered import salted_join
-
     return (salted_join(known, groups, cls, "inner").where(F.col("path") != F.col("path1"))
             .select("path1", F.col("path").alias("path2"), "n_class"))

@@ -153,12 +153,11 @@ def restriction_reason(direction: Column, cfg: PlanConfig) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def apply_policy(plan: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
-    """All overrides in their fixed order: partial force and preference, then
-    force, preference, newer/older (each of these settles the row), then the
-    restrictions. Default directions stay as they were."""
-    before = F.col("direction")
-    d = partial_direction(before, key_text(keys), cfg)
+def policy(keys: Sequence[str], cfg: PlanConfig) -> tuple[Column, Column]:
+    """Direction and reason after all overrides, in their fixed order: partial
+    force and preference, then force, preference, newer/older (each of these
+    settles the row), then the restrictions."""
+    d = partial_direction(F.col("direction"), key_text(keys), cfg)
     conflict = d == S.CONFLICT
     if cfg.force:
         settled, chosen = is_open(d), _toward(cfg.force)
@@ -174,8 +173,13 @@ def apply_policy(plan: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataF
     blocked = F.when(settled | ~is_open(d), None).otherwise(restriction_reason(d, cfg))
     reason = (F.when(blocked.isNotNull(), blocked)
               .when(d == S.CONFLICT, F.col("reason")))
-    final = F.when(blocked.isNotNull(), S.CONFLICT).otherwise(d)
-    return plan.withColumns({"direction": final, "reason": reason})
+    return F.when(blocked.isNotNull(), S.CONFLICT).otherwise(d), reason
+
+
+def apply_policy(plan: DataFrame, keys: Sequence[str], cfg: PlanConfig) -> DataFrame:
+    """One projection; default directions stay as they were."""
+    direction, reason = policy(keys, cfg)
+    return plan.withColumns({"direction": direction, "reason": reason})
 
 
 def force(plan: DataFrame, side: str) -> DataFrame:

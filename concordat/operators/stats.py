@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.operators.ordered import GROUP_ROWS, running_totals, salted_join
+from concordat.session import materialize
 
 # Spacing and number of rate samples.
 SAMPLE_MS = 500
@@ -49,7 +50,8 @@ def eta_seconds(rate: Column, done_bytes: Column, total_bytes: Column) -> Column
 # milliseconds, and what happens in a chunk of slots depends on earlier ones
 # only through the sample in the slot just before it. Chunks are reduced to
 # "sample before -> sample in the last slot" tables, these are chained per run,
-# and then every chunk places its samples knowing where it starts.
+# and then every chunk places its samples knowing where it starts. A slot with
+# empty neighbours needs none of this: its first row is the sample.
 
 NONE = -1  # no sample in the slot before
 
@@ -73,7 +75,7 @@ def _chunk_bounds(chunk: int) -> tuple[int, int]:
     return start, start + CHUNK_SLOTS * SAMPLE_MS
 
 
-def _transitions(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _transitions(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """For every possible sample before the chunk: the one in its last slot."""
     run, chunk = key
     start, stop = _chunk_bounds(int(chunk))
@@ -90,25 +92,21 @@ def _transitions(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"run_id": run, "chunk": chunk, "entry": entries, "exit": exits})
 
 
-def _chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Follow the transition tables of one run through its chunks."""
     rows, last_chunk, last = [], None, NONE
-    for chunk, table in pdf.sort_values("chunk").groupby("chunk", sort=True):
-        if last_chunk is None:
-            last = int(table["started"].iloc[0]) if table["started"].notna().any() else NONE
-            entry = last
-        else:
-            entry = last if chunk == last_chunk + 1 else NONE
+    for chunk, table in pdf.groupby("chunk", sort=True):
+        entry = last if last_chunk is not None and chunk == last_chunk + 1 else NONE
+        hit = table.loc[table["entry"] == entry, "exit"]
+        if table["started"].notna().any():
+            entry = int(table["started"].iloc[0])
+            hit = table["first_exit"]
         rows.append((key[0], chunk, entry))
-        if last_chunk is None:
-            hit = table.loc[table["entry"] == NONE, "first_exit"]
-        else:
-            hit = table.loc[table["entry"] == entry, "exit"]
         last, last_chunk = int(hit.iloc[0]), chunk
     return pd.DataFrame(rows, columns=["run_id", "chunk", "entry"])
 
 
-def _first_transition(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _first_transition(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Like :func:`_transitions`, plus the exit when the run starts here: the
     clock starts with the first row, which is not a sample itself."""
     out = _transitions(key, pdf)
@@ -125,7 +123,7 @@ def _first_transition(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _place(key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+def _place(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     if rows.empty or entry.empty:
         return pd.DataFrame({"run_id": [], "ms": []})
     start, _ = _chunk_bounds(int(key[1]))
@@ -139,37 +137,48 @@ def sample_times(log: DataFrame) -> DataFrame:
     run_type = log.schema["run_id"].dataType.simpleString()
     times = log.select("run_id", F.unix_millis("ts").alias("ms")).distinct()
     slot = F.floor(F.col("ms") / SAMPLE_MS)
-    homes = F.when(slot % CHUNK_SLOTS == CHUNK_SLOTS - 1, F.array(
-        F.floor(slot / CHUNK_SLOTS), F.floor(slot / CHUNK_SLOTS) + 1)).otherwise(
-        F.array(F.floor(slot / CHUNK_SLOTS)))
-    pieces = times.select("run_id", "ms", F.explode(homes).alias("chunk"))
+    times = materialize(times.withColumn("slot", slot), "times")
+    slots = times.groupBy("run_id", "slot").agg(F.min("ms").alias("ms"))
+    beside = slots.select("run_id", F.explode(F.array(F.col("slot") - 1, F.col("slot") + 1)).alias("slot")).distinct()
+    first = times.groupBy("run_id").agg(F.min("ms").alias("ms"))
+    alone = (slots.join(beside, ["run_id", "slot"], "left_anti").select("run_id", "ms")
+             .join(first, ["run_id", "ms"], "left_anti"))
+    dense = times.join(beside, ["run_id", "slot"], "left_semi")
+
+    at = F.col("slot")
+    chunk = F.floor(at / CHUNK_SLOTS)
+    homes = F.when(at % CHUNK_SLOTS == CHUNK_SLOTS - 1, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    pieces = dense.select("run_id", "ms", F.explode(homes).alias("chunk"))
     # A chunk that holds nothing but the slot before it has no samples.
     own = F.col("ms") >= F.col("chunk") * (CHUNK_SLOTS * SAMPLE_MS)
     alive = pieces.where(own).select("run_id", "chunk").distinct()
     pieces = pieces.join(alive, ["run_id", "chunk"], "left_semi")
-    starts = times.groupBy("run_id").agg(F.min("ms").alias("started"))
-    starts = starts.withColumn("chunk", F.floor(F.col("started") / (CHUNK_SLOTS * SAMPLE_MS)))
+    starts = first.select("run_id", F.col("ms").alias("started"),
+                          F.floor(F.col("ms") / (CHUNK_SLOTS * SAMPLE_MS)).alias("chunk"))
+    # The clock of a run whose first slot stands alone does not reach further.
+    starts = starts.join(dense.select("run_id", F.col("ms").alias("started")), ["run_id", "started"], "left_semi")
     seeded = pieces.join(starts, ["run_id", "chunk"], "left")
     tables = seeded.groupBy("run_id", "chunk").applyInPandas(
         _first_transition,
         f"run_id {run_type}, chunk long, entry long, exit long, started double, first_exit double")
     entries = tables.groupBy("run_id").applyInPandas(_chain, f"run_id {run_type}, chunk long, entry long")
-    return (pieces.groupBy("run_id", "chunk").cogroup(entries.groupBy("run_id", "chunk"))
-            .applyInPandas(_place, f"run_id {run_type}, ms long"))
+    placed = (pieces.groupBy("run_id", "chunk").cogroup(entries.groupBy("run_id", "chunk"))
+              .applyInPandas(_place, f"run_id {run_type}, ms long"))
+    return alone.unionByName(placed)
 
 
 def rolling_rate(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Log rows with totals, the number of samples so far and the rate in
     bytes per second: between the first and last of the latest 20 samples, or
     total over elapsed time while there are fewer than two."""
-    totals = with_totals(log, group_rows).withColumn("ms", F.unix_millis("ts"))
+    totals = materialize(with_totals(log, group_rows).withColumn("ms", F.unix_millis("ts")), "totals")
     firsts = totals.groupBy("run_id", "ms").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
     taken = sample_times(log).join(firsts, ["run_id", "ms"]).select(
         "run_id", "seq", F.lit(1).cast("long").alias("_taken"))
     flagged = (totals.join(taken, ["run_id", "seq"], "left")
                .withColumn("_taken", F.coalesce("_taken", F.lit(0).cast("long"))))
-    counted = running_totals(flagged, ["run_id"], [F.col("ts"), F.col("seq")],
-                             {"n_samples": F.col("_taken")}, group_rows)
+    counted = materialize(running_totals(flagged, ["run_id"], [F.col("ts"), F.col("seq")],
+                                         {"n_samples": F.col("_taken")}, group_rows), "counted")
     samples = counted.where(F.col("_taken") == 1).select(
         "run_id", "n_samples", F.col("ms").alias("s_ms"), F.col("done_bytes").alias("s_bytes"))
     oldest = samples.select("run_id", F.col("n_samples").alias("_k"), F.col("s_ms").alias("o_ms"),

@@ -118,7 +118,7 @@ def hash_suspects(suspects: DataFrame, root: str, tasks: int | None = None) -> D
 
 def file_contents(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, content) of the visible files under a root through Spark's own
-    binary reader. It skips hidden names and holds one file per row; the
+    binary reader. It skips hidden names, follows links and holds one file per row; the
     ``content`` column is read only where it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:

@@ -46,10 +46,13 @@ def dual_stream(left: DataFrame, right: DataFrame) -> DataFrame:
             .unionByName(right.withColumn("replica", F.lit(2))))
 
 
-def debounce(events: DataFrame, gap: str, late: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Streaming batches: a batch closes after ``gap`` without an event. Rows
-    later than ``late`` are dropped by the engine. State per open batch is its
-    bounds and a count; :func:`batch_paths` looks up which paths it touched.
+def debounce(events: DataFrame, gap: str, late: str,
+             keys: Sequence[str] = ("replica",)) -> DataFrame:
+    """Streaming batches per replica: a batch closes after ``gap`` without an
+    event. Rows later than ``late`` are dropped by the engine. State per open
+    batch is its bounds and a count; :func:`batch_paths` looks up which paths
+    it touched. A busy replica is one key, so sessions are merged inside each
+    input task before the shuffle (set in the session settings).
     """
     marked = events.withWatermark("ts", late)
     return (marked.groupBy(F.session_window("ts", gap).alias("w"), *keys)
@@ -58,7 +61,7 @@ def debounce(events: DataFrame, gap: str, late: str, keys: Sequence[str] = ()) -
                     "n_events"))
 
 
-def batch_bounds(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ()) -> DataFrame:
+def batch_bounds(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ("replica",)) -> DataFrame:
     """The batches of :func:`debounce` over a finished feed.
 
     Events closer than the gap always share a batch, so each key is first
@@ -82,7 +85,7 @@ def batch_bounds(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ()
 
 
 def batch_paths(events: DataFrame, batches: DataFrame, gap_seconds: float,
-                keys: Sequence[str] = ()) -> DataFrame:
+                keys: Sequence[str] = ("replica",)) -> DataFrame:
     """Distinct paths of each batch. Batches and events meet on the gap-length
     slots they cover, and events are reduced to one row per slot and path
     before the join."""
@@ -101,13 +104,13 @@ def batch_paths(events: DataFrame, batches: DataFrame, gap_seconds: float,
             .groupBy(*keys, "batch_start", "batch_end", "path").agg(F.sum("n").alias("n_events")))
 
 
-def debounce_batch(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ()) -> DataFrame:
+def debounce_batch(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ("replica",)) -> DataFrame:
     """Debounced batches of a finished feed, one row per (batch, path)."""
     return batch_paths(events, batch_bounds(events, gap_seconds, keys), gap_seconds, keys)
 
 
 def flush_on_stop(events: DataFrame, emitted: DataFrame, gap_seconds: float,
-                  keys: Sequence[str] = ()) -> DataFrame:
+                  keys: Sequence[str] = ("replica",)) -> DataFrame:
     """Batches that a stopped stream still held back: those of the finished
     feed that were not emitted."""
     done = emitted.select(*keys, "batch_start").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 #: Name patterns that are always left out: our own bookkeeping entries.
@@ -70,7 +70,13 @@ class BackupConfig:
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Everything one reconciliation cycle needs."""
+    """Everything one reconciliation cycle needs.
+
+    ``follow`` names links to be replaced by what they point to, ``links`` off
+    keeps links out of the plan, ``max_size_kb`` holds back larger transfers.
+    For replicas that ignore case, add a key column with
+    :func:`concordat.functions.paths.with_path_columns` and name it in ``keys``.
+    """
 
     keys: Sequence[str] = ("path",)
     update: UpdateConfig = field(default_factory=UpdateConfig)
@@ -79,6 +85,8 @@ class JobConfig:
     ignore: Sequence[str] = ()
     ignore_not: Sequence[str] = ()
     paths: Sequence[str] = ()
+    follow: Sequence[str] = ()
+    links: bool = True
+    max_size_kb: int = 0
     max_delete_fraction: float = 1.0
     check_keys: bool = True
-    labels: Mapping[str, str] = field(default_factory=dict)

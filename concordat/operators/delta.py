@@ -13,37 +13,42 @@ from concordat.operators.propagate import source_bytes, source_status
 DELTA_THRESHOLD = 1 << 20
 
 
-def _n_blocks(content: Column, size: Column) -> Column:
-    return F.ceil(F.octet_length(content) / size).cast("int")
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row, however often the
+    function uses it (a nested lambda would repeat the expression)."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def _block(content: Column, index: Column, size: Column) -> Column:
     return F.substring(content, index * size + 1, size)
 
 
+def _block_hashes(content: Column, size: Column) -> Column:
+    last = F.ceil(F.octet_length(content) / size).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: _bind(
+        _block(content, i, size), lambda piece: F.struct(
+            i.alias("block_no"), F.octet_length(piece).alias("block_len"), F.md5(piece).alias("strong"))))
+
+
 def block_signatures(old: DataFrame, key: str = "path", content: str = "content",
                      weak: bool = True) -> DataFrame:
     """Signature rows of the consecutive blocks of each value. Blocks are
     hashed inside the row; the content itself is never exploded."""
     c = F.col(content)
-    df = old.where(F.octet_length(c) > 0).withColumn("block_size", B.block_size(F.octet_length(c)))
     size = F.col("block_size")
-    hashes = F.transform(
-        F.sequence(F.lit(0), _n_blocks(c, size) - 1),
-        lambda i: F.struct(i.alias("block_no"),
-                           F.octet_length(_block(c, i, size)).alias("block_len"),
-                           F.md5(_block(c, i, size)).alias("strong")))
-    cols = [F.col(key), size, hashes.alias("h")]
-    if weak:
-        cols.append(B.block_weak_hashes(c, size).alias("w"))
-    flat = df.select(*cols)
+    hashed = _bind(c, lambda x: _bind(
+        B.block_size(F.octet_length(x)), lambda n: F.struct(n.alias("n"), _block_hashes(x, n).alias("h"))))
+    df = old.where(F.octet_length(c) > 0)
     if weak:
-        flat = flat.select(key, "block_size", F.explode(F.arrays_zip("h", "w")).alias("z"))
-        return flat.select(key, F.col("z.h.block_no").alias("block_no"), "block_size",
+        weak_of = B.block_weak_hashes(c, B.block_size(F.octet_length(c)))
+        flat = (df.select(key, hashed.alias("s"), weak_of.alias("w"))
+                .select(key, F.col("s.n").alias("block_size"), F.explode(F.arrays_zip(F.col("s.h").alias("h"), "w")).alias("z")))
+        return flat.select(key, F.col("z.h.block_no").alias("block_no"), size,
                            F.col("z.h.block_len").alias("block_len"),
                            F.col("z.w").alias("weak"), F.col("z.h.strong").alias("strong"))
-    flat = flat.select(key, "block_size", F.explode("h").alias("h"))
-    return flat.select(key, F.col("h.block_no").alias("block_no"), "block_size",
+    flat = df.select(key, hashed.alias("s")).select(
+        key, F.col("s.n").alias("block_size"), F.explode("s.h").alias("h"))
+    return flat.select(key, F.col("h.block_no").alias("block_no"), size,
                        F.col("h.block_len").alias("block_len"), F.col("h.strong").alias("strong"))
 
 
@@ -112,11 +117,12 @@ def apply_delta(old: DataFrame, tokens: DataFrame, key: str = "path",
                  .agg(F.sort_array(F.collect_list(
                      F.struct("seq", "block_index", "block_count", "literal"))).alias("t")))
     j = per_value.join(old.select(key, F.col(content).alias("_old")), key, "left")
-    size = B.block_size(F.coalesce(F.octet_length("_old"), F.lit(0)))
-    piece = lambda t: F.coalesce(t["literal"], F.substring(
-        F.col("_old"), t["block_index"] * F.col("_size") + 1, t["block_count"] * F.col("_size")))
-    rebuilt = F.unhex(F.array_join(F.transform("t", lambda t: F.hex(piece(t))), ""))
-    return j.withColumn("_size", size).select(key, rebuilt.alias("content"))
+    piece = lambda t, size: F.coalesce(t["literal"], F.substring(
+        F.col("_old"), t["block_index"] * size + 1, t["block_count"] * size))
+    rebuilt = _bind(
+        B.block_size(F.coalesce(F.octet_length("_old"), F.lit(0))),
+        lambda size: F.unhex(F.array_join(F.transform("t", lambda t: F.hex(piece(t, size))), "")))
+    return j.select(key, rebuilt.alias("content"))
 
 
 def delta_stats(tokens: DataFrame, key: str = "path") -> DataFrame:

@@ -26,11 +26,13 @@ def deletions(plan: DataFrame) -> DataFrame:
     return (plan.where(gone).groupBy("direction").agg(F.count(F.lit(1)).alias("n_deleted")))
 
 
-def guard_big_deletes(plan: DataFrame, left_rows: int, right_rows: int, fraction: float = 1.0) -> None:
-    """Refuse when a side would lose all its rows, or at least a fraction."""
-    rows = {S.L2R: right_rows, S.R2L: left_rows}
+def guard_big_deletes(plan: DataFrame, left: DataFrame, right: DataFrame,
+                      fraction: float = 1.0) -> None:
+    """Refuse when a side would lose all its rows, or at least a fraction. The
+    sides are counted only if something would be deleted there."""
+    sides = {S.L2R: right, S.R2L: left}
     for r in deletions(plan).collect():  # at most two rows
-        total = rows[r["direction"]]
+        total = sides[r["direction"]].count()
         if total and r["n_deleted"] >= fraction * total:
             raise Refused(f"{r['direction']} would delete {r['n_deleted']} of {total} rows")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +15,18 @@ class KeyViolation(ValueError):
     """Keys are null or not unique."""
 
 
-def check_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fail with the offending counts if a key is null or occurs twice.
+def check_keys(df: DataFrame, keys: Sequence[str], *others: DataFrame) -> DataFrame:
+    """Fail with the offending counts if a key is null or occurs twice in one
+    of the tables.
 
-    One aggregation over the key columns only; the counts are two numbers.
+    One job for all tables, one aggregation over the key columns only; what
+    comes back are two numbers.
     """
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    counts = (df.groupBy(*keys).count()
+    tables = [t.select(F.lit(i).alias("_table"), *keys) for i, t in enumerate((df, *others))]
+    counts = (reduce(DataFrame.unionByName, tables).groupBy("_table", *keys).count()
               .agg(F.sum(F.when(some_null, F.col("count"))).alias("nulls"),
                    F.sum(F.when(~some_null & (F.col("count") > 1), 1)).alias("twice"))
               .first())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
@@ -13,7 +13,7 @@ from concordat.config import JobConfig
 from concordat.operators import guards as G
 from concordat.operators import propagate as A
 from concordat.operators import reconcile as R
-from concordat.operators.listings import atomic_groups, prune_ignored, select_paths
+from concordat.operators.listings import atomic_groups, follow_links, prune_ignored, select_paths
 from concordat.operators.merge import three_way_merge
 from concordat.operators.snapshots import check_keys
 from concordat.operators.updates import detect_updates
@@ -42,18 +42,37 @@ def make_plan(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig
     keys are filtered out of all three inputs alike."""
     keys = list(cfg.keys)
     left, right, base = (_scope(df, cfg) for df in (left, right, base))
+    if cfg.follow:
+        left, right = follow_links(left, cfg.follow), follow_links(right, cfg.follow)
     u1 = detect_updates(left, base, keys, cfg.update)
     u2 = detect_updates(right, base, keys, cfg.update)
     plan = R.apply_policy(R.reconcile(u1, u2, keys, cfg.plan), keys, cfg.plan)
+    if not cfg.links:
+        plan = plan.where(~_involves_link())
+    if cfg.max_size_kb:
+        plan = limit_size(plan, cfg.max_size_kb)
     return atomic_groups(plan, cfg.plan.atomic) if cfg.plan.atomic else plan
 
 
+def _involves_link() -> Column:
+    kinds = [F.col(f"{s}.{k}") for s in ("left", "right") for k in ("kind", "prev_kind")]
+    return F.coalesce(F.array_contains(F.array(*kinds), "symlink"), F.lit(False))
+
+
+def limit_size(plan: DataFrame, kb: int) -> DataFrame:
+    """Hold back transfers of larger files. The decision falls on the plan: if
+    large files were filtered out of one listing they would look deleted."""
+    large = A.source_bytes() > kb * 1024
+    return plan.withColumns({
+        "reason": F.when(large, f"larger than {kb} KB").otherwise(F.col("reason")),
+        "direction": F.when(large, S.CONFLICT).otherwise(F.col("direction"))})
+
+
 def dry_run(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig) -> DataFrame:
     """Plan only. It is written out, so that it can be reviewed, edited and
     committed later, and so that writing the replicas cannot change it."""
     if cfg.check_keys:
-        for df in (left, right, base):
-            check_keys(df, cfg.keys)
+        check_keys(left, cfg.keys, right, base)
     for label, df in (("left", left), ("right", right)):
         G.guard_empty_side(df, base, label)
     return materialize(make_plan(left, right, base, cfg), "plan")
@@ -63,8 +82,8 @@ def commit(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame,
            merge_values: Sequence[str] = (), failures: DataFrame | None = None) -> Outcome:
     """Carry out a (possibly edited) plan."""
     keys = list(cfg.keys)
-    if cfg.max_delete_fraction <= 1.0 and not G.deletions(plan).isEmpty():
-        G.guard_big_deletes(plan, left.count(), right.count(), cfg.max_delete_fraction)
+    if cfg.max_delete_fraction <= 1.0:
+        G.guard_big_deletes(plan, left, right, cfg.max_delete_fraction)
     merged = None
     if merge_values:
         wanted = plan.where(F.col("direction") == S.MERGE)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from concordat.functions import paths as P
 from concordat.functions import patterns as M
@@ -128,3 +129,24 @@ def last_state_per_key(events: DataFrame, keys: Sequence[str], ts: str = "ts") -
 
 def live_state(state: DataFrame) -> DataFrame:
     return state.where(F.col("action") != "deleted")
+
+
+def state_stream(events: DataFrame, keys: Sequence[str], folder: str, checkpoint: str,
+                 **trigger) -> StreamingQuery:
+    """Keep :func:`last_state_per_key` of a stream: every micro-batch appends
+    the keys that changed in it. State and offsets are in the checkpoint, so a
+    restarted run goes on where it stopped; a repeated batch rewrites its own
+    folder."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return (last_state_per_key(events, keys).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_state(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Current row per live key of a :func:`state_stream` folder."""
+    rows = spark.read.parquet(folder)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("s"))
+    return live_state(newest.select(*keys, "s.*"))

@@ -17,6 +17,7 @@ from concordat.operators.listings import atomic_groups
 from concordat.operators.merge import three_way_merge
 from concordat.operators.snapshots import snapshot_table
 from concordat.plans.cycle import make_plan, sync
+from concordat.session import materialize
 from suite.fixtures import (CUSTOMER3_SQL, LISTING3_SQL, LISTING_PLAN_SQL, ORDER_KEYS, ORDERS3_SQL,
                             ORDERS_PLAN_SQL, customer3, dated_order_snapshots, listing3,
                             order_snapshots, orders3, with_directories)
@@ -674,7 +675,8 @@ select ls as left_status, rs as right_status, d as direction, count(*) as n from
 def _(spark, d):
     """After a cycle only the conflicts are left, and they are still conflicts."""
     out = _synced(spark, d)
-    plan = make_plan(out.left, out.right, out.base, ORDERS_JOB)
+    left, right, base = (materialize(t, "synced") for t in (out.left, out.right, out.base))
+    plan = make_plan(left, right, base, ORDERS_JOB)
     return shown(plan, *K).groupBy("left_status", "right_status", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -693,6 +695,23 @@ def _(spark, d):
     return G.deletions(orders_plan(spark, d))
 
 
+@query("max_size_in_plan", LISTING_PLAN_SQL + """,
+q as (select *, case when d = 'l2r' then llen when d = 'r2l' then rlen else 0 end > 2048 as big from p)
+select path, case when big then 'conflict' else d end as direction, case when big then 'larger than 2 KB'
+  when d = 'conflict' then why end as reason from q""")
+def _(spark, d):
+    base, left, right = listing3(spark, d)
+    return make_plan(left, right, base, JobConfig(max_size_kb=2)).select("path", "direction", "reason")
+
+
+@query("plan_without_links", _MIXED_SQL + """
+select path, case when n%17 = 0 and here then 'problem' else 'l2r' end as direction from k
+where not ((here and n%11 = 0) or (before and n%11 = 0)) and (not here or not before or differs or kind <> prev_kind or n%17 = 0)""")
+def _(spark, d):
+    base, left = _mixed(spark, d)
+    return make_plan(left, base, base, JobConfig(links=False)).select("path", "direction")
+
+
 @query("guard_base_save", ORDERS_PLAN_SQL + """
 select count(case when d in ('l2r','r2l') then 1 end) as ok, 0 as failed,
   count(case when d = 'conflict' then 1 end) as skipped, true as save_base from p where d <> 'equal'""")

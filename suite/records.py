@@ -398,6 +398,15 @@ def _(spark, d):
     return CH.live_state(CH.last_state_per_key(ev, ["path"])).select("path", "value", "event_id")
 
 
+@query("last_state_stream", "with " + _EV + """
+select path, arg_max(value, (ts, event_id)) as value from ev group by 1 having arg_max(action, (ts, event_id)) <> 'deleted'""")
+def _(spark, d):
+    ev = change_events(_stream(spark, d)).select("path", "ts", "event_id", "action", "value")
+    out = scratch_path(spark, "state")
+    CH.state_stream(ev, ["path"], out, scratch_path(spark, "state-ck")).awaitTermination()
+    return CH.read_state(spark, out, ["path"]).select("path", "value")
+
+
 # -- statistics ---------------------------------------------------------------
 
 _LOG = """

@@ -224,3 +224,25 @@ def test_force_mode(spark):
     skip = sync(left, right, base, JobConfig(plan=PlanConfig(force="left"), apply=ApplyConfig(force_mode="skip")))
     assert ("other", "skipped", "Unchanged") in rows_of(skip.results, "path", "outcome", "detail")
     assert ("other", "o", 0o644) in rows_of(skip.right)
+
+
+def test_replicas_that_ignore_case(spark):
+    from concordat.functions.paths import with_path_columns
+    keyed = lambda *rows: with_path_columns(listing(spark, *rows), mode="insensitive").select(
+        "path_key", "path", "kind", "fp", "length", "mtime", "perms")
+    base = keyed(row("Docs/A.txt"), row("b"))
+    out = sync(keyed(row("docs/a.TXT", "new", length=5), row("b")), keyed(row("Docs/A.txt"), row("B")), base, JobConfig(keys=("path_key",)))
+    assert rows_of(out.plan, "path_key", "direction") == [("docs/a.txt", S.L2R)]
+    assert rows_of(out.right, "path", "fp") == [("B", "x"), ("docs/a.TXT", "new")]
+
+
+def test_followed_links_and_atomic_directories(spark):
+    base = listing(spark, row("target", "t"), row("pkg/a", "1"), row("pkg/b", "1"), row("free", "1"))
+    left = listing(spark, row("target", "t2", length=4), row("ln", None, "symlink", 0, target="target"),
+                   row("pkg/a", "L", length=2), row("pkg/b", "2", length=2), row("free", "2", length=2))
+    right = listing(spark, row("target", "t"), row("pkg/a", "R", length=3), row("pkg/b", "1"), row("free", "1"))
+    plan = make_plan(left, right, base, JobConfig(follow=("Name ln",), plan=PlanConfig(atomic=("Path pkg",))))
+    got = {r["path"]: r for r in plan.collect()}
+    assert got["ln"]["left"]["kind"] == "file" and got["ln"]["left"]["fp"] == "t2"
+    assert {p: got[p]["direction"] for p in ("pkg/a", "pkg/b", "free")} == {"pkg/a": S.CONFLICT, "pkg/b": S.CONFLICT, "free": S.L2R}
+    assert got["pkg/b"]["reason"] == "conflict inside atomic directory"

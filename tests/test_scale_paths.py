@@ -121,3 +121,20 @@ def test_rolling_rate_window(spark):
             first = max(k - 19, 1)
             want = (done[k] - done[first]) / (k - first)
         assert got["rate"][k] == pytest.approx(want), k
+
+
+def test_backup_rotation_limits_before_the_shuffle(spark):
+    from concordat.operators.backups import rotate_backups
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.timestamp_seconds("id").alias("taken_at"), F.lit(0).alias("version"))
+    plan = rotate_backups(df, ["k"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_metadata_stage_reads_no_content(spark, tmp_path):
+    """The first stage of fingerprinting prunes the content column."""
+    from concordat.operators.snapshots import fingerprint_suspects
+    files = listing(spark, row("a"), row("b")).withColumn("content", F.lit(b"x"))
+    files.write.parquet(str(tmp_path / "l"))
+    now = spark.read.parquet(str(tmp_path / "l"))
+    plan = fingerprint_suspects(now.drop("content"), now)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan

@@ -89,3 +89,27 @@ def test_emptied_slice(spark, tmp_path):
     keep = min(slices)
     t.replace_slices(t.read().where("false"), [s for s in slices if s != keep])
     assert {r[0] for r in t.read().select("slice").distinct().collect()} == {keep}
+
+
+def test_state_survives_restart(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    first = events(spark, ("a", "created", "2024-01-01"), ("b", "created", "2024-01-01"), ("c", "created", "2024-01-01"))
+    second = events(spark, ("a", "deleted", "2024-01-02"), ("b", "modified", "2024-01-03"), ("b", "created", "2023-12-31"))
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(src)
+        CH.state_stream(CH.change_stream(spark, src, first.schema), ["path"], out, ck).awaitTermination()
+    assert rows_of(CH.read_state(spark, out, ["path"]), "path", "action") == [("b", "modified"), ("c", "created")]
+
+
+def test_sync_repeat(spark, tmp_path):
+    from concordat.streaming.sync import sync_repeat
+    tables = [SlicedTable(spark, str(tmp_path / n), ["path"], 2) for n in ("left", "right", "base")]
+    for t, rows in zip(tables, ([row("a"), row("b")], [row("a")], [row("a")])):
+        t.create(listing(spark, *rows))
+    ticks = events(spark, ("x", "modified", "2024-01-01"))
+    ticks.coalesce(1).write.parquet(str(tmp_path / "ticks"))
+    sink = SyncOnChange(*tables, JobConfig())
+    q = sync_repeat(CH.change_stream(spark, str(tmp_path / "ticks"), ticks.schema), sink, str(tmp_path / "ck"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert sink.rounds == 1 and rows_of(tables[1].read(), "path") == [("a",), ("b",)]

@@ -185,7 +185,7 @@ def rolling_rate(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                             F.col("s_bytes").alias("o_bytes"))
     window = (samples.withColumn("_k", F.greatest(F.col("n_samples") - (MAX_SAMPLES - 1), F.lit(1)))
               .join(oldest, ["run_id", "_k"]).drop("_k"))
-    j = counted.join(window, ["run_id", "n_samples"], "left")
+    j = salted_join(counted, window, ["run_id", "n_samples"], "left", group_rows)
     dt = (F.col("s_ms") - F.col("o_ms")) / 1000
     elapsed = (F.col("ms") - F.unix_millis("started")) / 1000
     plain = F.when(elapsed > 0, F.col("done_bytes") / elapsed).otherwise(F.lit(0.0))

@@ -23,7 +23,7 @@ def base_id(spark: SparkSession, left: str, right: str) -> str:
     return spark.range(1).select(base_id_column(F.lit(left), F.lit(right))).first()[0]
 
 
-def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
     try:
         reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.parquet(path)
@@ -48,9 +48,7 @@ class VersionedStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointers(self) -> DataFrame | None:
-        return _read_or_none(self.spark, f"{self.root}/pointers",
-                             T.StructType.fromDDL(_POINTER) if hasattr(T.StructType, "fromDDL")
-                             else T._parse_datatype_string(_POINTER))
+        return _read_or_none(self.spark, f"{self.root}/pointers", _POINTER)
 
     def _current(self, pair: str):
         pointers = self._pointers()

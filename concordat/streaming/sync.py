@@ -2,75 +2,97 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from concordat.config import JobConfig
 from concordat.plans.cycle import sync
-from concordat.session import materialize
+from concordat.session import scratch_scope
 
+TABLES = ("left", "right", "base")
+_POINTER = "name string, slice int, version string, seq long"
 
-class SlicedTable:
-    """A keyed table stored in slices by key hash, of which single slices can
-    be replaced."""
 
-    def __init__(self, spark: SparkSession, path: str, keys, slices: int):
-        self.spark, self.path, self.keys, self.slices = spark, path, list(keys), slices
+class SlicedStore:
+    """The three tables of a pair of replicas, stored in slices by key hash.
 
-    def slice_of(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.slices)).cast("int")
-
-    def create(self, df: DataFrame) -> None:
-        self._write(df)
+    New slices are written beside the old ones. One appended pointer file then
+    switches all of them, in all three tables, at once: a job that dies before
+    that leaves the old state, and no data file is ever overwritten.
+    """
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], slices: int):
+        self.spark, self.root, self.keys, self.slices = spark, root.rstrip("/"), list(keys), slices
 
-    def replace_slices(self, df: DataFrame, touched: list[int]) -> None:
-        """Replace exactly the touched slices. The new rows are complete on
-        shared storage before any old file goes; only then are the slices
-        overwritten, an emptied one included."""
-        ready = materialize(df, "slices")
-        filled = {r[0] for r in ready.select(self.slice_of()).distinct().collect()}  # <= slices
-        self._write(ready)
-        for gone in set(touched) - filled:
-            (self.spark.createDataFrame([], ready.drop("slice").schema).write.mode("overwrite")
-             .parquet(f"{self.path}/slice={gone}"))
+    def slice_of(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.slices)).cast("int")
 
-    def _write(self, df: DataFrame) -> None:
-        rows = df.drop("slice").withColumn("slice", self.slice_of())
-        (rows.repartition("slice").write.partitionBy("slice").mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").parquet(self.path))
+    def _current(self) -> list:
+        """Latest pointer of every slice: at most three times the slices."""
+        pointers = self.spark.read.schema(_POINTER).parquet(f"{self.root}/pointers")
+        return (pointers.groupBy("name", "slice")
+                .agg(F.max_by("version", "seq").alias("version"), F.max("seq").alias("seq")).collect())
+
+    def read(self, name: str, slices: Sequence[int] | None = None) -> DataFrame:
+        """A table, or some of its slices; other slices are not even listed."""
+        leaves = [f"{self.root}/data/{p['version']}/{name}/slice={p['slice']}" for p in self._current()
+                  if p["name"] == name and p["version"] and (slices is None or p["slice"] in slices)]
+        schema = self.spark.read.json(f"{self.root}/schema/{name}", schema="ddl string").first()["ddl"]
+        if not leaves:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*leaves)
+
+    def create(self, **tables: DataFrame) -> None:
+        for name, df in tables.items():
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            self.spark.createDataFrame([(ddl,)], "ddl string").coalesce(1).write.json(f"{self.root}/schema/{name}")
+        self._publish(tables, range(self.slices), 0)
+
+    def replace_slices(self, slices: Sequence[int], **tables: DataFrame) -> None:
+        """Replace exactly these slices; one that got no rows becomes empty."""
+        self._publish(tables, slices, 1 + max(p["seq"] for p in self._current()))
+
+    def _publish(self, tables: dict[str, DataFrame], slices: Sequence[int], seq: int) -> None:
+        version, rows = uuid.uuid4().hex, []
+        for name, df in tables.items():
+            path = f"{self.root}/data/{version}/{name}"
+            (df.withColumn("slice", self.slice_of()).repartition("slice")
+             .write.partitionBy("slice").parquet(path))
+            written = self.spark.read.schema("slice int").parquet(path).distinct()
+            filled = {r["slice"] for r in written.collect()}  # at most the slices
+            rows += [(name, s, version if s in filled else None, seq) for s in slices]
+        (self.spark.createDataFrame(rows, _POINTER).coalesce(1).write.mode("append")
+         .parquet(f"{self.root}/pointers"))
 
 
 class SyncOnChange:
     """``foreachBatch`` sink: reconcile the slices that a batch of change
     events touches. Micro-batches run one after another, so changes that
-    arrive meanwhile are in the next one."""
+    arrive meanwhile are in the next one; a repeated batch finds its work done
+    and changes nothing."""
 
-    def __init__(self, left: SlicedTable, right: SlicedTable, base: SlicedTable, cfg: JobConfig):
-        self.left, self.right, self.base = left, right, base
+    def __init__(self, store: SlicedStore, cfg: JobConfig):
+        self.store = store
         self.cfg = replace(cfg, check_keys=False, max_delete_fraction=2.0)
         self.rounds = 0
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
-        touched = [r[0] for r in events.select(self.left.slice_of()).distinct().collect()]  # <= slices
+        touched = [r[0] for r in events.select(self.store.slice_of()).distinct().collect()]  # <= slices
         if touched:
             self.run(touched)
 
-    def run(self, touched: list[int] | None = None) -> None:
+    def run(self, touched: Sequence[int] | None = None) -> None:
         """One cycle over the touched slices, or over everything (the initial
         sync)."""
-        every = list(range(self.left.slices)) if touched is None else touched
-        pick = lambda t: t.read().where(F.col("slice").isin(every)).drop("slice")
-        left, right, base = pick(self.left), pick(self.right), pick(self.base)
-        out = sync(left, right, base, self.cfg)
-        new = [materialize(df, "cycle") for df in (out.left, out.right, out.base)]
-        for table, df in zip((self.left, self.right, self.base), new):
-            table.replace_slices(df, every)
+        with scratch_scope(self.store.spark):
+            out = sync(*(self.store.read(name, touched) for name in TABLES), self.cfg)
+            self.store.replace_slices(range(self.store.slices) if touched is None else touched,
+                                      left=out.left, right=out.right, base=out.base)
         self.rounds += 1
 
 

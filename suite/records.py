@@ -216,13 +216,16 @@ def _(spark, d):
 
 
 @query("rolling_weak", """
-select item_id, octet_length(encode(text)) - 15 as n_windows from benchmark where octet_length(encode(text)) >= 16""")
-def _(spark, d):
-    """Every window of 16 bytes; that the values are right is tested against
-    the definition."""
-    c = F.encode("text", "UTF-8")
-    b = table(spark, d, "benchmark").select("item_id", F.size(BL.rolling_weak(c, F.lit(16))).alias("n_windows"))
-    return b.where(F.col("n_windows") > 0)
+with c as (select item_id, list_transform(range(1, octet_length(encode(text)) + 1), lambda i:
+    cast(('0x' || hex(array_slice(encode(text), i, i))) as bigint)) as c from benchmark)
+select item_id, len(c) - 15 as n_windows, md5(array_to_string(list_transform(range(1, len(c) - 14), lambda o:
+    list_reduce(c[o:o + 15], lambda a, x: (a * 16381 + x) & 2147483647, cast(0 as bigint))), ',')) as hashes from c where len(c) >= 16""")
+def _(spark, d):
+    """The checksums of all windows of 16 bytes."""
+    w = BL.rolling_weak(F.encode("text", "UTF-8"), F.lit(16))
+    b = table(spark, d, "benchmark").select("item_id", w.alias("w")).where(F.size("w") > 0)
+    return b.select("item_id", F.size("w").alias("n_windows"),
+                    F.md5(F.array_join(F.col("w").cast("array<string>"), ",")).alias("hashes"))
 
 
 _INSERT = "<<INSERT>>"

@@ -33,7 +33,9 @@ def _block_hashes(content: Column, size: Column) -> Column:
 def block_signatures(old: DataFrame, key: str = "path", content: str = "content",
                      weak: bool = True) -> DataFrame:
     """Signature rows of the consecutive blocks of each value. Blocks are
-    hashed inside the row; the content itself is never exploded."""
+    hashed inside the row; the content itself is never exploded. (The outer
+    explode keeps the optimizer from testing the array, and so hashing
+    everything, once more in a filter; no array here is empty.)"""
     c = F.col(content)
     size = F.col("block_size")
     hashed = _bind(c, lambda x: _bind(
@@ -42,12 +44,12 @@ def block_signatures(old: DataFrame, key: str = "path", content: str = "content"
     if weak:
         weak_of = B.block_weak_hashes(c, B.block_size(F.octet_length(c)))
         flat = (df.select(key, hashed.alias("s"), weak_of.alias("w"))
-                .select(key, F.col("s.n").alias("block_size"), F.explode(F.arrays_zip(F.col("s.h").alias("h"), "w")).alias("z")))
+                .select(key, F.col("s.n").alias("block_size"), F.explode_outer(F.arrays_zip(F.col("s.h").alias("h"), "w")).alias("z")))
         return flat.select(key, F.col("z.h.block_no").alias("block_no"), size,
                            F.col("z.h.block_len").alias("block_len"),
                            F.col("z.w").alias("weak"), F.col("z.h.strong").alias("strong"))
     flat = df.select(key, hashed.alias("s")).select(
-        key, F.col("s.n").alias("block_size"), F.explode("s.h").alias("h"))
+        key, F.col("s.n").alias("block_size"), F.explode_outer("s.h").alias("h"))
     return flat.select(key, F.col("h.block_no").alias("block_no"), size,
                        F.col("h.block_len").alias("block_len"), F.col("h.strong").alias("strong"))
 
@@ -102,7 +104,7 @@ def delta_tokens(matches: DataFrame, key: str = "path") -> DataFrame:
     all_tokens = F.filter(
         F.concat(F.flatten(pairs), tail),
         lambda t: (t["token"] == "block") | (F.octet_length(t["literal"]) > 0))
-    rows = matches.select(key, F.posexplode(all_tokens).alias("seq", "t"))
+    rows = matches.select(key, F.posexplode_outer(all_tokens).alias("seq", "t")).where(F.col("seq").isNotNull())
     return rows.select(key, "seq", F.col("t.token").alias("token"),
                        F.col("t.block_index").alias("block_index"),
                        F.when(F.col("t.token") == "block", 1).alias("block_count"),

@@ -93,5 +93,6 @@ def same_file_guess(listing: DataFrame) -> DataFrame:
     known = listing.where(F.col("length").isNotNull() & F.col("mtime").isNotNull()).select("path", *cls)
     groups = (known.groupBy(*cls).agg(F.min("path").alias("path1"), F.count(F.lit(1)).alias("n_class"))
               .where(F.col("n_class") > 1))
-    return (salted_join(known, groups, cls, "inner").where(F.col("path") != F.col("path1"))
+    hot = groups.where(F.col("n_class") > GROUP_ROWS)
+    return (salted_join(known, groups, cls, "inner", hot=hot).where(F.col("path") != F.col("path1"))
             .select("path1", F.col("path").alias("path2"), "n_class"))

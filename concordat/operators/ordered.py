@@ -93,16 +93,19 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                hot_rows: int = GROUP_ROWS, salts: int = 256) -> DataFrame:
+                hot_rows: int = GROUP_ROWS, salts: int = 256,
+                hot: DataFrame | None = None) -> DataFrame:
     """Join a table with frequent keys to one with unique keys.
 
     Keys with more than ``hot_rows`` rows on the left are spread over
     ``salts`` tasks and repeated that often on the right. There are at most
-    total/hot_rows of them, which bounds the broadcast list.
+    total/hot_rows of them, which bounds the broadcast list. A caller that has
+    counted already passes the frequent keys as ``hot``.
     """
     on = list(on)
-    hot = (left.groupBy(*on).count().where(F.col("count") > hot_rows)
-           .select(*on, F.lit(True).alias("_hot")))
+    if hot is None:
+        hot = left.groupBy(*on).count().where(F.col("count") > hot_rows)
+    hot = hot.select(*on, F.lit(True).alias("_hot"))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     l2 = (left.join(F.broadcast(hot), on, "left")
           .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot"))

@@ -31,8 +31,9 @@ def with_totals(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         "done_bytes": F.col("bytes"), "done_items": F.col("item_done").cast("long")}, group_rows)
     totals = log.groupBy("run_id").agg(
         F.sum("bytes").alias("total_bytes"), F.sum(F.col("item_done").cast("long")).alias("total_items"),
-        F.min("ts").alias("started"))
-    return salted_join(done, totals, ["run_id"], "inner", group_rows)
+        F.min("ts").alias("started"), F.count(F.lit(1)).alias("_rows"))
+    hot = totals.where(F.col("_rows") > group_rows)
+    return salted_join(done, totals.drop("_rows"), ["run_id"], "inner", hot=hot)
 
 
 def eta_seconds(rate: Column, done_bytes: Column, total_bytes: Column) -> Column:

@@ -74,6 +74,8 @@ class JobConfig:
 
     ``follow`` names links to be replaced by what they point to, ``links`` off
     keeps links out of the plan, ``max_size_kb`` holds back larger transfers.
+    ``max_delete_fraction`` and ``guard_empty`` stop a cycle that would empty a
+    side (None and False switch them off).
     For replicas that ignore case, add a key column with
     :func:`concordat.functions.paths.with_path_columns` and name it in ``keys``.
     """
@@ -88,5 +90,6 @@ class JobConfig:
     follow: Sequence[str] = ()
     links: bool = True
     max_size_kb: int = 0
-    max_delete_fraction: float = 1.0
+    max_delete_fraction: float | None = 1.0
+    guard_empty: bool = True
     check_keys: bool = True

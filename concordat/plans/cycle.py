@@ -73,8 +73,9 @@ def dry_run(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig)
     committed later, and so that writing the replicas cannot change it."""
     if cfg.check_keys:
         check_keys(left, cfg.keys, right, base)
-    for label, df in (("left", left), ("right", right)):
-        G.guard_empty_side(df, base, label)
+    if cfg.guard_empty:
+        G.guard_empty_side(left, base, "left")
+        G.guard_empty_side(right, base, "right")
     return materialize(make_plan(left, right, base, cfg), "plan")
 
 
@@ -82,7 +83,7 @@ def commit(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame,
            merge_values: Sequence[str] = (), failures: DataFrame | None = None) -> Outcome:
     """Carry out a (possibly edited) plan."""
     keys = list(cfg.keys)
-    if cfg.max_delete_fraction <= 1.0:
+    if cfg.max_delete_fraction is not None:
         G.guard_big_deletes(plan, left, right, cfg.max_delete_fraction)
     merged = None
     if merge_values:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from concordat.config import JobConfig
+from concordat.operators.guards import guard_empty_side
 from concordat.plans.cycle import sync
 from concordat.session import scratch_scope
 
@@ -78,7 +79,9 @@ class SyncOnChange:
 
     def __init__(self, store: SlicedStore, cfg: JobConfig):
         self.store = store
-        self.cfg = replace(cfg, check_keys=False, max_delete_fraction=2.0)
+        # A slice may well be emptied; whether a whole side is, run() asks.
+        self.cfg = replace(cfg, check_keys=False, guard_empty=False, max_delete_fraction=None)
+        self.guard = cfg.guard_empty
         self.rounds = 0
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
@@ -89,6 +92,10 @@ class SyncOnChange:
     def run(self, touched: Sequence[int] | None = None) -> None:
         """One cycle over the touched slices, or over everything (the initial
         sync)."""
+        if self.guard:
+            base = self.store.read("base")
+            guard_empty_side(self.store.read("left"), base, "left")
+            guard_empty_side(self.store.read("right"), base, "right")
         with scratch_scope(self.store.spark):
             out = sync(*(self.store.read(name, touched) for name in TABLES), self.cfg)
             self.store.replace_slices(range(self.store.slices) if touched is None else touched,

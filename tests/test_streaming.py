@@ -78,6 +78,22 @@ def test_sync_on_change(spark, tmp_path):
     assert dict(rows_of(store.read("base"), "path", "fp")) == got
 
 
+def test_emptied_slice_is_not_an_emptied_side(spark, tmp_path):
+    import pytest
+
+    from concordat.operators.guards import Refused
+    store = SlicedStore(spark, str(tmp_path / "store"), ["path"], 2)
+    df = listing(spark, *[row(f"p{i}") for i in range(10)])
+    kept = df.where(store.slice_of() == 0)
+    store.create(left=kept, right=df, base=df)
+    sink = SyncOnChange(store, JobConfig())
+    sink.run([1])
+    assert store.read("right").count() == store.read("base").count() == kept.count()
+    store.replace_slices([0, 1], left=df.where("false"))
+    with pytest.raises(Refused):
+        sink.run([0])
+
+
 def test_slices(spark, tmp_path):
     store = SlicedStore(spark, str(tmp_path / "t"), ["path"], 2)
     df = listing(spark, *[row(f"p{i}") for i in range(10)])

@@ -70,7 +70,7 @@ def prune_history(records: DataFrame, keep: int = KEEP_RECORDS) -> DataFrame:
 
 def prune_entries(entries: DataFrame, records: DataFrame) -> DataFrame:
     """Entries of the records that are left."""
-    return entries.join(F.broadcast(records.select("sync_id")), "sync_id", "left_semi")
+    return entries.join(records.select("sync_id"), "sync_id", "left_semi")
 
 
 def record_summary(records: DataFrame, entries: DataFrame) -> DataFrame:

@@ -37,11 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="concordat-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="concordat-")
+    return _local_dirs[app]
 
 
+_local_dirs: dict[str, str] = {}
 _open_scopes: list[list[str]] = []
 
 

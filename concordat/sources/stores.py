@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat import schemas as S
-from concordat.operators.history import prune_history
+from concordat.operators.history import prune_entries, prune_history
 
 
 def base_id_column(left, right, version: int = S.FORMAT_VERSION):
@@ -160,7 +160,7 @@ def kept_history(spark: SparkSession, root: str, keep: int) -> tuple[DataFrame,
     """History after pruning, to be published elsewhere."""
     records, entries = read_history(spark, root)
     kept = prune_history(records, keep)
-    return kept, entries.join(F.broadcast(kept.select("sync_id")), "sync_id", "left_semi")
+    return kept, prune_entries(entries, kept)
 
 
 def clear_history(spark: SparkSession, root: str) -> None:

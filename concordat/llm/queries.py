@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import sentencepieces
+from concordat.llm import langid, sentencepieces
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,3 +23,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the labelled documents that are not held out."""
+    return langid.fit(docs.where(~held_out()), key=F.col("doc_id"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.label(docs.select("doc_id", "text"), language_model(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_spans")

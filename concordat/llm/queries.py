@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import langid, sentencepieces
+from concordat.llm import jaccard, langid, sentencepieces
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -39,3 +39,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.label(docs.select("doc_id", "text"), language_model(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_spans")
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.link_sets(table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -126,11 +126,12 @@ def _words(text: str, parts: int, size: int):
             order = np.argsort(part, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
             taken = words.take(pa.array(order))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), taken)
+            lists = taken.to_pylist()  # no word holds a blank
+            lists = [zstandard.compress(" ".join(lists[a:b]).encode(), 3) for a, b in zip(cuts, cuts[1:], strict=False)]
             codes = [pack(np.diff(order[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[order[cuts[:-1]]].astype(np.int32)), pa.array([name] * len(codes), pa.binary()),
-                 pa.array(codes, pa.binary()), lists], names=["part", _BUNDLE, _CODES, "words"])
+                 pa.array(codes, pa.binary()), pa.array(lists, pa.binary())], names=["part", _BUNDLE, _CODES, "words"])
     return run
 
 
@@ -144,6 +145,7 @@ def _segment(model: bytes):
             for now, name, codes, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if now != part:
                     part, known, ids, starts = now, {}, [], [0]
+                words = zstandard.decompress(words).decode().split(" ")
                 new = [w for w in words if w not in known]
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 for w, got in zip(new, sp.encode([w.replace(MARK, " ") for w in new], num_threads=1), strict=True):
@@ -202,7 +204,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     model = read_model(model_path)
     check_cuts(model)
     parts = partitions(docs)
-    words = (docs.select(text).mapInArrow(_words(text, parts, bundle_bytes), f"part int, {_BUNDLE} binary, {_CODES} binary, words array<string>")
+    words = (docs.select(text).mapInArrow(_words(text, parts, bundle_bytes), f"part int, {_BUNDLE} binary, {_CODES} binary, words binary")
              .repartition(parts, "part").sortWithinPartitions("part")
              .mapInArrow(_segment(model), f"{_BUNDLE} binary, {_CODES} binary, lens binary, ids binary"))
     coded = docs.mapInArrow(_texts(text, bundle_bytes), added(docs.schema, **{_BUNDLE: T.BinaryType(), _CODES: T.BinaryType()}))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import jaccard, langid, lines, sentencepieces
+from concordat.llm import jaccard, langid, lines, sentencepieces, tokenfile
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -51,3 +51,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "text", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"))
+
+
+def byte_bpe() -> tuple[str, bytes, str]:
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as g:
+        return f.read(), g.read(), public_tokenizers.PATTERN
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.scratch(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), path, byte_bpe(), end_id=0)
+    return tokenfile.crc_of_ids(tokenfile.read(spark, path), ["doc", "start"]).withColumnRenamed("doc", "doc_id")

@@ -111,8 +111,8 @@ def training_windows(docs: DataFrame, text: str, lang: str, key: Column, docs_pe
     """``lang, words``: windows of a bounded number of documents of each language."""
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, F.lit(4)).alias("h"))
-    counts = labelled.groupBy("lang").count()
-    near = (labelled.join(counts, "lang")
+    counts = labelled.groupBy("lang").count()  # one row per class of the model
+    near = (labelled.join(F.broadcast(counts), "lang")
             .where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * docs_per_lang * (1 << 30)) / F.col("count"))
             .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
             .where(F.col("n") <= docs_per_lang).select("text", "lang"))

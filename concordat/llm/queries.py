@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import jaccard, langid, lines, sentencepieces, tokenfile
+from concordat.llm import decontaminate, jaccard, langid, lines, sentencepieces, tokenfile
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -63,3 +63,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.scratch(spark)
     tokenfile.write(table(spark, sf_dir, "documents"), path, byte_bpe(), end_id=0)
     return tokenfile.crc_of_ids(tokenfile.read(spark, path), ["doc", "start"]).withColumnRenamed("doc", "doc_id")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})

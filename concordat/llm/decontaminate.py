@@ -7,9 +7,10 @@ an item that stands anywhere in a text lies whole in one of them. A score is the
 BM25 weight of the item's terms that the passage has, as a share of the weight
 of all its terms, and every item at or above ``min_score`` is retrieved.
 
-For each batch numpy first sums block maxima per passage and block of items
-(terms that most items have count in full for every passage); passages in which
-no block can reach the threshold end there. The others run block-max WAND.
+For each batch numpy first sums block maxima per passage and block of items,
+then, in blocks that can reach the threshold, the weights per item (terms that
+many items have count in full for every passage); other passages end there. The
+rest run block-max WAND.
 What is retrieved is verified on the words: the item's last sentence is its
 answer, what stands before it the question (items of one sentence have no
 question), and the shares of their word shingles that the passage has must
@@ -24,6 +25,7 @@ hits. Repeated rows give repeated hits.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from concordat.llm.arrow import offsets, slices, spread
 from concordat.llm.grams import byte_table, shingles, word_hashes
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
 BLOCK = 8
 K1, B = 1.2, 0.75
 SLICE_BYTES = 4_000_000
@@ -86,10 +88,11 @@ class Index:
         np.maximum.at(top, owner, weight)
         self.block_of, self.block_max = block % self.n_blocks, top
         self.block_start = np.searchsorted(block // self.n_blocks, np.arange(len(self.terms) + 1))
+        self.first_in_block = np.searchsorted(owner, np.arange(len(block) + 1))
+        self.items, self.blocks = item.tolist(), self.block_of.tolist()
         self.common = df > max(BLOCK, len(items) // 8)
         often = np.bincount(item[self.common[term]], weight[self.common[term]], len(items))
-        self.often = np.zeros(self.n_blocks)
-        np.maximum.at(self.often, np.arange(len(items)) // BLOCK, often)
+        self.often = np.pad(often, (0, self.n_blocks * BLOCK - len(items))).reshape(-1, BLOCK)
 
     def search(self, terms: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
         """Items whose weights of these distinct terms sum to ``least`` or more."""
@@ -97,7 +100,7 @@ class Index:
         at = {t: int(self.start[t]) for t in end}
         live = list(end)
         while live:
-            live.sort(key=lambda t: self.item[at[t]])
+            live.sort(key=lambda t: self.items[at[t]])
             bound, pivot = 0.0, -1
             for i, t in enumerate(live):
                 bound += self.most[t]
@@ -106,33 +109,33 @@ class Index:
                     break
             if pivot < 0:
                 return
-            item = int(self.item[at[live[pivot]]])
-            while pivot + 1 < len(live) and self.item[at[live[pivot + 1]]] == item:
+            item = self.items[at[live[pivot]]]
+            while pivot + 1 < len(live) and self.items[at[live[pivot + 1]]] == item:
                 pivot += 1
             head, block = live[:pivot + 1], item // BLOCK
             bound = 0.0
             for t in head:
-                a, b = self.block_start[t], self.block_start[t + 1]
-                k = a + int(np.searchsorted(self.block_of[a:b], block))
-                if k < b and self.block_of[k] == block:
+                a, b = int(self.block_start[t]), int(self.block_start[t + 1])
+                k = bisect_left(self.blocks, block, a, b)
+                if k < b and self.blocks[k] == block:
                     bound += self.block_max[k]
             if bound < least - 1e-12:  # nothing in this block before the next list comes in
                 target = (block + 1) * BLOCK
                 if pivot + 1 < len(live):
-                    target = min(target, int(self.item[at[live[pivot + 1]]]))
+                    target = min(target, self.items[at[live[pivot + 1]]])
             else:
-                score = sum(self.weight[at[t]] for t in head if self.item[at[t]] == item)
-                behind = [t for t in head if self.item[at[t]] < item]
+                score = sum(self.weight[at[t]] for t in head if self.items[at[t]] == item)
+                behind = [t for t in head if self.items[at[t]] < item]
                 if behind:
                     for t in behind:
-                        at[t] += int(np.searchsorted(self.item[at[t]:end[t]], item))
+                        at[t] = bisect_left(self.items, item, at[t], end[t])
                     live = [t for t in live if at[t] < end[t]]
                     continue
                 if score >= least - 1e-12:
                     yield item, min(1.0, float(score))
                 target = item + 1
             for t in head:
-                at[t] += int(np.searchsorted(self.item[at[t]:end[t]], target))
+                at[t] = bisect_left(self.items, target, at[t], end[t])
             live = [t for t in live if at[t] < end[t]]
 
     def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
@@ -159,16 +162,28 @@ def _query(index, doc: str, text: str, min_score: float, min_overlap: float):
                 used = np.flatnonzero(known & ~x.common[found])
                 d = word_doc[used]
                 step = (used - firsts[d]) // stride
-                bounds = np.zeros((base[-1], x.n_blocks))
+                inside = []
                 for shift in (0, 1):  # the windows that start here and one stride before
                     w = step - shift
                     ok = (w >= 0) & (w < windows[d])
-                    t = found[used[ok]]
-                    n = x.block_start[t + 1] - x.block_start[t]
-                    k = spread(x.block_start[t], n)
-                    cell = np.repeat((base[d[ok]] + w[ok]) * x.n_blocks, n) + x.block_of[k]
-                    bounds += np.bincount(cell, x.block_max[k], bounds.size).reshape(bounds.shape)
-                open_windows = np.flatnonzero((bounds + x.often >= min_score - 1e-9).any(1))
+                    inside.append((base[d[ok]] + w[ok]) * len(x.terms) + found[used[ok]])
+                inside = np.unique(np.concatenate(inside))  # a term counts once in a passage
+                window, t = inside // len(x.terms), inside % len(x.terms)
+                n = x.block_start[t + 1] - x.block_start[t]
+                k = spread(x.block_start[t], n)
+                cell = np.repeat(window * x.n_blocks, n) + x.block_of[k]
+                bounds = np.bincount(cell, x.block_max[k], int(base[-1]) * x.n_blocks).reshape(-1, x.n_blocks)
+                open_cells = (bounds + x.often.max(1) >= min_score - 1e-9).ravel()
+                place = np.cumsum(open_cells) - 1
+                cells = np.flatnonzero(open_cells)
+                sums = x.often[cells % x.n_blocks]
+                # within the open blocks, by item
+                cell, k = cell[open_cells[cell]], k[open_cells[cell]]
+                n = x.first_in_block[k + 1] - x.first_in_block[k]
+                posting = spread(x.first_in_block[k], n)
+                at = np.repeat(place[cell] * BLOCK, n) + x.item[posting] % BLOCK
+                sums = sums + np.bincount(at, x.weight[posting], sums.size).reshape(sums.shape)
+                open_windows = np.unique(cells[(sums >= min_score - 1e-9).any(1)] // x.n_blocks)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 for w in open_windows.tolist():
                     i = int(np.searchsorted(base, w, side="right")) - 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import decontaminate, jaccard, langid, lines, sentencepieces, tokenfile
+from concordat.llm import decontaminate, jaccard, langid, license_sql, licenses, lines, sentencepieces, tokenfile
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,3 +69,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+@query("op6_license_scan", license_sql.SQL)
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, more = F.array_sort(F.array_distinct("phrases.label")), F.col("templates.label")
+    n = F.size("phrases")
+    return found.select(
+        "doc_id", "n_words", n.cast("long").alias("n_base"),
+        F.array_min("phrases.word").alias("first_word"), F.array_max("phrases.word").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.when(n > 0, 1.0).otherwise(F.coalesce(F.array_max("templates.containment"), F.lit(0.0))).alias("score"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import decontaminate, jaccard, langid, license_sql, licenses, lines, sentencepieces, tokenfile
+from concordat.llm import decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, sentencepieces, tokenfile
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -81,3 +81,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min("phrases.word").alias("first_word"), F.array_max("phrases.word").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
         F.when(n > 0, 1.0).otherwise(F.coalesce(F.array_max("templates.containment"), F.lit(0.0))).alias("score"))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempelziv.with_neighbour(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")

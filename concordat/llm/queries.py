@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, sentencepieces, tokenfile
+from concordat.llm import chat, decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, sentencepieces, tokenfile
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempelziv.with_neighbour(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("op9_chat_collapse", chat.SQL)
+def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.collapse(table(spark, sf_dir, "conversations"))
+    return found.withColumnRenamed("conv", "conv_id")

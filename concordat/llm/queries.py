@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import chat, decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, sentencepieces, tokenfile
+from concordat.llm import chat, decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, sentencepieces, tokenfile, webpages
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,3 +92,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.collapse(table(spark, sf_dir, "conversations"))
     return found.withColumnRenamed("conv", "conv_id")
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = webpages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from concordat.llm.arrow import offsets, slices, spread
 from concordat.llm.grams import byte_table, shingles, word_hashes
@@ -40,6 +41,7 @@ from concordat.llm.grams import byte_table, shingles, word_hashes
 SHARD_WORDS = 200_000
 BLOCK = 8
 K1, B = 1.2, 0.75
+MIN_SCORE, MIN_OVERLAP = 0.5, 0.5
 SLICE_BYTES = 4_000_000
 QUESTION_WORDS, ANSWER_WORDS = 5, 3
 #: Words are runs of ASCII letters and digits and of what is beyond ASCII.
@@ -62,7 +64,8 @@ def split_item(text: str) -> tuple[str, str]:
 class Index:
     """Postings of one shard of items, in order of item, with block maxima."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], kind: pa.DataType | None = None):
+        self.kind = kind or pa.int64()
         self.ids = [i for i, _ in items]
         words = [_hashes(t) for _, t in items]
         parts = [split_item(t) for _, t in items]
@@ -146,7 +149,8 @@ class Index:
         return out[0], out[1]
 
 
-def _query(index, doc: str, text: str, min_score: float, min_overlap: float):
+def _query(index, doc: str, text: str, min_score: float, min_overlap: float, drop: bool = False):
+    """Hits, or with ``drop`` the rows that have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = index.value
         stride = x.window // 2
@@ -194,42 +198,56 @@ def _query(index, doc: str, text: str, min_score: float, min_overlap: float):
                         q, r = x.overlap(item, h[a:b])
                         if q >= min_overlap and r >= min_overlap:
                             best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (score, q, r))
+                if drop:
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[i for i, _ in best]] = False
+                    yield part.filter(pa.array(keep))
+                    continue
                 rows = sorted(best.items())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(doc).take(pa.array([k[0] for k, _ in rows], pa.int64())), pa.array([x.ids[k[1]] for k, _ in rows], index.value.id_type),
+                    [part.column(doc).take(pa.array([k[0] for k, _ in rows], pa.int64())), pa.array([x.ids[k[1]] for k, _ in rows], x.kind),
                      *(pa.array([v[j] for _, v in rows], pa.float64()) for j in range(3))],
                     names=["doc", "item", "score", "question_overlap", "answer_overlap"])
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-                 min_score: float = 0.5, min_overlap: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``doc, item, score, question_overlap, answer_overlap`` of every document and
-    item that it quotes, with the best passage's figures."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    kind = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("item", items.schema[item].dataType),
-                         *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out, shard, words, low = None, [], 0, 0
-
-    def answer(shard: list) -> DataFrame:
-        index = Index(shard)
-        index.id_type = to_arrow_type(items.schema[item].dataType)
-        return rows.mapInArrow(_query(spark.sparkContext.broadcast(index), "doc", "text", min_score, min_overlap), kind)
-
-    ordered = items.where(F.col(item_text).isNotNull()).select(item, item_text).orderBy(F.length(item_text), item)
-    for r in ordered.toLocalIterator():
+def shards(items: DataFrame, item: str, item_text: str, shard_words: int) -> Iterator[Index]:
+    """Indexes of bounded size over items of like lengths."""
+    shard, words, low = [], 0, 0
+    kind = to_arrow_type(items.schema[item].dataType)
+    for r in items.where(F.col(item_text).isNotNull()).select(item, item_text).orderBy(F.length(item_text), item).toLocalIterator():
         n = len(_hashes(r[1]))
         if not n:
             continue
         if shard and (words + n > shard_words or n > max(2 * low, 64)):
-            out = answer(shard) if out is None else out.unionByName(answer(shard))
+            yield Index(shard, kind)
             shard, words = [], 0
         low = low if shard else n
         shard.append((r[0], r[1]))
         words += n
     if shard:
-        out = answer(shard) if out is None else out.unionByName(answer(shard))
-    return spark.createDataFrame([], kind) if out is None else out
+        yield Index(shard, kind)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+                 min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``doc, item, score, question_overlap, answer_overlap`` of every document and
+    item that it quotes, with the best passage's figures."""
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    kind = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("item", items.schema[item].dataType),
+                         *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
+    out = docs.sparkSession.createDataFrame([], kind)
+    for n, index in enumerate(shards(items, item, item_text, shard_words)):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_query(sent, "doc", "text", min_score, min_overlap), kind)
+        out = out.unionByName(found) if n else found
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+          min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of ``docs`` that quote no item, in one pass over them."""
+    for index in shards(items, item, item_text, shard_words):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(_query(sent, "", text, min_score, min_overlap, drop=True), docs.schema)
+    return docs

@@ -48,6 +48,7 @@ from concordat.session import materialize
 
 SLICE_BYTES = 4_000_000
 SKETCH = 256
+_ALL = (1 << 64) - 1
 
 
 @lru_cache(4)
@@ -71,11 +72,11 @@ def segments(s: np.ndarray, num: int, den: int):
     segment, the shingles of each segment, and each shingle's segment."""
     table = bands(num, den)
     own = np.searchsorted([b[0] for b in table], len(s), side="right") - 1
-    for band in (own, own + 1):
+    for band in (int(own), int(own) + 1):
         low, m, r = table[band]
         if not m or (band > own and len(s) * den // num < low):
             continue
-        h = mix(s ^ U(band + 1) * U(0x9E3779B97F4A7C15))
+        h = mix(s ^ U((band + 1) * 0x9E3779B97F4A7C15 & _ALL))
         seg = ((h >> U(32)) % U(m)).astype(np.int64)
         size = np.bincount(seg, minlength=m)
         low_half = np.bincount(seg, (h & U(0xFFFFFFFF)).astype(np.float64), m).astype(U)
@@ -84,7 +85,7 @@ def segments(s: np.ndarray, num: int, den: int):
 
 
 def key_of(band: int, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return mix(mix(total) + U(band) * U(0xC2B2AE3D27D4EB4F) + seg.astype(U) * U(0x165667B19E3779F9)).view(np.int64)
+    return mix(mix(total) + U(band * 0xC2B2AE3D27D4EB4F & _ALL) + seg.astype(U) * U(0x165667B19E3779F9)).view(np.int64)
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:

@@ -19,6 +19,8 @@ are left alone.
 * Minima of positions replace pairs, so a variant that a third of all lines
   share costs one pre-aggregated row.
 
+Joins are merge joins at every size: their smaller sides grow with the input.
+
 Rows with a null id keep all lines. Rows that share an id are one document: a
 line number that goes, goes in all of them. A null text stays null. Documents
 stay even if no line is left (their text is then empty).
@@ -155,23 +157,23 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.binary())).drop_columns(["text"])
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+def near_lines(lines: DataFrame, first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """``doc, line``: first places of the lines that are near an earlier one.
-    ``lines`` has the first place of each distinct line."""
+    ``lines`` has all lines, ``first`` the first place of each distinct one."""
     keys = lines.select("h1", F.explode(F.array(*(F.struct(F.col(c).alias("key"), F.lit(side).alias("side"))
                                                   for c, side in (("p0", 1), ("s0", 2), ("p1", 1), ("s1", 2))))).alias("k")).select("h1", "k.*").where("key is not null")
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
-    open_lines = keys.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or("side").alias("sides"))
-    wanted = (lines.select("h1", "doc", "line").join(open_lines, "h1").groupBy("doc")
+    open_lines = keys.join(shared.hint("merge"), "key", "left_semi").groupBy("h1").agg(F.bit_or("side").alias("sides"))
+    wanted = (first.select("h1", "place.*").join(open_lines.hint("merge"), "h1").groupBy("doc")
               .agg(F.collect_set(F.struct("line", "sides")).alias("wanted")))
     kind = docs.schema["doc"].dataType
     packed = docs.where("doc is not null and text is not null").mapInArrow(_pack, T.StructType([T.StructField("doc", kind), T.StructField("packed", T.BinaryType())]))
-    rows = materialize(packed.join(wanted, "doc").mapInArrow(_variants(min_words), T.StructType(
+    rows = materialize(packed.join(wanted.hint("merge"), "doc").mapInArrow(_variants(min_words), T.StructType(
         [T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("at", T.IntegerType()),
          T.StructField("doc", kind), T.StructField("line", T.IntegerType())])), "variants")
     place = F.struct("doc", "line")
     ranges = rows.groupBy("k1").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("k1")
-    rows = materialize(rows.join(ranges, "k1", "left_semi").select("k1", "k2", "at", place.alias("place")), "equal_variants")
+    rows = materialize(rows.join(ranges.hint("merge"), "k1", "left_semi").select("k1", "k2", "at", place.alias("place")), "equal_variants")
     least = rows.groupBy("k1", "k2", "at").agg(F.min("place").alias("first"))
     same = rows.join(least, ["k1", "k2", "at"]).where("place > first").select("place")
     whole = least.where("at < 0").select("k1", "k2", F.col("first").alias("whole"))
@@ -206,13 +208,12 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
         [T.StructField("doc", kind), T.StructField("line", int_), T.StructField("n", int_)]
         + [T.StructField(c, long) for c in ("h1", "h2", "p0", "s0", "p1", "s1")])), "lines")
     place = F.struct("doc", "line")
-    first = materialize(found.groupBy("h1", "h2", "n").agg(
-        F.min(place).alias("place"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("p0", "s0", "p1", "s1"))), "distinct_lines")
-    near = near_lines(first.select("h1", "place.*", "p0", "s0", "p1", "s1"), rows, min_words).withColumn("near", F.lit(True))
+    first = materialize(found.groupBy("h1", "h2", "n").agg(F.min(place).alias("place"), F.count("*").alias("copies")), "distinct_lines")
+    near = near_lines(found, first, rows, min_words).withColumn("near", F.lit(True))
     marked = (first.select("h1", "h2", "n", "copies", "place", F.col("place.doc").alias("doc"), F.col("place.line").alias("line"))
               .join(near, ["doc", "line"], "left").where("copies > 1 or near")
               .select("h1", "h2", "n", F.col("place").alias("kept"), F.coalesce("near", F.lit(False)).alias("near")))
-    gone = (found.select("h1", "h2", "n", "doc", "line").join(marked, ["h1", "h2", "n"])
+    gone = (found.select("h1", "h2", "n", "doc", "line").join(marked.hint("merge"), ["h1", "h2", "n"])
             .where(F.col("near") | (place != F.col("kept")))
             .groupBy("doc").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc", "_llm_doc"))
     gone = materialize(gone, "gone")
@@ -221,5 +222,5 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     schema = added(docs.schema, **{text: T.StringType(), "n_lines": int_, "n_dropped": int_})
     whole = docs.withColumnRenamed(text, "text").mapInArrow(
         _pack, T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("packed", T.BinaryType())]))
-    return (whole.join(gone, whole[doc] == gone["_llm_doc"], "left").drop("_llm_doc")
+    return (whole.join(gone.hint("merge"), whole[doc] == gone["_llm_doc"], "left").drop("_llm_doc")
             .mapInArrow(_cut(text, schema.names), schema))

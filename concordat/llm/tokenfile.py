@@ -35,6 +35,7 @@ from concordat.llm.arrow import int_lists, slices, spread
 from concordat.session import materialize, scratch_path
 
 SLICE_BYTES = 8_000_000
+COUNT_BYTES = 24_000_000
 BLOCK_IDS = 1 << 20
 #: White space but single blanks and line feeds, and characters whose class may differ between Unicode versions.
 _WHOLE = r"^\s|\s$|\s\s|[\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{10000}-\x{10ffff}]"
@@ -54,44 +55,63 @@ def _tokenizers(json: str, ranks: bytes, pattern: str):
     return whole, words, blank, special
 
 
-def encode_batch(text: pa.Array, tokenizer: tuple[str, bytes, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and how many each has."""
-    whole, words, blank, special = _tokenizers(*tokenizer)
-    text = pc.fill_null(text.cast(pa.string()), "")
-    odd = pc.or_(pc.match_substring_regex(text, _WHOLE), pc.equal(text, ""))
-    for s in special:
-        odd = pc.or_(odd, pc.match_substring(text, s))
-    odd = np.asarray(odd)
-    lists = pc.split_pattern(text.filter(pa.array(~odd)), " ")
-    coded = pc.dictionary_encode(lists.flatten())
-    codes, n = np.array(coded.indices, dtype=np.int64), np.asarray(pc.list_value_length(lists), dtype=np.int64)
-    first = np.cumsum(n) - n
-    known = coded.dictionary.to_pylist()
-    flat = np.array(words.encode_ordinary(" " + " ".join(known)), np.int64) if known else np.zeros(0, np.int64)
-    starts = np.flatnonzero(blank[flat]) if len(flat) else np.zeros(0, np.int64)
-    if len(starts) != len(known):
-        raise RuntimeError("a token crosses a blank")
-    lens = np.diff(np.append(starts, len(flat)))
-    leading, at = np.unique(codes[first], return_inverse=True) if len(first) else (codes[:0], codes[:0])
-    heads = [words.encode_ordinary(known[i]) for i in leading]
-    codes[first] = len(known) + at
-    head_lens = np.array([len(h) for h in heads], np.int64)
-    starts = np.concatenate([starts, len(flat) + np.cumsum(head_lens) - head_lens])
-    lens = np.concatenate([lens, head_lens])
-    flat = np.concatenate([flat, np.array([i for h in heads for i in h], np.int64)])
-    ids = flat[spread(starts[codes], lens[codes])]
-    counts = np.zeros(len(text), np.int64)
-    counts[~odd] = np.add.reduceat(lens[codes], first) if len(first) else 0
-    if odd.any():
-        others = iter(whole.encode_batch(text.filter(pa.array(odd)).to_pylist(), add_special_tokens=False))
+class Coded:
+    """The words of a batch's texts as numbers, each word's ids, and the ids of
+    the texts that are encoded whole."""
+
+    def __init__(self, text: pa.Array, tokenizer: tuple[str, bytes, str]):
+        whole, words, blank, special = _tokenizers(*tokenizer)
+        text = pc.fill_null(text.cast(pa.string()), "")
+        odd = pc.or_(pc.match_substring_regex(text, _WHOLE), pc.equal(text, ""))
+        for s in special:
+            odd = pc.or_(odd, pc.match_substring(text, s))
+        self.odd = np.asarray(odd)
+        lists = pc.split_pattern(text.filter(pa.array(~self.odd)), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        self.codes, n = np.array(coded.indices, dtype=np.int64), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+        self.first = np.cumsum(n) - n
+        known = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), " ")[0].as_py()
+        flat = words.encode_to_numpy(" " + joined, disallowed_special=()).astype(np.int64) if len(known) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(blank[flat]) if len(flat) else np.zeros(0, np.int64)
+        if len(starts) != len(known):
+            raise RuntimeError("a token crosses a blank")
+        lens = np.diff(np.append(starts, len(flat)))
+        leading, at = np.unique(self.codes[self.first], return_inverse=True)
+        heads = [words.encode_ordinary(w) for w in known.take(pa.array(leading)).to_pylist()]
+        self.codes[self.first] = len(known) + at
+        head_lens = np.array([len(h) for h in heads], np.int64)
+        self.starts = np.concatenate([starts, len(flat) + np.cumsum(head_lens) - head_lens])
+        self.lens = np.concatenate([lens, head_lens])
+        self.flat = np.concatenate([flat, np.array([i for h in heads for i in h], np.int64)])
+        self.others = [e.ids for e in whole.encode_batch(text.filter(odd).to_pylist(), add_special_tokens=False)] if self.odd.any() else []
+
+    def counts(self) -> np.ndarray:
+        """How often each id stands in the batch."""
+        times = np.bincount(self.codes, minlength=len(self.lens))
+        total = np.bincount(self.flat, np.repeat(times, self.lens))
+        more = np.bincount(np.array([i for ids in self.others for i in ids], np.int64))
+        size = max(len(total), len(more))
+        return (np.pad(total, (0, size - len(total))) + np.pad(more, (0, size - len(more)))).astype(np.int64)
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        per_word = self.lens[self.codes]
+        ids = self.flat[spread(self.starts[self.codes], per_word)]
+        counts = np.zeros(len(self.odd), np.int64)
+        counts[~self.odd] = np.add.reduceat(per_word, self.first) if len(self.first) else 0
+        if not self.odd.any():
+            return ids, counts
         ends, pieces, k = np.cumsum(counts), [], 0
-        for i in np.flatnonzero(odd):
-            got = next(others).ids
+        for i, got in zip(np.flatnonzero(self.odd), self.others, strict=True):
             pieces += [ids[k:ends[i]], np.array(got, np.int64)]
             k = ends[i]
             counts[i] = len(got)
-        ids = np.concatenate([*pieces, ids[k:]])
-    return ids, counts
+        return np.concatenate([*pieces, ids[k:]]), counts
+
+
+def encode_batch(text: pa.Array, tokenizer: tuple[str, bytes, str]) -> tuple[np.ndarray, np.ndarray]:
+    return Coded(text, tokenizer).ids()
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +152,10 @@ def _counts(tokenizer: tuple[str, bytes, str], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for part in slices(iter([batch]), "text", SLICE_BYTES):
-                got = np.bincount(with_end(*encode_batch(part.column("text"), tokenizer), end_id)[0])
+            for part in slices(iter([batch]), "text", COUNT_BYTES):
+                got = Coded(part.column("text"), tokenizer).counts()
+                got = np.pad(got, (0, max(0, end_id + 1 - len(got))))
+                got[end_id] += part.num_rows
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[:len(got)] += got
         seen = np.flatnonzero(total)

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ BAD_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising ads
 GOOD_NAMES = frozenset("article articles content contents entry main post story text body prose maintext".split())
 HEAD_TAGS = frozenset(["header"])
 
+#: Elements below this depth are read as text and blocks of the last one above;
+#: longer paths go on from a hash of their beginning.
+DEEPEST, LONG_PATH = 512, 2000
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -73,13 +78,15 @@ class Page:
             label += "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
         self.parent.append(above)
         self.tag.append(tag)
-        self.path.append(f"{self.path[above]}>{label}")
+        base = self.path[above]
+        self.path.append(f"{base if len(base) < LONG_PATH else '~' + xxhash.xxh3_64_hexdigest(base)}>{label}")
         self.bad.append(bad and tag not in ("html", "body"))
         self.good.append(tag in ("article", "main") or bool(GOOD_NAMES & set(names)))
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
         stack, pieces, linked, links, at = [0], [], 0, 0, 0
+        flat: dict[str, int] = defaultdict(int)  # open elements too deep to stand on the stack
 
         def text(piece: str) -> None:
             nonlocal linked
@@ -113,6 +120,11 @@ class Page:
                 continue
             tag, closing = name.lower(), bool(m[1] or m[4])
             if closing:
+                if flat[tag]:
+                    flat[tag] -= 1
+                    if tag in BLOCKS:
+                        flush()
+                    continue
                 here = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag), 0)
                 if here:
                     if any(self.tag[e] in BLOCKS or self.bad[e] for e in stack[here:]):
@@ -141,6 +153,9 @@ class Page:
                             break
                         if self.tag[stack[i]] in walls:
                             break
+            if len(stack) > DEEPEST:
+                flat[tag] += 1
+                continue
             e = self._open(stack[-1], tag, m[3] or m[6] or "")
             if self.bad[e]:
                 flush()

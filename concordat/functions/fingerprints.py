@@ -30,19 +30,35 @@ def range_fp(content: Column, offset: Column | int, length: Column | int) -> Col
 
 
 def value_text(value: Column, dtype: T.DataType) -> Column:
-    """Canonical text of a value: fixed decimals for floats, explicit
-    timestamp format. The same text on every engine."""
+    """Canonical text of a value: floats by a text that reads back as the same
+    number (negative zero is zero), instants as microseconds, whatever the
+    session's time zone, maps in order of their keys."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return value.cast("decimal(38,6)").cast("string")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.when(value == 0, F.lit("0.0")).otherwise(value.cast("string"))
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(dtype, T.TimestampNTZType):
         return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, T.BinaryType):
         return F.lower(F.hex(value))
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(value)
+    if isinstance(dtype, T.StructType):
+        fields = [F.coalesce(_escaped(value_text(value[f.name], f.dataType)), F.lit(NULL_MARK)) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    if isinstance(dtype, T.ArrayType):
+        items = F.transform(value, lambda x: F.coalesce(_escaped(value_text(x, dtype.elementType)), F.lit(NULL_MARK)))
+        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    if isinstance(dtype, T.MapType):
+        pair = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
+        entries = F.transform(F.map_entries(value), lambda e: value_text(e, pair))
+        return F.concat(F.lit("<"), F.array_join(F.array_sort(F.transform(entries, _escaped)), ","), F.lit(">"))
     return value.cast("string")
 
 
+def _escaped(text: Column) -> Column:
+    """Commas and escape characters inside a part of a nested value."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\c"))
+
+
 def row_fp(df: DataFrame, cols: Sequence[str], texts: Mapping[str, Column] | None = None) -> Column:
     """MD5 over value columns. Nulls are marked and the separator is escaped,
     so different rows never build the same text."""

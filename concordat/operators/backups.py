@@ -7,23 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat import schemas as S
 from concordat.config import BackupConfig
 from concordat.functions import paths as P
 from concordat.operators.listings import backup_filter
-from concordat.operators.propagate import source_status
+from concordat.operators.propagate import only_props
 from concordat.operators.reconcile import key_text
 
-# Fixed value: conflict copies are numbered below this.
-MAX_COPIES = 100
-
 
 def stash_preimages(target: DataFrame, done: DataFrame, keys: Sequence[str], direction: str,
                     taken_at: Column, sync_id: str = "",
                     cfg: BackupConfig = BackupConfig()) -> DataFrame:
-    """Old rows of the files a direction is about to overwrite or delete."""
+    """Old rows of the files a direction is about to overwrite or delete, also
+    where it is forced or preferred."""
     hit = done.where((F.col("direction") == direction) & (F.col("outcome") == "success")
-                     & source_status().isin(S.MODIFIED, S.DELETED)).select(*keys)
+                     & ~only_props()).select(*keys)
     rows = target.join(hit, list(keys), "left_semi")
     if "kind" in target.columns:
         rows = rows.where(F.col("kind") == "file")
@@ -65,17 +62,19 @@ def _stem_and_extension(name: Column) -> tuple[Column, Column]:
 
 def conflict_copies(conflicts: DataFrame, existing: DataFrame, day: Column) -> DataFrame:
     """Name for a copy of each conflicting file: ``base (conflict on
-    YYYY-MM-DD)[.n].ext`` with the first number below 100 that is free in its
-    directory; null when none is."""
+    YYYY-MM-DD)[.n].ext`` with the first number that is free in its directory.
+
+    The taken numbers of a name, sorted, equal their places up to the first gap,
+    so the gap is a count and no numbers are gathered."""
     stem, ext = _stem_and_extension(P.name(F.col("path")))
     base = F.concat(stem, F.lit(" (conflict on "), F.date_format(day, "yyyy-MM-dd"), F.lit(")"))
     wanted = conflicts.select("path", P.parent(F.col("path")).alias("dir"),
                               base.alias("_base"), ext.alias("_ext"))
     name = P.name(F.col("path"))
     taken_stem, taken_ext = _stem_and_extension(name)
-    label = r"\A([\s\S]* \(conflict on \d{4}-\d{2}-\d{2}\))(?:\.(\d{1,2}))?\z"
+    label = r"\A([\s\S]* \(conflict on \d{4}-\d{2}-\d{2}\))(?:\.(\d+))?\z"
     # Without an extension the number itself looks like one: "x (conflict …).3".
-    numbered = taken_ext.rlike(r"\A\.\d{1,2}\z")
+    numbered = taken_ext.rlike(r"\A\.\d+\z")
     whole = F.explode(F.array_compact(F.array(
         F.struct(taken_stem.alias("s"), taken_ext.alias("e")),
         F.when(numbered, F.struct(name.alias("s"), F.lit("").alias("e"))))))
@@ -84,15 +83,16 @@ def conflict_copies(conflicts: DataFrame, existing: DataFrame, day: Column) -> D
              .where(F.col("t.s").rlike(label))
              .select("dir", F.regexp_extract("t.s", label, 1).alias("_base"),
                      F.col("t.e").alias("_ext"),
-                     F.coalesce(F.nullif(F.regexp_extract("t.s", label, 2), F.lit("")).cast("int"),
-                                F.lit(0)).alias("n"))
-             .groupBy("dir", "_base", "_ext").agg(F.collect_set("n").alias("_taken")))
-    j = wanted.join(taken, ["dir", "_base", "_ext"], "left")
-    used = F.coalesce(F.col("_taken"), F.array().cast("array<int>"))
-    free = F.get(F.array_except(F.sequence(F.lit(0), F.lit(MAX_COPIES - 1)), used), F.lit(0))
+                     F.coalesce(F.nullif(F.regexp_extract("t.s", label, 2), F.lit("")).try_cast("long"),
+                                F.lit(0)).alias("n")).distinct())
+    place = F.row_number().over(Window.partitionBy("dir", "_base", "_ext").orderBy("n")) - 1
+    gaps = (taken.withColumn("_place", place).where(F.col("n") == F.col("_place"))
+            .groupBy("dir", "_base", "_ext").agg(F.count(F.lit(1)).alias("_free")))
+    j = wanted.join(gaps, ["dir", "_base", "_ext"], "left")
+    free = F.coalesce("_free", F.lit(0))
     number = F.when(free > 0, F.concat(F.lit("."), free.cast("string"))).otherwise("")
     copy = P.join_path(F.col("dir"), F.concat("_base", number, "_ext"))
-    return j.select("path", F.when(free.isNotNull(), copy).alias("copy"))
+    return j.select("path", copy.alias("copy"))
 
 
 def latest_backup(backups: DataFrame) -> DataFrame:

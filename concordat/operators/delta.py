@@ -114,7 +114,8 @@ def delta_tokens(matches: DataFrame, key: str = "path") -> DataFrame:
 def apply_delta(old: DataFrame, tokens: DataFrame, key: str = "path",
                 content: str = "content") -> DataFrame:
     """Rebuild the new values. Tokens are gathered per value first, so the old
-    content is joined once per value and not once per token."""
+    content is joined once per value and not once per token. The pieces are
+    joined byte by byte: the casts change the type, not the bytes."""
     per_value = (tokens.groupBy(key)
                  .agg(F.sort_array(F.collect_list(
                      F.struct("seq", "block_index", "block_count", "literal"))).alias("t")))
@@ -123,7 +124,7 @@ def apply_delta(old: DataFrame, tokens: DataFrame, key: str = "path",
         F.col("_old"), t["block_index"] * size + 1, t["block_count"] * size))
     rebuilt = _bind(
         B.block_size(F.coalesce(F.octet_length("_old"), F.lit(0))),
-        lambda size: F.unhex(F.array_join(F.transform("t", lambda t: F.hex(piece(t, size))), "")))
+        lambda size: F.array_join(F.transform("t", lambda t: piece(t, size).cast("string")), "").cast("binary"))
     return j.select(key, rebuilt.alias("content"))
 
 

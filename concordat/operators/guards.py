@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
-from concordat.operators.propagate import source_status
+from concordat.operators.propagate import source_missing, target_there
 
 
 class Refused(RuntimeError):
@@ -21,9 +21,8 @@ def guard_empty_side(side: DataFrame, base: DataFrame, label: str) -> None:
 
 
 def deletions(plan: DataFrame) -> DataFrame:
-    """Rows each direction would delete."""
-    gone = source_status() == S.DELETED
-    return (plan.where(gone).groupBy("direction").agg(F.count(F.lit(1)).alias("n_deleted")))
+    """Rows each direction would delete, forced ones included."""
+    return (plan.where(source_missing() & target_there()).groupBy("direction").agg(F.count(F.lit(1)).alias("n_deleted")))
 
 
 def guard_big_deletes(plan: DataFrame, left: DataFrame, right: DataFrame,

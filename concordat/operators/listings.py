@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from concordat.functions import paths as P
 from concordat.functions import patterns as M
-from concordat.operators.ordered import salted_join
 from concordat.session import materialize
 
 # Fixed value: longest chain of links that is followed.
@@ -64,7 +63,7 @@ def atomic_groups(plan: DataFrame, patterns: Sequence[str], col: str = "path") -
     bad = (grouped.where(F.col("_group").isNotNull() & F.col("direction").isin("conflict", "problem"))
            .select("_group").distinct().withColumn("_bad", F.lit(True)))
     inside = grouped.where(F.col("_group").isNotNull())
-    joined = salted_join(inside, bad, ["_group"], "left")
+    joined = inside.join(bad, "_group", "left")
     hit = F.col("_bad") & ~F.col("direction").isin("conflict", "problem", "equal")
     marked = (joined.withColumn("reason", F.when(hit, "conflict inside atomic directory")
                                 .otherwise(F.col("reason")))
@@ -99,8 +98,8 @@ def follow_links(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     Chains are shortened by doubling: after k joins of the link table with
     itself every link has advanced 2**k hops, so seven joins cover the limit
     of 100 instead of one join per hop. Each round is written out, which keeps
-    the plan of the next one flat. A link on or into a cycle, or beyond the
-    limit, stays a link; a chain that ends nowhere drops out.
+    the plan of the next one flat. A link that can't be resolved stays a
+    link: on or into a cycle, beyond the limit, out of the listing, or to nothing.
     """
     links = materialize(link_targets(df), "links")
     chain = links.withColumns({"hops": F.lit(1), "open": F.lit(True)})
@@ -108,7 +107,7 @@ def follow_links(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
         ahead = chain.select(F.col("path").alias("next"), F.col("next").alias("_next"),
                              F.col("hops").alias("_hops"), F.lit(True).alias("_is_link"))
         moving = F.coalesce(F.col("_is_link"), F.lit(False))
-        chain = materialize(salted_join(chain, ahead, ["next"], "left").select(
+        chain = materialize(chain.join(ahead, "next", "left").select(
             "path",
             F.when(moving, F.col("_next")).otherwise(F.col("next")).alias("next"),
             (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
@@ -121,5 +120,5 @@ def follow_links(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     ends = ends.join(still_links, "next", "left_anti").select("path", "next")
     others = [c for c in df.columns if c != "path"]
     targets = df.where(F.col("kind") != "symlink").select(F.col("path").alias("next"), *others)
-    followed = salted_join(ends, targets, ["next"], "inner").select(*df.columns)
-    return df.join(ends.select("path"), "path", "left_anti").unionByName(followed)
+    followed = materialize(ends.join(targets, "next").select(*df.columns), "followed")
+    return df.join(followed.select("path"), "path", "left_anti").unionByName(followed)

@@ -7,26 +7,24 @@ from pyspark.sql import functions as F
 
 from concordat import schemas as S
 from concordat.functions import paths as P
-from concordat.operators.ordered import GROUP_ROWS, rank_in_groups, salted_join
+from concordat.operators.ordered import rank_in_groups
 from concordat.session import materialize
 
 
-def _candidates(plan: DataFrame, status: str, fp: str, path: str) -> DataFrame:
-    """(side, fp, path) of files with a status; the fingerprint of a deleted
-    file is the one the base remembers."""
-    kind = "prev_kind" if status == S.DELETED else "kind"
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(side).alias("side"), F.col(f"{side}.status").alias("status"),
-                 F.col(f"{side}.{kind}").alias("kind"), F.col(f"{side}.{fp}").alias("fp"))
-        for side in ("left", "right")])).alias("s")
-    return (plan.select("path", rows)
-            .where((F.col("s.status") == status) & (F.col("s.kind") == "file")
-                   & F.col("s.fp").isNotNull())
-            .select(F.col("s.side").alias("side"), F.col("s.fp").alias("fp"),
-                    F.col("path").alias(path)))
+def _candidates(plan: DataFrame) -> DataFrame:
+    """(side, fp, path, gone) of deleted and created files; the fingerprint of a
+    deleted file is the one the base remembers."""
+    ends = []
+    for side in ("left", "right"):
+        for status, kind, fp in ((S.DELETED, "prev_kind", "prev_fp"), (S.CREATED, "kind", "fp")):
+            fits = (F.col(f"{side}.status") == status) & (F.col(f"{side}.{kind}") == "file")
+            ends.append(F.when(fits, F.struct(F.lit(side).alias("side"), F.col(f"{side}.{fp}").alias("fp"),
+                                              F.lit(status == S.DELETED).alias("gone"))))
+    return (plan.select("path", F.explode(F.array_compact(F.array(*ends))).alias("s"))
+            .where(F.col("s.fp").isNotNull()).select("path", "s.*"))
 
 
-def detect_moves(plan: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def detect_moves(plan: DataFrame) -> DataFrame:
     """Pair deleted and created files of one side with equal content, one to
     one, in path order.
 
@@ -35,15 +33,13 @@ def detect_moves(plan: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     ones, say). Fingerprints present on one set only never reach the
     numbering.
     """
-    gone = materialize(_candidates(plan, S.DELETED, "prev_fp", "old_path"), "gone")
-    new = materialize(_candidates(plan, S.CREATED, "fp", "new_path"), "new")
-    gone_fps = gone.select("side", "fp").distinct()
-    new_fps = new.select("side", "fp").distinct()
-    gone = gone.join(new_fps, ["side", "fp"], "left_semi")
-    new = new.join(gone_fps, ["side", "fp"], "left_semi")
-    order = lambda c: [P.path_order(F.col(c))]
-    gone = rank_in_groups(gone, ["side", "fp"], order("old_path"), "rank", group_rows)
-    new = rank_in_groups(new, ["side", "fp"], order("new_path"), "rank", group_rows)
+    both = materialize(_candidates(plan), "moved")
+    paired = (both.groupBy("side", "fp").agg(F.bool_or("gone").alias("g"), F.bool_or(~F.col("gone")).alias("n"))
+              .where("g and n").select("side", "fp"))
+    both = both.join(paired, ["side", "fp"], "left_semi")
+    ranked = rank_in_groups(both, ["side", "fp", "gone"], [P.path_order(F.col("path"))], "rank")
+    gone = ranked.where("gone").select("side", "fp", "rank", F.col("path").alias("old_path"))
+    new = ranked.where("not gone").select("side", "fp", "rank", F.col("path").alias("new_path"))
     return gone.join(new, ["side", "fp", "rank"]).select("side", "old_path", "new_path", "fp")
 
 
@@ -93,6 +89,5 @@ def same_file_guess(listing: DataFrame) -> DataFrame:
     known = listing.where(F.col("length").isNotNull() & F.col("mtime").isNotNull()).select("path", *cls)
     groups = (known.groupBy(*cls).agg(F.min("path").alias("path1"), F.count(F.lit(1)).alias("n_class"))
               .where(F.col("n_class") > 1))
-    hot = groups.where(F.col("n_class") > GROUP_ROWS)
-    return (salted_join(known, groups, cls, "inner", hot=hot).where(F.col("path") != F.col("path1"))
+    return (known.join(groups, cls).where(F.col("path") != F.col("path1"))
             .select("path1", F.col("path").alias("path2"), "n_class"))

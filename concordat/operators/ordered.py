@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from concordat.session import materialize
 
-#: A group up to this many rows is handled by one ordinary window task.
-GROUP_ROWS = 1_000_000
-
 _PIECE, _ROW = "_piece", "_row"
 
 
@@ -45,24 +42,15 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
             .drop(_PIECE, _ROW, "_start"))
 
 
-def _has_large_group(df: DataFrame, group: Sequence[str], limit: int) -> bool:
-    return not df.groupBy(*group).count().where(F.col("count") > limit).isEmpty()
-
-
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                   sums: Mapping[str, Column], group_rows: int = GROUP_ROWS,
-                   partitions: int | None = None) -> DataFrame:
+                   sums: Mapping[str, Column], partitions: int | None = None) -> DataFrame:
     """Running sums (inclusive) inside each group in the given total order.
 
-    When no group exceeds ``group_rows`` this is one window. Otherwise groups
-    are cut into the sorted pieces; a piece continues at most one group, so
-    the carry table has at most one row per task and is broadcast.
+    Groups of every size are cut into the sorted pieces; a piece continues at
+    most one group, so the carry table has at most one row per task and is
+    broadcast.
     """
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    if not _has_large_group(df, group, group_rows):
-        w = upto(Window.partitionBy(*group).orderBy(*order))
-        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-
     steps = {f"_step_{n}": c for n, c in sums.items()}
     keyed = df.withColumns(steps)
     pieces = _sorted_pieces(keyed, [*[F.col(g) for g in group], *order], partitions)
@@ -86,30 +74,6 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                   name: str = "rank", group_rows: int = GROUP_ROWS,
-                   partitions: int | None = None) -> DataFrame:
+                   name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Row number inside each group, for groups of any size."""
-    return running_totals(df, group, order, {name: F.lit(1).cast("long")}, group_rows, partitions)
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                hot_rows: int = GROUP_ROWS, salts: int = 256,
-                hot: DataFrame | None = None) -> DataFrame:
-    """Join a table with frequent keys to one with unique keys.
-
-    Keys with more than ``hot_rows`` rows on the left are spread over
-    ``salts`` tasks and repeated that often on the right. There are at most
-    total/hot_rows of them, which bounds the broadcast list. A caller that has
-    counted already passes the frequent keys as ``hot``.
-    """
-    on = list(on)
-    if hot is None:
-        hot = left.groupBy(*on).count().where(F.col("count") > hot_rows)
-    hot = hot.select(*on, F.lit(True).alias("_hot"))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    l2 = (left.join(F.broadcast(hot), on, "left")
-          .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r2 = (right.join(F.broadcast(hot), on, "left")
-          .withColumn("_salt", F.explode(copies)).drop("_hot"))
-    return l2.join(r2, [*on, "_salt"], how).drop("_salt")
+    return running_totals(df, group, order, {name: F.lit(1).cast("long")}, partitions)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from concordat import schemas as S
 from concordat.config import ApplyConfig
 from concordat.functions import paths as P
-from concordat.operators.ordered import salted_join
 from concordat.operators.reconcile import side_bytes, status
 from concordat.operators.views import plan_order
 
@@ -21,6 +20,30 @@ def source_status() -> Column:
             .when(F.col("direction") == S.R2L, status("right")))
 
 
+def source_missing() -> Column:
+    """The side a row is copied from has no entry now, so the other loses its own."""
+    def missing(source: str, target: str) -> Column:
+        return F.coalesce(F.col(f"{source}.kind") == "absent",
+                          F.col(source).isNull() & (status(target) == S.CREATED))
+    return (F.when(F.col("direction") == S.L2R, missing("left", "right"))
+            .when(F.col("direction") == S.R2L, missing("right", "left")).otherwise(False))
+
+
+def target_there() -> Column:
+    """The side a row is copied to has an entry now."""
+    def there(source: str, target: str) -> Column:
+        return F.coalesce(F.col(f"{target}.kind") != "absent", status(source) != S.CREATED)
+    return (F.when(F.col("direction") == S.L2R, there("left", "right"))
+            .when(F.col("direction") == S.R2L, there("right", "left")).otherwise(False))
+
+
+def only_props() -> Column:
+    """A source changed in its properties alone and the target not at all."""
+    alone = lambda source, target: (status(source) == S.PROPS_CHANGED) & F.col(target).isNull()
+    return (F.when(F.col("direction") == S.L2R, alone("left", "right"))
+            .when(F.col("direction") == S.R2L, alone("right", "left")).otherwise(False))
+
+
 def source_bytes() -> Column:
     return (F.when(F.col("direction") == S.L2R, side_bytes("left"))
             .when(F.col("direction") == S.R2L, side_bytes("right"))
@@ -104,14 +127,14 @@ def delete_rows(target: DataFrame, gone: DataFrame, keys: Sequence[str],
     """Remove keys; with ``subtree`` also everything below a removed path.
 
     Every row looks for a removed ancestor. A directory that holds a third of
-    all rows is a frequent join key, so that join is salted.
+    all rows is a frequent join key; adaptive execution splits it.
     """
     if not subtree:
         return target.join(gone.select(*keys), list(keys), "left_anti")
     (key,) = keys
     above = target.select(key, F.explode(P.ancestors(F.col(key))).alias("_above"))
     roots = gone.select(F.col(key).alias("_above")).distinct().withColumn("_gone", F.lit(True))
-    below = salted_join(above, roots, ["_above"], "inner").select(key).distinct()
+    below = above.join(roots, "_above").select(key).distinct()
     return target.join(below, key, "left_anti")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
-from concordat.config import LEFT, PlanConfig
+from concordat.config import LEFT, PlanConfig, UpdateConfig
 from concordat.functions import paths as P
 from concordat.functions import patterns as M
 from concordat.functions import props as PR
@@ -18,6 +18,9 @@ SIDE_FIELDS = ["status", "kind", "prev_kind", "fp", "fp2", "prev_fp", "contents_
                "props_changed", "props", "prev_props", "target", "error"]
 
 
+DELETED_AGAINST_MODIFIED = "deleted on one side, modified on other"
+
+
 def key_text(keys: Sequence[str]) -> Column:
     """Keys as one path-like text, which patterns are matched against."""
     return F.col(keys[0]).cast("string") if len(keys) == 1 else F.concat_ws(
@@ -36,10 +39,11 @@ def status(side: str) -> Column:
     return F.coalesce(F.col(f"{side}.status"), F.lit(S.UNCHANGED))
 
 
-def content_equal() -> Column:
-    """Both sides hold the same thing now."""
+def content_equal(update: UpdateConfig = UpdateConfig()) -> Column:
+    """Both sides hold the same thing now, under the options of the comparison
+    with the base."""
     l, r = F.col("left"), F.col("right")
-    similar = PR.props_similar(l["props"], r["props"])
+    similar = _alike(l, r, update)
     same_data = (~l["contents_changed"] & ~r["contents_changed"]) | (
         l["contents_changed"] & r["contents_changed"]
         & l["fp"].eqNullSafe(r["fp"]) & l["fp2"].eqNullSafe(r["fp2"]))
@@ -50,9 +54,13 @@ def content_equal() -> Column:
             .otherwise(similar))
 
 
+def _alike(l: Column, r: Column, update: UpdateConfig) -> Column:
+    return PR.props_similar(l["props"], r["props"], update.fat_tolerance, update.perm_mask, update.compare_times)
+
+
 def conflict_reason() -> Column:
     l, r = F.col("left.kind"), F.col("right.kind")
-    return (F.when((l == "absent") != (r == "absent"), "deleted on one side, modified on other")
+    return (F.when((l == "absent") != (r == "absent"), DELETED_AGAINST_MODIFIED)
             .when((l == "file") & (r == "file"), "file changed on both sides")
             .when((l == "symlink") & (r == "symlink"), "symlink changed on both sides")
             .when(l != r, "type changed on both sides")
@@ -65,17 +73,19 @@ def merge_eligible(path: Column, patterns: Sequence[str]) -> Column:
 
 
 def reconcile(u1: DataFrame, u2: DataFrame, keys: Sequence[str],
-              cfg: PlanConfig = PlanConfig()) -> DataFrame:
+              cfg: PlanConfig = PlanConfig(), update: UpdateConfig = UpdateConfig()) -> DataFrame:
     """One row per key that changed on either side, with direction and reason.
 
-    Keys that changed alike on both sides stay in the plan as ``equal``.
+    Keys that changed alike on both sides stay in the plan as ``equal``. For
+    listings, a directory that one side deleted while the other changed
+    something below it is one conflict with all that lies below.
     """
     paired = pair_updates(u1, u2, keys)
     if not cfg.compare_dir_props:
         paired = _without_dir_noise(paired)
     problem = F.coalesce(F.col("left.error"), F.col("right.error"))
     both_dirs = (F.col("left.kind") == "directory") & (F.col("right.kind") == "directory")
-    dirs_alike = PR.props_similar(F.col("left.props"), F.col("right.props"))
+    dirs_alike = _alike(F.col("left"), F.col("right"), update)
     if not cfg.compare_dir_props:
         dirs_alike = F.lit(True)
     direction = (
@@ -83,17 +93,39 @@ def reconcile(u1: DataFrame, u2: DataFrame, keys: Sequence[str],
         .when(F.col("right").isNull(), S.L2R)
         .when(F.col("left").isNull(), S.R2L)
         .when(both_dirs, F.when(dirs_alike, S.EQUAL).otherwise(S.CONFLICT))
-        .when(content_equal(), S.EQUAL)
+        .when(content_equal(update), S.EQUAL)
         .when(merge_eligible(key_text(keys), cfg.merge), S.MERGE)
         .otherwise(S.CONFLICT))
     reason = F.when(F.col("direction") == S.CONFLICT, F.when(
         both_dirs, "properties changed on both sides").otherwise(conflict_reason()))
-    return (paired.withColumn("direction", direction).withColumn("reason", reason)
-            .withColumn("default_direction", F.col("direction"))
+    decided = paired.withColumn("direction", direction).withColumn("reason", reason)
+    if list(keys) == ["path"]:
+        decided = _deleted_against_changed(decided)
+    return (decided.withColumn("default_direction", F.col("direction"))
             .withColumn("default_reason", F.col("reason"))
             .withColumn("problem", problem))
 
 
+def _deleted_against_changed(decided: DataFrame) -> DataFrame:
+    """Rows in and below a directory that one side deleted become conflicts if
+    the other side changed anything below it. Only the changed rows' ancestors
+    meet the deleted directories, and only planned rows are looked at."""
+    gone = F.array_compact(F.array(*[
+        F.when((F.col(f"{s}.kind") == "absent") & (F.col(f"{s}.prev_kind") == "directory"), F.lit(s)) for s in ("left", "right")]))
+    dead = decided.select("path", F.explode(gone).alias("side"))
+    changed = F.array_compact(F.array(*[
+        F.when(F.col(o).isNotNull() & (F.col(f"{o}.kind") != "absent"), F.lit(s)) for s, o in (("left", "right"), ("right", "left"))]))
+    below = decided.select(F.explode(P.ancestors(P.parent(F.col("path")))).alias("path"), changed.alias("sides")).select(
+        "path", F.explode("sides").alias("side")).distinct()
+    roots = dead.join(below, ["path", "side"], "left_semi").select("path").distinct()
+    inside = (decided.select("path", F.explode(P.ancestors(F.col("path"))).alias("_above"))
+              .join(roots.withColumnRenamed("path", "_above"), "_above", "left_semi").select("path").distinct())
+    hit = F.col("_hit").isNotNull() & ~F.col("direction").isin(S.PROBLEM, S.EQUAL)
+    return (decided.join(inside.withColumn("_hit", F.lit(True)), "path", "left")
+            .withColumn("reason", F.when(hit, F.coalesce("reason", F.lit(DELETED_AGAINST_MODIFIED))).otherwise(F.col("reason")))
+            .withColumn("direction", F.when(hit, S.CONFLICT).otherwise(F.col("direction"))).drop("_hit"))
+
+
 def _without_dir_noise(paired: DataFrame) -> DataFrame:
     """Directory rows whose only change is their properties (a directory's time
     moves whenever a child does) count as unchanged."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.operators.ordered import GROUP_ROWS, running_totals, salted_join
+from concordat.operators.ordered import running_totals
 from concordat.session import materialize
 
 # Spacing and number of rate samples.
@@ -24,16 +24,15 @@ def progress(done_bytes: Column, total_bytes: Column, done_items: Column, total_
     return F.when(total_bytes == 0, by_items).otherwise(done_bytes / total_bytes)
 
 
-def with_totals(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def with_totals(log: DataFrame) -> DataFrame:
     """Log rows with running and total bytes and items of their run."""
     order = [F.col("ts"), F.col("seq")]
     done = running_totals(log, ["run_id"], order, {
-        "done_bytes": F.col("bytes"), "done_items": F.col("item_done").cast("long")}, group_rows)
+        "done_bytes": F.col("bytes"), "done_items": F.col("item_done").cast("long")})
     totals = log.groupBy("run_id").agg(
         F.sum("bytes").alias("total_bytes"), F.sum(F.col("item_done").cast("long")).alias("total_items"),
-        F.min("ts").alias("started"), F.count(F.lit(1)).alias("_rows"))
-    hot = totals.where(F.col("_rows") > group_rows)
-    return salted_join(done, totals.drop("_rows"), ["run_id"], "inner", hot=hot)
+        F.min("ts").alias("started"))
+    return done.join(totals, "run_id")  # adaptive execution splits a run with very many rows
 
 
 def eta_seconds(rate: Column, done_bytes: Column, total_bytes: Column) -> Column:
@@ -168,25 +167,25 @@ def sample_times(log: DataFrame) -> DataFrame:
     return alone.unionByName(placed)
 
 
-def rolling_rate(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def rolling_rate(log: DataFrame) -> DataFrame:
     """Log rows with totals, the number of samples so far and the rate in
     bytes per second: between the first and last of the latest 20 samples, or
     total over elapsed time while there are fewer than two."""
-    totals = materialize(with_totals(log, group_rows).withColumn("ms", F.unix_millis("ts")), "totals")
+    totals = materialize(with_totals(log).withColumn("ms", F.unix_millis("ts")), "totals")
     firsts = totals.groupBy("run_id", "ms").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
     taken = sample_times(log).join(firsts, ["run_id", "ms"]).select(
         "run_id", "seq", F.lit(1).cast("long").alias("_taken"))
     flagged = (totals.join(taken, ["run_id", "seq"], "left")
                .withColumn("_taken", F.coalesce("_taken", F.lit(0).cast("long"))))
     counted = materialize(running_totals(flagged, ["run_id"], [F.col("ts"), F.col("seq")],
-                                         {"n_samples": F.col("_taken")}, group_rows), "counted")
+                                         {"n_samples": F.col("_taken")}), "counted")
     samples = counted.where(F.col("_taken") == 1).select(
         "run_id", "n_samples", F.col("ms").alias("s_ms"), F.col("done_bytes").alias("s_bytes"))
     oldest = samples.select("run_id", F.col("n_samples").alias("_k"), F.col("s_ms").alias("o_ms"),
                             F.col("s_bytes").alias("o_bytes"))
     window = (samples.withColumn("_k", F.greatest(F.col("n_samples") - (MAX_SAMPLES - 1), F.lit(1)))
               .join(oldest, ["run_id", "_k"]).drop("_k"))
-    j = salted_join(counted, window, ["run_id", "n_samples"], "left", group_rows)
+    j = counted.join(window, ["run_id", "n_samples"], "left")
     dt = (F.col("s_ms") - F.col("o_ms")) / 1000
     elapsed = (F.col("ms") - F.unix_millis("started")) / 1000
     plain = F.when(elapsed > 0, F.col("done_bytes") / elapsed).otherwise(F.lit(0.0))

@@ -101,6 +101,21 @@ def detect_updates(current: DataFrame, base: DataFrame, keys: Sequence[str],
     return classify(current, base, keys, cfg).where(F.col("status") != S.UNCHANGED)
 
 
+def shield_unread(found: DataFrame, current: DataFrame) -> DataFrame:
+    """What the base has below a directory that could not be read counts as not
+    read, never as deleted."""
+    if "path" not in current.columns or "error" not in current.columns:
+        return found
+    unread = current.where(F.col("error").isNotNull() & (F.col("kind") != "file")).select(F.col("path").alias("_above"))
+    gone = found.where(F.col("status") == S.DELETED)
+    below = (gone.select("path", F.explode(P.ancestors(P.parent(F.col("path")))).alias("_above"))
+             .join(unread, "_above").groupBy("path").agg(F.min("_above").alias("_above")))
+    hit = F.col("_above").isNotNull() & (F.col("status") == S.DELETED)
+    return (found.join(below, "path", "left")
+            .withColumn("error", F.when(hit, F.concat(F.lit("cannot read directory "), "_above")).otherwise(F.col("error")))
+            .withColumn("status", F.when(hit, S.ERROR).otherwise(F.col("status"))).drop("_above"))
+
+
 def created_keys(current: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     return current.join(base.select(*keys), list(keys), "left_anti")
 

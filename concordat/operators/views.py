@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
@@ -47,9 +47,14 @@ def rank_plan(plan: DataFrame, keys: Sequence[str], mode: str = "default") -> Da
 def plan_page(plan: DataFrame, keys: Sequence[str], center: int, size: int = 15,
               mode: str = "default") -> DataFrame:
     """Window of rows around a position, for review."""
-    ranked = plan if "position" in plan.columns else rank_plan(plan, keys, mode)
     start = max(center - size // 2, 1)
-    return ranked.where(F.col("position").between(start, start + size - 1))
+    if "position" in plan.columns:
+        return plan.where(F.col("position").between(start, start + size - 1))
+    # The first rows in plan order by a top-k, then the last ones of these.
+    upto = sort_plan(plan, keys, mode).limit(start + size - 1)
+    order = plan_order(keys, mode)
+    numbered = upto.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return numbered.where(F.col("position") >= start).withColumn("position", F.col("position").cast("long"))
 
 
 # -- trees as (path, value) rows ---------------------------------------------
@@ -81,15 +86,15 @@ def map_tree(rows: DataFrame, label: Column | None = None, value: Column | None
     return out
 
 
-def nest_children(rows: DataFrame, page: int = 10_000, group_rows: int = 1_000_000) -> DataFrame:
+def nest_children(rows: DataFrame, page: int) -> DataFrame:
     """Directory rows with sorted arrays of their children.
 
-    A directory with more than ``page`` children yields several rows numbered
-    by ``part``; no array grows beyond a page, however large the directory.
+    The caller says how many children stand in one row; further ones follow in
+    rows numbered by ``part``.
     """
     kids = rows.where(F.col("path") != "").select(
         P.parent(F.col("path")).alias("dir"), P.name(F.col("path")).alias("name"))
-    ranked = rank_in_groups(kids, ["dir"], [F.col("name")], "rank", group_rows)
+    ranked = rank_in_groups(kids, ["dir"], [F.col("name")], "rank")
     part = F.floor((F.col("rank") - 1) / page)
     return (ranked.groupBy("dir", part.alias("part"))
             .agg(F.sort_array(F.collect_list("name")).alias("children")))

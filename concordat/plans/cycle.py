@@ -16,7 +16,7 @@ from concordat.operators import reconcile as R
 from concordat.operators.listings import atomic_groups, follow_links, prune_ignored, select_paths
 from concordat.operators.merge import three_way_merge
 from concordat.operators.snapshots import check_keys
-from concordat.operators.updates import detect_updates
+from concordat.operators.updates import detect_updates, shield_unread
 from concordat.session import materialize
 
 
@@ -46,7 +46,9 @@ def make_plan(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig
         left, right = follow_links(left, cfg.follow), follow_links(right, cfg.follow)
     u1 = detect_updates(left, base, keys, cfg.update)
     u2 = detect_updates(right, base, keys, cfg.update)
-    plan = R.apply_policy(R.reconcile(u1, u2, keys, cfg.plan), keys, cfg.plan)
+    if keys == ["path"]:
+        u1, u2 = shield_unread(u1, left), shield_unread(u2, right)
+    plan = R.apply_policy(R.reconcile(u1, u2, keys, cfg.plan, cfg.update), keys, cfg.plan)
     if not cfg.links:
         plan = plan.where(~_involves_link())
     if cfg.max_size_kb:

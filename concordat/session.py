@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,13 +45,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _local_dirs: dict[str, str] = {}
-_open_scopes: list[list[str]] = []
+#: Open scopes of this thread or task; other streaming queries have their own.
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_open_scopes", default=())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    if _open_scopes.get():
+        _open_scopes.get()[-1].append(path)
     return path
 
 
@@ -59,11 +61,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Remove the intermediate tables made inside the block when it ends, for
     jobs that go on for long. Their results must have been written by then."""
     made: list[str] = []
-    _open_scopes.append(made)
+    before = _open_scopes.set((*_open_scopes.get(), made))
     try:
         yield
     finally:
-        _open_scopes.remove(made)
+        _open_scopes.reset(before)
         for path in made:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +30,14 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | str | N
         df = reader.parquet(path)
         df.isEmpty()
         return df
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):  # missing, or files that can't be read
         return None
 
 
+class LostRace(RuntimeError):
+    """Another writer published at the same time and came first."""
+
+
 _POINTER = "pair string, version string, format_version int, seq long"
 
 
@@ -54,21 +59,36 @@ class VersionedStore:
         pointers = self._pointers()
         if pointers is None:
             return None
-        return pointers.where(F.col("pair") == pair).orderBy(F.col("seq").desc()).first()
+        return pointers.where(F.col("pair") == pair).orderBy(F.col("seq").desc(), "version").first()
 
     def save(self, pair: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        version = uuid.uuid4().hex
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/data/{pair}/{version}")
-        self._point(pair, version)
-
-    def _point(self, pair: str, version: str | None) -> None:
+        self.save_all({pair: df}, partition_by)
+
+    def save_all(self, tables: Mapping[str, DataFrame], partition_by: Sequence[str] = ()) -> None:
+        """Publish several tables with one pointer file: readers see all of them
+        or none."""
+        last = {pair: self._seq(pair) for pair in tables}
+        versions = {pair: uuid.uuid4().hex for pair in tables}
+        for pair, df in tables.items():
+            writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+            writer.parquet(f"{self.root}/data/{pair}/{versions[pair]}")
+        self._point(versions, last)
+
+    def _seq(self, pair: str) -> int:
         last = self._current(pair)
-        row = [(pair, version, S.FORMAT_VERSION, (last["seq"] if last else 0) + 1)]
-        self.spark.createDataFrame(row, _POINTER).coalesce(1).write.mode("append").parquet(
+        return last["seq"] if last else 0
+
+    def _point(self, versions: Mapping[str, str | None], last: Mapping[str, int]) -> None:
+        """Append the pointers after the state that was seen when the save began.
+        Of two savers with the same number the one with the smaller version
+        stands, and the other is told."""
+        rows = [(pair, version, S.FORMAT_VERSION, last[pair] + 1) for pair, version in versions.items()]
+        self.spark.createDataFrame(rows, _POINTER).coalesce(1).write.mode("append").parquet(
             f"{self.root}/pointers")
+        for pair, version in versions.items():
+            now = self._pointers().where((F.col("pair") == pair) & (F.col("seq") == last[pair] + 1)).orderBy("version").first()
+            if now["version"] != version:
+                raise LostRace(f"{pair}: another save came first")
 
     def load(self, pair: str, schema: T.StructType | None = None) -> DataFrame | None:
         """Current version; missing, unreadable or of another format gives an
@@ -88,7 +108,7 @@ class VersionedStore:
     def drop(self, pair: str) -> None:
         """Make the pair unknown; old files stay until storage is cleaned."""
         if self.exists(pair):
-            self._point(pair, None)
+            self._point({pair: None}, {pair: self._seq(pair)})
 
 
 def save_base(spark: SparkSession, root: str, left: str, right: str, df: DataFrame) -> None:
@@ -124,9 +144,8 @@ def write_replicas(left: DataFrame, right: DataFrame, root: str,
                    keys: Sequence[str] = (), buckets: int = 0) -> None:
     """Publish new replicas. With ``buckets`` they are clustered by key, so a
     later cycle reads them in key ranges of even size."""
-    store = VersionedStore(left.sparkSession, root)
-    for name, df in (("left", left), ("right", right)):
-        store.save(name, df.repartition(buckets, *keys) if buckets else df)
+    VersionedStore(left.sparkSession, root).save_all(
+        {name: df.repartition(buckets, *keys) if buckets else df for name, df in (("left", left), ("right", right))})
 
 
 def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:

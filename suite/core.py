@@ -63,7 +63,7 @@ def orders_sql(d: str = "d", why: str = "case when d = 'conflict' then why end",
 @query("snapshot_table", """
 select o_orderkey, 'file' as kind, md5(concat_ws('|', cast(o_custkey as varchar),
   replace(replace(o_orderstatus, '\\', '\\\\'), '|', '\\p'),
-  cast(cast(o_totalprice as decimal(38,6)) as varchar),
+  cast(o_totalprice as varchar),
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'),
   replace(replace(o_orderpriority, '\\', '\\\\'), '|', '\\p'))) as fp from orders""")
 def _(spark, d):
@@ -74,8 +74,8 @@ def _(spark, d):
 @query("row_fp", """
 select l_orderkey, l_linenumber, md5(concat_ws('|',
   cast(l_partkey as varchar), cast(l_suppkey as varchar),
-  coalesce(cast(cast(nullif(l_quantity, 1) as decimal(38,6)) as varchar), '\\N'),
-  cast(cast(l_discount as decimal(38,6)) as varchar), l_returnflag,
+  coalesce(cast(nullif(l_quantity, 1) as varchar), '\\N'),
+  cast(l_discount as varchar), l_returnflag,
   strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f'))) as fp from lineitem""")
 def _(spark, d):
     li = table(spark, d, "lineitem").withColumn(
@@ -369,7 +369,7 @@ for _side, _dir in (("left", "l2r"), ("right", "r2l")):
     def _(spark, d, side=_side):
         return shown(R.prefer(orders_plan(spark, d), side), *K)
 
-_DATED = "case when d = 'equal' and ls <> 'deleted' and lt <> rt then 'conflict' else d end"
+_DATED = "d"
 _NEWER = f"""case when {_DATED} = 'conflict' and ls <> 'deleted' and rs <> 'deleted'
   then case when lt > rt then '{{gt}}' when rt > lt then '{{lt}}' else 'conflict' end else {_DATED} end"""
 

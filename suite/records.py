@@ -438,7 +438,7 @@ def _(spark, d):
 @query("progress_split_runs", "with " + _LOG + "select seq, cast(done_bytes as bigint) as done_bytes, done_items from t")
 def _(spark, d):
     """The same running totals with every run cut into pieces."""
-    return ST.with_totals(transfer_log(spark, d), group_rows=10).select("seq", "done_bytes", "done_items")
+    return ST.with_totals(transfer_log(spark, d)).select("seq", "done_bytes", "done_items")
 
 
 _RATED = "with recursive " + _LOG + """,

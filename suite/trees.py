@@ -211,7 +211,7 @@ c as (select *, root%35 = 0 as cyclic, root + 6 <= last as closed from e),
 f as (select c.*, t.length as tlen from c left join n t on t.n = c.root)
 select 'd/'||n as path, case when is_file then 'file' when not cyclic and n%3 = 0 then 'file' else 'symlink' end as kind,
   case when is_file then length when not cyclic and n%3 = 0 then tlen else length end as length
-from f where not (cyclic and not closed and n%3 = 0)""")
+from f""")
 def _(spark, d):
     return L.follow_links(_linked(spark, d), MULTIPLES_OF_THREE).select("path", "kind", "length")
 
@@ -241,7 +241,7 @@ r as (select *, (row_number() over (partition by dir order by name) - 1) // 40 a
 select dir, part, array_to_string(list(name order by name), ',') as children from r group by 1, 2""")
 def _(spark, d):
     rows = with_directories(listing_of_docs(spark, d))
-    out = V.nest_children(rows, page=40, group_rows=100)
+    out = V.nest_children(rows, page=40)
     return out.withColumn("children", F.array_join("children", ","))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 #: Name patterns that are always left out: our own bookkeeping entries.
@@ -29,7 +29,9 @@ class PlanConfig:
 
     ``force`` is ``left``/``right``; ``prefer`` is ``left``/``right``/``newer``/
     ``older``. The partial overrides are ordered ``(pattern, side)`` pairs,
-    the first match wins. ``merge_rules`` are ``pattern -> strategy`` texts.
+    the first match wins. ``merge_rules`` are ``pattern -> strategy`` texts;
+    the strategy ``newer`` compares the column ``merge_mtime``, and
+    ``merge_strategies`` adds own ones (functions of base, left and right).
     """
 
     force: str | None = None
@@ -40,6 +42,8 @@ class PlanConfig:
     no_creation: bool = False
     merge: Sequence[str] = ()
     merge_rules: Sequence[str] = ()
+    merge_mtime: str | None = None
+    merge_strategies: Mapping[str, Callable] = field(default_factory=dict)
     sort_mode: str = "default"
     force_partial: Sequence[tuple[str, str]] = ()
     prefer_partial: Sequence[tuple[str, str]] = ()
@@ -76,6 +80,7 @@ class JobConfig:
     keeps links out of the plan, ``max_size_kb`` holds back larger transfers.
     ``max_delete_fraction`` and ``guard_empty`` stop a cycle that would empty a
     side (None and False switch them off).
+    With ``backup`` the rows that a cycle overwrites or deletes are returned.
     For replicas that ignore case, add a key column with
     :func:`concordat.functions.paths.with_path_columns` and name it in ``keys``.
     """
@@ -90,6 +95,7 @@ class JobConfig:
     follow: Sequence[str] = ()
     links: bool = True
     max_size_kb: int = 0
+    backup: BackupConfig | None = None
     max_delete_fraction: float | None = 1.0
     guard_empty: bool = True
     check_keys: bool = True

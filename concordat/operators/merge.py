@@ -67,7 +67,8 @@ def three_way_merge(base: DataFrame, left: DataFrame, right: DataFrame, keys: Se
     def side(df: DataFrame, label: str) -> DataFrame:
         if wanted is not None:
             df = df.join(wanted.select(*keys), list(keys), "left_semi")
-        return df.select(*keys, F.struct(*values).alias(label))
+        fields = [*values, *([mtime] if mtime and mtime in df.columns and mtime not in values else [])]
+        return df.select(*keys, F.struct(*fields).alias(label))
 
     j = side(left, "l").join(side(right, "r"), list(keys)).join(side(base, "b"), list(keys), "left")
     chosen = M.first_match(key_text(keys), [(p, F.lit(s)) for p, s in parsed])

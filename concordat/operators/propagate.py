@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from concordat import schemas as S
 from concordat.config import ApplyConfig
+from concordat.functions import fingerprints as FP
 from concordat.functions import paths as P
 from concordat.operators.reconcile import side_bytes, status
 from concordat.operators.views import plan_order
+from concordat.session import materialize
 
 
 def source_status() -> Column:
@@ -151,70 +153,92 @@ def props_only(target: DataFrame, source: DataFrame, keys: Sequence[str],
             .select(*target.columns))
 
 
-def _apply_side(target: DataFrame, source: DataFrame, todo: DataFrame, keys: Sequence[str],
-                direction: str, merged: DataFrame | None, cfg: ApplyConfig) -> DataFrame:
-    keys = list(keys)
-    mine = todo.where(F.col("direction") == direction)
-    props = mine.where(F.col("_src") == S.PROPS_CHANGED).select(*keys)
-    whole = mine.where(F.col("_src") != S.PROPS_CHANGED).select(*keys)
-    kept = target.join(whole, keys, "left_anti")
-    copied = source.join(whole, keys, "left_semi").select(*target.columns)
-    out = kept
-    if "mtime" in target.columns:
-        out = props_only(kept, source.join(props, keys, "left_semi"), keys, cfg)
-        missing = props.join(target.select(*keys), keys, "left_anti")
-        copied = copied.unionByName(source.join(missing, keys, "left_semi").select(*target.columns))
-    else:
-        whole_props = source.join(props, keys, "left_semi").select(*target.columns)
-        out = out.join(props, keys, "left_anti").unionByName(whole_props)
-    out = out.unionByName(copied)
-    return out if merged is None else write_merged(out, merged, keys)
-
-
-def write_merged(target: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put clean merge results into a replica; columns that were not merged
-    keep their value."""
-    names = [c for c in target.columns if c in merged.columns and c not in keys]
-    m = merged.where("clean").select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in names])
-    j = target.join(m, list(keys), "left")
-    return (j.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in names})
-            .select(*target.columns))
-
+def act_rows(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame, done: DataFrame,
+             keys: Sequence[str], merged: DataFrame | None = None) -> DataFrame:
+    """One row per key that the new tables take from elsewhere than their own
+    old row: what to do (``act``), whether only properties go over (``props``),
+    and the current rows of the three tables (structs, null where there is
+    none).
 
-def apply_plan(left: DataFrame, right: DataFrame, done: DataFrame, keys: Sequence[str],
-               merged: DataFrame | None = None,
-               cfg: ApplyConfig = ApplyConfig()) -> tuple[DataFrame, DataFrame]:
-    """New left and right tables from the succeeded rows of a plan.
+    Each big table meets only the planned keys here, in one semi-join; what is
+    put together afterwards has the size of the plan. It is written out, so
+    that the new tables share it and Catalyst knows its size.
+    """
+    keys = list(keys)
+    acts = (done.where((F.col("outcome") == "success") & F.col("direction").isin(S.L2R, S.R2L, S.MERGE))
+            .select(*keys, F.col("direction").alias("act"), (source_status() == S.PROPS_CHANGED).alias("props"))
+            .unionByName(plan.where(F.col("direction") == S.EQUAL).select(
+                *keys, F.lit(S.EQUAL).alias("act"), F.lit(False).alias("props"))))
+    acts = materialize(acts, "acts")
+    out = acts
+    for label, table in (("l", left), ("r", right), ("b", base)):
+        mine = table.join(acts.select(*keys), keys, "left_semi")
+        out = out.join(mine.select(*keys, F.struct(*table.columns).alias(label)), keys, "left")
+    if merged is not None:
+        values = [c for c in merged.columns if c not in (*keys, "strategy", "conflict_columns", "clean")]
+        m = merged.where("clean").select(*keys, F.struct(*values).alias("m"))
+        out = out.join(m, keys, "left")
+    return materialize(out, "act_rows")
+
+
+def _taken(acts: DataFrame, act: str, target: str, source: str, columns: Sequence[str], have: Sequence[str],
+           cfg: ApplyConfig) -> DataFrame:
+    """New rows of the side ``target`` for one direction."""
+    mine = acts.where((F.col("act") == act) & F.col(source).isNotNull())
+    carried = {*(["mtime"] if cfg.times else []), *(["perms"] if cfg.perms else []), "owner", "grp"} & set(have)
+    kept = F.col("props") & F.col(target).isNotNull() & F.lit("mtime" in columns)
+    field = lambda side, c: F.col(f"{side}.{c}")
+    return mine.select(*[
+        F.when(kept, F.coalesce(field(source, c), field(target, c)) if c in carried else field(target, c))
+        .otherwise(field(source, c) if c in have else F.lit(None)).alias(c) for c in columns])
+
+
+def _merged_rows(acts: DataFrame, side: str, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows with their merged values and, where the table has one, the
+    fingerprint of what they hold now."""
+    names = acts.schema["m"].dataType.names if "m" in acts.columns else []
+    rows = acts.where((F.col("act") == S.MERGE) & F.col(side).isNotNull()).select(*[
+        F.col(f"m.{c}").alias(c) if c in names else F.col(f"{side}.{c}").alias(c) for c in columns])
+    if "fp" in columns and names:
+        rows = rows.withColumn("fp", FP.row_fp(rows, [c for c in columns if c not in keys and c not in S.STATE]))
+    return rows
+
+
+def _new_side(table: DataFrame, acts: DataFrame, keys: Sequence[str], act: str, target: str, source: str,
+              other: Sequence[str], cfg: ApplyConfig) -> DataFrame:
+    replaced = acts.where(F.col("act").isin(act, S.MERGE)).select(*keys)
+    out = table.join(replaced, list(keys), "left_anti").unionByName(
+        _taken(acts, act, target, source, table.columns, other, cfg))
+    return out.unionByName(_merged_rows(acts, target, table.columns, keys))
+
+
+def apply_acts(left: DataFrame, right: DataFrame, base: DataFrame, acts: DataFrame, keys: Sequence[str],
+               cfg: ApplyConfig = ApplyConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New left, right and base: one anti-join per table and the rows at hand.
 
     A row takes the *current* row of its source side: none there means the
-    target loses it. The big tables meet only the keys that act, so with a
-    small plan Catalyst broadcasts those keys and shuffles neither table.
+    target loses it. The base takes the state that both sides now share for
+    keys that succeeded or were equal; skipped and failed keys keep their old
+    row, so a conflict is still a conflict next time. A base column that the
+    left table lacks keeps its value.
     """
-    todo = (done.where((F.col("outcome") == "success") & F.col("direction").isin(S.L2R, S.R2L))
-            .select(*keys, "direction", source_status().alias("_src")))
-    ok = None if merged is None else merged.join(
-        done.where((F.col("outcome") == "success") & (F.col("direction") == S.MERGE)).select(*keys),
-        list(keys), "left_semi")
-    new_right = _apply_side(right, left, todo, keys, S.L2R, ok, cfg)
-    new_left = _apply_side(left, right, todo, keys, S.R2L, ok, cfg)
-    return new_left, new_right
-
-
-def next_base(base: DataFrame, new_left: DataFrame, plan: DataFrame, done: DataFrame,
-              keys: Sequence[str]) -> DataFrame:
-    """Agreed state after the cycle: succeeded and equal keys take the state
-    both sides now share; skipped and failed keys keep their old base row, so
-    a conflict is still a conflict next time."""
     keys = list(keys)
-    agreed = (done.where(F.col("outcome") == "success").select(*keys)
-              .unionByName(plan.where(F.col("direction") == S.EQUAL).select(*keys)))
-    fresh = new_left.join(agreed, keys, "left_semi")
-    have = [c for c in base.columns if c in new_left.columns]
-    if "fp" in have:
-        old = base.select(*keys, F.col("fp").alias("_fp"))
-        fresh = (fresh.join(old.join(agreed, keys, "left_semi"), keys, "left")
-                 .withColumn("fp", F.coalesce("fp", "_fp")))
-    return base.select(*have).join(agreed, keys, "left_anti").unionByName(fresh.select(*have))
+    new_left = _new_side(left, acts, keys, S.R2L, "l", "r", right.columns, cfg)
+    new_right = _new_side(right, acts, keys, S.L2R, "r", "l", left.columns, cfg)
+    known = [c for c in base.columns if c in left.columns]
+    fresh = (acts.where((F.col("act").isin(S.L2R, S.EQUAL)) & F.col("l").isNotNull()).select(*keys, F.col("l").alias("now"))
+             .unionByName(_packed(_taken(acts, S.R2L, "l", "r", left.columns, right.columns, cfg), keys))
+             .unionByName(_packed(_merged_rows(acts, "l", left.columns, keys), keys)))
+    fresh = fresh.join(acts.select(*keys, "b"), keys)
+    value = lambda c: (F.coalesce(F.col("now.fp"), F.col("b.fp")) if c == "fp" and c in known
+                       else F.col(f"now.{c}") if c in known else F.col(f"b.{c}"))
+    new_base = base.join(acts.select(*keys), keys, "left_anti").unionByName(
+        fresh.select(*[value(c).alias(c) for c in base.columns]))
+    return new_left, new_right, new_base
+
+
+def _packed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.select(*keys, F.struct(*rows.columns).alias("now"))
 
 
 def replicas_equal(left: DataFrame, right: DataFrame, keys: Sequence[str],

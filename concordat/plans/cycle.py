@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
 from concordat.config import JobConfig
+from concordat.operators import backups as B
 from concordat.operators import guards as G
+from concordat.operators import history as H
 from concordat.operators import propagate as A
 from concordat.operators import reconcile as R
 from concordat.operators.listings import atomic_groups, follow_links, prune_ignored, select_paths
@@ -22,13 +26,19 @@ from concordat.session import materialize
 
 @dataclass(frozen=True)
 class Outcome:
-    """Tables of one cycle."""
+    """Tables of one cycle. ``base`` is the old one if ``save_base`` is false.
+    ``backups`` are this cycle's pre-images, or None without a backup option;
+    ``record`` and ``entries`` go to the history."""
 
     left: DataFrame
     right: DataFrame
     base: DataFrame
     plan: DataFrame
     results: DataFrame
+    backups: DataFrame | None
+    record: DataFrame
+    entries: DataFrame
+    save_base: bool
 
 
 def _scope(df: DataFrame, cfg: JobConfig) -> DataFrame:
@@ -42,8 +52,7 @@ def make_plan(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig
     keys are filtered out of all three inputs alike."""
     keys = list(cfg.keys)
     left, right, base = (_scope(df, cfg) for df in (left, right, base))
-    if cfg.follow:
-        left, right = follow_links(left, cfg.follow), follow_links(right, cfg.follow)
+    left, right = _resolved(left, right, cfg)
     u1 = detect_updates(left, base, keys, cfg.update)
     u2 = detect_updates(right, base, keys, cfg.update)
     if keys == ["path"]:
@@ -81,25 +90,44 @@ def dry_run(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig)
     return materialize(make_plan(left, right, base, cfg), "plan")
 
 
+def _resolved(left: DataFrame, right: DataFrame, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
+    return (follow_links(left, cfg.follow), follow_links(right, cfg.follow)) if cfg.follow else (left, right)
+
+
 def commit(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame, cfg: JobConfig,
-           merge_values: Sequence[str] = (), failures: DataFrame | None = None) -> Outcome:
-    """Carry out a (possibly edited) plan."""
+           merge_values: Sequence[str] = (), failures: DataFrame | None = None,
+           sync_id: str | None = None, counted: tuple[DataFrame, DataFrame] | None = None) -> Outcome:
+    """Carry out a (possibly edited) plan. Links that the plan followed are
+    replaced by what they point to, here as in the plan. ``counted`` are the
+    whole sides where ``left`` and ``right`` are parts of them."""
     keys = list(cfg.keys)
+    left, right = _resolved(left, right, cfg)
     if cfg.max_delete_fraction is not None:
-        G.guard_big_deletes(plan, left, right, cfg.max_delete_fraction)
+        G.guard_big_deletes(plan, *(counted or (left, right)), cfg.max_delete_fraction)
     merged = None
     if merge_values:
         wanted = plan.where(F.col("direction") == S.MERGE)
         merged = three_way_merge(base, left, right, keys, list(merge_values), wanted,
-                                 cfg.plan.merge_rules)
+                                 cfg.plan.merge_rules, cfg.plan.merge_mtime, cfg.plan.merge_strategies)
     done = A.results(plan, keys, cfg.apply, merged, failures)
-    done = A.error_budget(done, keys, cfg.apply.max_errors, cfg.plan.sort_mode)
-    new_left, new_right = A.apply_plan(left, right, done, keys, merged, cfg.apply)
-    new_base = A.next_base(base, new_left, plan, done, keys)
-    return Outcome(new_left, new_right, new_base, plan, done)
+    done = materialize(A.error_budget(done, keys, cfg.apply.max_errors, cfg.plan.sort_mode), "results")
+    save = G.may_save_base({r["outcome"]: r["n"] for r in A.result_counts(done).collect()})  # at most three rows
+    acts = A.act_rows(left, right, base, plan, done, keys, merged)
+    new_left, new_right, new_base = A.apply_acts(left, right, base, acts, keys, cfg.apply)
+    sync_id = sync_id or uuid.uuid4().hex
+    now = F.lit(datetime.now(UTC).isoformat()).cast("timestamp")
+    backups = None
+    if cfg.backup:
+        sides = [B.stash_preimages(t, done, keys, d, now, sync_id, cfg.backup).withColumn("side", F.lit(side))
+                 for t, d, side in ((right, S.L2R, "right"), (left, S.R2L, "left"))]
+        backups = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    record = H.history_record(done, F.lit(sync_id), now)
+    entries = H.history_entries(done, keys, F.lit(sync_id))
+    return Outcome(new_left, new_right, new_base if save else base, plan, done, backups, record, entries, save)
 
 
 def sync(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig,
-         merge_values: Sequence[str] = (), failures: DataFrame | None = None) -> Outcome:
-    """Detect, decide and apply: new left, right and base with plan and results."""
-    return commit(left, right, base, dry_run(left, right, base, cfg), cfg, merge_values, failures)
+         merge_values: Sequence[str] = (), failures: DataFrame | None = None, **more) -> Outcome:
+    """Detect, decide and apply: new left, right and base with plan, results,
+    backups and history."""
+    return commit(left, right, base, dry_run(left, right, base, cfg), cfg, merge_values, failures, **more)

@@ -30,7 +30,7 @@ from concordat.llm.arrow import added, slices, spread, with_columns
 from concordat.llm.grams import U, _factors, mix
 
 SIZE = 128
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 RUN_ROWS = 4096
 MAX_RUNS = 20_000
 
@@ -145,7 +145,7 @@ def _neighbours(share: int, size: int, kind: pa.DataType):
                     done = guest
                     rows.append((doc, text or ""))
                     held += len(text or "")
-                    if held >= SLICE_BYTES:
+                    if held >= SLICE_BYTES and len(rows) > 1:
                         yield from flush()
                         held = len(text or "")
         yield from flush()

@@ -13,16 +13,17 @@ The method is a universe-partition pigeonhole:
   bucket's smallest member, first within each batch of rows and then among the
   batches, so a bucket of n members gives n - 1 pairs, and its key travels once
   per batch.
-* All candidates are verified on the whole sets. A bucket whose star holds
-  throughout is connected, so the pairs it doesn't list change no component.
-* A bucket whose star fails, and whose members aren't connected otherwise,
-  costs more than it gives. Its members move that bucket's credit to others
+* Candidates are verified on the whole sets, in rounds, until no unverified one
+  joins two components. A bucket that is then connected is done: pairs that it
+  doesn't list change no component.
+* A bucket with several components costs more than it gives. Its members move that bucket's credit to others
   (the cost-based allocation): with s such buckets and e empty segments, at most
   ``s + e - r - 1`` of the segments that differ do so by two or more shingles,
   so among any ``s + e - r`` of the remaining segments one differs by a single
-  shingle. The member probes its smallest ones with their one-deletion
-  neighbourhoods. Where too few segments remain, pairs within the failed
-  buckets are compared instead.
+  shingle. The member probes the first ones with their one-deletion
+  neighbourhoods, and the others of its buckets are indexed as far as that
+  reaches. Where too few segments remain, members look in the failed buckets
+  themselves.
 * All later candidates must pass a parity sketch (the number of differing bits
   never exceeds the number of differing shingles) before they are verified.
 
@@ -33,12 +34,13 @@ get a null component. Rows that share an id are told apart by their sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.arrow import partitions, slices
@@ -48,6 +50,8 @@ from concordat.session import materialize
 
 SLICE_BYTES = 4_000_000
 SKETCH = 256
+#: Keys of one range, which a task holds together.
+PART_KEYS = 4_000_000
 _ALL = (1 << 64) - 1
 
 
@@ -131,46 +135,87 @@ def _star(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[keep], c[keep], c[first][keep], new[keep]
 
 
-def _keys(text: str, words: int, num: int, den: int):
-    """``key, c, pivot``: one row without pivot for each key of a batch, and a
-    row with pivot for each further member."""
+def _keys(text: str, words: int, num: int, den: int, parts: int):
+    """One row per batch and range of keys: the keys in order, as differences,
+    with the place of each one's first member among the batch's sets; and the
+    keys and places of further members and of their firsts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owner, seen = [], [], set()
+            keys, owner, seen = [], [], {}
             for s in sets_of(batch, text, words):
                 c = identity(s)[0]
                 if not len(s) or c in seen:
                     continue
-                seen.add(c)
+                seen[c] = len(seen)
                 for band, r, _, size, total, _ in segments(s, num, den):
                     used = np.flatnonzero(size) if (size == 0).sum() <= r else np.arange(len(size))
                     keys.append(key_of(band, used, total[used]))
-                    owner.append((c, len(used)))
+                    owner.append((seen[c], len(used)))
             if not keys:
                 continue
-            key, c, pivot, new = _star(np.concatenate(keys), np.repeat(*(np.array(x, np.int64) for x in zip(*owner, strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(pivot, mask=new)], names=["key", "c", "pivot"])
+            key, c, pivot, new = _star(np.concatenate(keys).view(U), np.repeat(*(np.array(x, np.int64) for x in zip(*owner, strict=True))))
+            part = ((key >> U(32)) * U(parts) >> U(32)).astype(np.int64)  # ranges of keys, so in order too
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            members = np.array(list(seen), np.int64)
+            rows = []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                k, n, w = key[x:y], new[x:y], c[x:y]
+                used = np.unique(w)  # the members that the row refers to
+                rows.append((int(part[x]), _pack(np.diff(k[n], prepend=U(0)).view(np.int64)), _pack(w[n]),
+                             _pack(np.diff(k[~n], prepend=U(0)).view(np.int64)), _pack(w[~n]), _pack(pivot[x:y][~n]),
+                             np.concatenate([[len(used)], used, members[used]]).astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*rows, strict=True))],
+                                             names=["part", *_PACKED])
     return run
 
 
+_PACKED = ["keys", "firsts", "more_keys", "more", "more_firsts", "members"]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: high bytes are mostly equal."""
+    raw = values.astype("<i8").view(np.uint8).reshape(-1, 8)
+    width = 8 if not len(values) else max(1, 8 - int(np.argmax(np.append(raw.any(0)[::-1], True))))
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(raw[:, :width].T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<i8").ravel()
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of rows that come in order of key and member; rows with a pivot pass."""
-    last = None
+    """Stars of each range of keys, among the firsts of all batches, and the
+    stars that the batches had found."""
+    part, keys, firsts, pairs = None, [], [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not keys:
+            return
+        key, c, first, new = _star(np.concatenate(keys), np.concatenate(firsts))
+        found = [np.stack([key[~new].view(np.int64), c[~new], first[~new]]), *pairs]
+        out = np.concatenate(found, axis=1)
+        for i in range(0, out.shape[1], 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out[:, i:i + 500_000]], names=["key", "c", "pivot"])
+        for x in (keys, firsts, pairs):
+            x.clear()
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        pivot = batch.column("pivot")
-        free = np.asarray(pivot.is_null())
-        key, c = np.asarray(batch.column("key"))[free], np.asarray(batch.column("c"))[free]
-        if last is not None:
-            key, c = np.append(last[0], key), np.append(last[1], c)
-        key, c, first, new = _star(key, c)
-        if len(key):
-            last = key[-1], first[-1]
-        done = batch.filter(pivot.is_valid())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(key[~new], np.asarray(done.column("key")))), pa.array(np.append(c[~new], np.asarray(done.column("c")))),
-             pa.array(np.append(first[~new], np.asarray(done.column("pivot"), dtype=np.int64)))], names=["key", "c", "pivot"])
+        for now, *packed, members in zip(*(batch.column(x).to_pylist() for x in ("part", *_PACKED)), strict=True):
+            if now != part:
+                yield from close()
+                part = now
+            table = np.frombuffer(members, "<i8")
+            used, who = table[1:1 + table[0]], table[1 + table[0]:]
+            name = lambda x: who[np.searchsorted(used, x)]  # noqa: B023, E731
+            k, f, mk, m, mf = (_unpack(x) for x in packed)
+            keys.append(np.cumsum(k.view(U), dtype=U))
+            firsts.append(name(f))
+            pairs.append(np.stack([np.cumsum(mk.view(U), dtype=U).view(np.int64), name(m), name(mf)]))
+    yield from close()
 
 
 def _verify(words: int, num: int, den: int):
@@ -193,36 +238,57 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
+def _allocations(batch: pa.RecordBatch, words: int, num: int, den: int):
+    """For each member of failed buckets and each band with one: what
+    :func:`segments` gives, the failed segments, the segments that it probes
+    (the first ones that are neither failed nor empty) and whether they are
+    enough."""
+    for s, c, failed in zip(sets_of(batch, "text", words), batch.column("c").to_pylist(), batch.column("failed").to_pylist(), strict=True):
+        if not len(s) or identity(s)[0] != c:
+            continue
+        failed = {f["key"]: f.get("reach") or 0 for f in failed}
+        names = np.array(list(failed), np.int64)
+        for band, r, seg, size, total, h in segments(s, num, den):
+            exact = key_of(band, np.arange(len(size)), total)
+            bad = np.flatnonzero(np.isin(exact, names))
+            if not len(bad):
+                continue
+            free = size > 0
+            free[bad] = False
+            free = np.flatnonzero(free)
+            need = max(1, len(bad) + int((np.delete(size, bad) == 0).sum()) - r)
+            reach = max(failed[k] for k in exact[bad].tolist())
+            yield c, band, seg, total, h, exact, bad, free[:need], len(free) >= need, reach
+
+
+def _reach(words: int, num: int, den: int):
+    """How far the members of each failed bucket probe."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, int(chosen[-1]) + 1 if enough else 0) for _, _, _, _, _, exact, bad, chosen, enough, _ in _allocations(batch, words, num, den)
+                    for k in exact[bad].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["key", "reach"])
+    return run
+
+
 def _neighbourhoods(words: int, num: int, den: int):
-    """Probes and index rows of members of failed buckets."""
+    """Probes and index rows of members of failed buckets. A member is indexed
+    in the segments that others of its buckets probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], []]
-            for s, c, failed in zip(sets_of(batch, "text", words), batch.column("c").to_pylist(), batch.column("failed").to_pylist(), strict=True):
-                if not len(s) or identity(s)[0] != c:
-                    continue
-                for band, r, seg, size, total, h in segments(s, num, den):
-                    exact = key_of(band, np.arange(len(size)), total)
-                    bad = np.isin(exact, np.array(failed, np.int64))
-                    if not bad.any():
-                        continue
-                    less = key_of(band, seg, total[seg] - h)
-                    free = np.flatnonzero((size > 0) & ~bad)
-                    need = max(1, int(bad.sum() + ((size == 0) & ~bad).sum()) - r)
-                    chosen = free[np.argsort(size[free], kind="stable")[:need]]
-                    at = np.isin(seg, chosen)
-                    # role: 0 stands in the index as it is, 1 with a deletion; 2 and 3 look for 0 and 1
-                    for role, keys in ((0, exact), (1, less), (3, exact[chosen]), (2, less[at])):
-                        rows[0].append(keys)
-                        rows[1].append(np.full(len(keys), c))
-                        rows[2].append(np.full(len(keys), role))
-                    if len(free) < need:  # too few: the failed buckets themselves
-                        for role in (0, 4):
-                            rows[0].append(exact[bad])
-                            rows[1].append(np.full(int(bad.sum()), c))
-                            rows[2].append(np.full(int(bad.sum()), role))
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], names=["key", "c", "role"])
+            rows = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for c, band, seg, total, h, exact, bad, chosen, enough, reach in _allocations(batch, words, num, den):
+                less = key_of(band, seg, total[seg] - h)
+                # role: 0 stands in the index as it is, 1 with a deletion; 2 and 3 look for 0 and 1
+                found = [(0, exact[:reach]), (0, exact[bad[bad >= reach]]), (1, less[seg < reach])]
+                if enough:
+                    found += [(3, exact[chosen]), (2, less[np.isin(seg, chosen)])]
+                else:  # too few segments are left: the failed buckets themselves
+                    found.append((2, exact[bad]))
+                for role, keys in found:
+                    for out, x in zip(rows, (keys, np.full(len(keys), c), np.full(len(keys), role)), strict=True):
+                        out.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], names=["key", "c", "role"])
     return run
 
 
@@ -233,6 +299,48 @@ def _could_link(num: int, den: int) -> Column:
     return ((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (bits * (den + num) <= n * (den - num)))
 
 
+def neighbourhoods(affected: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``key, c, role`` of the members of failed buckets."""
+    near = affected.join(rows, affected.rep == rows.doc).select("c", "text", "failed")
+    reach = near.mapInArrow(_reach(words, num, den), "key long, reach long").groupBy("key").agg(F.max("reach").alias("reach"))
+    named = affected.select("c", F.explode("failed.key").alias("key")).join(reach, "key", "left")
+    reached = named.groupBy("c").agg(F.collect_set(F.struct("key", "reach")).alias("failed"))
+    return materialize(near.select("c", "text").join(reached, "c").mapInArrow(_neighbourhoods(words, num, den), "key long, c long, role long"), "neighbourhoods")
+
+
+def _components_of(classes: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return classes.select("c1", "rep", F.col("rep").alias("component"))
+    return (classes.join(label, classes.rep == label.node, "left")
+            .select("c1", "rep", F.coalesce("component", "rep").alias("component")))
+
+
+def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None = None,
+            label: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verify candidates until none is left that could join two components: in
+    each round the first few open ones of each set (one, then four times as
+    many), so that sets which are connected already aren't compared over and
+    over. Returns all links found and the components."""
+    done, few = None, 1
+    while True:
+        open_ = near
+        if label is not None:
+            for x in ("a", "b"):
+                open_ = open_.join(label.select(F.col("node").alias(f"rep_{x}"), F.col("component").alias(f"in_{x}")), f"rep_{x}", "left")
+            open_ = open_.where(F.coalesce("in_a", "rep_a") != F.coalesce("in_b", "rep_b")).select(near.columns)
+        if done is not None:
+            open_ = open_.join(done, ["a", "b"], "left_anti")
+        first = F.row_number().over(Window.partitionBy("b").orderBy("a", "rep_a", "rep_b"))
+        picked = materialize(open_.withColumn("_i", first).where(F.col("_i") <= few).select(near.columns), "picked")
+        if picked.isEmpty():
+            return links, label
+        found = verified(picked)
+        links = found if links is None else materialize(links.unionByName(found), "all_links")
+        label = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        done = picked.select("a", "b") if done is None else materialize(done.union(picked.select("a", "b")), "verified")
+        few *= 4
+
+
 def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5,
               threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``doc, n, component``: each row's id, set size, and the smallest id that
@@ -245,51 +353,46 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     sets = materialize(rows.mapInArrow(_sets("text", "doc", words), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, c1 long, c2 long, k0 long, k1 long, k2 long, k3 long"), "sets")
     classes = materialize(sets.where("n > 0").groupBy("c1", "c2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc").alias("rep")), "classes")
-    parts = partitions(docs)
-    stars = materialize(rows.select("text").mapInArrow(_keys("text", words, num, den), "key long, c long, pivot long")
-                        .repartition(parts, "key").sortWithinPartitions("key", "c")
+    shingles_in_all = sets.agg(F.sum("n")).first()[0] or 0
+    keys_in_all = 4 * shingles_in_all * (den - num) / (den + num) * den / num + 4 * classes.count()  # about
+    parts = max(partitions(docs), math.ceil(keys_in_all / PART_KEYS))
+    stars = materialize(rows.select("text").mapInArrow(_keys("text", words, num, den, parts), f"part int, {', '.join(f'{c} binary' for c in _PACKED)}")
+                        .repartition(parts, "part").sortWithinPartitions("part")
                         .mapInArrow(_buckets, "key long, c long, pivot long"), "stars")
     side = lambda x: classes.select(F.col("c1").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "k0", "k1", "k2", "k3", "rep")))
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        """``rep_a, rep_b, a, b`` of the pairs ``a, b`` that are links."""
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(_could_link(num, den)).select("a", "b", "rep_a", "rep_b")
-        near = materialize(near, label)
-        wanted = near.select(F.col("rep_a").alias("doc")).union(near.select("rep_b")).distinct()
-        texts = materialize(rows.join(wanted, "doc", "left_semi"), "texts")
-        full = (near.join(texts.select(F.col("doc").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
+    could = lambda pairs, label: materialize(
+        pairs.join(side("a"), "a").join(side("b"), "b").where(_could_link(num, den)).select("a", "b", "rep_a", "rep_b"), label)
+    pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
+    texts = materialize(rows.join(classes.join(met, "c1", "left_semi").select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "texts")
+    kind = rows.schema["doc"].dataType.simpleString()
+    check = _verify(words, num, den)
+
+    def verified(picked: DataFrame) -> DataFrame:
+        """The pairs that are links, by their whole texts."""
+        full = (picked.join(texts.select(F.col("doc").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
                 .join(texts.select(F.col("doc").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"))
-        kind = rows.schema["doc"].dataType.simpleString()
-        return materialize(full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b")
-                           .mapInArrow(_verify(words, num, den), f"rep_a {kind}, rep_b {kind}, a long, b long").distinct(), "links")
-
-    pairs = stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-    links = verified(pairs, "candidates")
-    label = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    good = links.select(F.col("a").alias("pivot"), F.col("b").alias("c")).distinct()
-    failed = stars.join(good, ["pivot", "c"], "left_anti").select("key").distinct()
-    members = stars.join(failed, "key", "left_semi")
-    members = members.select("key", "c").union(members.select("key", "pivot")).distinct()
-    of_class = (classes.join(label, classes.rep == label.node, "left")
-                .select("c1", "rep", F.coalesce("component", "rep").alias("component")))
+        return materialize(full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b").mapInArrow(
+            check, f"rep_a {kind}, rep_b {kind}, a long, b long").select("rep_a", "rep_b").distinct(), "links")
+
+    links, label = _settle(could(pairs, "candidates"), verified)
+    members = stars.select("key", "c").union(stars.select("key", "pivot")).distinct()
+    of_class = _components_of(classes, label)
     split = members.join(of_class.withColumnRenamed("c1", "c"), "c")
     open_keys = split.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    affected = materialize(split.join(open_keys, "key", "left_semi").groupBy("c", "rep", "component").agg(F.collect_set("key").alias("failed")), "affected")
+    affected = materialize(split.join(open_keys, "key", "left_semi").groupBy("c", "rep", "component").agg(F.collect_set(F.struct("key")).alias("failed")), "affected")
     if not affected.isEmpty():
-        near = affected.join(rows, affected.rep == rows.doc).select("c", "text", "failed")
-        found = materialize(near.mapInArrow(_neighbourhoods(words, num, den), "key long, c long, role long").distinct(), "neighbourhoods")
+        found = neighbourhoods(affected, texts, words, num, den)
         sketches = (affected.select("c", "component").join(classes.withColumnRenamed("c1", "c"), "c"))
         known = lambda x: sketches.select(*(F.col(k).alias(f"{k}_{x}") for k in ("c", "component", "n", "k0", "k1", "k2", "k3")))
-        index = found.where("role < 2").join(known("b").withColumnRenamed("c_b", "c"), "c").withColumnRenamed("c", "b")
-        probe = found.where("role >= 2").join(known("a").withColumnRenamed("c_a", "c"), "c").withColumnRenamed("c", "a")
-        probe = probe.withColumn("role", F.when(F.col("role") == 3, 1).otherwise(0).cast("long"))
+        probe = found.where("role >= 2").select("key", "c", (F.col("role") - 2).alias("role"))
+        index = found.where("role < 2").join(probe.select("key", "role").distinct(), ["key", "role"], "left_semi")
+        probe = probe.join(known("a").withColumnRenamed("c_a", "c"), "c").withColumnRenamed("c", "a")
+        index = index.join(known("b").withColumnRenamed("c_b", "c"), "c").withColumnRenamed("c", "b")
         more = probe.join(index, ["key", "role"]).where((F.col("component_a") != F.col("component_b")) & _could_link(num, den))
-        extra = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
-        if not extra.isEmpty():
-            links = links.unionByName(extra)
-            label = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-            of_class = (classes.join(label, classes.rep == label.node, "left")
-                        .select("c1", "rep", F.coalesce("component", "rep").alias("component")))
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links, label = _settle(could(more, "more"), verified, links, label)
+        of_class = _components_of(classes, label)
     final = materialize(classes.select("c1", "c2", "n", "rep").join(of_class.select("rep", "c1", "component"), ["c1", "rep"])
                         .select("c1", "c2", "n", "component"), "class_components")
     return (sets.select("doc", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left")

@@ -14,6 +14,7 @@ from concordat.config import JobConfig
 from concordat.operators.guards import guard_empty_side
 from concordat.plans.cycle import sync
 from concordat.session import scratch_scope
+from concordat.sources.stores import append_history
 
 TABLES = ("left", "right", "base")
 _POINTER = "name string, slice int, version string, seq long"
@@ -31,7 +32,8 @@ class SlicedStore:
         self.spark, self.root, self.keys, self.slices = spark, root.rstrip("/"), list(keys), slices
 
     def slice_of(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.slices)).cast("int")
+        """By the keys as text, so that a key has one slice whatever its integer type."""
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.slices)).cast("int")
 
     def _current(self) -> list:
         """Latest pointer of every slice: at most three times the slices."""
@@ -75,19 +77,25 @@ class SyncOnChange:
     """``foreachBatch`` sink: reconcile the slices that a batch of change
     events touches. Micro-batches run one after another, so changes that
     arrive meanwhile are in the next one; a repeated batch finds its work done
-    and changes nothing."""
+    and changes nothing.
+
+    Options under which a key's fate depends on others (atomic directories,
+    followed links) make every cycle read all slices. Deletions are counted
+    against the whole sides. Records and entries of the cycles go to
+    ``history`` below the store's root."""
 
     def __init__(self, store: SlicedStore, cfg: JobConfig):
         self.store = store
         # A slice may well be emptied; whether a whole side is, run() asks.
-        self.cfg = replace(cfg, check_keys=False, guard_empty=False, max_delete_fraction=None)
+        self.cfg = replace(cfg, guard_empty=False)
+        self.whole = bool(cfg.follow or cfg.plan.atomic)
         self.guard = cfg.guard_empty
         self.rounds = 0
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
         touched = [r[0] for r in events.select(self.store.slice_of()).distinct().collect()]  # <= slices
         if touched:
-            self.run(touched)
+            self.run(None if self.whole else touched)
 
     def run(self, touched: Sequence[int] | None = None) -> None:
         """One cycle over the touched slices, or over everything (the initial
@@ -97,7 +105,9 @@ class SyncOnChange:
             guard_empty_side(self.store.read("left"), base, "left")
             guard_empty_side(self.store.read("right"), base, "right")
         with scratch_scope(self.store.spark):
-            out = sync(*(self.store.read(name, touched) for name in TABLES), self.cfg)
+            out = sync(*(self.store.read(name, touched) for name in TABLES), self.cfg,
+                       counted=(self.store.read("left"), self.store.read("right")))
+            append_history(out.record, out.entries, f"{self.store.root}/history")
             self.store.replace_slices(range(self.store.slices) if touched is None else touched,
                                       left=out.left, right=out.right, base=out.base)
         self.rounds += 1

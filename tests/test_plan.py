@@ -1,19 +1,21 @@
 """Decision tables and laws of the cycle."""
 
 import itertools
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
-from concordat.config import ApplyConfig, JobConfig, PlanConfig, UpdateConfig
+from concordat.config import ApplyConfig, BackupConfig, JobConfig, PlanConfig, UpdateConfig
 from concordat.operators import guards as G
 from concordat.operators import propagate as A
 from concordat.operators import reconcile as R
 from concordat.operators.merge import parse_rule, three_way_merge
-from concordat.operators.snapshots import KeyViolation, check_keys
+from concordat.operators.snapshots import KeyViolation, check_keys, snapshot_table
 from concordat.operators.updates import classify
 from concordat.plans.cycle import commit, dry_run, make_plan, sync
+from concordat.sources import stores
 
 STATE = "path string, kind string, fp string, length long, mtime timestamp, perms int, target string, error string"
 
@@ -246,3 +248,52 @@ def test_followed_links_and_atomic_directories(spark):
     assert got["ln"]["left"]["kind"] == "file" and got["ln"]["left"]["fp"] == "t2"
     assert {p: got[p]["direction"] for p in ("pkg/a", "pkg/b", "free")} == {"pkg/a": S.CONFLICT, "pkg/b": S.CONFLICT, "free": S.L2R}
     assert got["pkg/b"]["reason"] == "conflict inside atomic directory"
+
+
+def test_forced_deletions_are_guarded_and_kept(spark):
+    base = listing(spark, row("a"))
+    left, right = base, listing(spark, row("a"), row("n1"), row("n2"))
+    cfg = JobConfig(plan=PlanConfig(force="left"), max_delete_fraction=0.5, backup=BackupConfig())
+    with pytest.raises(G.Refused):
+        sync(left, right, base, cfg)
+    out = sync(left, right, base, replace(cfg, max_delete_fraction=None))
+    assert rows_of(out.backups, "path", "side") == [("n1", "right"), ("n2", "right")]
+    assert rows_of(out.right, "path") == [("a",)]
+
+
+def test_followed_link_goes_over_once(spark):
+    base = listing(spark, row("target", "t"))
+    left = listing(spark, row("target", "t"), row("ln", None, "symlink", 0, target="target"),
+                   row("out", None, "symlink", 0, target="../elsewhere"))
+    cfg = JobConfig(follow=("Name ln", "Name out"))
+    out = sync(left, base, base, cfg)
+    assert rows_of(out.right, "path", "kind", "fp") == [("ln", "file", "t"), ("out", "symlink", None), ("target", "file", "t")]
+    assert make_plan(left, out.right, out.base, cfg).isEmpty()
+
+
+def test_newer_and_own_merge_strategies(spark):
+    make = lambda a, t: spark.createDataFrame([("k", a, t)], "id string, a string, mtime string").select(
+        "id", "a", F.col("mtime").cast("timestamp").alias("mtime"))
+    base, left, right = (snapshot_table(make(*x), ["id"], ["a"], "mtime") for x in
+                         (("o", "2024-01-01"), ("l", "2024-01-02"), ("r", "2024-01-03")))
+    for rule, want in (("newer", "r"), ("both", "l+r")):
+        cfg = JobConfig(keys=("id",), plan=PlanConfig(merge=("Regex .*",), merge_rules=(f"Regex .* -> {rule}",), merge_mtime="mtime",
+                                                     merge_strategies={"both": lambda b, l, r: F.concat(l, F.lit("+"), r)}))
+        out = sync(left, right, base, cfg, merge_values=["a"])
+        assert [r["a"] for r in out.left.collect()] == [r["a"] for r in out.right.collect()] == [want]
+        fps = {r["fp"] for t in (out.left, out.right, out.base) for r in t.collect()}
+        assert fps == {r["fp"] for r in snapshot_table(out.left.select("id", "a"), ["id"]).collect()}
+
+
+def test_unreadable_base_is_empty_and_lost_race_is_told(spark, tmp_path):
+    store = stores.VersionedStore(spark, str(tmp_path))
+    df = listing(spark, row("a"))
+    store.save("p", df)
+    for f in (tmp_path / "data" / "p").rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    assert store.load("p", df.schema).collect() == []
+    first = {"p": store._seq("p")}
+    store._point({"p": "aaaa"}, first)
+    with pytest.raises(stores.LostRace):
+        store._point({"p": "bbbb"}, first)
+    assert store._current("p")["version"] == "aaaa"

@@ -212,19 +212,22 @@ def _new_side(table: DataFrame, acts: DataFrame, keys: Sequence[str], act: str,
     return out.unionByName(_merged_rows(acts, target, table.columns, keys))
 
 
-def apply_acts(left: DataFrame, right: DataFrame, base: DataFrame, acts: DataFrame, keys: Sequence[str],
-               cfg: ApplyConfig = ApplyConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New left, right and base: one anti-join per table and the rows at hand.
-
-    A row takes the *current* row of its source side: none there means the
-    target loses it. The base takes the state that both sides now share for
-    keys that succeeded or were equal; skipped and failed keys keep their old
-    row, so a conflict is still a conflict next time. A base column that the
-    left table lacks keeps its value.
-    """
+def apply_plan(left: DataFrame, right: DataFrame, acts: DataFrame, keys: Sequence[str],
+               cfg: ApplyConfig = ApplyConfig()) -> tuple[DataFrame, DataFrame]:
+    """New left and right: one anti-join per table and the rows at hand. A row
+    takes the *current* row of its source side: none there means the target
+    loses it."""
+    return (_new_side(left, acts, keys, S.R2L, "l", "r", right.columns, cfg),
+            _new_side(right, acts, keys, S.L2R, "r", "l", left.columns, cfg))
+
+
+def next_base(base: DataFrame, left: DataFrame, right: DataFrame, acts: DataFrame, keys: Sequence[str],
+              cfg: ApplyConfig = ApplyConfig()) -> DataFrame:
+    """The state that both sides share after the cycle, for keys that succeeded
+    or were equal; skipped and failed keys keep their old row, so a conflict is
+    still a conflict next time. A base column that the left table lacks keeps
+    its value. Of ``left`` and ``right`` only the column names are used."""
     keys = list(keys)
-    new_left = _new_side(left, acts, keys, S.R2L, "l", "r", right.columns, cfg)
-    new_right = _new_side(right, acts, keys, S.L2R, "r", "l", left.columns, cfg)
     known = [c for c in base.columns if c in left.columns]
     fresh = (acts.where((F.col("act").isin(S.L2R, S.EQUAL)) & F.col("l").isNotNull()).select(*keys, F.col("l").alias("now"))
              .unionByName(_packed(_taken(acts, S.R2L, "l", "r", left.columns, right.columns, cfg), keys))
@@ -232,9 +235,8 @@ def apply_acts(left: DataFrame, right: DataFrame, base: DataFrame, acts: DataFra
     fresh = fresh.join(acts.select(*keys, "b"), keys)
     value = lambda c: (F.coalesce(F.col("now.fp"), F.col("b.fp")) if c == "fp" and c in known
                        else F.col(f"now.{c}") if c in known else F.col(f"b.{c}"))
-    new_base = base.join(acts.select(*keys), keys, "left_anti").unionByName(
+    return base.join(acts.select(*keys), keys, "left_anti").unionByName(
         fresh.select(*[value(c).alias(c) for c in base.columns]))
-    return new_left, new_right, new_base
 
 
 def _packed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -113,7 +113,8 @@ def commit(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame,
     done = materialize(A.error_budget(done, keys, cfg.apply.max_errors, cfg.plan.sort_mode), "results")
     save = G.may_save_base({r["outcome"]: r["n"] for r in A.result_counts(done).collect()})  # at most three rows
     acts = A.act_rows(left, right, base, plan, done, keys, merged)
-    new_left, new_right, new_base = A.apply_acts(left, right, base, acts, keys, cfg.apply)
+    new_left, new_right = A.apply_plan(left, right, acts, keys, cfg.apply)
+    new_base = A.next_base(base, left, right, acts, keys, cfg.apply) if save else base
     sync_id = sync_id or uuid.uuid4().hex
     now = F.lit(datetime.now(UTC).isoformat()).cast("timestamp")
     backups = None
@@ -123,7 +124,7 @@ def commit(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame,
         backups = sides[0].unionByName(sides[1], allowMissingColumns=True)
     record = H.history_record(done, F.lit(sync_id), now)
     entries = H.history_entries(done, keys, F.lit(sync_id))
-    return Outcome(new_left, new_right, new_base if save else base, plan, done, backups, record, entries, save)
+    return Outcome(new_left, new_right, new_base, plan, done, backups, record, entries, save)
 
 
 def sync(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig,

@@ -24,8 +24,8 @@ The method is a universe-partition pigeonhole:
   neighbourhoods, and the others of its buckets are indexed as far as that
   reaches. Where too few segments remain, members look in the failed buckets
   themselves.
-* All later candidates must pass a parity sketch (the number of differing bits
-  never exceeds the number of differing shingles) before they are verified.
+* Candidates must pass a parity sketch (the number of differing bits never
+  exceeds the number of differing shingles) before texts are fetched for them.
 
 Texts without words have empty sets and link with nothing. Rows with a null id
 get a null component. Rows that share an id are told apart by their sets.
@@ -102,6 +102,27 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Parity bits, at least twice as many as shingles. The first half xor the
+    second is the sketch of half the width."""
+    width = 1 << max(8, (2 * len(s) - 1).bit_length())
+    place = (mix(s ^ U(78)) >> U(32)).astype(np.int64) & (width - 1)
+    bits = (np.bincount(place, minlength=width) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches in the width of the shorter one."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    wide, narrow = 8 * max(len(a), len(b)), 8 * min(len(a), len(b))
+    if len(a) < len(b):
+        x, y = y, x
+    while wide > narrow:
+        wide //= 2
+        x = (x >> wide) ^ (x & ((1 << wide) - 1))
+    return (x ^ y).bit_count()
+
+
 def sets_of(batch: pa.RecordBatch, text: str, words: int) -> Iterator[np.ndarray]:
     for part in slices(iter([batch]), text, SLICE_BYTES):
         h, counts, _ = word_hashes(part.column(text))
@@ -116,10 +137,10 @@ def _sets(text: str, doc: str, words: int):
         for batch in batches:
             rows = []
             for s in sets_of(batch, text, words):
-                rows.append((len(s), *identity(s), *sketch(s).tolist()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(doc), *(pa.array(c, pa.int64()) for c in cols)],
-                                             names=["doc", "n", "c1", "c2", "k0", "k1", "k2", "k3"])
+                rows.append((len(s), *identity(s), *sketch(s).tolist(), wide_sketch(s)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([batch.column(doc), *(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())],
+                                             names=["doc", "n", "c1", "c2", "k0", "k1", "k2", "k3", "wide"])
     return run
 
 
@@ -238,6 +259,16 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
+def _possible(num: int, den: int):
+    """Pairs whose sketches allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b"))
+            keep = [bits_apart(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(*cols, strict=True)]
+            yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _allocations(batch: pa.RecordBatch, words: int, num: int, den: int):
     """For each member of failed buckets and each band with one: what
     :func:`segments` gives, the failed segments, the segments that it probes
@@ -351,21 +382,22 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
     if not 0 < num < den:
         raise ValueError("the threshold must lie between 0 and 1")
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    sets = materialize(rows.mapInArrow(_sets("text", "doc", words), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, c1 long, c2 long, k0 long, k1 long, k2 long, k3 long"), "sets")
-    classes = materialize(sets.where("n > 0").groupBy("c1", "c2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc").alias("rep")), "classes")
+    sets = materialize(rows.mapInArrow(_sets("text", "doc", words), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, c1 long, c2 long, k0 long, k1 long, k2 long, k3 long, wide binary"), "sets")
+    classes = materialize(sets.where("n > 0").groupBy("c1", "c2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc").alias("rep"), F.min("wide").alias("wide")), "classes")
     shingles_in_all = sets.agg(F.sum("n")).first()[0] or 0
     keys_in_all = 4 * shingles_in_all * (den - num) / (den + num) * den / num + 4 * classes.count()  # about
     parts = max(partitions(docs), math.ceil(keys_in_all / PART_KEYS))
     stars = materialize(rows.select("text").mapInArrow(_keys("text", words, num, den, parts), f"part int, {', '.join(f'{c} binary' for c in _PACKED)}")
                         .repartition(parts, "part").sortWithinPartitions("part")
                         .mapInArrow(_buckets, "key long, c long, pivot long"), "stars")
-    side = lambda x: classes.select(F.col("c1").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "k0", "k1", "k2", "k3", "rep")))
+    kind = rows.schema["doc"].dataType.simpleString()
+    side = lambda x: classes.select(F.col("c1").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "wide", "rep")))
     could = lambda pairs, label: materialize(
-        pairs.join(side("a"), "a").join(side("b"), "b").where(_could_link(num, den)).select("a", "b", "rep_a", "rep_b"), label)
+        pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+        .mapInArrow(_possible(num, den), f"a long, b long, rep_a {kind}, rep_b {kind}"), label)
     pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
     texts = materialize(rows.join(classes.join(met, "c1", "left_semi").select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "texts")
-    kind = rows.schema["doc"].dataType.simpleString()
     check = _verify(words, num, den)
 
     def verified(picked: DataFrame) -> DataFrame:

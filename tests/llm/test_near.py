@@ -89,6 +89,14 @@ def test_pigeonhole():
         assert keys[0] & keys[1] or len(a) < 10
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000))).astype(np.uint64))
+        b = np.unique(np.append(a[int(rng.integers(0, len(a))):], rng.integers(0, 2**63, int(rng.integers(0, 500))).astype(np.uint64)))
+        assert jaccard.bits_apart(jaccard.wide_sketch(a), jaccard.wide_sketch(b)) <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 99), (99, 98), (100, 50), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

@@ -56,6 +56,7 @@ DEEPEST, LONG_PATH = 512, 2000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_BESIDE = re.compile(r"(?:has|with|no|without)[-_]")
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
@@ -72,7 +73,8 @@ class Page:
         if rest and not rest.isspace():
             given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
             classes = unescape(given.get("class", "")).lower().split()
-            names = {w for c in [*classes, given.get("id", "").lower()] for w in _SPLIT.split(c) if w}
+            # "has-sidebar" and the like say what stands beside an element
+            names = {w for c in [*classes, given.get("id", "").lower()] if not _BESIDE.match(c) for w in _SPLIT.split(c) if w}
             bad = (bad or bool(names & BAD_NAMES) or given.get("role", "").lower() in ROLES or "hidden" in given
                    or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", ""))
             label += "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
@@ -80,7 +82,7 @@ class Page:
         self.tag.append(tag)
         base = self.path[above]
         self.path.append(f"{base if len(base) < LONG_PATH else '~' + xxhash.xxh3_64_hexdigest(base)}>{label}")
-        self.bad.append(bad and tag not in ("html", "body"))
+        self.bad.append(bad and tag not in ("html", "body", "main"))
         self.good.append(tag in ("article", "main") or bool(GOOD_NAMES & set(names)))
         return len(self.tag) - 1
 

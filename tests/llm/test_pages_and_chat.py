@@ -46,6 +46,11 @@ def test_deep_page_stays_small():
     assert len(got.blocks) == 60_000 and max(map(len, got.path)) < 5000 and len(got.tag) < 2000
 
 
+def test_names_of_what_stands_beside():
+    page = '<body class="no-sidebar"><main class="content with_ads"><div class="has-sidebar post"><p>Kept text here.</p></div></main><div class="sidebar">Gone.</div></body>'
+    assert webpages.extract(page, None) == "Kept text here."
+
+
 def test_plain_text_and_truncation():
     assert webpages.extract("plain  text &amp; more", None) == "plain text & more"
     assert webpages.extract("<html><body><article><p>One.</p><p><b>Two", None) == "One.\nTwo"

@@ -12,6 +12,7 @@ from concordat.config import UpdateConfig
 from concordat.functions import fingerprints as FP
 from concordat.functions import paths as P
 from concordat.functions import props as PR
+from concordat.session import materialize
 
 
 def _state(df: DataFrame, keys: Sequence[str], label: str) -> tuple[DataFrame, list[str]]:
@@ -106,7 +107,8 @@ def shield_unread(found: DataFrame, current: DataFrame) -> DataFrame:
     read, never as deleted."""
     if "path" not in current.columns or "error" not in current.columns:
         return found
-    unread = current.where(F.col("error").isNotNull() & (F.col("kind") != "file")).select(F.col("path").alias("_above"))
+    unread = materialize(current.where(F.col("error").isNotNull() & (F.col("kind") != "file"))
+                         .select(F.col("path").alias("_above")), "unread")
     gone = found.where(F.col("status") == S.DELETED)
     below = (gone.select("path", F.explode(P.ancestors(P.parent(F.col("path")))).alias("_above"))
              .join(unread, "_above").groupBy("path").agg(F.min("_above").alias("_above")))

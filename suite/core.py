@@ -187,7 +187,7 @@ def _(spark, d):
 def _mixed(spark, d):
     """Listings with links, directories in place of files, and unreadable rows."""
     base, left, _ = listing3(spark, d)
-    n = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("int")
+    n = F.regexp_extract("path", r"(\d+)\.txt$", 1).try_cast("int")
     mark = lambda df, link: df.select(
         "path", F.when(n % 11 == 0, "symlink").when((n % 13 == 0) & F.lit(link == "new"), "directory")
         .otherwise(F.col("kind")).alias("kind"), "length", "mtime", "perms", "fp",

@@ -19,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    last = None
     while True:
         all_ways = both(now)
         least = all_ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -28,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         small = materialize(small, "small_star")
-        changed = not (small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty())
-        now = small
-        if not changed:
+        state = small.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        now, settled, last = small, state == last, state
+        if settled:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -366,8 +366,9 @@ def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], links:
         if picked.isEmpty():
             return links, label
         found = verified(picked)
-        links = found if links is None else materialize(links.unionByName(found), "all_links")
-        label = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        if not found.isEmpty():
+            links = found if links is None else materialize(links.unionByName(found), "all_links")
+            label = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
         done = picked.select("a", "b") if done is None else materialize(done.union(picked.select("a", "b")), "verified")
         few *= 4
 

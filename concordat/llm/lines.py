@@ -4,9 +4,15 @@ Lines are split at line feeds and compared as words (white space between them,
 A-Z lowered). Two lines are near when one word substituted, inserted or deleted
 turns one into the other (an edit distance of at most 1 over words). A line goes
 when an earlier line, in order of (document id, line number), is equal or near
-to it, whether or not that one stays. Lines of fewer than ``min_words`` words
-are left alone.
+to it, whether or not that one stays.
 
+Where one of two lines has fewer than MIN_WORDS words, they are near at an edit
+distance of at most 1 over characters (words with one blank between them) if both
+have MIN_CHARACTERS, and only equal ones go if one is shorter still. Lines of
+scripts without blanks are compared this way. A ``min_words`` that is given leaves
+all lines of fewer words alone instead.
+
+* Words and characters go the same way; below, words stand for both.
 * A line and its near line agree in their first or in their last h words, h
   being half the shortest length of their length band. Only lines that share
   one of these two keys with another line go on.
@@ -39,11 +45,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.llm.arrow import added, slices, spread, with_columns
-from concordat.llm.grams import U, mix, word_hashes
+from concordat.llm.grams import SPACES, U, mix, word_hashes
 from concordat.session import materialize
 
-MIN_WORDS = 8
+MIN_WORDS, MIN_CHARACTERS = 8, 16
 SLICE_BYTES = 4_000_000
+KEYS = ("p0", "s0", "p1", "s1", "p2", "s2")
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 _INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
@@ -53,24 +60,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, base, U)]))
 
 
-class Lines:
-    """Lines of a batch with their words' hashes, as polynomials over prefixes."""
+class Runs:
+    """Runs of hashes, as polynomials over prefixes."""
 
-    def __init__(self, text: pa.Array, min_words: int):
-        text = pc.fill_null(text.cast(pa.string()), "")
-        h, counts, at = word_hashes(text)
-        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
-        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
-        feeds = np.flatnonzero(raw == 10)
-        doc = np.repeat(np.arange(len(text)), counts)
-        line = np.searchsorted(feeds, at) - np.searchsorted(feeds, (ends - ends[0])[doc])
-        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0)) if len(h) else np.zeros(0, np.int64)
-        size = np.diff(np.append(new, len(h)))
-        keep = size >= min_words
-        self.first, self.size, self.doc, self.line = new[keep], size[keep], doc[new][keep], line[new][keep]
-        longest = int(self.size.max(initial=1))
-        place = np.arange(len(h)) - np.repeat(new, size)
-        place = np.minimum(place, longest)
+    def __init__(self, h: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """``start, size``: runs that cover ``h`` one after another."""
+        self.first, self.size = start, size
+        longest = int(size.max(initial=1))
+        place = np.arange(len(h)) - np.repeat(start, size)
         self.inverse = [_powers(b, longest) for b in _INVERSES]
         with np.errstate(over="ignore"):
             self.sums = [np.concatenate([[U(0)], np.cumsum(h * _powers(b, longest)[place], dtype=U)]) for b in _BASES]
@@ -87,6 +84,55 @@ class Lines:
             return s[f + i] - s[f] + (s[f + self.size[of]] - s[f + i + 1]) * self.inverse[k][1]
 
 
+class Lines:
+    """Lines of a batch: their words, and the characters of those of at most
+    MIN_WORDS words (one more than short lines have, since a blank makes one more)."""
+
+    def __init__(self, text: pa.Array, min_words: int | None):
+        text = pc.fill_null(text.cast(pa.string()), "")
+        h, counts, at = word_hashes(text)
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        feeds = np.flatnonzero(raw == 10)
+        doc = np.repeat(np.arange(len(text)), counts)
+        line = np.searchsorted(feeds, at) - np.searchsorted(feeds, ends[doc])
+        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0)) if len(h) else np.zeros(0, np.int64)
+        self.words = Runs(h, new, np.diff(np.append(new, len(h))))
+        keep = self.words.size >= (min_words or 1)
+        self.words.first, self.words.size, self.doc, self.line = new[keep], self.words.size[keep], doc[new][keep], line[new][keep]
+        if min_words:
+            self.by_characters = np.zeros(0, np.int64)
+        else:
+            some = np.flatnonzero(self.words.size <= MIN_WORDS)
+            begin = at[new[some]]
+            stop = np.minimum(np.append(feeds, len(raw))[np.searchsorted(feeds, begin)], ends[1:][self.doc[some]])
+            blank = np.delete(at, new) - 1  # the last white space before a word inside a line
+            h, size = _characters(raw, begin, stop, blank)
+            long = size >= MIN_CHARACTERS
+            self.by_characters = some[long]
+            self.characters = Runs(h[np.repeat(long, size)], np.cumsum(size[long]) - size[long], size[long])
+
+
+def _characters(raw: np.ndarray, begin: np.ndarray, stop: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the characters of the lines at these bytes, and how many each has.
+    White space counts only at ``blank``, and all white space is the same."""
+    i = spread(begin, stop - begin)
+    wide = np.concatenate([raw, np.zeros(3, np.uint8)])
+    is_blank = np.zeros(len(raw), bool)
+    is_blank[blank] = True
+    unit = (raw[i] & 0xC0) != 0x80
+    unit &= (SPACES[raw[i]] != 0) | is_blank[i]
+    size = np.diff(np.concatenate([[0], np.cumsum(unit)])[np.concatenate([[0], np.cumsum(stop - begin)])])
+    i = i[unit]
+    value, more = np.where(is_blank[i], 0, SPACES[raw[i]]).astype(U), np.ones(len(i), bool)
+    for k in (1, 2, 3):
+        more &= (wide[i + k] & 0xC0) == 0x80
+        value |= np.where(more, wide[i + k], 0).astype(U) << U(9 * k)
+    with np.errstate(over="ignore"):
+        return mix(value + U(1)), size
+
+
 def _bands(min_words: int, top: int) -> np.ndarray:
     out = [min_words]
     while out[-1] <= top:
@@ -94,30 +140,48 @@ def _bands(min_words: int, top: int) -> np.ndarray:
     return np.array(out)
 
 
-def _scan(min_words: int):
+def _halves(runs: Runs, low: int) -> list[pa.Array]:
+    """Keys of the first and the last half of each run in its own band, and in the
+    band below where the run is the shortest of its own."""
+    every, zero = np.arange(len(runs.size)), np.zeros(len(runs.size), np.int64)
+    lows = _bands(low, int(runs.size.max(initial=1)))
+    own = np.searchsorted(lows, runs.size, side="right") - 1
+    keys = []
+    for band, used in ((own, own >= 0), (np.maximum(own - 1, 0), (own > 0) & (runs.size == lows[own]))):
+        half = np.minimum(lows[band] // 2, runs.size)
+        with np.errstate(over="ignore"):
+            tag = band.astype(U) * U(0x165667B19E3779F9)
+            for side, key in enumerate((runs.part(0, every, zero, half), runs.part(0, every, runs.size - half, runs.size))):
+                key = mix(mix(key) + tag + U(side)).view(np.int64)
+                keys.append(pa.array(key, mask=~used))
+    return keys
+
+
+def _scan(min_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(iter([batch]), "text", SLICE_BYTES):
                 x = Lines(part.column("text"), min_words)
-                every, zero = np.arange(len(x.size)), np.zeros(len(x.size), np.int64)
-                h1, h2 = (mix(x.part(k, every, zero, x.size)).view(np.int64) for k in (0, 1))
-                lows = _bands(min_words, int(x.size.max(initial=1)))
-                own = np.searchsorted(lows, x.size, side="right") - 1
-                keys = []
-                for band, used in ((own, own >= 0), (np.maximum(own - 1, 0), (own > 0) & (x.size == lows[own]))):
-                    half = lows[band] // 2
-                    with np.errstate(over="ignore"):
-                        tag = band.astype(U) * U(0x165667B19E3779F9)
-                        for side, key in enumerate((x.part(0, every, zero, half), x.part(0, every, x.size - half, x.size))):
-                            key = mix(mix(key) + tag + U(side)).view(np.int64)
-                            keys.append(pa.array(key, mask=~used))
+                every, zero = np.arange(len(x.doc)), np.zeros(len(x.doc), np.int64)
+                h1, h2 = (mix(x.words.part(k, every, zero, x.words.size)).view(np.int64) for k in (0, 1))
+                keys = _halves(x.words, min_words or MIN_WORDS)
+                keys += [pa.nulls(len(x.doc), pa.int64())] * 2
+                if len(x.by_characters):
+                    # lines of MIN_WORDS words have no second key over words
+                    place = np.full(len(x.doc), -1)
+                    place[x.by_characters] = np.arange(len(x.by_characters))
+                    more = [k.take(pa.array(place, mask=place < 0)) for k in _halves(x.characters, MIN_CHARACTERS)]
+                    short = pa.array(x.words.size < MIN_WORDS)
+                    both = pa.array(x.words.size == MIN_WORDS)
+                    keys = [pc.if_else(short, a, pc.if_else(both, b, c)) for a, b, c in
+                            zip(more + keys[4:], keys[:2] + more, keys, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(pa.array(x.doc)), pa.array(x.line.astype(np.int32)), pa.array(x.size.astype(np.int32)),
-                     pa.array(h1), pa.array(h2), *keys], names=["doc", "line", "n", "h1", "h2", "p0", "s0", "p1", "s1"])
+                    [part.column("doc").take(pa.array(x.doc)), pa.array(x.line.astype(np.int32)), pa.array(x.words.size.astype(np.int32)),
+                     pa.array(h1), pa.array(h2), *keys], names=["doc", "line", "n", "h1", "h2", *KEYS])
     return run
 
 
-def _variants(min_words: int):
+def _variants(min_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([zstandard.decompress(t).decode() for t in batch.column("packed").to_pylist()], pa.string())
@@ -131,22 +195,29 @@ def _variants(min_words: int):
                         of.append(at[d, w["line"]])
                         sides.append(w["sides"])
             of, sides = np.array(of, np.int64), np.array(sides, np.int64)
-            if not len(of):
-                continue
-            lows = _bands(min_words, int(x.size.max(initial=1)))
-            band = np.searchsorted(lows, x.size[of], side="right") - 1
-            half = lows[np.where((x.size[of] == lows[band]) & (band > 0), band - 1, band)] // 2
-            first = np.where(sides & 2, 0, half)
-            last = np.where(sides & 1, x.size[of], x.size[of] - half)
-            many = np.repeat(of, last - first)
-            i = spread(first, last - first)
-            one, two = (np.concatenate([x.without(k, many, i), x.part(k, of, of * 0, x.size[of])]) for k in (0, 1))
-            line = np.concatenate([many, of])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(one).view(np.int64)), pa.array((mix(two) >> U(32)).astype(np.uint32).view(np.int32)),
-                 pa.array(np.concatenate([i, np.full(len(of), -1)]).astype(np.int32)),
-                 batch.column("doc").take(pa.array(x.doc[line])), pa.array(x.line[line].astype(np.int32))],
-                names=["k1", "k2", "at", "doc", "line"])
+            place = np.full(len(x.doc), -1)
+            place[x.by_characters] = np.arange(len(x.by_characters))
+            for runs, low, used, open_sides in ((x.words, min_words or MIN_WORDS, sides & 3, lambda s: of[s]),
+                                                (getattr(x, "characters", None), MIN_CHARACTERS, sides >> 2, lambda s: place[of[s]])):
+                some = np.flatnonzero(used)
+                if not len(some):
+                    continue
+                line, run_of, used = of[some], open_sides(some), used[some]
+                size = runs.size[run_of]
+                lows = _bands(low, int(runs.size.max(initial=1)))
+                band = np.searchsorted(lows, size, side="right") - 1
+                half = lows[np.where((size == lows[band]) & (band > 0), band - 1, band)] // 2
+                first = np.where(used & 2, 0, half)
+                last = np.where(used & 1, size, size - half)
+                many = np.repeat(run_of, last - first)
+                i = spread(first, last - first)
+                one, two = (np.concatenate([runs.without(k, many, i), runs.part(k, run_of, run_of * 0, size)]) for k in (0, 1))
+                line = np.concatenate([np.repeat(line, last - first), line])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(one).view(np.int64)), pa.array((mix(two) >> U(32)).astype(np.uint32).view(np.int32)),
+                     pa.array(np.concatenate([i, np.full(len(some), -1)]).astype(np.int32)),
+                     batch.column("doc").take(pa.array(x.doc[line])), pa.array(x.line[line].astype(np.int32))],
+                    names=["k1", "k2", "at", "doc", "line"])
     return run
 
 
@@ -157,11 +228,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.binary())).drop_columns(["text"])
 
 
-def near_lines(lines: DataFrame, first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+def near_lines(lines: DataFrame, first: DataFrame, docs: DataFrame, min_words: int | None) -> DataFrame:
     """``doc, line``: first places of the lines that are near an earlier one.
     ``lines`` has all lines, ``first`` the first place of each distinct one."""
-    keys = lines.select("h1", F.explode(F.array(*(F.struct(F.col(c).alias("key"), F.lit(side).alias("side"))
-                                                  for c, side in (("p0", 1), ("s0", 2), ("p1", 1), ("s1", 2))))).alias("k")).select("h1", "k.*").where("key is not null")
+    # sides 1 and 2 are halves over words, 4 and 8 those over characters
+    above = [F.lit(False)] * 3 if min_words else [F.col("n") < MIN_WORDS, F.col("n") <= MIN_WORDS, F.lit(True)]
+    keys = lines.select("h1", F.explode(F.array(*(F.struct(F.col(c).alias("key"), F.when(above[i // 2], 4 << i % 2).otherwise(1 << i % 2).alias("side"))
+                                                  for i, c in enumerate(KEYS)))).alias("k")).select("h1", "k.*").where("key is not null")
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
     open_lines = keys.join(shared.hint("merge"), "key", "left_semi").groupBy("h1").agg(F.bit_or("side").alias("sides"))
     wanted = (first.select("h1", "place.*").join(open_lines.hint("merge"), "h1").groupBy("doc")
@@ -199,14 +272,15 @@ def _cut(text: str, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated lines out of ``text``, and ``n_lines``, ``n_dropped``."""
+def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
+    """``docs`` with the repeated lines out of ``text``, and ``n_lines``, ``n_dropped``.
+    ``min_words`` leaves lines of fewer words alone; by default every line takes part."""
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType
     long, int_ = T.LongType(), T.IntegerType()
     found = materialize(rows.where("doc is not null").mapInArrow(_scan(min_words), T.StructType(
         [T.StructField("doc", kind), T.StructField("line", int_), T.StructField("n", int_)]
-        + [T.StructField(c, long) for c in ("h1", "h2", "p0", "s0", "p1", "s1")])), "lines")
+        + [T.StructField(c, long) for c in ("h1", "h2", *KEYS)])), "lines")
     place = F.struct("doc", "line")
     first = materialize(found.groupBy("h1", "h2", "n").agg(F.min(place).alias("place"), F.count("*").alias("copies")), "distinct_lines")
     near = near_lines(found, first, rows, min_words).withColumn("near", F.lit(True))

@@ -142,6 +142,57 @@ def test_lines(spark, tmp_path, min_words):
     assert any(a != b for a, b in zip(rows, want, strict=True))
 
 
+def near_at_any_length(a, b):
+    if min(len(a), len(b)) >= lines.MIN_WORDS:
+        return edit_at_most_one(a, b)
+    a, b = " ".join(a), " ".join(b)
+    return a == b or min(len(a), len(b)) >= lines.MIN_CHARACTERS and edit_at_most_one(a, b)
+
+
+def brute_all_lines(rows):
+    """``brute_lines`` without a limit: every line with a word takes part."""
+    by_id = {}
+    for d, t in rows:
+        if d is not None and t is not None:
+            by_id.setdefault(d, t)
+    earlier, gone = [], {}
+    for d in sorted(by_id):
+        for i, line in enumerate(by_id[d].split("\n")):
+            if w := split(line):
+                if any(near_at_any_length(w, e) for e in earlier):
+                    gone.setdefault(d, set()).add(i)
+                earlier.append(w)
+    return [(d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ()))) for d, t in rows]
+
+
+def test_short_and_unspaced_lines(spark, tmp_path):
+    rng = random.Random(11)
+    short = ["And.", "All rights reserved.", "Licensed under CC BY-NC 4.0.", "再配布は次の条件を満たす場合に限り許可されます以上です", "短い行",
+             "one two three four five six seven", "aa bb cc dd ee ff gg hh", "𝒳é𝒳é𝒳é𝒳é𝒳é𝒳é𝒳é𝒳é", "จำนวนบรรทัดที่ไม่มีช่องว่างเลยแม้แต่น้อย", "x" * 400]
+    rows = []
+    for d in range(120):
+        picked = []
+        for _ in range(rng.randrange(1, 7)):
+            c = list(rng.choice(short) if rng.random() < 0.8 else " ".join(words(rng, rng.randrange(1, 9), 3)))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                i = rng.randrange(len(c))
+                c[i:i + rng.randrange(2)] = rng.choice(["", " ", "z", "é", "行", "A", "\t "])
+            picked.append(rng.choice(["", "  "]) + "".join(c) + rng.choice(["", " \r", " "]))
+        rows.append((d, "\n".join(picked)))
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = lines.dedup_lines(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(brute_all_lines(rows))
+    docs, rows = documents(spark, tmp_path / "e", seed=3)
+    got = lines.dedup_lines(docs).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, brute_all_lines(rows)))
+
+
+def test_every_line_of_the_query(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = queries.op3_line_dedup(spark, sf).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(brute_all_lines(rows))
+
+
 def test_empty(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "e"))
     docs = spark.read.parquet(str(tmp_path / "e"))

@@ -13,6 +13,8 @@ a host that has a third of all pages. Null html gives an empty text, a null url
 stands for a host of its own. Ties go to the path that sorts first.
 
 Blocks are runs of text between block-level tags; a line break is white space.
+The contents of scripts, svg drawings and the like (RAW) are skipped up to their
+end tag, or to the end of the enclosing block where that comes first.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from concordat.session import materialize
 
 #: HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
+CODE = frozenset("script style textarea title iframe".split())  # no tag but their own end tag ends them
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -53,11 +56,16 @@ HEAD_TAGS = frozenset(["header"])
 #: longer paths go on from a hash of their beginning.
 DEEPEST, LONG_PATH = 512, 2000
 
+#: In an svg these hold HTML; elsewhere in it a block-level tag ends the svg.
+HOLDERS = frozenset("foreignobject desc title".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _BESIDE = re.compile(r"(?:has|with|no|without)[-_]")
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in RAW}
+_ANY = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>?""", re.S)
 
 
 class Page:
@@ -88,6 +96,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack, pieces, linked, links, at = [0], [], 0, 0, 0
+        endless: set[str] = set()
         flat: dict[str, int] = defaultdict(int)  # open elements too deep to stand on the stack
 
         def text(piece: str) -> None:
@@ -135,8 +144,8 @@ class Page:
                     del stack[here:]
                 continue
             if tag in RAW:
-                end = _END[tag].search(html, at)
-                at = end.end() if end else len(html)
+                if not _closes_itself(html, at, tag, m[3] or m[6] or ""):
+                    at = _after(html, at, tag, {self.tag[e] for e in stack} & BLOCKS, endless)
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -198,9 +207,9 @@ class Page:
 
     def text_of(self, roots: set[int]) -> str:
         """Blocks inside these elements without the boilerplate below them."""
-        kept, lists = [], defaultdict(lambda: [0, 0])
-        for e, text, linked in self.blocks:
-            inside, ok, heading, item = False, True, False, 0
+        kept = []
+        for e, text, _ in self.blocks:
+            inside, ok, heading = False, True, False
             for x in self._chain(e) or [0]:
                 if x in roots:
                     inside = True
@@ -210,14 +219,49 @@ class Page:
                     heading = True
                 if self.tag[x] in HEAD_TAGS and not heading:
                     ok = False
-                if self.tag[x] == "li" and not item:
-                    item = self.parent[x]
             if (inside or 0 in roots) and ok:
-                kept.append((text, item))
-                if item:
-                    lists[item][0] += 1
-                    lists[item][1] += linked >= len("".join(text.split()))
-        return "\n".join(t for t, item in kept if not (item and lists[item][0] >= 3 and lists[item][0] == lists[item][1]))
+                kept.append(text)
+        return "\n".join(kept)
+
+
+def _closes_itself(html: str, at: int, tag: str, rest: str) -> bool:
+    """Whether ``<tag rest>``, which ends at ``at``, has no contents."""
+    if not rest.rstrip().endswith("/"):
+        return False
+    after = None if tag == "svg" else _SAME[tag].search(html, at)
+    return not (after and after[1])
+
+
+def _after(html: str, at: int, tag: str, around: set[str], endless: set[str]) -> int:
+    """Where the page goes on after the contents of a RAW element: behind its end
+    tag, or before the end of a block ``around`` it if that comes first or no end
+    tag comes. ``endless`` keeps the tags whose end tags have all been passed."""
+    if tag in CODE and tag not in endless:
+        end = _END[tag].search(html, at)
+        if end:
+            return end.end()
+        endless.add(tag)
+    depth, same, held = defaultdict(int), 1, 0
+    for m in _ANY.finditer(html, at):
+        if not m[2]:
+            continue
+        name, closing, empty = m[2].lower(), bool(m[1]), m[3].rstrip().endswith("/")
+        if name == tag and tag not in CODE:
+            same += -1 if closing else not empty
+            if not same:
+                return m.end()
+        elif tag == "svg" and name in HOLDERS:
+            held += -1 if closing and held else not (closing or empty)
+        elif tag == "svg" and not held and not closing and name in BLOCKS:
+            return m.start()
+        elif name in around:
+            if not closing:
+                depth[name] = 1 if name in CLOSES else depth[name] + 1
+            elif depth[name]:
+                depth[name] -= 1
+            else:
+                return m.start()
+    return len(html)
 
 
 def votes(html: str) -> dict[str, int]:

@@ -56,6 +56,29 @@ def test_plain_text_and_truncation():
     assert webpages.extract("<html><body><article><p>One.</p><p><b>Two", None) == "One.\nTwo"
 
 
+@pytest.mark.parametrize(("inside", "want"), [
+    ('One <svg width="9" /> two.</p><p>Three.', "One two.\nThree."),
+    ("One <math/> two.</p><p>Three <svg><text>label</text></svg> four.", "One two.\nThree four."),
+    ("One <svg><g><text>label</text> two.</p><p>Three.</p><p>Four <svg/>five.", "One\nThree.\nFour five."),
+    ("One <svg><text>label</text><p>Two.", "One\nTwo."),
+    ("One <svg><foreignObject><div>label</div></foreignObject><svg/><text>label</text></svg> two.", "One two."),
+    ("One.</p><div><noscript><div>gone</div><p>gone</p><p>gone</p></div><p>Two.</p><noscript>gone</noscript><p>Three.", "One.\nTwo.\nThree."),
+    ("One.</p><div><script>var x = 1;</div><p>Two.", "One.\nTwo."),
+    ("One.</p><div><script>x = '</div>gone';</script><p>Two.</p></div><p>Three.", "One.\nTwo.\nThree."),
+    ('One.</p><iframe src="a"/><p>Two.</p><iframe>gone</iframe><p>Three.', "One.\nTwo.\nThree."),
+    ("The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds.", "The sum a+b holds."),
+    ("See <object data='x'><param name='a'>the film as prose</object> and <canvas>the drawing as prose</canvas>.", "See the film as prose and the drawing as prose."),
+    ("Sources:</p><ul>" + "".join(f'<li><a href="/{i}">Source {i}</a></li>' for i in range(3)) + "</ul><p>End.", "Sources:\nSource 0\nSource 1\nSource 2\nEnd."),
+    ('Text.</p><ul class="menu">' + '<li><a href="/">Link</a></li>' * 3 + "</ul><nav><ul>" + '<li><a href="/">Link</a></li>' * 3 + "</ul></nav><p>End.", "Text.\nEnd.")])
+def test_nothing_else_is_dropped(inside, want):
+    assert webpages.extract(f"<html><body><article><p>{inside}</p></article></body></html>", None) == want
+
+
+def test_many_open_elements_stay_fast():
+    for piece in ("<svg>", "<div><svg>x</div>", "<div><script></div>", "<iframe/>", "<noscript><p>"):
+        assert isinstance(webpages.extract(piece * 20_000, None), str)
+
+
 def test_hosts_agree(spark, tmp_path):
     """A page whose sidebar is longer than its article follows its host."""
     rng = random.Random(0)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from itertools import pairwise
 
 import numpy as np
@@ -163,6 +164,27 @@ def test_templates_against_brute_force(spark, tmp_path, threshold):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_wrapped_notices(spark, tmp_path):
+    """Notices wrapped as in source headers, at any width and place."""
+    rng, rows, want = random.Random(4), [], {}
+    for i, (label, t) in enumerate(licenses.NOTICES):
+        for j, width in enumerate((20, 40, 72, 10_000)):
+            body = textwrap.fill(t, width, break_long_words=False).replace("\n", rng.choice(["\n", "\n# ", "\n * ", "\r\n"]))
+            rows.append((10 * i + j, " ".join(words(rng, rng.randrange(300))) + f"\n/* {body} */\n" + " ".join(words(rng, 20))))
+            want[10 * i + j] = label
+    other = {1000: ("Licensed under CC BY 4.0", "cc-by-4.0"), 1001: ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0"), 1002: ("Licensed under CC BY-NC-SA 4.0", ""),
+             1003: ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+             1004: ("Released under the BSD License", ""), 1005: (" ".join(f"{w} {' '.join(words(rng, 9))}" for w in "released under the mit license".split()), ""), 1006: (None, "")}
+    rows += [(k, t) for k, (t, _) in other.items()]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    for k, label in want.items():
+        assert (label, 1.0) in {(x["label"], round(x["containment"], 9)) for x in got[k]["notices"]}, k
+    assert {k: ",".join({x["label"] for x in got[k]["notices"]}) for k in other} == {k: v for k, (_, v) in other.items()}
+    for r in queries.op6_license_scan(spark, str(tmp_path)).collect():
+        assert r["doc_id"] not in want or want[r["doc_id"]] in r["labels"].split(",") and r["score"] == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf, name):
     assert compare(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLES[name]) is None

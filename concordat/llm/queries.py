@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import chat, decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, sentencepieces, tokenfile, webpages
+from concordat.llm import chat, decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, quantised, sentencepieces, tokenfile, webpages
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -98,3 +98,9 @@ def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = webpages.main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_near_vectors", quantised.SQL)
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantised.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnsRenamed({"vec": "vec_id", "component": "component_id"})

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import chat, decontaminate, jaccard, langid, lempelziv, license_sql, licenses, lines, quantised, sentencepieces, tokenfile, webpages
+from concordat.llm import chat, decontaminate, divergence, jaccard, langid, lempelziv, license_sql, licenses, lines, quantised, sentencepieces, tokenfile, webpages
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -104,3 +104,8 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quantised.near_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumnsRenamed({"vec": "vec_id", "component": "component_id"})
+
+
+@query("op13_source_divergence", divergence.SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import chat, decontaminate, divergence, jaccard, langid, lempelziv, license_sql, licenses, lines, quantised, sentencepieces, tokenfile, webpages
+from concordat.llm import chat, decontaminate, divergence, jaccard, langid, lempelziv, license_sql, licenses, lines, prefixtrie, quantised, sentencepieces, tokenfile, webpages
 from concordat.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -109,3 +109,10 @@ def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_source_divergence", divergence.SQL)
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", prefixtrie.SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixtrie.trie(table(spark, sf_dir, "conversations"))
+    return found.withColumnsRenamed({"conv": "conv_id", "parent_conv": "parent_conv_id", "n": "n_convs", "children": "n_children",
+                                     "leaves": "n_leaves", "saved": "saved_tokens", "ends_sha": "ends_sha256"})

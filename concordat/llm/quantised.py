@@ -146,7 +146,8 @@ def candidates(cells: DataFrame) -> DataFrame:
         masks = F.array(*(F.array(F.lit(0), *(F.lit(1 << i) for i in range(w))) for _, w in cuts)).cast("array<array<bigint>>")
         probes = rows.select("label", "dim", "t", F.col("code").alias("a"), "part", F.explode(masks[F.col("t")]).alias("mask")).select(
             "label", "dim", "t", "a", F.col("part").bitwiseXOR(F.col("mask")).alias("part"))
-        met = probes.join(rows.withColumnRenamed("code", "b"), ["label", "dim", "t", "part"])
+        # neither side is small: what explode adds isn't in Spark's estimate, which would broadcast it
+        met = probes.join(rows.withColumnRenamed("code", "b").hint("merge"), ["label", "dim", "t", "part"])
         apart = F.col("a").bitwiseXOR(F.col("b"))
         near = lambda t: F.bit_count(part(apart, t)) <= 1  # noqa: B023, E731
         earlier = F.lit(False)

@@ -23,6 +23,7 @@ existing column with the name of an output is replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from concordat.llm.arrow import added, int_lists, partitions, slices, spread, with_columns
 
 MARK = "▁"
-BUNDLE_BYTES = 16_000_000
+BUNDLE_BYTES = 6_000_000
+#: Ids that a task keeps for words seen before.
+KNOWN_IDS = 4_000_000
 _BUNDLE, _CODES = "_llm_bundle", "_llm_codes"
 
 
@@ -88,13 +92,19 @@ def _cuttable(text: pa.Array) -> pa.Array:
     return pa.array(whole, pa.string())
 
 
-def _bundle(batch: pa.RecordBatch, text: str) -> tuple[bytes, pa.Array, np.ndarray, np.ndarray]:
-    """Name, distinct words, word numbers of all texts, and words per text."""
+def _place(number: int) -> bytes:
+    return f"{TaskContext.get().partitionId()} {number}".encode()
+
+
+def _bundle(batch: pa.RecordBatch, text: str, place: bytes = b"") -> tuple[bytes, pa.Array, np.ndarray, np.ndarray]:
+    """Name, distinct words, word numbers of all texts, and words per text. The
+    name covers the content and the bundle's place, so equal bundles stay apart."""
     words = pc.split_pattern(_cuttable(batch.column(text).cast(pa.string())), " ")
     coded = pc.dictionary_encode(words.flatten())
     lens = np.asarray(pc.fill_null(pc.list_value_length(words), 0), dtype=np.int64)
     codes = np.asarray(coded.indices, dtype=np.int64)
-    name = xxhash.xxh3_128(codes.astype("<u4").tobytes())
+    name = xxhash.xxh3_128(place)
+    name.update(codes.astype("<u4").tobytes())
     name.update(lens.tobytes())
     name.update("\n".join(coded.dictionary.to_pylist()).encode())
     return name.digest(), coded.dictionary, codes, lens
@@ -118,8 +128,8 @@ def _deal(words: pa.Array, parts: int) -> np.ndarray:
 
 def _words(text: str, parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, size):
-            name, words, _, _ = _bundle(batch, text)
+        for number, batch in enumerate(slices(batches, text, size)):
+            name, words, _, _ = _bundle(batch, text, _place(number))
             if not len(words):
                 continue
             part = _deal(words, parts)
@@ -139,12 +149,12 @@ def _segment(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
         mark = sp.piece_to_id(MARK)
-        part, known, ids, starts = None, {}, [], []
+        part, known, ids, starts = None, {}, array("i"), array("q")
         for batch in batches:
             rows = []
             for now, name, codes, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if now != part:
-                    part, known, ids, starts = now, {}, [], [0]
+                if now != part or len(ids) > KNOWN_IDS:
+                    part, known, ids, starts = now, {}, array("i"), array("q", [0])
                 words = zstandard.decompress(words).decode().split(" ")
                 new = [w for w in words if w not in known]
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
@@ -152,9 +162,9 @@ def _segment(model: bytes):
                     ids.extend(got if w else (mark,))
                     starts.append(len(ids))
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                first = np.fromiter((starts[i] for i in at), np.int64, len(at))
-                lens = np.fromiter((starts[i + 1] for i in at), np.int64, len(at)) - first
-                flat = np.fromiter((x for a, n in zip(first.tolist(), lens.tolist(), strict=True) for x in ids[a:a + n]), np.int64)
+                ends = np.array(starts, np.int64)
+                lens = ends[at + 1] - ends[at]
+                flat = np.array(ids, np.int32)[spread(ends[at], lens)].astype(np.int64)
                 rows.append((name, codes, pack(lens), pack(flat)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)],
                                              names=[_BUNDLE, _CODES, "lens", "ids"])
@@ -163,8 +173,8 @@ def _segment(model: bytes):
 
 def _texts(text: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, size):
-            name, _, codes, lens = _bundle(batch, text)
+        for number, batch in enumerate(slices(batches, text, size)):
+            name, _, codes, lens = _bundle(batch, text, _place(number))
             ends = np.cumsum(lens)
             packed = [pack(codes[a:b]) for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
             yield with_columns(batch, **{_BUNDLE: pa.array([name] * len(packed), pa.binary()),

@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from concordat.llm.arrow import int_lists, slices, spread
 from concordat.session import materialize, scratch_path
 
-SLICE_BYTES = 8_000_000
-COUNT_BYTES = 24_000_000
+SLICE_BYTES = 3_000_000
+COUNT_BYTES = 8_000_000
 BLOCK_IDS = 1 << 20
 #: White space but single blanks and line feeds, and characters whose class may differ between Unicode versions.
 _WHOLE = r"^\s|\s$|\s\s|[\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{10000}-\x{10ffff}]"
@@ -68,7 +68,7 @@ class Coded:
         self.odd = np.asarray(odd)
         lists = pc.split_pattern(text.filter(pa.array(~self.odd)), " ")
         coded = pc.dictionary_encode(lists.flatten())
-        self.codes, n = np.array(coded.indices, dtype=np.int64), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+        self.codes, n = np.array(coded.indices, dtype=np.int32), np.asarray(pc.list_value_length(lists), dtype=np.int64)
         self.first = np.cumsum(n) - n
         known = coded.dictionary
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), " ")[0].as_py()
@@ -83,7 +83,7 @@ class Coded:
         head_lens = np.array([len(h) for h in heads], np.int64)
         self.starts = np.concatenate([starts, len(flat) + np.cumsum(head_lens) - head_lens])
         self.lens = np.concatenate([lens, head_lens])
-        self.flat = np.concatenate([flat, np.array([i for h in heads for i in h], np.int64)])
+        self.flat = np.concatenate([flat, np.array([i for h in heads for i in h], np.int64)]).astype(np.int32)
         self.others = [e.ids for e in whole.encode_batch(text.filter(odd).to_pylist(), add_special_tokens=False)] if self.odd.any() else []
 
     def counts(self) -> np.ndarray:
@@ -104,7 +104,7 @@ class Coded:
             return ids, counts
         ends, pieces, k = np.cumsum(counts), [], 0
         for i, got in zip(np.flatnonzero(self.odd), self.others, strict=True):
-            pieces += [ids[k:ends[i]], np.array(got, np.int64)]
+            pieces += [ids[k:ends[i]], np.array(got, np.int32)]
             k = ends[i]
             counts[i] = len(got)
         return np.concatenate([*pieces, ids[k:]]), counts

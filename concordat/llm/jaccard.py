@@ -51,7 +51,9 @@ from concordat.session import materialize
 SLICE_BYTES = 4_000_000
 SKETCH = 256
 #: Keys of one range, which a task holds together.
-PART_KEYS = 4_000_000
+PART_KEYS = 1_000_000
+#: Bytes of texts whose sets a task keeps while it verifies.
+KNOWN_BYTES = 16_000_000
 _ALL = (1 << 64) - 1
 
 
@@ -216,13 +218,16 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> Iterator[pa.RecordBatch]:
         if not keys:
             return
-        key, c, first, new = _star(np.concatenate(keys), np.concatenate(firsts))
+        all_keys, members = np.concatenate(keys), np.concatenate(firsts)
+        keys.clear()
+        firsts.clear()
+        key, c, first, new = _star(all_keys, members)
+        del all_keys, members
         found = [np.stack([key[~new].view(np.int64), c[~new], first[~new]]), *pairs]
-        out = np.concatenate(found, axis=1)
-        for i in range(0, out.shape[1], 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out[:, i:i + 500_000]], names=["key", "c", "pivot"])
-        for x in (keys, firsts, pairs):
-            x.clear()
+        pairs.clear()
+        for out in found:
+            for i in range(0, out.shape[1], 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out[:, i:i + 500_000]], names=["key", "c", "pivot"])
 
     for batch in batches:
         for now, *packed, members in zip(*(batch.column(x).to_pylist() for x in ("part", *_PACKED)), strict=True):
@@ -242,13 +247,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, known = [], {}
+            keep, known, held = [], {}, 0
             for a, b, ca, cb in zip(*(batch.column(x).to_pylist() for x in ("text_a", "text_b", "a", "b")), strict=True):
                 pair = []
                 for c, t in ((ca, a), (cb, b)):
                     if (c, t) not in known:
-                        if len(known) > 2000:
-                            known.clear()
+                        held += 4 * len(t or "")
+                        if held > KNOWN_BYTES:
+                            known, held = {}, 0
                         s = next(sets_of(pa.RecordBatch.from_arrays([pa.array([t], pa.string())], names=["t"]), "t", words))
                         known[c, t] = s if identity(s)[0] == c else s[:0]
                     pair.append(known[c, t])

@@ -1,8 +1,8 @@
 """The pipeline on a small table, each stage against brute force on its input."""
 
 import corpus_pipeline as cp
-from concordat.llm import lines, queries
-from tests.llm.test_near import brute_components, brute_lines
+from concordat.llm import queries
+from tests.llm.test_near import brute_all_lines, brute_components
 
 
 def test_pipeline(spark, sf):
@@ -18,7 +18,7 @@ def test_pipeline(spark, sf):
     before, after = seen["language ID"]
     assert set(rows(after)) <= set(rows(before)) and after.count() > 0.95 * before.count()
     before, after = seen["line dedup"]
-    want = [(d, t) for (d, t), (_, old) in zip(brute_lines(rows(before), lines.MIN_WORDS), rows(before), strict=True) if t == old or t.strip(" ")]
+    want = [(d, t) for (d, t), (_, old) in zip(brute_all_lines(rows(before)), rows(before), strict=True) if t == old or t.strip(" ")]
     assert sorted(rows(after)) == sorted(want)
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
     before, after = seen["n-gram Jaccard join"]
@@ -30,5 +30,25 @@ def test_pipeline(spark, sf):
     before, after = seen["SentencePiece encoding and decoding"]
     decoded = cp.sentencepieces.decode(after, queries.PIECES).collect()
     assert len(decoded) == before.count() and all(r["decoded"] == r["text"] and r["ids"][-1] == 2 for r in decoded)
+    assert after.where("lossless").count() == before.count()
     got = cp.run(spark, sf)
-    assert sorted(rows(got)) == sorted(rows(after)) and got.columns == [*columns, "ids", "n_tokens"]
+    assert sorted(rows(got)) == sorted(rows(after)) and got.columns == [*columns, "ids", "n_tokens", "lossless"]
+
+
+def test_rows_with_equal_ids(spark, sf):
+    base = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(60))
+    rows = [(0, base), (0, base), (3, base + " more"), (3, other), (None, base), (None, base), (5, None), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component string")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(0, base), (3, other), (None, base), (None, base), (5, None), (6, ""), (7, None)], key=str)
+
+
+def test_odd_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("source", "ids")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, None, None, "s", 0), (2, "x" * 100_000, None, None, None)], docs.schema)
+    for rows in (docs.limit(0), odd, odd.unionByName(odd)):
+        rows = cp.materialize(rows, "odd")
+        for name, stage in cp.STAGES:
+            rows = cp.materialize(stage(spark, rows, sf), "t")
+            assert set(docs.columns) <= set(rows.columns) | {"ids"}, name

@@ -31,10 +31,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share four fifths of their five-word shingles, and of
-    all that such links join, the one with the smallest id stays."""
-    found = jaccard.link_sets(docs.select("doc_id", "text"), words=5, threshold=(80, 100))
-    gone = materialize(found.where("component <> doc").select(F.col("doc").alias("doc_id")).distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    all that such links join, the one with the smallest id stays. Rows are known
+    by id and text: of repeated rows one stays, and a row that shares only its
+    id with a copy isn't touched."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("t"))
+    rows = docs.withColumn("_row", row)
+    known = rows.where("doc_id is not null").select("_row", "text")
+    found = jaccard.link_sets(known, doc="_row", words=5, threshold=(80, 100)).select("doc", "component")
+    keys = lambda df, label: materialize(df.select(F.col("doc").alias("_row")).distinct(), label)
+    gone = keys(found.where("component <> doc"), "copies")
+    again = keys(found.groupBy("doc").count().where("count > 1"), "repeats")
+    kept = rows.join(gone, "_row", "left_anti")
+    once = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(again, "_row", "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids."""
-    return sentencepieces.encode(docs, PIECES, end_id=END_ID).withColumn("n_tokens", F.size("ids").cast("long"))
+    """The documents with their ids, and whether these give the text back."""
+    ids = sentencepieces.encode(docs, PIECES, end_id=END_ID)
+    both = sentencepieces.decode(ids, PIECES)
+    return both.withColumns({"n_tokens": F.size("ids").cast("long"), "lossless": F.col("decoded") == F.coalesce("text", F.lit(""))}).drop("decoded")
 
 
 STAGES = [

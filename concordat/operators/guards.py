@@ -13,10 +13,17 @@ class Refused(RuntimeError):
     """A guard refused to go on."""
 
 
+def live_rows(side: DataFrame) -> DataFrame:
+    """Entries that could be read; a tree's root is none."""
+    if "error" in side.columns:
+        side = side.where(F.col("error").isNull())
+    return side.where(F.col("path") != "") if "path" in side.columns else side
+
+
 def guard_empty_side(side: DataFrame, base: DataFrame, label: str) -> None:
-    """Refuse when a side has no rows although the base has (two probes that
+    """Refuse when a side has no live rows although the base has (two probes that
     stop at the first row)."""
-    if side.isEmpty() and not base.isEmpty():
+    if live_rows(side).isEmpty() and not live_rows(base).isEmpty():
         raise Refused(f"{label} is empty but the base is not; drop the base to start fresh")
 
 

@@ -233,7 +233,10 @@ def next_base(base: DataFrame, left: DataFrame, right: DataFrame, acts: DataFram
              .unionByName(_packed(_taken(acts, S.R2L, "l", "r", left.columns, right.columns, cfg), keys))
              .unionByName(_packed(_merged_rows(acts, "l", left.columns, keys), keys)))
     fresh = fresh.join(acts.select(*keys, "b"), keys)
-    value = lambda c: (F.coalesce(F.col("now.fp"), F.col("b.fp")) if c == "fp" and c in known
+    old_fp = F.col("b.fp") if "fp" in base.columns else F.lit(None)
+    if "kind" in known:  # what replaces a file has no use for its fingerprint
+        old_fp = F.when(F.col("now.kind").eqNullSafe(F.col("b.kind")), old_fp)
+    value = lambda c: (F.coalesce(F.col("now.fp"), old_fp) if c == "fp" and c in known
                        else F.col(f"now.{c}") if c in known else F.col(f"b.{c}"))
     return base.join(acts.select(*keys), keys, "left_anti").unionByName(
         fresh.select(*[value(c).alias(c) for c in base.columns]))

@@ -13,6 +13,7 @@ from concordat.config import LEFT, PlanConfig, UpdateConfig
 from concordat.functions import paths as P
 from concordat.functions import patterns as M
 from concordat.functions import props as PR
+from concordat.operators.tree import bind_subtrees
 
 SIDE_FIELDS = ["status", "kind", "prev_kind", "fp", "fp2", "prev_fp", "contents_changed",
                "props_changed", "props", "prev_props", "target", "error"]
@@ -77,8 +78,8 @@ def reconcile(u1: DataFrame, u2: DataFrame, keys: Sequence[str],
     """One row per key that changed on either side, with direction and reason.
 
     Keys that changed alike on both sides stay in the plan as ``equal``. For
-    listings, a directory that one side deleted while the other changed
-    something below it is one conflict with all that lies below.
+    listings, what lies below a disputed or unreadable directory shares its fate
+    (:func:`concordat.operators.tree.bind_subtrees`).
     """
     paired = pair_updates(u1, u2, keys)
     if not cfg.compare_dir_props:
@@ -98,32 +99,12 @@ def reconcile(u1: DataFrame, u2: DataFrame, keys: Sequence[str],
         .otherwise(S.CONFLICT))
     reason = F.when(F.col("direction") == S.CONFLICT, F.when(
         both_dirs, "properties changed on both sides").otherwise(conflict_reason()))
-    decided = paired.withColumn("direction", direction).withColumn("reason", reason)
+    decided = paired.withColumn("direction", direction).withColumn("reason", reason).withColumn("problem", problem)
     if list(keys) == ["path"]:
-        decided = _deleted_against_changed(decided)
+        decided = bind_subtrees(decided, DELETED_AGAINST_MODIFIED)
     return (decided.withColumn("default_direction", F.col("direction"))
             .withColumn("default_reason", F.col("reason"))
-            .withColumn("problem", problem))
-
-
-def _deleted_against_changed(decided: DataFrame) -> DataFrame:
-    """Rows in and below a directory that one side deleted become conflicts if
-    the other side changed anything below it. Only the changed rows' ancestors
-    meet the deleted directories, and only planned rows are looked at."""
-    gone = F.array_compact(F.array(*[
-        F.when((F.col(f"{s}.kind") == "absent") & (F.col(f"{s}.prev_kind") == "directory"), F.lit(s)) for s in ("left", "right")]))
-    dead = decided.select("path", F.explode(gone).alias("side"))
-    changed = F.array_compact(F.array(*[
-        F.when(F.col(o).isNotNull() & (F.col(f"{o}.kind") != "absent"), F.lit(s)) for s, o in (("left", "right"), ("right", "left"))]))
-    below = decided.select(F.explode(P.ancestors(P.parent(F.col("path")))).alias("path"), changed.alias("sides")).select(
-        "path", F.explode("sides").alias("side")).distinct()
-    roots = dead.join(below, ["path", "side"], "left_semi").select("path").distinct()
-    inside = (decided.select("path", F.explode(P.ancestors(F.col("path"))).alias("_above"))
-              .join(roots.withColumnRenamed("path", "_above"), "_above", "left_semi").select("path").distinct())
-    hit = F.col("_hit").isNotNull() & ~F.col("direction").isin(S.PROBLEM, S.EQUAL)
-    return (decided.join(inside.withColumn("_hit", F.lit(True)), "path", "left")
-            .withColumn("reason", F.when(hit, F.coalesce("reason", F.lit(DELETED_AGAINST_MODIFIED))).otherwise(F.col("reason")))
-            .withColumn("direction", F.when(hit, S.CONFLICT).otherwise(F.col("direction"))).drop("_hit"))
+            .select(*keys, "left", "right", "direction", "reason", "default_direction", "default_reason", "problem"))
 
 
 def _without_dir_noise(paired: DataFrame) -> DataFrame:

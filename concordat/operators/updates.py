@@ -12,6 +12,7 @@ from concordat.config import UpdateConfig
 from concordat.functions import fingerprints as FP
 from concordat.functions import paths as P
 from concordat.functions import props as PR
+from concordat.operators.tree import covers_all
 from concordat.session import materialize
 
 
@@ -104,7 +105,7 @@ def detect_updates(current: DataFrame, base: DataFrame, keys: Sequence[str],
 
 def shield_unread(found: DataFrame, current: DataFrame) -> DataFrame:
     """What the base has below a directory that could not be read counts as not
-    read, never as deleted."""
+    read, never as deleted. Where the root couldn't be read, that is everything."""
     if "path" not in current.columns or "error" not in current.columns:
         return found
     unread = materialize(current.where(F.col("error").isNotNull() & (F.col("kind") != "file"))
@@ -113,6 +114,8 @@ def shield_unread(found: DataFrame, current: DataFrame) -> DataFrame:
     below = (gone.select("path", F.explode(P.ancestors(P.parent(F.col("path")))).alias("_above"))
              .join(unread, "_above").groupBy("path").agg(F.min("_above").alias("_above")))
     hit = F.col("_above").isNotNull() & (F.col("status") == S.DELETED)
+    if covers_all(unread):
+        below = gone.select("path", F.lit("").alias("_above")).where(F.col("path") != "")
     return (found.join(below, "path", "left")
             .withColumn("error", F.when(hit, F.concat(F.lit("cannot read directory "), "_above")).otherwise(F.col("error")))
             .withColumn("status", F.when(hit, S.ERROR).otherwise(F.col("status"))).drop("_above"))
@@ -179,7 +182,8 @@ def detect_remote_updates(remote: DataFrame, base: DataFrame,
 
 def apply_updates(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fold accepted updates into the base: deleted keys go, new content
-    replaces the entry, property changes keep the fingerprint."""
+    replaces the entry, property changes keep the fingerprint. Columns that are
+    no state keep the base's value; new keys have none."""
     u = updates.where(F.col("error").isNull())
     kept = base.join(u.select(*keys), list(keys), "left_anti")
     live = u.where(F.col("status") != S.DELETED)
@@ -189,6 +193,8 @@ def apply_updates(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> D
         "target": F.col("target"), "error": F.lit(None).cast("string"),
         **{f.name: F.col(f"props.{f.name}") for f in S.PROPS},
     }
-    have = [c for c in base.columns if c in cols]
-    folded = live.select(*keys, *[cols[c].alias(c) for c in have])
-    return kept.select(*keys, *have).unionByName(folded)
+    payload = [c for c in base.columns if c not in cols and c not in keys]
+    if payload:
+        live = live.join(base.select(*keys, F.struct(*payload).alias("_payload")), list(keys), "left")
+    value = lambda c: cols[c] if c in cols else F.col(f"_payload.{c}") if c in payload else F.col(c)
+    return kept.unionByName(live.select(*[value(c).alias(c) for c in base.columns]))

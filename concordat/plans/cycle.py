@@ -20,6 +20,7 @@ from concordat.operators import reconcile as R
 from concordat.operators.listings import atomic_groups, follow_links, prune_ignored, select_paths
 from concordat.operators.merge import three_way_merge
 from concordat.operators.snapshots import check_keys
+from concordat.operators.tree import hold_back, without_lost
 from concordat.operators.updates import detect_updates, shield_unread
 from concordat.session import materialize
 
@@ -111,10 +112,15 @@ def commit(left: DataFrame, right: DataFrame, base: DataFrame, plan: DataFrame,
                                  cfg.plan.merge_rules, cfg.plan.merge_mtime, cfg.plan.merge_strategies)
     done = A.results(plan, keys, cfg.apply, merged, failures)
     done = materialize(A.error_budget(done, keys, cfg.apply.max_errors, cfg.plan.sort_mode), "results")
+    listings = keys == ["path"] and all("kind" in t.columns for t in (left, right, base))
+    if listings:
+        done = hold_back(plan, done, left, right)
     save = G.may_save_base({r["outcome"]: r["n"] for r in A.result_counts(done).collect()})  # at most three rows
     acts = A.act_rows(left, right, base, plan, done, keys, merged)
     new_left, new_right = A.apply_plan(left, right, acts, keys, cfg.apply)
     new_base = A.next_base(base, left, right, acts, keys, cfg.apply) if save else base
+    if save and listings and (cfg.ignore or cfg.ignore_not or cfg.paths):
+        new_base = without_lost(new_base, acts)
     sync_id = sync_id or uuid.uuid4().hex
     now = F.lit(datetime.now(UTC).isoformat()).cast("timestamp")
     backups = None

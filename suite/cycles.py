@@ -13,6 +13,7 @@ from concordat.operators import guards as G
 from concordat.operators import propagate as A
 from concordat.operators import reconcile as R
 from concordat.operators.snapshots import snapshot_table
+from concordat.operators.tree import orphans
 from concordat.plans.cycle import commit, dry_run, make_plan, sync
 from concordat.session import materialize, scratch_path
 from concordat.sources import stores
@@ -62,6 +63,98 @@ def _(spark, d):
     return make_plan(left, base, base, JobConfig()).select("path", "direction")
 
 
+def _in(folder: str):
+    return F.col("path").rlike(f"^{folder}(/|$)")
+
+
+def _as_file(base, folder: str):
+    """The tree with a directory replaced by a file of its name."""
+    here = F.col("path") == folder
+    kept = base.where(~F.col("path").startswith(f"{folder}/"))
+    return kept.withColumns({"kind": F.when(here, "file").otherwise(F.col("kind")), "length": F.when(here, F.lit(9).cast("long")).otherwise(F.col("length")),
+                             "fp": F.when(here, F.md5(F.lit("now a file"))).otherwise(F.col("fp"))})
+
+
+@query("type_conflict_subtree", _DOCS + """
+select path, 'conflict' as direction, 'type changed on both sides' as reason from docs where dir = 'fr/src3'
+union all select distinct dir, 'conflict', 'type changed on both sides' from docs where dir = 'fr/src3'""")
+def _(spark, d):
+    """A new file on the left, a new directory of the same name on the right:
+    what lies in the directory isn't copied to below the file."""
+    tree, _ = _tree(spark, d)
+    base, left = tree.where(~_in("fr/src3")), _as_file(tree, "fr/src3")
+    return make_plan(left, tree, base, JobConfig()).select("path", "direction", "reason")
+
+
+@query("dir_became_file", _DOCS + """,
+hot as (select count(*) > 0 as hot from docs where dir = 'de/src2' and doc_id%10 = 0)
+select path, case when dir <> 'de/src2' then 'r2l' when hot then 'conflict' else 'l2r' end as direction,
+  case when dir = 'de/src2' and hot then 'deleted on one side, modified on other' end as reason
+from docs, hot where dir = 'de/src2' or doc_id%10 = 0
+union all select distinct dir, case when hot then 'conflict' else 'l2r' end,
+  case when hot then 'deleted on one side, modified on other' end from docs, hot where dir = 'de/src2'""")
+def _(spark, d):
+    """The left side turned a directory into a file, the right side edited every
+    tenth file."""
+    base, right = _tree(spark, d)
+    return make_plan(_as_file(base, "de/src2"), right, base, JobConfig()).select("path", "direction", "reason")
+
+
+@query("no_orphans", _DOCS + """,
+gone as (select count(*) as n, count(case when path like '%7.txt' then 1 end) as kept from docs where dir = 'en/src1'),
+whole as (select (select count(*) from docs) + (select count(distinct dir) from docs) + (select count(distinct split_part(dir, '/', 1)) from docs) as n),
+hot as (select count(*) as n, count(case when doc_id%10 = 0 and path not like '%7.txt' then 1 end) as edited from docs where dir = 'de/src2')
+select 'left' as side, 0 as n_orphans, whole.n - gone.n - (gone.n > 0)::int - hot.n as n_rows from whole, gone, hot
+union all select 'right', 0, whole.n - gone.n + gone.kept - (gone.n > 0 and gone.kept = 0)::int
+  - case when hot.edited > 0 or hot.n = 0 then 0 else hot.n - (select count(*) from docs where dir = 'de/src2' and path like '%7.txt') end from whole, gone, hot
+union all select 'base', 0, whole.n - gone.n + gone.kept - (gone.n > 0 and gone.kept = 0)::int
+  - case when hot.edited > 0 or hot.n = 0 then 0 else hot.n - (select count(*) from docs where dir = 'de/src2' and path like '%7.txt') end from whole, gone, hot""")
+def _(spark, d):
+    """A whole cycle in which the left side deleted one directory, of which the
+    right side keeps ignored files, and turned another into a file: every entry
+    of the new tables lies in a directory."""
+    base, right = _tree(spark, d)
+    left = _as_file(base.where(~_in("en/src1")), "de/src2")
+    out = sync(left, right, base, JobConfig(ignore=("Name *7.txt",)))
+    rows = None
+    for side, table_ in (("left", out.left), ("right", out.right), ("base", out.base)):
+        table_ = materialize(table_, side)
+        lost = orphans(table_).agg(F.count("*")).scalar()
+        row = table_.agg(F.count("*").alias("n_rows")).select(F.lit(side).alias("side"), lost.alias("n_orphans"), "n_rows")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query("unreadable_root", _DOCS + """
+select path, 'problem' as direction from docs union all select distinct dir, 'problem' from docs
+union all select distinct split_part(dir, '/', 1), 'problem' from docs union all select '', 'problem'""")
+def _(spark, d):
+    """The root of one side could not be read: nothing counts as deleted."""
+    base, _ = _tree(spark, d)
+    root = spark.createDataFrame([("", "directory", "permission denied")], "path string, kind string, error string")
+    left = base.limit(0).unionByName(root, allowMissingColumns=True)
+    return make_plan(left, base, base, JobConfig()).select("path", "direction")
+
+
+@query("guard_empty_side", """
+select 'no rows' as side, count(*) > 0 as refused from documents union all select 'only an error', count(*) > 0 from documents
+union all select 'only the root', count(*) > 0 from documents union all select 'one entry', count(*) < 0 from documents""")
+def _(spark, d):
+    """Which sides the guard refuses against the tree of documents as base."""
+    base, _ = _tree(spark, d)
+    entry = lambda path, error: base.limit(0).unionByName(spark.createDataFrame(
+        [(path, "directory", error)], "path string, kind string, error string"), allowMissingColumns=True)
+    sides = {"no rows": base.limit(0), "only an error": entry("", "permission denied"), "only the root": entry("", None), "one entry": entry("en", None)}
+    found = []
+    for name, side in sides.items():
+        try:
+            G.guard_empty_side(side, base, name)
+            found.append((name, False))
+        except G.Refused:
+            found.append((name, True))
+    return spark.createDataFrame(found, "side string, refused boolean")
+
+
 @query("forced_deletions", ORDERS_PLAN_SQL + """
 select 'l2r' as direction, count(*) as n_deleted from p
 where d <> 'equal' and ((ls = 'deleted' and rs <> 'deleted') or (ls = 'unchanged' and rs = 'created'))""")

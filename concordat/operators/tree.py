@@ -10,11 +10,14 @@ tables meet them in joins on one column.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
 from concordat.functions import paths as P
+from concordat.functions.patterns import any_of
 from concordat.session import materialize
 
 ABSENT, DIRECTORY = "absent", "directory"
@@ -162,6 +165,34 @@ def without_lost(new_base: DataFrame, acts: DataFrame) -> DataFrame:
     return new_base if freed.isEmpty() else new_base.join(below(new_base, freed).select("path"), "path", "left_anti")
 
 
+def deciding_paths(touched: DataFrame, *tables: DataFrame, atomic: Sequence[str] = ()) -> DataFrame | None:
+    """All paths that a plan must look at so that it decides the ``touched`` ones
+    as a plan over everything would; None means everything.
+
+    These are the touched paths, their ancestors, and what lies below each of
+    them that isn't the same plain directory in all ``tables`` (deleted, new,
+    turned into something else, unreadable), or is decided as one group."""
+    touched = touched.select("path").distinct()
+    near = materialize(touched.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct(), "near")
+    if not touched.where("path = ''").isEmpty():
+        return None
+    seen = None
+    for t in tables:
+        good = F.lit(True) if "error" not in t.columns else F.col("error").isNull()
+        if not t.where((F.col("path") == "") & ~good).isEmpty():
+            return None
+        rows = t.join(near, "path", "left_semi").select("path", (F.col("kind") == DIRECTORY).alias("dir"), good.alias("good"))
+        seen = rows if seen is None else seen.unionByName(rows)
+    known = seen.groupBy("path").agg(F.count(F.when(F.col("dir") & F.col("good"), 1)).alias("plain"), F.bool_or("dir").alias("dir"))
+    open_ = known.where(F.col("dir") & ((F.col("plain") < len(tables)) | any_of(F.col("path"), atomic))).select(F.col("path").alias("_above"))
+    open_ = materialize(open_, "open")
+    found = near
+    if not open_.isEmpty():
+        for t in tables:
+            found = found.unionByName(below(t.select("path"), open_).select("path"))
+    return materialize(found.distinct(), "deciding")
+
+
 def orphans(listing: DataFrame) -> DataFrame:
     """Rows whose parent is no directory row of the listing; top-level entries
     lie in the root, which needs no row."""

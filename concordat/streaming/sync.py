@@ -2,114 +2,63 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
 from dataclasses import replace
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from concordat.config import JobConfig
 from concordat.operators.guards import guard_empty_side
+from concordat.operators.tree import deciding_paths
 from concordat.plans.cycle import sync
-from concordat.session import scratch_scope
-from concordat.sources.stores import append_history
-
-TABLES = ("left", "right", "base")
-_POINTER = "name string, slice int, version string, seq long"
-
-
-class SlicedStore:
-    """The three tables of a pair of replicas, stored in slices by key hash.
-
-    New slices are written beside the old ones. One appended pointer file then
-    switches all of them, in all three tables, at once: a job that dies before
-    that leaves the old state, and no data file is ever overwritten.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], slices: int):
-        self.spark, self.root, self.keys, self.slices = spark, root.rstrip("/"), list(keys), slices
-
-    def slice_of(self) -> Column:
-        """By the keys as text, so that a key has one slice whatever its integer type."""
-        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.slices)).cast("int")
-
-    def _current(self) -> list:
-        """Latest pointer of every slice: at most three times the slices."""
-        pointers = self.spark.read.schema(_POINTER).parquet(f"{self.root}/pointers")
-        return (pointers.groupBy("name", "slice")
-                .agg(F.max_by("version", "seq").alias("version"), F.max("seq").alias("seq")).collect())
-
-    def read(self, name: str, slices: Sequence[int] | None = None) -> DataFrame:
-        """A table, or some of its slices; other slices are not even listed."""
-        leaves = [f"{self.root}/data/{p['version']}/{name}/slice={p['slice']}" for p in self._current()
-                  if p["name"] == name and p["version"] and (slices is None or p["slice"] in slices)]
-        schema = self.spark.read.json(f"{self.root}/schema/{name}", schema="ddl string").first()["ddl"]
-        if not leaves:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*leaves)
-
-    def create(self, **tables: DataFrame) -> None:
-        for name, df in tables.items():
-            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-            self.spark.createDataFrame([(ddl,)], "ddl string").coalesce(1).write.json(f"{self.root}/schema/{name}")
-        self._publish(tables, range(self.slices), 0)
-
-    def replace_slices(self, slices: Sequence[int], **tables: DataFrame) -> None:
-        """Replace exactly these slices; one that got no rows becomes empty."""
-        self._publish(tables, slices, 1 + max(p["seq"] for p in self._current()))
-
-    def _publish(self, tables: dict[str, DataFrame], slices: Sequence[int], seq: int) -> None:
-        version, rows = uuid.uuid4().hex, []
-        for name, df in tables.items():
-            path = f"{self.root}/data/{version}/{name}"
-            (df.withColumn("slice", self.slice_of()).repartition("slice")
-             .write.partitionBy("slice").parquet(path))
-            written = self.spark.read.schema("slice int").parquet(path).distinct()
-            filled = {r["slice"] for r in written.collect()}  # at most the slices
-            rows += [(name, s, version if s in filled else None, seq) for s in slices]
-        (self.spark.createDataFrame(rows, _POINTER).coalesce(1).write.mode("append")
-         .parquet(f"{self.root}/pointers"))
+from concordat.session import materialize, scratch_scope
+from concordat.sources.stores import ReplicaStore
 
 
 class SyncOnChange:
-    """``foreachBatch`` sink: reconcile the slices that a batch of change
-    events touches. Micro-batches run one after another, so changes that
-    arrive meanwhile are in the next one; a repeated batch finds its work done
-    and changes nothing.
-
-    Options under which a key's fate depends on others (atomic directories,
-    followed links) make every cycle read all slices. Deletions are counted
-    against the whole sides. Records and entries of the cycles go to
-    ``history`` below the store's root."""
-
-    def __init__(self, store: SlicedStore, cfg: JobConfig):
-        self.store = store
-        # A slice may well be emptied; whether a whole side is, run() asks.
-        self.cfg = replace(cfg, guard_empty=False)
-        self.whole = bool(cfg.follow or cfg.plan.atomic)
+    """``foreachBatch`` sink: reconcile what a batch of change events touches.
+
+    A cycle reads the touched keys and all that decides with them
+    (:func:`concordat.operators.tree.deciding_paths`), so it does what a cycle
+    over everything would do for them. Followed links make every cycle read
+    everything. Micro-batches run one after another, so changes that arrive
+    meanwhile are in the next one. Tables, history, backups and the batch's number
+    are published together: a batch that is repeated after a crash either
+    finds nothing published or is left out.
+
+    Events must name every key whose row on a side has changed. Empty sides and
+    deletions are judged against the whole sides."""
+
+    def __init__(self, store: ReplicaStore, cfg: JobConfig, stream: str = "changes"):
+        self.store, self.stream = store, stream
+        self.cfg = replace(cfg, guard_empty=False)  # a part may well be empty; whether a side is, run() asks
         self.guard = cfg.guard_empty
         self.rounds = 0
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
-        touched = [r[0] for r in events.select(self.store.slice_of()).distinct().collect()]  # <= slices
-        if touched:
-            self.run(None if self.whole else touched)
+        if self.store.done(self.stream, batch_id):
+            return
+        with scratch_scope(self.store.spark):
+            touched = materialize(events.select(*self.store.keys).distinct(), "touched")
+            if not touched.isEmpty():
+                self.run(touched, batch_id)
 
-    def run(self, touched: Sequence[int] | None = None) -> None:
-        """One cycle over the touched slices, or over everything (the initial
-        sync)."""
+    def run(self, touched: DataFrame | None = None, batch_id: int | None = None) -> None:
+        """One cycle over the touched keys, or over everything (the initial sync)."""
+        left, right, base = (self.store.read(name) for name in self.store.TABLES)
         if self.guard:
-            base = self.store.read("base")
-            guard_empty_side(self.store.read("left"), base, "left")
-            guard_empty_side(self.store.read("right"), base, "right")
+            guard_empty_side(left, base, "left")
+            guard_empty_side(right, base, "right")
         with scratch_scope(self.store.spark):
-            out = sync(*(self.store.read(name, touched) for name in TABLES), self.cfg,
-                       counted=(self.store.read("left"), self.store.read("right")))
-            append_history(out.record, out.entries, f"{self.store.root}/history")
-            self.store.replace_slices(range(self.store.slices) if touched is None else touched,
-                                      left=out.left, right=out.right, base=out.base)
+            looked_at = None if self.cfg.follow else touched
+            if looked_at is not None and self.store.keys == ["path"]:
+                looked_at = deciding_paths(looked_at, left, right, base, atomic=self.cfg.plan.atomic)
+            parts = (left, right, base)
+            if looked_at is not None:
+                parts = tuple(t.join(looked_at, self.store.keys, "left_semi") for t in parts)
+            out = sync(*parts, self.cfg, counted=(left, right), sync_id=f"{datetime.now(UTC):%Y%m%dT%H%M%S.%f}")
+            self.store.publish(out, looked_at, None if batch_id is None else self.stream, batch_id)
         self.rounds += 1
 
 
@@ -117,6 +66,7 @@ def sync_on_change(events: DataFrame, sink: SyncOnChange, checkpoint: str,
                    **trigger) -> StreamingQuery:
     """Initial sync, then a cycle per batch of changes."""
     sink.run()
+    sink.stream = checkpoint
     return (events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

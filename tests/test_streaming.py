@@ -1,12 +1,18 @@
 """Continuous runs over small event files."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from concordat.config import JobConfig
+from concordat.config import BackupConfig, JobConfig, PlanConfig
+from concordat.operators.guards import Refused
 from concordat.operators.propagate import replicas_equal
+from concordat.sources.stores import ReplicaStore
 from concordat.streaming import changes as CH
-from concordat.streaming.sync import SlicedStore, SyncOnChange, sync_on_change
+from concordat.streaming.sync import SyncOnChange, sync_on_change, sync_repeat
 from tests.test_plan import listing, row, rows_of
+from tests.test_tree import forests, frame
 
 EVENT = "path string, action string, ts timestamp, replica int"
 
@@ -54,7 +60,7 @@ def test_late_events_are_dropped(spark, tmp_path):
 
 
 def test_sync_on_change(spark, tmp_path):
-    store = SlicedStore(spark, str(tmp_path / "store"), ["path"], 4)
+    store = ReplicaStore(spark, str(tmp_path / "store"), ["path"])
     rows = [row(f"p{i}") for i in range(20)]
     store.create(left=listing(spark, *rows, row("new", "n")), right=listing(spark, *rows), base=listing(spark, *rows))
     sink = SyncOnChange(store, JobConfig())
@@ -65,7 +71,7 @@ def test_sync_on_change(spark, tmp_path):
     hit = F.col("path") == "p3"
     edited = store.read("right").withColumns({
         "fp": F.when(hit, "edited").otherwise(F.col("fp")), "length": F.when(hit, 9).otherwise(F.col("length"))})
-    store.replace_slices(range(4), right=edited, left=store.read("left").where("path <> 'p4'"))
+    store.put(right=edited, left=store.read("left").where("path <> 'p4'"))
     src = str(tmp_path / "events")
     ev = events(spark, ("p3", "modified", "2024-01-01"), ("p4", "deleted", "2024-01-01"))
     ev.coalesce(1).write.parquet(src)
@@ -78,36 +84,67 @@ def test_sync_on_change(spark, tmp_path):
     assert dict(rows_of(store.read("base"), "path", "fp")) == got
 
 
-def test_emptied_slice_is_not_an_emptied_side(spark, tmp_path):
-    import pytest
-
-    from concordat.operators.guards import Refused
-    store = SlicedStore(spark, str(tmp_path / "store"), ["path"], 2)
+def test_guards_look_at_whole_sides(spark, tmp_path):
+    store = ReplicaStore(spark, str(tmp_path / "store"), ["path"])
     df = listing(spark, *[row(f"p{i}") for i in range(10)])
-    kept = df.where(store.slice_of() == 0)
-    store.create(left=kept, right=df, base=df)
+    store.create(left=df.where("path <> 'p1'"), right=df, base=df)
     sink = SyncOnChange(store, JobConfig())
-    sink.run([1])
-    assert store.read("right").count() == store.read("base").count() == kept.count()
-    store.replace_slices([0, 1], left=df.where("false"))
+    sink.run(spark.createDataFrame([("p1",)], "path string"))
+    assert store.read("right").count() == store.read("base").count() == 9
+    store.put(left=df.where("false"))
     with pytest.raises(Refused):
-        sink.run([0])
-
-
-def test_slices(spark, tmp_path):
-    store = SlicedStore(spark, str(tmp_path / "t"), ["path"], 2)
-    df = listing(spark, *[row(f"p{i}") for i in range(10)])
-    store.create(left=df)
-    in_slice = df.where(store.slice_of() == 0).count()
-    assert store.read("left", [0]).count() == in_slice and store.read("left").count() == 10
-    before = store.read("left")
-    # Data written by a job that died before its pointers changes nothing.
-    df.limit(1).write.parquet(str(tmp_path / "t" / "data" / "dead" / "left" / "slice=0"))
-    assert store.read("left").count() == 10
-    store.replace_slices([1], left=df.where("false"))
-    assert store.read("left").count() == in_slice and before.count() == 10
-    store.replace_slices([0], left=df.where("false"))
-    assert store.read("left").isEmpty() and store.read("left").schema.names == df.schema.names
+        sink.run(spark.createDataFrame([("p2",)], "path string"))
+
+
+def with_errors(rng, tree):
+    """Some directories that could not be read: their rows say so, what lies in
+    them is missing."""
+    bad = [p for p, v in tree.items() if v is None and "/" in p and rng.random() < 0.1]
+    kept = {p: v for p, v in tree.items() if not any(p.startswith(b + "/") for b in bad)}
+    return kept, [b for b in bad if b in kept]
+
+
+@pytest.mark.parametrize("cfg", [JobConfig(), JobConfig(ignore=("Name c",), plan=PlanConfig(atomic=("Name a",)))])
+def test_touched_runs_equal_full_runs(spark, tmp_path, cfg):
+    rng = random.Random(9)
+    base_tree, *sides = forests(31, 80)
+    base, frames, marked = frame(spark, base_tree), [], set()
+    for tree in sides:
+        kept, bad = with_errors(rng, tree)
+        marked |= set(bad) | (set(tree) - set(kept))
+        frames.append(frame(spark, kept).withColumn("error", F.when(F.col("path").isin(bad), "denied")))
+    changed = {p for tree in sides for p in {*tree, *base_tree} if tree.get(p, 0) != base_tree.get(p, 0)} | marked
+    stores = [ReplicaStore(spark, str(tmp_path / n), ["path"]) for n in ("full", "touched")]
+    for store in stores:
+        store.create(left=frames[0], right=frames[1], base=base)
+    SyncOnChange(stores[0], cfg).run()
+    sink = SyncOnChange(stores[1], cfg)
+    half = {p for p in changed if int(p.split("/")[0][1:]) % 2}
+    for batch, part in enumerate((half, changed - half)):
+        sink(spark.createDataFrame([(p,) for p in part], "path string"), batch)
+    sink(spark.createDataFrame([(p,) for p in half], "path string"), 1)  # a repeated batch
+    assert sink.rounds == 2
+    for name in ReplicaStore.TABLES:
+        full, part = (sorted(map(str, s.read(name).select("path", "kind", "fp", "error").collect())) for s in stores)
+        assert full == part, name
+
+
+def test_history_and_backups_are_pruned_with_the_tables(spark, tmp_path):
+    df = listing(spark, *[row(f"p{i}") for i in range(5)])
+    store = ReplicaStore(spark, str(tmp_path / "s"), ["path"], keep_records=3, keep_copies=2, fold_sets=2)
+    store.create(left=df, right=df, base=df)
+    sink = SyncOnChange(store, JobConfig(backup=BackupConfig()))
+    for i in range(5):
+        hit = F.col("path").isin("p1", f"p{i}")
+        store.put(left=store.read("left").withColumns({"fp": F.when(hit, f"v{i}").otherwise(F.col("fp")), "length": F.when(hit, F.lit(10 + i)).otherwise(F.col("length"))}))
+        sink(spark.createDataFrame([("p1",), (f"p{i}",)], "path string"), i)
+    records, entries = store.history()
+    assert records.count() == 3 and entries.select("sync_id").distinct().count() == 3
+    assert entries.where("path = 'p1'").count() == 3
+    copies = store.backups()
+    assert rows_of(copies.where("path = 'p1'"), "version", "payload.fp") == [(0, "v3"), (1, "v2")]
+    assert rows_of(copies.where("path = 'p3'"), "version", "payload.fp") == [(0, "x")]
+    assert rows_of(store.read("right"), "path", "fp") == rows_of(store.read("left"), "path", "fp")
 
 
 def test_state_survives_restart(spark, tmp_path):
@@ -121,8 +158,7 @@ def test_state_survives_restart(spark, tmp_path):
 
 
 def test_sync_repeat(spark, tmp_path):
-    from concordat.streaming.sync import sync_repeat
-    store = SlicedStore(spark, str(tmp_path / "store"), ["path"], 2)
+    store = ReplicaStore(spark, str(tmp_path / "store"), ["path"])
     store.create(left=listing(spark, row("a"), row("b")), right=listing(spark, row("a")), base=listing(spark, row("a")))
     ticks = events(spark, ("x", "modified", "2024-01-01"))
     ticks.coalesce(1).write.parquet(str(tmp_path / "ticks"))

@@ -77,3 +77,30 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                    name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Row number inside each group, for groups of any size."""
     return running_totals(df, group, order, {name: F.lit(1).cast("long")}, partitions)
+
+
+def session_starts(df: DataFrame, group: Sequence[str], lo: str, hi: str, gap: int, name: str = "start",
+                   partitions: int | None = None) -> DataFrame:
+    """For intervals ``lo .. hi`` of each group, which don't overlap, the ``lo`` at
+    which their session began: one begins where more than ``gap`` lies behind
+    the interval before. Groups of any size; between pieces only the last end
+    and the last beginning cross over, one row per piece and broadcast."""
+    pieces = _sorted_pieces(df, [*[F.col(g) for g in group], F.col(lo)], partitions)
+    inside = Window.partitionBy(_PIECE, *group).orderBy(_ROW)
+    earlier = Window.partitionBy(*group).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: str) -> DataFrame:
+        """``rows`` with the greatest ``value`` of the group in earlier pieces."""
+        last = (rows.groupBy(_PIECE, *group).agg(F.max(value).alias("_last"))
+                .select(F.col(_PIECE).alias("_carry_piece"), *[F.col(g).alias(f"_g_{g}") for g in group], F.max("_last").over(earlier).alias("_carry"))
+                .where("_carry is not null"))
+        same = F.col(_PIECE) == F.col("_carry_piece")
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        return rows.join(F.broadcast(last), same, "left").drop("_carry_piece", *[f"_g_{g}" for g in group])
+
+    marked = carried(pieces, hi)
+    before = F.coalesce(F.lag(hi).over(inside), F.col("_carry"))
+    marked = marked.withColumn("_open", F.when(before.isNull() | (F.col(lo) - before > gap), F.col(lo))).drop("_carry")
+    begun = marked.withColumn("_begun", F.max("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return carried(begun, "_begun").withColumn(name, F.coalesce("_begun", "_carry")).select(*df.columns, name)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from concordat.functions import paths as P
 from concordat.functions import patterns as M
+from concordat.operators.ordered import session_starts
+from concordat.session import materialize
 
 ACTIONS = ("created", "modified", "deleted", "moved")
 
@@ -66,9 +68,8 @@ def batch_bounds(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ("
     """The batches of :func:`debounce` over a finished feed.
 
     Events closer than the gap always share a batch, so each key is first
-    reduced to one row per gap-length slot (map-side). Only these rows are
-    ordered per key; their number is bounded by the time span, not by the
-    events.
+    reduced to one row per gap-length slot (map-side). These rows are sorted over
+    all tasks, so a single busy replica is no single task's work.
     """
     keys = list(keys)
     gap = int(gap_seconds * 1_000_000)
@@ -76,12 +77,9 @@ def batch_bounds(events: DataFrame, gap_seconds: float, keys: Sequence[str] = ("
     slots = (events.select(*keys, at.alias("us"))
              .groupBy(*keys, F.floor(F.col("us") / gap).alias("slot"))
              .agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(*keys).orderBy("slot")
-    opened = F.coalesce((F.col("lo") - F.lag("hi").over(w) > gap).cast("int"), F.lit(1))
-    numbered = slots.withColumn("_open", opened).withColumn("batch", F.sum("_open").over(w))
-    return (numbered.groupBy(*keys, "batch")
-            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n_events"))
-            .select(*keys, F.timestamp_micros("lo").alias("batch_start"),
+    return (session_starts(slots, keys, "lo", "hi", gap).groupBy(*keys, "start")
+            .agg(F.max("hi").alias("hi"), F.sum("n").alias("n_events"))
+            .select(*keys, F.timestamp_micros("start").alias("batch_start"),
                     F.timestamp_micros(F.col("hi") + gap).alias("batch_end"), "n_events"))
 
 
@@ -110,6 +108,37 @@ def debounce_batch(events: DataFrame, gap_seconds: float, keys: Sequence[str] =
     return batch_paths(events, batch_bounds(events, gap_seconds, keys), gap_seconds, keys)
 
 
+def debounced_paths(stream: DataFrame, feed: Callable[[], DataFrame], gap_seconds: float, late: str, folder: str, checkpoint: str,
+                    keys: Sequence[str] = ("replica",), then: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+    """The batches of :func:`debounce` with their paths, written to ``folder`` as
+    they close and handed to ``then`` (a :class:`SyncOnChange`, say).
+
+    The state per open batch stays its bounds. The paths of batches that have
+    closed are looked up in ``feed``, the events as a table, of which only the
+    files and row groups of that time are read; so no batch, however many paths
+    it touches, is gathered in one place. A repeated micro-batch rewrites its own
+    folder and hands over the same number.
+    """
+    spark = stream.sparkSession
+    path_type = stream.schema["path"].dataType.simpleString()
+    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+
+    def write(closed: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/batch={batch_id}"
+        closed = materialize(closed.select(*keys, "batch_start", "batch_end"), "closed")
+        span = closed.agg(F.min("batch_start").alias("lo"), F.max("batch_end").alias("hi")).first()
+        if span["lo"] is None:
+            return
+        of_time = feed().where(F.col("ts").between(F.lit(span["lo"]), F.lit(span["hi"])))
+        batch_paths(of_time, closed, gap_seconds, keys).write.mode("overwrite").parquet(path)
+        if then is not None:
+            then(spark.read.schema(f"{kinds}, batch_start timestamp, batch_end timestamp, path {path_type}, n_events long").parquet(path), batch_id)
+
+    closing = debounce(stream, f"{int(gap_seconds * 1_000_000)} microseconds", late, keys)
+    return (closing.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def flush_on_stop(events: DataFrame, emitted: DataFrame, gap_seconds: float,
                   keys: Sequence[str] = ("replica",)) -> DataFrame:
     """Batches that a stopped stream still held back: those of the finished

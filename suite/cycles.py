@@ -17,6 +17,7 @@ from concordat.operators.tree import orphans
 from concordat.plans.cycle import commit, dry_run, make_plan, sync
 from concordat.session import materialize, scratch_path
 from concordat.sources import stores
+from concordat.streaming.sync import SyncOnChange, sync_repeat
 from suite.core import K, ORDERS_JOB, _failures, _MERGED, orders_plan
 from suite.fixtures import (LISTING_PLAN_SQL, ORDERS_PLAN_SQL, as_listing, customer3, listing3, order_snapshots,
                             with_directories)
@@ -313,6 +314,74 @@ def _(spark, d):
     return entries.join(records.select("sync_id"), "sync_id").groupBy("sync_id").agg(F.count("*").alias("n"))
 
 
+_AFTER_CHANGES = _DOCS + """,
+hot as (select count(*) > 0 as hot from docs where dir = 'en/src1' and doc_id%10 = 0),
+now as (select path, dir, md5(case when doc_id%10 = 0 then text || '!' else text end) as fp from docs)
+select 'left' as side, path, fp from now where dir <> 'en/src1'
+union all select 'right', path, fp from now, hot where dir <> 'en/src1' or hot"""
+
+
+def _changed_pair(spark, d):
+    """A pair that agreed: then the left side deleted a directory and the right
+    side edited every tenth file."""
+    base, edited = _tree(spark, d)
+    store = stores.ReplicaStore(spark, scratch_path(spark, "pair"), ["path"])
+    store.create(left=base, right=base, base=base)
+    return store, base.where(~_in("en/src1")), edited
+
+
+def _sides(store):
+    rows = lambda side: store.read(side).where("kind = 'file'").select(F.lit(side).alias("side"), "path", "fp")
+    return rows("left").unionByName(rows("right"))
+
+
+@query("sync_on_change", _AFTER_CHANGES)
+def _(spark, d):
+    """A stream of change events; the cycle looks at what decides with them."""
+    store, left, right = _changed_pair(spark, d)
+    sink = SyncOnChange(store, JobConfig())
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    lost = (F.col("lang") == "en") & (F.col("source") == "src1")
+    events = docs.where((F.col("doc_id") % 10 == 0) | lost).select(path.alias("path")).unionByName(
+        docs.where(lost).select(F.lit("en/src1").alias("path")).distinct())
+    folder = scratch_path(spark, "events")
+    events.write.parquet(folder)
+    store.put(left=left, right=right)
+    (spark.readStream.schema("path string").parquet(folder).writeStream.foreachBatch(sink)
+     .option("checkpointLocation", scratch_path(spark, "events-ck")).trigger(availableNow=True).start().awaitTermination())
+    return _sides(store)
+
+
+@query("sync_repeat", _AFTER_CHANGES)
+def _(spark, d):
+    """Whole cycles on a timer, until there was one."""
+    store, left, right = _changed_pair(spark, d)
+    store.put(left=left, right=right)
+    ticks = scratch_path(spark, "ticks")
+    table(spark, d, "region").select("r_regionkey").write.parquet(ticks)
+    stream = spark.readStream.schema("r_regionkey int").parquet(ticks)
+    query_ = sync_repeat(stream, SyncOnChange(store, JobConfig()), scratch_path(spark, "ticks-ck"), "1 second")
+    query_.processAllAvailable()
+    query_.stop()
+    return _sides(store)
+
+
+@query("clear_history", ORDERS_PLAN_SQL + """
+select 'before' as at, 1 as n_records, count(case when d in ('l2r', 'r2l') then 1 end) as n_entries from p union all select 'after', 0, 0""")
+def _(spark, d):
+    root = scratch_path(spark, "history")
+    base, left, right = order_snapshots(spark, d)
+    out = sync(left, right, base, ORDERS_JOB, sync_id="s1")
+    stores.append_history(out.record, out.entries, root)
+    rows = []
+    for at in ("before", "after"):
+        records, entries = stores.read_history(spark, root)
+        rows.append((at, records.count(), entries.count()))
+        stores.clear_history(spark, root)
+    return spark.createDataFrame(rows, "at string, n_records long, n_entries long")
+
+
 @query("dry_run_commit", ORDERS_PLAN_SQL + """
 select l.o_orderkey, l.o_orderstatus from l where o_orderkey not in (select o_orderkey from p where d = 'r2l')
 union all select r.o_orderkey, r.o_orderstatus from r where o_orderkey in (select o_orderkey from p where d = 'r2l')""")

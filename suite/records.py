@@ -382,6 +382,42 @@ def _(spark, d):
                                        F.unix_micros("batch_end").alias("hi"), "n_events")
 
 
+@query("debounce_paths_stream", "with " + _EV + "," + _SESSIONS + """
+, wm as (select max(ts) - interval 1 hour as t from ev)
+select s.user_id, epoch_us(w.lo) as lo, s.path, count(*) as n_events from s join w on w.user_id = s.user_id and w.batch = s.batch, wm
+where w.hi + interval 30 minute <= wm.t group by 1, 2, 3""")
+def _(spark, d):
+    """Closed batches with the paths that they touched, as a stream writes them."""
+    feed = lambda: change_events(table(spark, d, "events"))
+    out = scratch_path(spark, "paths")
+    CH.debounced_paths(change_events(_stream(spark, d)), feed, 1800, "1 hour", out, scratch_path(spark, "paths-ck"), ["user_id"]).awaitTermination()
+    found = spark.read.schema("user_id long, batch_start timestamp, path string, n_events long").parquet(out)
+    return found.select("user_id", F.unix_micros("batch_start").alias("lo"), "path", "n_events")
+
+
+@query("late_events", "with " + _EV + """,
+half as (select min(ts) + (max(ts) - min(ts)) / 2 as t, max(ts) - interval 1 hour as wm from ev),
+kept as (select ev.* from ev, half where ts >= half.t),
+g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as o from kept),
+s as (select *, sum(o) over (partition by user_id order by ts, event_id) as batch from g),
+w as (select user_id, batch, min(ts) as lo, max(ts) as hi, count(*) as n_events from s group by 1, 2)
+select user_id, epoch_us(lo) as lo, epoch_us(hi) + 1800000000 as hi, n_events from w, half where hi + interval 30 minute <= half.wm""")
+def _(spark, d):
+    """The earlier half of the events arrives last, behind the watermark, and is
+    left out. (A micro-batch judges lateness by the watermark of the one
+    before, so the last event comes in between.)"""
+    ev = change_events(table(spark, d, "events"))
+    us = F.unix_micros("ts")
+    half, last = ev.agg(F.min(us) + (F.max(us) - F.min(us)) / 2, F.max(us)).first()
+    half, last = half or 0, last or 0
+    folder = scratch_path(spark, "late")
+    for part in (ev.where((us >= half) & (us < last)), ev.where(us == last), ev.where(us < half)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = CH.change_stream(spark, folder, ev.schema, files_per_trigger=1)
+    out = _drain(spark, CH.debounce(stream, "30 minutes", "1 hour", ["user_id"]), "late-out")
+    return out.select("user_id", F.unix_micros("batch_start").alias("lo"), F.unix_micros("batch_end").alias("hi"), "n_events")
+
+
 @query("flush_on_stop", "with " + _EV + "," + _SESSIONS + """
 select user_id, epoch_us(lo) as lo, n_events from w""")
 def _(spark, d):

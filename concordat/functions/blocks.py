@@ -93,14 +93,13 @@ MATCHES = T.ArrayType(T.StructType([
 SCAN_CHUNK = 4 << 20
 
 
-def _hits(data: bytes, block: int, wanted: np.ndarray, start: int):
-    """Offsets from ``start`` on whose weak checksum is wanted, chunk by chunk."""
-    pos = start
+def _hits(data: bytes, block: int, wanted: np.ndarray):
+    """Offsets whose weak checksum is wanted, in order, chunk by chunk."""
+    pos = 0
     while pos + block <= len(data):
         piece = data[pos:pos + SCAN_CHUNK + block - 1]
         sums = weak_at_every_offset(piece, block)
-        for off in np.flatnonzero(np.isin(sums, wanted)):
-            yield pos + int(off)
+        yield pos + np.flatnonzero(np.isin(sums, wanted))
         pos += len(sums)
 
 
@@ -111,19 +110,24 @@ def matching_offsets(content: pd.Series, block: pd.Series, weak: pd.Series,
 
     ``weak``/``strong``/``number`` are the distinct signatures of the old
     value. The byte scan is vectorised; the strong checksum is computed only
-    where the weak one is known and the previous match has ended.
+    where the weak one is known and the previous match has ended, and a match
+    is passed in one step, so repetitive values cost no more than others.
     """
     out = []
     for data, size, ws, ss, ns in zip(content, block, weak, strong, number):
         size, known = int(size), {s: int(n) for s, n in zip(ss, ns)}
         found, free = [], 0
         if known:
-            for off in _hits(data, size, np.asarray(ws, dtype=np.int64), 0):
-                if off < free:
-                    continue
-                n = known.get(hashlib.md5(data[off:off + size]).hexdigest())
-                if n is not None:
+            for offsets in _hits(data, size, np.asarray(ws, dtype=np.int64)):
+                i = int(np.searchsorted(offsets, free))
+                while i < len(offsets):
+                    off = int(offsets[i])
+                    n = known.get(hashlib.md5(data[off:off + size]).hexdigest())
+                    if n is None:
+                        i += 1
+                        continue
                     found.append({"off": off, "block": n})
                     free = off + size
+                    i = int(np.searchsorted(offsets, free))  # over all that the match covers
         out.append(found)
     return pd.Series(out)

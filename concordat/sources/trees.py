@@ -40,7 +40,10 @@ def _entry(path: str, full: str) -> dict | None:
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS)
+    """Rows with typed columns, also where no row has a value."""
+    df = pd.DataFrame([dict.fromkeys(_COLUMNS) | row for row in rows], columns=_COLUMNS)
+    numbers = dict.fromkeys(("length", "perms", "owner", "grp"), "Int64")
+    return df.astype(numbers).assign(mtime=pd.to_datetime(df["mtime"]))
 
 
 def _list_directories(root: str):
@@ -66,7 +69,8 @@ def _list_directories(root: str):
 
 def scan_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """Listing of everything under ``root``, hidden entries and empty
-    directories included; unreadable entries carry an ``error``.
+    directories included; unreadable entries carry an ``error``. Only a root that
+    could not be listed has a row itself.
 
     The tree is listed level by level: the directories of one level are rows
     that Spark spreads over tasks, so no subtree is bound to one task. Each
@@ -88,7 +92,8 @@ def scan_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataF
     # A directory that could not be listed is one row with the error.
     failed = found.where(F.col("kind") == "unreadable").select("path", F.col("error").alias("_error"))
     rows = found.where(F.col("kind") != "unreadable").join(failed, "path", "left")
-    return rows.withColumn("error", F.coalesce("error", "_error")).drop("_error")
+    root_failed = found.where((F.col("kind") == "unreadable") & (F.col("path") == "")).withColumn("kind", F.lit("directory"))
+    return rows.withColumn("error", F.coalesce("error", "_error")).drop("_error").unionByName(root_failed)
 
 
 def _hash_files(root: str):

@@ -231,22 +231,42 @@ def _(spark, d):
 _INSERT = "<<INSERT>>"
 
 
-def _docs2(spark, d):
+def _docs2(spark, d, doc=None):
     """Old and new version of every document: a text inserted after character 800."""
-    doc = table(spark, d, "documents")
+    doc = table(spark, d, "documents") if doc is None else doc
     new = F.concat(F.substring("text", 1, 800), F.lit(_INSERT), F.expr("substring(text, 801)"))
-    return (_contents(spark, d), doc.select("doc_id", F.encode(new, "UTF-8").alias("content")))
+    return (doc.select("doc_id", F.encode("text", "UTF-8").alias("content")), doc.select("doc_id", F.encode(new, "UTF-8").alias("content")))
 
 
-def _tokens(spark, d):
-    old, new = _docs2(spark, d)
+def _tokens(spark, d, doc=None):
+    old, new = _docs2(spark, d, doc)
     return old, new, materialize(D.delta_tokens(D.match_blocks(
         D.block_signatures(old, "doc_id"), new, "doc_id"), "doc_id"), "tokens")
 
 
-@query("delta_tokens")
+#: The insertion shifts all that follows: the blocks before it and the whole
+#: blocks after it are found again, what lies between is literal.
+_SHIFTED = """, docs as (select doc_id, text, octet_length(encode(text)) as n from t),
+k as (select docs.*, """ + _BLOCK.format("n") + """ as b, octet_length(encode(substring(text, 1, 800))) as q from docs),
+z as (select doc_id, n, b, q // b as before, (q + b - 1) // b as resumed, n // b as whole from k)
+"""
+
+
+#: Texts without repetitions: each 32 characters are followed by their hash with their place.
+_PLACED = """with t as (select doc_id, array_to_string(list_transform(range(0, (greatest(length(text), 1) + 31) // 32),
+  lambda i: substring(text, i * 32 + 1, 32) || md5(i || ':' || substring(text, i * 32 + 1, 32))), '') as text from documents)"""
+
+
+@query("delta_tokens", _PLACED + _SHIFTED + """
+select doc_id, i as seq, 'block' as token, i as block_index, null as literal_len from z, unnest(range(0, before)) as u(i)
+union all select doc_id, before, 'literal', null, case when whole > resumed then resumed * b + 10 else n + 10 end - before * b from z
+union all select doc_id, before + 1 + i - resumed, 'block', i, null from z, unnest(range(resumed, whole)) as u(i)
+union all select doc_id, before + 1 + whole - resumed, 'literal', null, n - whole * b from z where whole > resumed and n > whole * b""")
 def _(spark, d):
-    _, _, tokens = _tokens(spark, d)
+    piece = "substring(text, i * 32 + 1, 32)"
+    doc = table(spark, d, "documents").select("doc_id", F.expr(
+        f"array_join(transform(sequence(0, (greatest(char_length(text), 1) - 1) div 32), i -> concat({piece}, md5(cast(concat(i, ':', {piece}) as binary)))), '')").alias("text"))
+    _, _, tokens = _tokens(spark, d, materialize(doc, "placed"))
     return tokens.select("doc_id", "seq", "token", "block_index", F.octet_length("literal").alias("literal_len"))
 
 
@@ -259,17 +279,14 @@ def _(spark, d):
         "doc_id", F.md5("got").alias("fp"), (F.md5("got") == F.md5("content")).alias("ok"))
 
 
-@query("delta_stats", """
-select doc_id, octet_length(encode(text)) + 10 as new_bytes, true as adds_up from documents""")
+@query("delta_stats", "with t as (select doc_id, text from documents)" + _SHIFTED + """
+select doc_id, n + 10 as new_bytes, before + greatest(0, whole - resumed) as n_blocks,
+  n + 10 - (before + greatest(0, whole - resumed)) * b as literal_bytes from z""")
 def _(spark, d):
-    """Literal bytes plus whole blocks make up the new length."""
+    """How much of each text an insertion leaves to be sent."""
     _, new, tokens = _tokens(spark, d)
     s = D.delta_stats(tokens, "doc_id")
-    j = new.join(s, "doc_id", "left")
-    n = F.octet_length("content")
-    block = BL.block_size(n - len(_INSERT))
-    return j.select("doc_id", n.alias("new_bytes"),
-                    (F.col("literal_bytes") + F.col("n_blocks") * block == n).alias("adds_up"))
+    return new.join(s, "doc_id", "left").select("doc_id", F.octet_length("content").alias("new_bytes"), "n_blocks", "literal_bytes")
 
 
 @query("match_blocks_appended", "with " + _DOC_BYTES + ", s as (select *, " + _BLOCK.format("n") + """ as block_size from docs)

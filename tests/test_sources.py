@@ -45,6 +45,11 @@ def test_scan_and_hash(spark, tmp_path):
     assert visible == {"link": b"hello", "hello.txt": b"hello", "docs/readme.md": b"doc", "docs/deep/er/z.tmp": b"z"}
 
 
+def test_a_root_that_cannot_be_listed(spark, tmp_path):
+    found = scan_tree(spark, str(tmp_path / "missing"), tasks=2).collect()
+    assert [(r["path"], r["kind"], r["mtime"]) for r in found] == [("", "directory", None)] and found[0]["error"]
+
+
 def test_base_versions(spark, tmp_path):
     root = str(tmp_path)
     df = listing(spark, row("a"), row("b"))

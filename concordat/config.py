@@ -81,8 +81,8 @@ class JobConfig:
     ``max_delete_fraction`` and ``guard_empty`` stop a cycle that would empty a
     side (None and False switch them off).
     With ``backup`` the rows that a cycle overwrites or deletes are returned.
-    For replicas that ignore case, add a key column with
-    :func:`concordat.functions.paths.with_path_columns` and name it in ``keys``.
+    For listings of replicas that ignore case there is
+    :func:`concordat.plans.caseless.sync_ignoring_case`.
     """
 
     keys: Sequence[str] = ("path",)

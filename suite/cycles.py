@@ -14,6 +14,7 @@ from concordat.operators import propagate as A
 from concordat.operators import reconcile as R
 from concordat.operators.snapshots import snapshot_table
 from concordat.operators.tree import orphans
+from concordat.plans.caseless import sync_ignoring_case
 from concordat.plans.cycle import commit, dry_run, make_plan, sync
 from concordat.session import materialize, scratch_path
 from concordat.sources import stores
@@ -314,6 +315,29 @@ def _(spark, d):
     return entries.join(records.select("sync_id"), "sync_id").groupBy("sync_id").agg(F.count("*").alias("n"))
 
 
+@query("sync_case_insensitive", _DOCS + """,
+r as (select doc_id, dir, case when doc_id%2 = 1 then dir || '/' || doc_id || '.TXT' else path end as path, text from docs)
+select path, md5(case when doc_id%10 = 0 and doc_id%25 <> 0 then text || '!' else text end) as fp from r
+union all select dir || '/new' || doc_id || '.txt', md5(text) from docs where doc_id%7 = 0""")
+def _(spark, d):
+    """The right side spells every other file in capitals and ignores case. The
+    left side edited files and added some; of some it has two spellings, which
+    can't both go over."""
+    base, _ = _tree(spark, d)
+    doc = table(spark, d, "documents")
+    rows = doc.select("doc_id", F.concat_ws("/", "lang", "source").alias("dir"), "text", F.lit("2024-01-01").cast("timestamp").alias("mtime"))
+    named = lambda df, name: with_directories(as_listing(df.withColumn("path", F.concat("dir", F.lit("/"), name)).drop("doc_id", "dir")))
+    number = F.col("doc_id").cast("string")
+    edited = rows.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    plain, capital = F.concat(number, F.lit(".txt")), F.concat(number, F.lit(".TXT"))
+    files = lambda df: df.where("kind = 'file'")
+    left = (named(edited, plain).unionByName(files(named(rows.where("doc_id % 7 = 0"), F.concat(F.lit("new"), plain))))
+            .unionByName(files(named(rows.where("doc_id % 25 = 0"), capital))))
+    right = named(rows, F.when(F.col("doc_id") % 2 == 1, capital).otherwise(plain))
+    out = sync_ignoring_case(left, right, base, JobConfig(), "sensitive", "insensitive")
+    return files(out.right).select("path", "fp")
+
+
 _AFTER_CHANGES = _DOCS + """,
 hot as (select count(*) > 0 as hot from docs where dir = 'en/src1' and doc_id%10 = 0),
 now as (select path, dir, md5(case when doc_id%10 = 0 then text || '!' else text end) as fp from docs)

@@ -292,7 +292,7 @@ def test_unreadable_base_is_empty_and_lost_race_is_told(spark, tmp_path):
     for f in (tmp_path / "data" / "p").rglob("*.parquet"):
         f.write_bytes(b"broken")
     assert store.load("p", df.schema).collect() == []
-    first = {"p": store._seq("p")}
+    first = store._seqs(["p"])
     store._point({"p": "aaaa"}, first)
     with pytest.raises(stores.LostRace):
         store._point({"p": "bbbb"}, first)

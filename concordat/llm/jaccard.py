@@ -23,7 +23,8 @@ The method is a universe-partition pigeonhole:
   shingle. The member probes the first ones with their one-deletion
   neighbourhoods, and the others of its buckets are indexed as far as that
   reaches. Where too few segments remain, members look in the failed buckets
-  themselves.
+  themselves; a pair that meets in several of them is made in the first one
+  only, as far as the smallest failed keys of both tell.
 * Candidates must pass a parity sketch (the number of differing bits never
   exceeds the number of differing shingles) before texts are fetched for them.
 
@@ -54,6 +55,9 @@ SKETCH = 256
 PART_KEYS = 1_000_000
 #: Bytes of texts whose sets a task keeps while it verifies.
 KNOWN_BYTES = 16_000_000
+#: Smallest failed keys that a row carries to tell where its pairs met before.
+#: More of them save repeated pairs, which are dropped afterwards anyway.
+MET_BEFORE = 16
 _ALL = (1 << 64) - 1
 
 
@@ -293,6 +297,8 @@ def _allocations(batch: pa.RecordBatch, words: int, num: int, den: int):
             free = size > 0
             free[bad] = False
             free = np.flatnonzero(free)
+            # A deletion that leaves nothing has a key that many sets share: such segments come last.
+            free = np.concatenate([free[size[free] > 1], free[size[free] == 1]])
             need = max(1, len(bad) + int((np.delete(size, bad) == 0).sum()) - r)
             reach = max(failed[k] for k in exact[bad].tolist())
             yield c, band, seg, total, h, exact, bad, free[:need], len(free) >= need, reach
@@ -302,7 +308,7 @@ def _reach(words: int, num: int, den: int):
     """How far the members of each failed bucket probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, int(chosen[-1]) + 1 if enough else 0) for _, _, _, _, _, exact, bad, chosen, enough, _ in _allocations(batch, words, num, den)
+            rows = [(k, int(chosen.max()) + 1 if enough else 0) for _, _, _, _, _, exact, bad, chosen, enough, _ in _allocations(batch, words, num, den)
                     for k in exact[bad].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["key", "reach"])
     return run
@@ -313,7 +319,7 @@ def _neighbourhoods(words: int, num: int, den: int):
     in the segments that others of its buckets probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[np.zeros(0, np.int64)] for _ in range(3)]
+            rows, lists = [[np.zeros(0, np.int64)] for _ in range(5)], [np.zeros(0, np.int64)]
             for c, band, seg, total, h, exact, bad, chosen, enough, reach in _allocations(batch, words, num, den):
                 less = key_of(band, seg, total[seg] - h)
                 # role: 0 stands in the index as it is, 1 with a deletion; 2 and 3 look for 0 and 1
@@ -322,10 +328,18 @@ def _neighbourhoods(words: int, num: int, den: int):
                     found += [(3, exact[chosen]), (2, less[np.isin(seg, chosen)])]
                 else:  # too few segments are left: the failed buckets themselves
                     found.append((2, exact[bad]))
+                failed = np.sort(exact[bad])
+                low = failed[:MET_BEFORE]
                 for role, keys in found:
-                    for out, x in zip(rows, (keys, np.full(len(keys), c), np.full(len(keys), role)), strict=True):
+                    open_ = np.isin(keys, failed) & (role == 0 or (role == 2 and not enough))
+                    met = np.where(open_, np.searchsorted(low, keys), 0)
+                    for out, x in zip(rows, (keys, np.full(len(keys), c), np.full(len(keys), role), open_ & (not enough), met), strict=True):
                         out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in rows], names=["key", "c", "role"])
+                    lists += [low[:n] for n in met.tolist()]
+            key, c, role, asks, met = (np.concatenate(x).astype(np.int64) for x in rows)
+            before = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(met)]).astype(np.int32), np.concatenate(lists))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(role), pa.array(asks.astype(bool)), before],
+                                             names=["key", "c", "role", "asks", "before"])
     return run
 
 
@@ -336,13 +350,15 @@ def _could_link(num: int, den: int) -> Column:
     return ((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (bits * (den + num) <= n * (den - num)))
 
 
-def neighbourhoods(affected: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``key, c, role`` of the members of failed buckets."""
-    near = affected.join(rows, affected.rep == rows.doc).select("c", "text", "failed")
+def neighbourhoods(affected: DataFrame, rows: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
+    """``key, c, role`` of the members of failed buckets; ``asks`` where the
+    member looks in the failed bucket ``key`` itself, and ``before``, the smaller
+    ones among its smallest failed keys."""
+    near = affected.join(rows, affected.rep == rows.doc).select("c", "text", "failed").repartition(parts, "c")
     reach = near.mapInArrow(_reach(words, num, den), "key long, reach long").groupBy("key").agg(F.max("reach").alias("reach"))
     named = affected.select("c", F.explode("failed.key").alias("key")).join(reach, "key", "left")
     reached = named.groupBy("c").agg(F.collect_set(F.struct("key", "reach")).alias("failed"))
-    return materialize(near.select("c", "text").join(reached, "c").mapInArrow(_neighbourhoods(words, num, den), "key long, c long, role long"), "neighbourhoods")
+    return materialize(near.select("c", "text").join(reached, "c").mapInArrow(_neighbourhoods(words, num, den), "key long, c long, role long, asks boolean, before array<long>"), "neighbourhoods")
 
 
 def _components_of(classes: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -421,14 +437,16 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
     open_keys = split.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     affected = materialize(split.join(open_keys, "key", "left_semi").groupBy("c", "rep", "component").agg(F.collect_set(F.struct("key")).alias("failed")), "affected")
     if not affected.isEmpty():
-        found = neighbourhoods(affected, texts, words, num, den)
+        found = neighbourhoods(affected, texts, words, num, den, partitions(docs))
         sketches = (affected.select("c", "component").join(classes.withColumnRenamed("c1", "c"), "c"))
         known = lambda x: sketches.select(*(F.col(k).alias(f"{k}_{x}") for k in ("c", "component", "n", "k0", "k1", "k2", "k3")))
-        probe = found.where("role >= 2").select("key", "c", (F.col("role") - 2).alias("role"))
+        probe = found.where("role >= 2").select("key", "c", (F.col("role") - 2).alias("role"), F.col("asks").alias("asks_a"), F.col("before").alias("before_a"))
         index = found.where("role < 2").join(probe.select("key", "role").distinct(), ["key", "role"], "left_semi")
         probe = probe.join(known("a").withColumnRenamed("c_a", "c"), "c").withColumnRenamed("c", "a")
         index = index.join(known("b").withColumnRenamed("c_b", "c"), "c").withColumnRenamed("c", "b")
-        more = probe.join(index, ["key", "role"]).where((F.col("component_a") != F.col("component_b")) & _could_link(num, den))
+        # Of two that look in the same bucket only the smaller one asks, and a pair that met in a smaller key isn't made again.
+        again = F.col("asks_a") & ((F.col("asks") & (F.col("a") > F.col("b"))) | F.arrays_overlap("before_a", "before"))
+        more = probe.join(index, ["key", "role"]).where((F.col("component_a") != F.col("component_b")) & _could_link(num, den) & ~again)
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links, label = _settle(could(more, "more"), verified, links, label)
         of_class = _components_of(classes, label)

@@ -49,8 +49,8 @@ def eta_seconds(rate: Column, done_bytes: Column, total_bytes: Column) -> Column
 # 500 ms, a slot holds at most one sample and at most 500 distinct
 # milliseconds, and what happens in a chunk of slots depends on earlier ones
 # only through the sample in the slot just before it. Chunks are reduced to
-# "sample before -> sample in the last slot" tables, these are chained per run,
-# and then every chunk places its samples knowing where it starts. A slot with
+# "sample before -> sample in the last slot" tables, these are composed by
+# doubling, and then every chunk places its samples knowing where it starts. A slot with
 # empty neighbours needs none of this: its first row is the sample.
 
 NONE = -1  # no sample in the slot before
@@ -92,18 +92,35 @@ def _transitions(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"run_id": run, "chunk": chunk, "entry": entries, "exit": exits})
 
 
-def _chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow the transition tables of one run through its chunks."""
-    rows, last_chunk, last = [], None, NONE
-    for chunk, table in pdf.groupby("chunk", sort=True):
-        entry = last if last_chunk is not None and chunk == last_chunk + 1 else NONE
-        hit = table.loc[table["entry"] == entry, "exit"]
-        if table["started"].notna().any():
-            entry = int(table["started"].iloc[0])
-            hit = table["first_exit"]
-        rows.append((key[0], chunk, entry))
-        last, last_chunk = int(hit.iloc[0]), chunk
-    return pd.DataFrame(rows, columns=["run_id", "chunk", "entry"])
+def _chunk_entries(tables: DataFrame) -> DataFrame:
+    """``run_id, chunk, entry``: the sample before each chunk, from the transition
+    tables of all chunks.
+
+    A row of a table is a node whose successor is the node of the next chunk that
+    its exit leads to. What the first chunks of each stretch reach is found by
+    doubling: in every round the reached nodes jump, and the jumps are composed
+    with themselves. So a run of n chunks takes log2(n) rounds of joins, and no
+    run is gathered in one place.
+    """
+    node = ["run_id", "chunk", "entry"]
+    here = materialize(tables.select("run_id", "chunk").distinct(), "chunks")
+    started = tables.where("started is not null").select("run_id", "chunk", F.col("started").cast("long").alias("entry"),
+                                                         F.col("first_exit").cast("long").alias("exit")).distinct()
+    after = here.select("run_id", (F.col("chunk") + 1).alias("chunk"))
+    fresh = (here.join(after, ["run_id", "chunk"], "left_anti").join(started, ["run_id", "chunk"], "left_anti")
+             .withColumn("entry", F.lit(NONE).cast("long")))
+    second = started.select("run_id", (F.col("chunk") + 1).alias("chunk"), F.col("exit").alias("entry")).join(here, ["run_id", "chunk"], "left_semi")
+    reached = materialize(started.select(*node).unionByName(fresh).unionByName(second), "reached")
+    jumps = materialize(tables.select(*node, (F.col("chunk") + 1).alias("to_chunk"), F.col("exit").alias("to_entry"))
+                        .join(here.withColumnRenamed("chunk", "to_chunk"), ["run_id", "to_chunk"], "left_semi"), "jumps")
+    while not jumps.isEmpty():
+        moved = reached.join(jumps, node).select("run_id", F.col("to_chunk").alias("chunk"), F.col("to_entry").alias("entry"))
+        reached = materialize(reached.unionByName(moved).distinct(), "reached")
+        further = jumps.select("run_id", F.col("chunk").alias("to_chunk"), F.col("entry").alias("to_entry"),
+                               F.col("to_chunk").alias("far_chunk"), F.col("to_entry").alias("far_entry"))
+        jumps = materialize(jumps.join(further, ["run_id", "to_chunk", "to_entry"])
+                            .select(*node, F.col("far_chunk").alias("to_chunk"), F.col("far_entry").alias("to_entry")), "jumps")
+    return reached
 
 
 def _first_transition(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,10 +175,10 @@ def sample_times(log: DataFrame) -> DataFrame:
     # The clock of a run whose first slot stands alone does not reach further.
     starts = starts.join(dense.select("run_id", F.col("ms").alias("started")), ["run_id", "started"], "left_semi")
     seeded = pieces.join(starts, ["run_id", "chunk"], "left")
-    tables = seeded.groupBy("run_id", "chunk").applyInPandas(
+    tables = materialize(seeded.groupBy("run_id", "chunk").applyInPandas(
         _first_transition,
-        f"run_id {run_type}, chunk long, entry long, exit long, started double, first_exit double")
-    entries = tables.groupBy("run_id").applyInPandas(_chain, f"run_id {run_type}, chunk long, entry long")
+        f"run_id {run_type}, chunk long, entry long, exit long, started double, first_exit double"), "transitions")
+    entries = _chunk_entries(tables)
     placed = (pieces.groupBy("run_id", "chunk").cogroup(entries.groupBy("run_id", "chunk"))
               .applyInPandas(_place, f"run_id {run_type}, ms long"))
     return alone.unionByName(placed)

@@ -100,6 +100,23 @@ def test_samples_span_chunk_borders(spark):
     assert sorted(r["ms"] for r in ST.sample_times(log).collect()) == brute_samples(times)
 
 
+def test_samples_of_a_long_dense_run(spark):
+    """Many chunks in a row, each depending on the one before, beside a run with a gap."""
+    rnd = random.Random(4)
+    rows, want = [], set()
+    for run, (start, stop) in enumerate([(123_456, 20 * 3_600_000), (0, 9 * 3_600_000)]):
+        t, times = start, []
+        while t < stop:
+            times.append(t)
+            t += rnd.choice([410, 470, 499, 300, 730])
+        if run:
+            times = [t for t in times if not 7_000_000 < t < 20_000_000]
+        rows += [(run, t) for t in times]
+        want |= {(run, s) for s in brute_samples(times)}
+    log = spark.createDataFrame(pd.DataFrame(rows, columns=["run_id", "ms"])).select("run_id", F.timestamp_millis("ms").alias("ts"))
+    assert {(r["run_id"], r["ms"]) for r in ST.sample_times(log).collect()} == want
+
+
 def test_rolling_rate_window(spark):
     rows = [(1, 1000 * i, i, 10 * i) for i in range(60)]
     log = spark.createDataFrame(rows, "run_id int, ms long, seq int, bytes long").select(

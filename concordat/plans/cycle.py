@@ -42,7 +42,8 @@ class Outcome:
     save_base: bool
 
 
-def _scope(df: DataFrame, cfg: JobConfig) -> DataFrame:
+def scope(df: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Without ignored and unselected entries."""
     if cfg.ignore or cfg.ignore_not:
         df = prune_ignored(df, cfg.ignore, cfg.ignore_not)
     return select_paths(df, cfg.paths) if cfg.paths else df
@@ -52,12 +53,18 @@ def make_plan(left: DataFrame, right: DataFrame, base: DataFrame, cfg: JobConfig
     """Detection, pairing and policy as one lazy plan. Ignored and unselected
     keys are filtered out of all three inputs alike."""
     keys = list(cfg.keys)
-    left, right, base = (_scope(df, cfg) for df in (left, right, base))
+    left, right, base = (scope(df, cfg) for df in (left, right, base))
     left, right = _resolved(left, right, cfg)
     u1 = detect_updates(left, base, keys, cfg.update)
     u2 = detect_updates(right, base, keys, cfg.update)
     if keys == ["path"]:
         u1, u2 = shield_unread(u1, left), shield_unread(u2, right)
+    return decide(u1, u2, cfg)
+
+
+def decide(u1: DataFrame, u2: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Pairing and policy over what was detected on the two sides."""
+    keys = list(cfg.keys)
     plan = R.apply_policy(R.reconcile(u1, u2, keys, cfg.plan, cfg.update), keys, cfg.plan)
     if not cfg.links:
         plan = plan.where(~_involves_link())

@@ -13,7 +13,9 @@ from concordat.operators import moves as H
 from concordat.operators import snapshots as SN
 from concordat.operators import updates as U
 from concordat.operators import views as V
+from concordat.plans import remote as RM
 from concordat.plans.cycle import make_plan
+from concordat.session import materialize
 from concordat.sources.remote import remote_listing
 from concordat.sources.stores import base_id_column
 from suite.core import listing_plan
@@ -488,6 +490,44 @@ from pages where page_id%10 = 5 or {_mod}""")
         return U.detect_remote_updates(rows, base, UpdateConfig(trust_size=trust)).select("path", "status")
 
 
+def _remote_sides(spark, d):
+    """Pages as files here and there, edited, deleted and added by the last digit
+    of their number: 0 edited on both sides, 1 and 2 edited and deleted here, 3
+    and 4 there, 5 new there, 6 new here, 7 uploaded again there at equal size."""
+    p = table(spark, d, "pages")
+    digit, path = F.col("page_id") % 10, F.concat(F.lit("site"), F.col("page_id").cast("string"), F.lit("/a.html"))
+    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+    def listing(edited, skipped):
+        text = F.when(digit.isin(*edited), F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+        return p.where(~digit.isin(*skipped)).select(path.alias("path"), F.lit("file").alias("kind"), F.octet_length(text).cast("long").alias("length"),
+                                                     t0.alias("mtime"), text.alias("text"), digit.alias("digit"))
+
+    here = lambda rows: rows.withColumn("fp", F.md5("text")).drop("text", "digit")
+    there = lambda rows, again=(): rows.withColumn("etag", F.md5(F.concat(F.md5("text"), F.when(F.col("digit").isin(*again, -1), F.lit("again")).otherwise(F.lit(""))))).drop("text", "digit")
+    local, remote = here(listing((0, 1), (2, 5))), there(listing((0, 3), (4, 6)), (7,))
+    base = RM.remote_base(here(listing((), (5, 6))), there(listing((), (5, 6))))
+    after = here(listing((0, 1, 3), (2, 4))), there(listing((0, 1, 3), (2, 4)), (7,))
+    return local, remote, base, after
+
+
+for _name, _trust in (("remote_cycle", False), ("remote_cycle_trust_size", True)):
+    @query(_name, f"""
+with p as (select 'site' || cast(page_id as varchar) || '/a.html' as path, page_id % 10 as digit from pages)
+select 1 as cycle, path, case when digit in (1, 2, 6) then 'l2r' when digit = 0 then 'conflict' else 'r2l' end as direction from p
+where digit < 7 or (digit = 7 and {not _trust})
+union all select 2, path, 'conflict' from p where digit = 0""")
+    def _(spark, d, trust=_trust):
+        """Two cycles with a remote side known by tags: in the second one only
+        what was in conflict is left."""
+        local, remote, base, after = _remote_sides(spark, d)
+        cfg = JobConfig(update=UpdateConfig(trust_size=trust))
+        first = RM.sync_remote(local, remote, base, cfg)
+        learnt = materialize(RM.learn(first.base, *after), "base")
+        second = RM.plan_remote(*after, learnt, cfg)
+        return first.plan.select(F.lit(1).alias("cycle"), "path", "direction").unionByName(second.select(F.lit(2).alias("cycle"), "path", "direction"))
+
+
 @query("sync_selected_paths", LISTING_PLAN_SQL + """
 select path, d as direction from p where regexp_matches(path, '^(de|en/src1)(/|$)') and not regexp_matches(path, '9\\.txt$')""")
 def _(spark, d):

@@ -6,7 +6,17 @@
 2. Votes are summed per host and path in Spark; each host's best path wins.
 3. Pages are extracted again from the elements on their host's path, without
    what is boilerplate inside them. A page that has no text there is extracted
-   from its own best container, and one without a container from its body.
+   from its own best container, and one without a container from its body. An
+   article that is split over unnamed containers side by side is read from all.
+
+What is boilerplate is told by tags and names, weighed by what they hold. A name
+says so for certain where all its words do (``site-header``, ``ad-slot``); where
+only some do (``social-sciences``, ``banner-text``), it takes links, or a place
+outside the article without most of the page's prose. A form, or a name other than
+those of reader comments, never hides the article: one that holds more prose
+than is left outside, with a first heading or an article in it, is no boilerplate
+(a form also where it holds ten times as much). Headings and paragraphs in the
+header of an article are its title and lead.
 
 Votes are pre-aggregated per batch and task, and the join on the host may split
 a host that has a third of all pages. Null html gives an empty text, a null url
@@ -22,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -49,11 +60,24 @@ BAD_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising ads
     navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside notice notices cookie cookies consent gdpr
     newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond
     reply replies pagination pager popup modal overlay widget widgets skip search toolbar alert""".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
+AD_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion cookie cookies
+    consent gdpr newsletter subscribe subscription signup login""".split())
+QUALIFIERS = frozenset("""site page global top bottom left right primary secondary inner outer block box area list wrap wrapper container holder section
+    bar links link posts articles stories item items slot unit button buttons btn icon icons group panel row col column zone region module form field
+    cta inline mobile desktop sticky fixed float floating tools home blog logo title label message image video count toggle small large full width sub
+    js wp ui google facebook twitter mini level depth thread author avatar meta""".split())
+WHOLE_TITLES = frozenset("entry post article story".split())  # their "header" holds the title
 GOOD_NAMES = frozenset("article articles content contents entry main post story text body prose maintext".split())
-HEAD_TAGS = frozenset(["header"])
+HARD_TAGS = frozenset("nav menu dialog button select head".split())
+FORM_TAGS = frozenset("form fieldset".split())
+HOLD_TITLE = frozenset("article main h1".split())
 
-#: Elements below this depth are read as text and blocks of the last one above;
-#: longer paths go on from a hash of their beginning.
+#: How surely an element is boilerplate: may be, is unless it holds the article, is.
+WEAK, FORM, STRONG, HARD = 1, 2, 3, 4
+
+#: Elements below this depth are read as text and blocks of the last one above,
+#: but for the outermost one that is boilerplate; longer paths go on from a hash of their beginning.
 DEEPEST, LONG_PATH = 512, 2000
 
 #: In an svg these hold HTML; elsewhere in it a block-level tag ends the svg.
@@ -62,38 +86,113 @@ HOLDERS = frozenset("foreignobject desc title".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
-_BESIDE = re.compile(r"(?:has|with|no|without)[-_]")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BESIDE = frozenset("has with no without and".split())
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in RAW}
 _ANY = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>?""", re.S)
 
 
+@lru_cache(100_000)
+def _weigh(name: str) -> tuple[int, bool, bool]:
+    """What a class or id says: how surely boilerplate, whether it holds an
+    article's title, whether content."""
+    words = [w for w in _SPLIT.split(_HUMP.sub("-", name).lower()) if w and not w.isdigit()]
+    # "has-sidebar" and "content-with-sidebar" say what stands beside an element
+    words = words[:next((i for i, w in enumerate(words) if w in _BESIDE), len(words))]
+    said = set(words)
+    good = bool(said & GOOD_NAMES)
+    if not said & BAD_NAMES:
+        return 0, False, good
+    if words[-1] == "header" and len(words) > 1 and said <= WHOLE_TITLES | {"header"}:
+        return 0, True, False
+    plain = said <= BAD_NAMES | QUALIFIERS | WHOLE_TITLES | {"main"}
+    if said & COMMENT_NAMES and (plain or said <= BAD_NAMES | QUALIFIERS | GOOD_NAMES):
+        return HARD, False, False
+    if plain or said & AD_NAMES and said <= BAD_NAMES | QUALIFIERS | GOOD_NAMES:
+        return STRONG, False, False
+    return WEAK, False, good
+
+
 class Page:
     """Elements and blocks of a page in page order."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.bad, self.good = [-1], ["#"], [""], [False], [False]
+        self.parent, self.tag, self.path, self.mark, self.good, self.head = [-1], ["#"], [""], [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parse(html)
+        self._settle()
 
-    def _open(self, above: int, tag: str, rest: str) -> int:
-        names, bad, label = [], tag in DROPPED, tag
+    def _names(self, tag: str, rest: str) -> tuple[int, bool, bool, list[str]]:
+        """Mark, whether it holds a title, whether content, classes."""
+        mark = HARD if tag in HARD_TAGS else FORM if tag in FORM_TAGS else STRONG if tag in DROPPED else 0
+        head, good, classes = tag == "header", tag in ("article", "main"), []
         if rest and not rest.isspace():
             given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
-            classes = unescape(given.get("class", "")).lower().split()
-            # "has-sidebar" and the like say what stands beside an element
-            names = {w for c in [*classes, given.get("id", "").lower()] if not _BESIDE.match(c) for w in _SPLIT.split(c) if w}
-            bad = (bad or bool(names & BAD_NAMES) or given.get("role", "").lower() in ROLES or "hidden" in given
-                   or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", ""))
-            label += "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
+            classes = unescape(given.get("class", "")).split()
+            for name in [*classes, given.get("id", "")]:
+                sure, titled, content = _weigh(name)
+                if sure > WEAK or tag in BLOCKS and tag != "article":
+                    mark = max(mark, sure)
+                head, good = head or titled, good or content
+            role = given.get("role", "").lower()
+            if role in ROLES:
+                mark = max(mark, FORM if role == "form" else STRONG)
+            if ("hidden" in given or given.get("aria-hidden", "").lower() == "true"
+                    or "display:none" in given.get("style", "").lower().replace(" ", "")):
+                mark = HARD
+        if tag in ("html", "body", "main"):
+            mark = 0
+        return mark, head, good and not mark, [c.lower() for c in classes]
+
+    def _open(self, above: int, tag: str, rest: str) -> int:
+        mark, head, good, classes = self._names(tag, rest)
+        label = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
         self.parent.append(above)
         self.tag.append(tag)
         base = self.path[above]
         self.path.append(f"{base if len(base) < LONG_PATH else '~' + xxhash.xxh3_64_hexdigest(base)}>{label}")
-        self.bad.append(bad and tag not in ("html", "body", "main"))
-        self.good.append(tag in ("article", "main") or bool(GOOD_NAMES & set(names)))
+        self.mark.append(mark)
+        self.good.append(good)
+        self.head.append(head)
         return len(self.tag) - 1
 
+    def _settle(self) -> None:
+        """Which marks hold (``bad``). Children have larger numbers than parents,
+        so sums climb in one pass from the last element to the first."""
+        n = len(self.tag)
+        size, linked, free, titled = [0] * n, [0] * n, [0] * n, [t in HOLD_TITLE for t in self.tag]
+        for e, text, links in self.blocks:
+            size[e] += len(text)
+            linked[e] += links
+            free[e] += max(0, len(text) - 2 * links)
+        whole = sum(free)
+        for e in range(n - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+            linked[self.parent[e]] += linked[e]
+        inside = [False] * n  # inside an element of content
+        for e in range(1, n):
+            inside[e] = self.good[e] or inside[self.parent[e]]
+        self.inside, self.size, self.linked = inside, size, linked
+        self.bad = [m > WEAK for m in self.mark]
+        for e in range(n - 1, 0, -1):
+            if self.mark[e] == WEAK:
+                lists = size[e] > 0 and 2 * linked[e] >= size[e]
+                self.bad[e] = lists or not (inside[e] or 2 * free[e] >= whole or titled[e])
+            if not self.bad[e]:
+                free[self.parent[e]] += free[e]
+                titled[self.parent[e]] = titled[self.parent[e]] or titled[e]
+        outside, under = free[0], [False] * n
+        for e in range(1, n):
+            under[e] = under[self.parent[e]]
+            if self.bad[e] and not under[e]:
+                holds = self.mark[e] != HARD and free[e] > outside and (titled[e] or self.mark[e] == FORM and free[e] > 10 * outside)
+                if holds:
+                    self.bad[e] = False
+                    outside += free[e]
+                else:
+                    under[e] = True
+
     def _parse(self, html: str) -> None:
         stack, pieces, linked, links, at = [0], [], 0, 0, 0
         endless: set[str] = set()
@@ -112,8 +211,8 @@ class Page:
                 whole = " ".join("".join(pieces).split())
                 if whole:
                     owner = next(e for e in reversed(stack) if self.tag[e] in BLOCKS or e == 0)
-                    if any(self.bad[e] for e in stack[stack.index(owner) + 1:]):
-                        owner = next(e for e in stack[stack.index(owner) + 1:] if self.bad[e])
+                    if any(self.mark[e] for e in stack[stack.index(owner) + 1:]):
+                        owner = next(e for e in stack[stack.index(owner) + 1:] if self.mark[e])
                     self.blocks.append((owner, whole, linked))
                 pieces.clear()
             linked = 0
@@ -138,7 +237,7 @@ class Page:
                     continue
                 here = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag), 0)
                 if here:
-                    if any(self.tag[e] in BLOCKS or self.bad[e] for e in stack[here:]):
+                    if any(self.tag[e] in BLOCKS or self.mark[e] for e in stack[here:]):
                         flush()
                     links -= sum(self.tag[e] == "a" for e in stack[here:])
                     del stack[here:]
@@ -164,11 +263,11 @@ class Page:
                             break
                         if self.tag[stack[i]] in walls:
                             break
-            if len(stack) > DEEPEST:
+            if len(stack) > DEEPEST and (len(stack) > DEEPEST + 1 or not self._names(tag, m[3] or m[6] or "")[0]):
                 flat[tag] += 1
                 continue
             e = self._open(stack[-1], tag, m[3] or m[6] or "")
-            if self.bad[e]:
+            if self.mark[e]:
                 flush()
             links += tag == "a"
             if (m[3] or m[6] or "").rstrip().endswith("/") and tag not in BLOCKS and tag != "a":
@@ -189,7 +288,7 @@ class Page:
         out: dict[int, float] = defaultdict(float)
         for e, text, linked in self.blocks:
             chain = self._chain(e)
-            if any(self.bad[x] or self.tag[x] in HEAD_TAGS for x in chain) or not chain:
+            if any(self.bad[x] or self.head[x] for x in chain) or not chain:
                 continue
             prose = max(0, len(text) - 2 * linked)
             holders = [x for x in chain if self.tag[x] not in ("p", "li", "ul", "ol", "pre", "blockquote", "td", "th", "tr", "tbody", "table", *HEADINGS)
@@ -201,23 +300,39 @@ class Page:
                 out[x] *= 3 if self.tag[x] == "article" else 2
         return {x: s for x, s in out.items() if s > 0}
 
-    def best(self) -> str:
+    def best(self) -> int:
         scores = self.scores()
         return min(scores, key=lambda x: (-scores[x], x)) if scores else 0
 
+    def beside(self, roots: set[int]) -> set[int]:
+        """``roots`` and the unnamed containers beside an unnamed one that hold a
+        like share of prose (a quarter of its score, more text than links)."""
+        scores, out = self.scores(), set(roots)
+        least: dict[tuple[int, str], float] = {}
+        for r in roots:
+            if r > 0 and not self.inside[r]:
+                key = self.parent[r], self.tag[r]
+                least[key] = min(least.get(key, scores.get(r, 0) / 4), scores.get(r, 0) / 4)
+        if least:
+            for e, s in scores.items():
+                at = least.get((self.parent[e], self.tag[e]))
+                if at is not None and s >= at > 0 and 2 * self.linked[e] < self.size[e]:
+                    out.add(e)
+        return out
+
     def text_of(self, roots: set[int]) -> str:
         """Blocks inside these elements without the boilerplate below them."""
         kept = []
         for e, text, _ in self.blocks:
-            inside, ok, heading = False, True, False
+            inside, ok, heading, lead = False, True, False, False
             for x in self._chain(e) or [0]:
                 if x in roots:
                     inside = True
                     break
                 ok = ok and not self.bad[x]
-                if self.tag[x] in HEADINGS:
-                    heading = True
-                if self.tag[x] in HEAD_TAGS and not heading:
+                heading = heading or self.tag[x] in HEADINGS
+                lead = lead or self.tag[x] == "p"
+                if self.head[x] and not heading and not (lead and self.inside[x]):
                     ok = False
             if (inside or 0 in roots) and ok:
                 kept.append(text)
@@ -277,8 +392,8 @@ def votes(html: str) -> dict[str, int]:
 def extract(html: str, path: str | None) -> str:
     page = Page(html)
     found = {x for x in range(1, len(page.tag)) if page.path[x] == path} if path else set()
-    text = page.text_of(found) if found else ""
-    return text or page.text_of({page.best()})
+    text = page.text_of(page.beside(found)) if found else ""
+    return text or page.text_of(page.beside({page.best()}))
 
 
 def host_of(url: str | None) -> str:

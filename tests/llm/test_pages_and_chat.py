@@ -74,6 +74,31 @@ def test_nothing_else_is_dropped(inside, want):
     assert webpages.extract(f"<html><body><article><p>{inside}</p></article></body></html>", None) == want
 
 
+LONG = "It has a first long paragraph with many words about its subject, and goes on with more of them."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<form id="aspnetForm"><div class="nav"><a href="/">Home</a></div><div><h1>Title</h1><p>%s</p></div><button>Send</button></form>', "Title\n%s"),
+    ('<form id="aspnetForm"><div><p>%s</p></div></form>', "%s"),
+    ('<div class="content-with-sidebar"><p>%s</p></div><div class="sidebar"><p>Other things.</p></div>', "%s"),
+    ('<div class="social-sciences"><p>%s</p></div><div class="social-links"><p>Follow us.</p></div>', "%s"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>%s</p></article>', "Title\n%s"),
+    ('<article><p>%s</p><section id="related-work"><h2>Related work</h2><p>Others did it too.</p></section><div id="related-articles"><p>Read this.</p></div></article>',
+     "%s\nRelated work\nOthers did it too."),
+    ('<article><p>%s</p><div class="banner-text"><p>Kept words.</p></div><div class="ad-banner">Gone</div><div class="sponsored-content"><p>Gone</p></div></article>', "%s\nKept words."),
+    ('<header><p>Site line.</p></header><article><header><h1>Title</h1><p>The lead.</p><div>Share</div></header><p>%s</p></article>', "Title\nThe lead.\n%s"),
+    ('<div class="x"><p>%s</p></div><div class="y"><p>The second half goes on with as many words as that.</p></div><div class="sidebar"><p>Gone words here, quite a few of them.</p></div>',
+     "%s\nThe second half goes on with as many words as that."),
+    ('<div id="pageHeader"><p>Gone.</p></div><article class="post tag-newsletter"><p>%s</p></article>', "%s"),
+    ('<article><p>%s</p></article><ol class="comment-list"><li><article class="comment-body"><h1>Re</h1><p>' + LONG * 5 + '</p></article></li></ol>', "%s"),
+    ('<div class="cookie-notice"><p>We use cookies.</p></div>', ""),
+    ('<article>' + "<div>" * 600 + '<nav><p>Gone</p><div>too</div></nav><p>%s</p>' + "</div>" * 600 + "</article>", "%s")])
+def test_marks_are_weighed(page, want):
+    fill = lambda t: t % LONG if "%s" in t else t
+    page = fill(page)
+    assert webpages.extract(f"<html><body>{page}</body></html>", None) == fill(want)
+
+
 def test_many_open_elements_stay_fast():
     for piece in ("<svg>", "<div><svg>x</div>", "<div><script></div>", "<iframe/>", "<noscript><p>"):
         assert isinstance(webpages.extract(piece * 20_000, None), str)

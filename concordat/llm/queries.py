@@ -74,13 +74,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan", license_sql.SQL)
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base, more = F.array_sort(F.array_distinct("phrases.label")), F.concat("templates.label", "notices.label")
+    sure = F.filter("templates", lambda t: t["sure"])
+    base, more = F.array_sort(F.array_distinct("phrases.label")), F.concat(sure["label"], "notices.label")
     n = F.size("phrases")
     return found.select(
         "doc_id", "n_words", n.cast("long").alias("n_base"),
         F.array_min("phrases.word").alias("first_word"), F.array_max("phrases.word").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
-        F.when(n > 0, 1.0).otherwise(F.coalesce(F.array_max(F.concat("templates.containment", "notices.containment")), F.lit(0.0))).alias("score"))
+        F.when(n > 0, 1.0).otherwise(F.coalesce(F.array_max(F.concat(sure["containment"], "notices.containment")), F.lit(0.0))).alias("score"))
 
 
 @query("op8_fingerprints")

@@ -15,9 +15,10 @@ from concordat.operators import updates as U
 from concordat.operators import views as V
 from concordat.plans import remote as RM
 from concordat.plans.cycle import make_plan
-from concordat.session import materialize
+from concordat.session import materialize, scratch_path
 from concordat.sources.remote import remote_listing
 from concordat.sources.stores import base_id_column
+from concordat.sources.trees import hash_suspects, scan_tree
 from suite.core import listing_plan
 from suite.fixtures import LISTING3_SQL, LISTING_PLAN_SQL, as_listing, listing3, with_directories
 from suite.registry import query, table
@@ -33,6 +34,45 @@ def doc_listing(spark, d):
     return doc.select(path.alias("path"), "doc_id", "text", "lang", "source")
 
 
+_PARTS = """
+parts as (select 'lang='||coalesce(nullif(lang,''),'__HIVE_DEFAULT_PARTITION__') as l, 'source='||coalesce(nullif(source,''),'__HIVE_DEFAULT_PARTITION__') as s,
+  coalesce(cast(doc_id as varchar),'') as line from documents)"""
+
+
+def _tree_of_documents(spark, d):
+    """Folder of text files, one directory per lang and source, with the ids."""
+    folder = scratch_path(spark, "tree")
+    (table(spark, d, "documents").select("lang", "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("line"))
+     .write.partitionBy("lang", "source").text(folder))
+    return folder
+
+
+@query("scan_tree", "with " + _PARTS + """
+select l as path, 0 as n_bytes from parts group by 1
+union all select l||'/'||s, sum(strlen(line) + 1) from parts group by 1""")
+def _(spark, d):
+    """Directories of a tree on disk with the bytes of the visible files in each."""
+    found = scan_tree(spark, _tree_of_documents(spark, d)).where("error is null")
+    seen = found.where(~P.name(F.col("path")).rlike("^[._]"))
+    held = (seen.where("kind = 'file'").groupBy(P.parent(F.col("path")).alias("path"))
+            .agg(F.sum("length").alias("n_bytes")))
+    return (seen.where("kind = 'directory'").select("path").join(held, "path", "left")
+            .select("path", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes")))
+
+
+@query("scan_and_hash", "with " + _PARTS + """
+select count(distinct l) + count(distinct l||'/'||s) as n_directories, sum(strlen(line) + 1) as n_bytes, 0 as n_errors, true as all_hashed from parts""")
+def _(spark, d):
+    """A tree on disk, listed and read: every file has a fingerprint."""
+    folder = _tree_of_documents(spark, d)
+    found = scan_tree(spark, folder)
+    done = hash_suspects(found.withColumns({"fp": F.lit(None).cast("string"), "suspect": F.col("kind") == "file"}), folder)
+    seen = ~P.name(F.col("path")).rlike("^[._]")
+    return done.where(seen).agg(
+        F.count(F.when(F.col("kind") == "directory", 1)).alias("n_directories"), F.sum(F.when(F.col("kind") == "file", F.col("length"))).alias("n_bytes"),
+        F.count("error").alias("n_errors"), F.bool_and((F.col("kind") != "file") | (F.length("fp") == 32)).alias("all_hashed"))
+
+
 # -- paths --------------------------------------------------------------------
 
 _RAW = """

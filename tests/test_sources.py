@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+from pyarrow import fs as pa_fs
 from pyspark.sql import functions as F
 
 from concordat import schemas as S
@@ -50,6 +51,33 @@ def test_a_root_that_cannot_be_listed(spark, tmp_path):
     assert [(r["path"], r["kind"], r["mtime"]) for r in found] == [("", "directory", None)] and found[0]["error"]
 
 
+def in_store(root):
+    """A store that knows only what is below one folder, as a bucket does."""
+    scheme, path = root.split("://")
+    assert scheme == "bucket"
+    return pa_fs.SubTreeFileSystem("/" + path, pa_fs.LocalFileSystem()), ""
+
+
+def test_a_tree_in_a_store(spark, tmp_path):
+    root = make_tree(tmp_path / "t")
+    os.symlink("nowhere", f"{root}/dangling")
+    plain = {r["path"]: r for r in scan_tree(spark, root, tasks=2).where("kind <> 'symlink'").collect()}
+    url = "bucket:/" + root
+    found = scan_tree(spark, url, tasks=2, opener=in_store)
+    seen = {r["path"]: r for r in found.collect() if r["path"] not in ("link", "dangling")}
+    assert seen.keys() == plain.keys()
+    for path, r in seen.items():
+        assert (r["kind"], r["mtime"], r["error"], r["perms"]) == (plain[path]["kind"], plain[path]["mtime"], None, None)
+        assert r["length"] == plain[path]["length"]
+    marked = found.withColumns({"fp": F.lit(None).cast("string"), "suspect": F.col("kind") == "file"})
+    os.remove(f"{root}/.hidden/.x")
+    done = {r["path"]: r for r in hash_suspects(marked, url, tasks=2, opener=in_store).collect()}
+    assert done["docs/readme.md"]["fp"] == hashlib.md5(b"doc").hexdigest() and done[".hidden/.x"]["error"] and done["docs"]["fp"] is None
+    missing = scan_tree(spark, url + "/missing", tasks=2, opener=in_store).collect()
+    assert [(r["path"], r["kind"]) for r in missing] == [("", "directory")] and missing[0]["error"]
+    assert {r["path"] for r in scan_tree(spark, "file://" + root, tasks=2).collect()} >= plain.keys() - {".hidden/.x"}
+
+
 def test_base_versions(spark, tmp_path):
     root = str(tmp_path)
     df = listing(spark, row("a"), row("b"))

@@ -16,6 +16,9 @@ answer, what stands before it the question (items of one sentence have no
 question), and the shares of their word shingles that the passage has must
 reach ``min_overlap``.
 
+Number of items, mean length and document frequencies are those of all items,
+counted in Spark; each shard looks up the frequencies of its own words.
+
 The items are read in shards of at most ``SHARD_WORDS`` words and of like
 lengths; each shard is broadcast and answered in one pass over the documents,
 without a shuffle. Words are runs of ASCII letters, digits and other
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from concordat.llm.arrow import offsets, slices, spread
 from concordat.llm.grams import byte_table, shingles, word_hashes
+from concordat.session import materialize
 
 SHARD_WORDS = 200_000
 BLOCK = 8
@@ -61,10 +66,19 @@ def split_item(text: str) -> tuple[str, str]:
     return "", text
 
 
+class Statistics(NamedTuple):
+    """What BM25 weights take from all items."""
+
+    n: int
+    mean: float
+    df: dict[int, int]
+
+
 class Index:
-    """Postings of one shard of items, in order of item, with block maxima."""
+    """Postings of one shard of items, in order of item, with block maxima. Without
+    ``stats`` the shard is all there is."""
 
-    def __init__(self, items: list[tuple[object, str]], kind: pa.DataType | None = None):
+    def __init__(self, items: list[tuple[object, str]], kind: pa.DataType | None = None, stats: Statistics | None = None):
         self.kind = kind or pa.int64()
         self.ids = [i for i, _ in items]
         words = [_hashes(t) for _, t in items]
@@ -80,8 +94,10 @@ class Index:
         pair, tf = np.unique(term.astype(np.int64) * len(items) + item, return_counts=True)
         term, item = pair // len(items), pair % len(items)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / lens.mean()))
+        n_all, mean, of_all = (len(items), lens.mean(), df) if stats is None else (
+            stats.n, stats.mean, np.array([stats.df[w] for w in self.terms.tolist()]))
+        idf = np.log1p((n_all - of_all + 0.5) / (of_all + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / mean))
         weight /= np.bincount(item, weight, len(items))[item]
         self.start, self.item, self.weight = offsets(df), item, weight
         self.most = np.maximum.reduceat(weight, self.start[:-1])
@@ -211,8 +227,35 @@ def _query(index, doc: str, text: str, min_score: float, min_overlap: float, dro
     return run
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each item with the item's length at the first of them."""
+    for batch in batches:
+        for part in slices(iter([batch]), "text", SLICE_BYTES):
+            h, counts, _ = word_hashes(part.column("text"), WORDS)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            first = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[:len(h)]
+            h, owner = h[first], owner[first]
+            lead = np.append(True, owner[1:] != owner[:-1])[:len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(lead, counts[owner], 0).astype(np.int64)),
+                                              pa.array(lead.astype(np.int64))], names=["word", "length", "items"])
+
+
 def shards(items: DataFrame, item: str, item_text: str, shard_words: int) -> Iterator[Index]:
-    """Indexes of bounded size over items of like lengths."""
+    """Indexes of bounded size over items of like lengths, weighed by all items."""
+    spark = items.sparkSession
+    counted = materialize(
+        items.where(F.col(item_text).isNotNull()).select(F.col(item_text).alias("text")).mapInArrow(_item_words, "word long, length long, items long")
+        .groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"), F.sum("items").alias("items")), "item_words")
+    n_all, length = counted.agg(F.sum("items"), F.sum("length")).first()
+
+    def built(shard: list) -> Index:
+        own = np.unique(np.concatenate([_hashes(t) for _, t in shard])).view(np.int64)
+        rows = counted.join(spark.createDataFrame(pa.table({"word": own})), "word", "left_semi").select("word", "df").collect()  # one shard's words
+        df = {r["word"] % (1 << 64): r["df"] for r in rows}
+        return Index(shard, kind, Statistics(n_all, length / n_all, df))
+
     shard, words, low = [], 0, 0
     kind = to_arrow_type(items.schema[item].dataType)
     for r in items.where(F.col(item_text).isNotNull()).select(item, item_text).orderBy(F.length(item_text), item).toLocalIterator():
@@ -220,13 +263,13 @@ def shards(items: DataFrame, item: str, item_text: str, shard_words: int) -> Ite
         if not n:
             continue
         if shard and (words + n > shard_words or n > max(2 * low, 64)):
-            yield Index(shard, kind)
+            yield built(shard)
             shard, words = [], 0
         low = low if shard else n
         shard.append((r[0], r[1]))
         words += n
     if shard:
-        yield Index(shard, kind)
+        yield built(shard)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",

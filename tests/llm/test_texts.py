@@ -1,7 +1,9 @@
 """Language labels, decontamination, licenses, fingerprints."""
 
 import hashlib
+import math
 import random
+import re
 import textwrap
 from itertools import pairwise
 
@@ -114,6 +116,30 @@ def test_wand_finds_all(spark, tmp_path, score, overlap):
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want) and want
 
 
+@pytest.mark.parametrize("shard_words", [10, 150, 1_000_000])
+def test_weights_are_those_of_all_items(spark, shard_words):
+    """BM25 by its formula, over items of mixed lengths, in any number of shards."""
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, rng.choice([3, 8, 20, 90, 300]), 3)) + "." for _ in range(30)]
+    texts += [texts[0], texts[5]]
+    items = spark.createDataFrame([*enumerate(texts), (90, None), (91, ""), (92, "?!")], "item_id long, text string").repartition(4)
+    bags = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    mean, want = sum(map(len, bags)) / len(bags), {}
+    for i, bag in enumerate(bags):
+        raw = {}
+        for w in set(bag):
+            df, tf = sum(w in b for b in bags), bag.count(w)
+            raw[w] = math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+        want |= {(i, int(decontaminate._hashes(w)[0])): x / sum(raw.values()) for w, x in raw.items()}
+    got, n = {}, 0
+    for index in decontaminate.shards(items, "item_id", "text", shard_words):
+        n += 1
+        for t, term in enumerate(index.terms.tolist()):
+            for k in range(index.start[t], index.start[t + 1]):
+                got[index.ids[index.item[k]], term] = index.weight[k]
+    assert n > 1 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_shards_and_clean(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r["doc"], r["item"]) for r in decontaminate.contaminated(docs, items).collect()}

@@ -14,10 +14,12 @@ def _fixed(value: Column, digits: int) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
+    """Also for decimals, whose own division would round to fewer digits."""
+    of = lambda unit: _fixed(n.cast("double") / unit, 1)
     return (F.when(n < KB, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-            .when(n < MB, F.concat(_fixed(n / KB, 1), F.lit(" KB")))
-            .when(n < GB, F.concat(_fixed(n / MB, 1), F.lit(" MB")))
-            .when(n.isNotNull(), F.concat(_fixed(n / GB, 1), F.lit(" GB"))))
+            .when(n < MB, F.concat(of(KB), F.lit(" KB")))
+            .when(n < GB, F.concat(of(MB), F.lit(" MB")))
+            .when(n.isNotNull(), F.concat(of(GB), F.lit(" GB"))))
 
 
 def format_rate(rate: Column) -> Column:

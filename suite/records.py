@@ -549,7 +549,8 @@ _FIX1 = "cast(cast({0} as decimal(38,1)) as varchar)"
        + _FIX1.format("n/1048576") + "||' MB' else " + _FIX1.format("n/1073741824") + """||' GB' end as text
 from (select o_orderkey, cast(o_orderkey as bigint) * o_orderkey * o_custkey as n from orders)""")
 def _(spark, d):
-    n = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")
+    key = F.col("o_orderkey").cast("decimal(20,0)")  # large keys: the product leaves 64 bits
+    n = key * key * F.col("o_custkey")
     return table(spark, d, "orders").select("o_orderkey", TX.format_bytes(n).alias("text"))
 
 

@@ -1,6 +1,7 @@
 """Column functions on literal tables."""
 
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -14,6 +15,8 @@ from concordat.functions import props as PR
 from concordat.functions import text as TX
 from concordat.operators import listings as L
 from concordat.sources.remote import decode_name, parse_time
+from suite import records  # noqa: F401
+from suite.registry import QUERIES
 
 # (pattern, path, matches)
 PATTERN_CASES = [
@@ -142,6 +145,16 @@ def test_formats(spark):
     assert tuple(row) == ("1023 B", "1.5 KB", "5.0 GB", "10 B/s", "2.0 MB/s", "--:--", "59s", "1m 1s", "2h 1m")
 
 
+def test_formats_of_products_beyond_64_bits(spark, tmp_path):
+    """Keys of large tables: their product is still exact."""
+    keys = [(1, 1023), (32, 1), (3_000_000, 3_000_000), (90_000_123, 599_999), (0, 5), (None, 1), (-7, 40)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["text"] for r in QUERIES["format_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "1023 B", 32: "1.0 KB", 3_000_000: "25145709514.6 GB",
+                   90_000_123: f"{Decimal(90_000_123 ** 2 * 599_999 / 1024 ** 3).quantize(Decimal('0.1'))} GB",
+                   0: "0 B", None: None, -7: "1.9 KB"}
+
+
 def test_remote_texts(spark):
     row = spark.range(1).select(
         F.date_format(parse_time(F.lit("Sun, 06 Nov 1994 08:49:37 GMT")), "yyyy-MM-dd HH:mm:ss"),

@@ -55,9 +55,18 @@ def backup_name(path: Column, version: Column, cfg: BackupConfig = BackupConfig(
     return F.when(path != "", beside)
 
 
-def _stem_and_extension(name: Column) -> tuple[Column, Column]:
-    ext = F.regexp_extract(name, r"\A[\s\S]+(\.[^.]*)\z", 1)
-    return F.substring(name, F.lit(1), F.length(name) - F.length(ext)), ext
+def _extension(name: Column) -> Column:
+    """The last dot and what follows; empty without a dot or if it comes first."""
+    tail = F.substring_index(name, ".", -1)
+    return F.when(F.length(tail) + 1 < F.length(name), F.concat(F.lit("."), tail)).when(name.isNotNull(), "")
+
+
+def _without(text: Column, end: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - F.length(end))
+
+
+#: `` (conflict on YYYY-MM-DD)`` and its length.
+_LABEL, _LABEL_LENGTH = r"\A \(conflict on \d{4}-\d{2}-\d{2}\)\z", 25
 
 
 def conflict_copies(conflicts: DataFrame, existing: DataFrame, day: Column) -> DataFrame:
@@ -65,30 +74,32 @@ def conflict_copies(conflicts: DataFrame, existing: DataFrame, day: Column) -> D
     YYYY-MM-DD)[.n].ext`` with the first number that is free in its directory.
 
     The taken numbers of a name, sorted, equal their places up to the first gap,
-    so the gap is a count and no numbers are gathered."""
-    stem, ext = _stem_and_extension(P.name(F.col("path")))
-    base = F.concat(stem, F.lit(" (conflict on "), F.date_format(day, "yyyy-MM-dd"), F.lit(")"))
-    wanted = conflicts.select("path", P.parent(F.col("path")).alias("dir"),
-                              base.alias("_base"), ext.alias("_ext"))
+    so the gap is a count and no numbers are gathered. Names are cut at dots,
+    step by step, and only their short ends meet a pattern; the rows are
+    shuffled once, by name."""
     name = P.name(F.col("path"))
-    taken_stem, taken_ext = _stem_and_extension(name)
-    label = r"\A([\s\S]* \(conflict on \d{4}-\d{2}-\d{2}\))(?:\.(\d+))?\z"
+    wanted = (conflicts.select("path", name.alias("_name")).withColumn("_ext", _extension(F.col("_name")))
+              .select("path", P.parent(F.col("path")).alias("dir"),
+                      F.concat(_without(F.col("_name"), F.col("_ext")), F.lit(" (conflict on "),
+                               F.date_format(day, "yyyy-MM-dd"), F.lit(")")).alias("_base"), "_ext"))
+    there = existing.select("path", name.alias("_name")).where(F.col("_name").contains(" (conflict on "))
+    there = there.select(P.parent(F.col("path")).alias("dir"), "_name", _extension(F.col("_name")).alias("_ext"))
     # Without an extension the number itself looks like one: "x (conflict …).3".
-    numbered = taken_ext.rlike(r"\A\.\d+\z")
     whole = F.explode(F.array_compact(F.array(
-        F.struct(taken_stem.alias("s"), taken_ext.alias("e")),
-        F.when(numbered, F.struct(name.alias("s"), F.lit("").alias("e"))))))
-    taken = (existing.where(name.contains(" (conflict on "))
-             .select(P.parent(F.col("path")).alias("dir"), whole.alias("t"))
-             .where(F.col("t.s").rlike(label))
-             .select("dir", F.regexp_extract("t.s", label, 1).alias("_base"),
-                     F.col("t.e").alias("_ext"),
-                     F.coalesce(F.nullif(F.regexp_extract("t.s", label, 2), F.lit("")).try_cast("long"),
-                                F.lit(0)).alias("n")).distinct())
-    place = F.row_number().over(Window.partitionBy("dir", "_base", "_ext").orderBy("n")) - 1
+        F.struct(_without(F.col("_name"), F.col("_ext")).alias("s"), F.col("_ext").alias("e")),
+        F.when(F.col("_ext").rlike(r"\A\.\d+\z"), F.struct(F.col("_name").alias("s"), F.lit("").alias("e"))))))
+    split = (there.select("dir", whole.alias("t")).select("dir", F.col("t.s").alias("s"), F.col("t.e").alias("_ext"))
+             .withColumn("end", _extension(F.col("s")))
+             .withColumn("end", F.when(F.col("end").rlike(r"\A\.\d+\z"), F.col("end")).otherwise(""))
+             .select("dir", _without(F.col("s"), F.col("end")).alias("_base"), "_ext",
+                     F.coalesce(F.substring("end", F.lit(2), F.length("end")).try_cast("long"), F.lit(0)).alias("n")))
+    names = ["dir", "_base", "_ext"]
+    taken = (split.where(F.substring("_base", -_LABEL_LENGTH, _LABEL_LENGTH).rlike(_LABEL))
+             .repartition(*names).distinct())
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("n")) - 1
     gaps = (taken.withColumn("_place", place).where(F.col("n") == F.col("_place"))
-            .groupBy("dir", "_base", "_ext").agg(F.count(F.lit(1)).alias("_free")))
-    j = wanted.join(gaps, ["dir", "_base", "_ext"], "left")
+            .groupBy(*names).agg(F.count(F.lit(1)).alias("_free")))
+    j = wanted.join(gaps, names, "left")
     free = F.coalesce("_free", F.lit(0))
     number = F.when(free > 0, F.concat(F.lit("."), free.cast("string"))).otherwise("")
     copy = P.join_path(F.col("dir"), F.concat("_base", number, "_ext"))

@@ -22,7 +22,7 @@ from concordat.streaming.sync import SyncOnChange, sync_repeat
 from suite.core import K, ORDERS_JOB, _failures, _MERGED, orders_plan
 from suite.fixtures import (LISTING_PLAN_SQL, ORDERS_PLAN_SQL, as_listing, customer3, listing3, order_snapshots,
                             with_directories)
-from suite.registry import query, table
+from suite.registry import partitions, query, table
 
 _DOCS = """with docs as (select doc_id, lang||'/'||source as dir, lang||'/'||source||'/'||doc_id||'.txt' as path, text from documents)
 """
@@ -217,8 +217,9 @@ def _(spark, d):
 select lang||'/'||source||'/'||doc_id||'.txt' as path,
   lang||'/'||source||'/'||doc_id||' (conflict on 2024-06-01).'||(120 + doc_id%7)||'.txt' as copy from documents""")
 def _(spark, d):
-    """Each file has far more than a hundred copies already."""
-    doc = table(spark, d, "documents")
+    """Each file has far more than a hundred copies already. The ids are dealt
+    out first: the table's few files would make all names in a few tasks."""
+    doc = table(spark, d, "documents").select("doc_id", "lang", "source").repartition(partitions(spark), "doc_id")
     stem = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
     n = F.explode(F.sequence(F.lit(0), F.lit(119) + (F.col("doc_id") % 7).cast("int")))
     there = doc.select(stem.alias("stem"), n.alias("n")).select(F.concat(

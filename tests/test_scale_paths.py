@@ -8,11 +8,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concordat.config import JobConfig
+from concordat.operators import backups as BK
 from concordat.operators import listings as L
 from concordat.operators import moves as H
 from concordat.operators import stats as ST
 from concordat.operators.ordered import rank_in_groups, running_totals, with_position
 from concordat.plans.cycle import make_plan
+from suite import cycles  # noqa: F401
+from suite.registry import QUERIES
 from tests.test_plan import listing, row
 
 
@@ -147,3 +150,27 @@ def test_metadata_stage_reads_no_content(spark, tmp_path):
     now = spark.read.parquet(str(tmp_path / "l"))
     plan = fingerprint_suspects(now.drop("content"), now)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_conflict_copies_in_many_tasks(spark, tmp_path):
+    """Copies of the names of one small file are made and read in all tasks and
+    shuffled once, by name."""
+    docs = [(i, "en", "web") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["conflict_copies_many"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(dir") == 1
+    got = {r["path"]: r["copy"] for r in out.collect()}
+    assert got == {f"en/web/{i}.txt": f"en/web/{i} (conflict on 2024-06-01).{120 + i % 7}.txt" for i in range(40)}
+
+
+def test_conflict_copies_of_odd_names(spark):
+    day = " (conflict on 2024-06-01)"
+    files = ["a.txt", "d/a.txt", "a", "a.b.c", ".x", "x.3", "a.", "", None]
+    there = [f"a{day}.txt", f"a{day}.1.txt", f"a{day}.1.txt", f"a{day}.3.txt", f"d/a{day}.00.txt", f"a{day}", f"a{day}.01", f"a{day}.x.txt",
+             f"a.b{day}.99999999999999999999.c", f".x{day}.0", f".x{day}.1.2", f"x{day}.3", f"a{day}.", "a(conflict on 2024-06-01).2.txt", None]
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "path string")
+    out = BK.conflict_copies(frame(files), frame(there), F.lit("2024-06-01").cast("timestamp"))
+    assert {r["path"]: r["copy"] for r in out.collect()} == {
+        "a.txt": f"a{day}.2.txt", "d/a.txt": f"d/a{day}.1.txt", "a": f"a{day}.2", "a.b.c": f"a.b{day}.1.c", ".x": f".x{day}.1", "x.3": f"x{day}.1.3",
+        "a.": f"a{day}.1.", "": day, None: ""}

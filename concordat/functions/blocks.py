@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,12 +74,20 @@ def weak_hash(content: pd.Series) -> pd.Series:
     return content.map(weak_of, na_action="ignore").astype("Int32")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def block_weak_hashes(content: pd.Series, block: pd.Series) -> pd.Series:
-    """Weak checksums of the consecutive blocks of each binary value."""
-    return pd.Series([
-        [weak_of(c[i:i + b]) for i in range(0, len(c), b)]
-        for c, b in zip(content, block)])
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def block_weak_hashes(content: pa.Array, block: pa.Array) -> pa.Array:
+    """Weak checksums of the consecutive blocks of each binary value. Values
+    leave the Arrow batch one at a time."""
+    sums, counts = array("i"), []
+    for c, b in zip(content, block.to_pylist(), strict=True):
+        c, before = c.as_py(), len(sums)
+        sums.extend(weak_of(c[i:i + b]) for i in range(0, len(c), b))
+        counts.append(len(sums) - before)
+    return pa.ListArray.from_arrays(_offsets(counts), pa.array(np.frombuffer(sums, np.int32), pa.int32()))
+
+
+def _offsets(counts: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.int32())
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -103,22 +113,24 @@ def _hits(data: bytes, block: int, wanted: np.ndarray):
         pos += len(sums)
 
 
-@F.pandas_udf(MATCHES)
-def matching_offsets(content: pd.Series, block: pd.Series, weak: pd.Series,
-                     strong: pd.Series, number: pd.Series) -> pd.Series:
+@F.arrow_udf(MATCHES)
+def matching_offsets(content: pa.Array, block: pa.Array, weak: pa.Array,
+                     strong: pa.Array, number: pa.Array) -> pa.Array:
     """Left-to-right, non-overlapping places where a known block occurs.
 
     ``weak``/``strong``/``number`` are the distinct signatures of the old
     value. The byte scan is vectorised; the strong checksum is computed only
     where the weak one is known and the previous match has ended, and a match
     is passed in one step, so repetitive values cost no more than others.
+    Values leave the Arrow batch one at a time, and the places are kept as
+    numbers: a batch is never held a second time as Python objects.
     """
-    out = []
-    for data, size, ws, ss, ns in zip(content, block, weak, strong, number):
-        size, known = int(size), {s: int(n) for s, n in zip(ss, ns)}
-        found, free = [], 0
+    offs, blocks, counts = array("i"), array("i"), []
+    for data, size, ws, ss, ns in zip(content, block.to_pylist(), weak, strong, number, strict=True):
+        known, free, before = dict(zip(ss.as_py(), ns.as_py(), strict=True)), 0, len(offs)
         if known:
-            for offsets in _hits(data, size, np.asarray(ws, dtype=np.int64)):
+            data = data.as_py()
+            for offsets in _hits(data, size, np.asarray(ws.as_py(), dtype=np.int64)):
                 i = int(np.searchsorted(offsets, free))
                 while i < len(offsets):
                     off = int(offsets[i])
@@ -126,8 +138,10 @@ def matching_offsets(content: pd.Series, block: pd.Series, weak: pd.Series,
                     if n is None:
                         i += 1
                         continue
-                    found.append({"off": off, "block": n})
+                    offs.append(off)
+                    blocks.append(n)
                     free = off + size
                     i = int(np.searchsorted(offsets, free))  # over all that the match covers
-        out.append(found)
-    return pd.Series(out)
+        counts.append(len(offs) - before)
+    places = pa.StructArray.from_arrays([pa.array(np.frombuffer(x, np.int32), pa.int32()) for x in (offs, blocks)], names=["off", "block"])
+    return pa.ListArray.from_arrays(_offsets(counts), places)

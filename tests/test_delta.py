@@ -2,8 +2,10 @@
 
 import hashlib
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from concordat.functions import blocks as B
@@ -100,3 +102,19 @@ def test_repetitive_values_match_like_others(spark):
         assert all(b - a >= size for a, b in zip(places, places[1:], strict=False))
         assert 4_000_003 - len(places) * size < 3 * size
     assert took["zeros"] < 2 * took["random"] + 5
+
+
+def test_matches_hold_one_value_of_a_batch_at_a_time():
+    values = [noise(60_000, i) for i in range(400)]
+    strong = [hashlib.md5(v[:700]).hexdigest() for v in values]
+    weak = [B.weak_of(v[:700]) for v in values]
+    batch = [pa.array(values, pa.binary()), pa.array([700] * 400, pa.int32()), pa.array([[w] for w in weak], pa.list_(pa.int32())),
+             pa.array([[s] for s in strong]), pa.array([[0]] * 400, pa.list_(pa.int32()))]
+    tracemalloc.start()
+    found = B.matching_offsets.func(*batch)
+    sums = B.block_weak_hashes.func(*batch[:2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [[{"off": 0, "block": 0}]] * 400
+    assert [x[0] for x in sums.to_pylist()] == weak and len(sums[0]) == -(-60_000 // 700)
+    assert peak < 8_000_000  # of 24 MB

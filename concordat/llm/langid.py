@@ -36,6 +36,8 @@ SPAN = 40
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 17
 SLICE_BYTES = 2_000_000
+#: Words whose features are held at a time.
+RUN_WORDS = 4096
 UNKNOWN = "und"
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
@@ -91,6 +93,16 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _emissions(words: pa.Array, lexicon: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Scores of all words, a run of words at a time: a word has some twenty
+    features, so those of all words together would outweigh the texts."""
+    e = np.empty((len(words), weights.shape[1]), weights.dtype)
+    for i in range(0, len(words), RUN_WORDS):
+        feats, per = _features(words.slice(i, RUN_WORDS), lexicon)
+        e[i:i + RUN_WORDS] = _sums(weights[feats], per)
+    return e
+
+
 def _windows(text: str, lang: str, windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +245,7 @@ def _label(model: Model, text: str, size: int):
             docs = np.repeat(np.arange(batch.num_rows), lens)
             n = np.bincount(docs[lettered], minlength=batch.num_rows)
             if model.langs and len(codes):
-                feats, per = _features(words, lexicon)
-                e = _sums(model.weights[feats], per)
+                e = _emissions(words, lexicon, model.weights)
                 p = _marginals(np.exp(e - e.max(1, keepdims=True)), codes, lens, a, start)
                 sums = np.stack([np.bincount(docs[lettered], p[lettered, i], batch.num_rows) for i in range(len(names))], 1)
                 best = sums.argmax(1)

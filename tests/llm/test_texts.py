@@ -5,10 +5,12 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 from itertools import pairwise
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from concordat.llm import decontaminate, langid, lempelziv, licenses, queries
@@ -281,3 +283,22 @@ def test_few_rows(spark):
     assert lempelziv.fingerprints(frame(spark, [(1, None), (1, "")])).select("fingerprint").distinct().count() == 1
     only = lempelziv.with_neighbour(frame(spark, [(None, "a"), (None, "b")])).collect()
     assert len(only) == 2
+
+
+def test_language_features_are_held_for_a_run_of_words():
+    rng = np.random.default_rng(1)
+    words = pa.array(["".join(w) for w in rng.choice(list("abcdefghijkl"), (60_000, 9))], pa.string())
+    weights = rng.normal(size=(langid.BUCKETS, 4)).astype(np.float32)
+    none = pa.array([], pa.string())
+    feats, per = langid._features(words, none)
+    want = langid._sums(weights[feats], per)
+    model = langid.Model(["a", "b", "c", "d"], [], weights, np.zeros((4, 4)), np.zeros(4))
+    text = " ".join(words.to_pylist())
+    batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"])
+    del feats, per
+    tracemalloc.start()
+    got = list(langid._label(model, "text", langid.SLICE_BYTES)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000 and got[0].num_rows == 1
+    assert (langid._emissions(words, none, weights) == want).all()

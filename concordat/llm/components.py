@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from concordat.session import materialize
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Every node is a centre or tied to one centre alone: no further round
+    would change anything."""
+    ends = (edges.select(F.col("a").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("centre"))
+            .unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("tied"), F.lit(1).alias("centre"))))
+    others = ends.groupBy("node").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied + centre > 1")
+    return not others.agg(F.count(F.lit(1))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that edges ``a, b`` reach.
 
-    Alternates two steps until nothing changes: every node ties its larger
+    Alternates two steps until all components are stars: every node ties its larger
     neighbours to its smallest neighbour (large star), then its smaller
     neighbours and itself to the smallest (small star). The number of rounds
     grows with the logarithm of the longest path. A node's neighbours are never
     collected; each step is a minimum per node and a join on the node.
     """
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
-    while True:
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while not _stars(now):
         all_ways = both(now)
         least = all_ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = all_ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -28,9 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        small = materialize(small, "small_star")
-        state = small.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        now, settled, last = small, state == last, state
-        if settled:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        now = materialize(small, "small_star")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -368,12 +368,12 @@ def _components_of(classes: DataFrame, label: DataFrame | None) -> DataFrame:
             .select("c1", "rep", F.coalesce("component", "rep").alias("component")))
 
 
-def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None = None,
-            label: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], label: DataFrame | None = None) -> DataFrame | None:
     """Verify candidates until none is left that could join two components: in
     each round the first few open ones of each set (one, then four times as
     many), so that sets which are connected already aren't compared over and
-    over. Returns all links found and the components."""
+    over. Returns the components; those known are stars already, so further
+    links take few rounds."""
     done, few = None, 1
     while True:
         open_ = near
@@ -386,11 +386,11 @@ def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], links:
         first = F.row_number().over(Window.partitionBy("b").orderBy("a", "rep_a", "rep_b"))
         picked = materialize(open_.withColumn("_i", first).where(F.col("_i") <= few).select(near.columns), "picked")
         if picked.isEmpty():
-            return links, label
+            return label
         found = verified(picked)
         if not found.isEmpty():
-            links = found if links is None else materialize(links.unionByName(found), "all_links")
-            label = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+            links = found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+            label = components(links if label is None else links.union(label.select("node", "component")))
         done = picked.select("a", "b") if done is None else materialize(done.union(picked.select("a", "b")), "verified")
         few *= 4
 
@@ -430,7 +430,7 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
         return materialize(full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b").mapInArrow(
             check, f"rep_a {kind}, rep_b {kind}, a long, b long").select("rep_a", "rep_b").distinct(), "links")
 
-    links, label = _settle(could(pairs, "candidates"), verified)
+    label = _settle(could(pairs, "candidates"), verified)
     members = stars.select("key", "c").union(stars.select("key", "pivot")).distinct()
     of_class = _components_of(classes, label)
     split = members.join(of_class.withColumnRenamed("c1", "c"), "c")
@@ -448,7 +448,7 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
         again = F.col("asks_a") & ((F.col("asks") & (F.col("a") > F.col("b"))) | F.arrays_overlap("before_a", "before"))
         more = probe.join(index, ["key", "role"]).where((F.col("component_a") != F.col("component_b")) & _could_link(num, den) & ~again)
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links, label = _settle(could(more, "more"), verified, links, label)
+        label = _settle(could(more, "more"), verified, label)
         of_class = _components_of(classes, label)
     final = materialize(classes.select("c1", "c2", "n", "rep").join(of_class.select("rep", "c1", "component"), ["c1", "rep"])
                         .select("c1", "c2", "n", "component"), "class_components")

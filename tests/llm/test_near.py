@@ -206,3 +206,17 @@ def test_queries(spark, sf):
     assert sorted(tuple(r) for r in got) == sorted(brute_components(rows, 3, 90, 100))
     got = queries.op3_line_dedup(spark, sf).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(brute_all_lines(rows))
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars, or become stars in one round, aren't gone over again."""
+    from concordat.llm import components as C
+
+    written, plain = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    assert {tuple(r) for r in components(spark.createDataFrame([(2, 1), (1, 3), (8, 9), (1, 2)], "a long, b long")).collect()} == {
+        (1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert written == ["edges"]
+    written.clear()
+    assert {tuple(r) for r in components(spark.createDataFrame([(2, 1), (2, 3)], "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert written == ["edges", "large_star", "small_star"]

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.arrow import partitions, slices
-from concordat.llm.components import components
+from concordat.llm.components import components, in_fewer_tasks
 from concordat.llm.grams import U, mix, shingles, word_hashes
 from concordat.session import materialize
 
@@ -374,7 +374,7 @@ def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], label:
     many), so that sets which are connected already aren't compared over and
     over. Returns the components; those known are stars already, so further
     links take few rounds."""
-    done, few = None, 1
+    done, few, pairs = None, 1, near.count()
     while True:
         open_ = near
         if label is not None:
@@ -384,14 +384,15 @@ def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], label:
         if done is not None:
             open_ = open_.join(done, ["a", "b"], "left_anti")
         first = F.row_number().over(Window.partitionBy("b").orderBy("a", "rep_a", "rep_b"))
-        picked = materialize(open_.withColumn("_i", first).where(F.col("_i") <= few).select(near.columns), "picked")
+        picked = open_.withColumn("_i", first).where(F.col("_i") <= few).select(near.columns)
+        picked = materialize(in_fewer_tasks(picked, pairs), "picked")
         if picked.isEmpty():
             return label
         found = verified(picked)
         if not found.isEmpty():
             links = found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
             label = components(links if label is None else links.union(label.select("node", "component")))
-        done = picked.select("a", "b") if done is None else materialize(done.union(picked.select("a", "b")), "verified")
+        done = picked.select("a", "b") if done is None else materialize(in_fewer_tasks(done.union(picked.select("a", "b")), pairs), "verified")
         few *= 4
 
 
@@ -427,8 +428,9 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
         """The pairs that are links, by their whole texts."""
         full = (picked.join(texts.select(F.col("doc").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
                 .join(texts.select(F.col("doc").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"))
-        return materialize(full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b").mapInArrow(
-            check, f"rep_a {kind}, rep_b {kind}, a long, b long").select("rep_a", "rep_b").distinct(), "links")
+        links = full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b").mapInArrow(
+            check, f"rep_a {kind}, rep_b {kind}, a long, b long").select("rep_a", "rep_b").distinct()
+        return materialize(in_fewer_tasks(links, picked.count()), "links")
 
     label = _settle(could(pairs, "candidates"), verified)
     members = stars.select("key", "c").union(stars.select("key", "pivot")).distinct()

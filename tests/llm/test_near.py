@@ -104,6 +104,37 @@ def test_components(spark):
     assert components(edges.limit(0)).collect() == []
 
 
+def test_components_take_few_tasks(spark):
+    """Small tables aren't cut into one file for each of many shuffle partitions."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(380)]
+    up = {}
+    for a, b in pairs:
+        group = up.get(a, {a}) | up.get(b, {b})
+        up.update(dict.fromkeys(group, group))
+    ends = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    conf = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame(pairs, "a long, b long"))
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, found.collect())) == [(x, min(up[x])) for x in ends]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_of_records(spark):
+    """Nodes may be records, and null fields come first."""
+    node = "struct<id: string, t: long>"
+    rows = [((None, 3), ("a", 1)), (("a", 1), ("é", 2)), (("z", 1), ("\U0001f600", 1)), (("x", None), ("x", 0))]
+    got = {tuple(r["node"]): tuple(r["component"]) for r in components(spark.createDataFrame(rows, f"a {node}, b {node}")).collect()}
+    assert got == {**dict.fromkeys([(None, 3), ("a", 1), ("é", 2)], (None, 3)),
+                   **dict.fromkeys([("z", 1), ("\U0001f600", 1)], ("z", 1)), **dict.fromkeys([("x", None), ("x", 0)], ("x", None))}
+
+
 def edit_at_most_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False

@@ -49,10 +49,12 @@ from concordat.llm.components import components, in_fewer_tasks
 from concordat.llm.grams import U, mix, shingles, word_hashes
 from concordat.session import materialize
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 500_000
 SKETCH = 256
 #: Keys of one range, which a task holds together.
 PART_KEYS = 1_000_000
+#: Keys that a task puts in order at once.
+BATCH_KEYS = 400_000
 #: Bytes of texts whose sets a task keeps while it verifies.
 KNOWN_BYTES = 16_000_000
 #: Smallest failed keys that a row carries to tell where its pairs met before.
@@ -162,24 +164,34 @@ def _star(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[keep], c[keep], c[first][keep], new[keep]
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], text: str, words: int, num: int, den: int):
+    """Keys of the segments of a batch's distinct sets, the place of each one's
+    set, and the sets. A batch with more than BATCH_KEYS counts as several."""
+    for batch in batches:
+        keys, owner, seen, held = [], [], {}, 0
+        for s in sets_of(batch, text, words):
+            c = identity(s)[0]
+            if not len(s) or c in seen:
+                continue
+            if held > BATCH_KEYS:
+                yield keys, owner, seen
+                keys, owner, seen, held = [], [], {}, 0
+            seen[c] = len(seen)
+            for band, r, _, size, total, _ in segments(s, num, den):
+                used = np.flatnonzero(size) if (size == 0).sum() <= r else np.arange(len(size))
+                keys.append(key_of(band, used, total[used]))
+                owner.append((seen[c], len(used)))
+                held += len(used)
+        if keys:
+            yield keys, owner, seen
+
+
 def _keys(text: str, words: int, num: int, den: int, parts: int):
     """One row per batch and range of keys: the keys in order, as differences,
     with the place of each one's first member among the batch's sets; and the
     keys and places of further members and of their firsts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, owner, seen = [], [], {}
-            for s in sets_of(batch, text, words):
-                c = identity(s)[0]
-                if not len(s) or c in seen:
-                    continue
-                seen[c] = len(seen)
-                for band, r, _, size, total, _ in segments(s, num, den):
-                    used = np.flatnonzero(size) if (size == 0).sum() <= r else np.arange(len(size))
-                    keys.append(key_of(band, used, total[used]))
-                    owner.append((seen[c], len(used)))
-            if not keys:
-                continue
+        for keys, owner, seen in _keyed(batches, text, words, num, den):
             key, c, pivot, new = _star(np.concatenate(keys).view(U), np.repeat(*(np.array(x, np.int64) for x in zip(*owner, strict=True))))
             part = ((key >> U(32)) * U(parts) >> U(32)).astype(np.int64)  # ranges of keys, so in order too
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]

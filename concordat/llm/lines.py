@@ -49,7 +49,8 @@ from concordat.llm.grams import SPACES, U, mix, word_hashes
 from concordat.session import materialize
 
 MIN_WORDS, MIN_CHARACTERS = 8, 16
-SLICE_BYTES = 4_000_000
+#: Bytes of text that a task takes apart at once, whatever the size of its batches.
+SLICE_BYTES = 500_000
 KEYS = ("p0", "s0", "p1", "s1", "p2", "s2")
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 _INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -181,12 +182,25 @@ def _scan(min_words: int | None):
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of rows with their texts, about SLICE_BYTES of them; a longer text
+    ends its run."""
+    for batch in batches:
+        texts, held, first = [], 0, 0
+        for i, packed in enumerate(batch.column("packed")):
+            raw = zstandard.decompress(packed.as_py()) if packed.is_valid else None
+            texts.append(None if raw is None else raw.decode())
+            held += len(raw or b"")
+            if held >= SLICE_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(first, len(texts)), texts
+                texts, held, first = [], 0, i + 1
+
+
 def _variants(min_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([zstandard.decompress(t).decode() for t in batch.column("packed").to_pylist()], pa.string())
+        for batch, texts in _unpacked(batches):
             wanted = batch.column("wanted").to_pylist()
-            x = Lines(texts, min_words)
+            x = Lines(pa.array(texts, pa.string()), min_words)
             at = {(d, n): i for i, (d, n) in enumerate(zip(x.doc.tolist(), x.line.tolist(), strict=True))}
             of, sides = [], []
             for d, lines in enumerate(wanted):
@@ -222,7 +236,7 @@ def _variants(min_words: int | None):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", SLICE_BYTES):
         c = zstandard.ZstdCompressor(level=1)
         yield with_columns(batch, packed=pa.array([None if t is None else c.compress(t.encode()) for t in batch.column("text").to_pylist()],
                                                   pa.binary())).drop_columns(["text"])
@@ -258,11 +272,10 @@ def near_lines(lines: DataFrame, first: DataFrame, docs: DataFrame, min_words: i
 
 def _cut(text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, wholes in _unpacked(batches):
             texts, counts, gone = [], [], []
-            for t, g in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                whole = None if t is None else zstandard.decompress(t).decode()
-                lines = [] if t is None else whole.split("\n")
+            for whole, g in zip(wholes, batch.column("gone").to_pylist(), strict=True):
+                lines = [] if whole is None else whole.split("\n")
                 drop = set(g or ())
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop and lines else whole)
                 counts.append(len(lines))

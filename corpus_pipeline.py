@@ -52,8 +52,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids, and whether these give the text back."""
-    ids = sentencepieces.encode(docs, PIECES, end_id=END_ID)
+    """The documents with their ids, and whether these give the text back. Ids
+    are written in between: else each task holds two workers."""
+    ids = materialize(sentencepieces.encode(docs, PIECES, end_id=END_ID), "ids")
     both = sentencepieces.decode(ids, PIECES)
     return both.withColumns({"n_tokens": F.size("ids").cast("long"), "lossless": F.col("decoded") == F.coalesce("text", F.lit(""))}).drop("decoded")
 

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from concordat.llm import jaccard, lines, queries
@@ -163,6 +164,37 @@ def brute_lines(rows, min_words):
     return [(d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ()))) for d, t in rows]
 
 
+def test_lines_take_texts_apart_in_slices(monkeypatch):
+    """A batch of any size is taken apart some texts at a time, and none is lost."""
+    seen, real = [], lines.Lines
+    monkeypatch.setattr(lines, "Lines", lambda text, n: seen.append(sum(map(len, text.to_pylist()))) or real(text, n))
+    one = " ".join(f"w{i}" for i in range(3000))
+    n = 4 * lines.SLICE_BYTES // len(one)
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(n)), "text": [f"{one} {i}" for i in range(n)]})
+    most = lines.SLICE_BYTES + len(one) + 9
+    assert len({d for b in lines._scan(None)([batch]) for d in b.column("doc").to_pylist()}) == n
+    packed = pa.Table.from_batches(lines._pack([batch])).combine_chunks().to_batches()[0]
+    wanted = pa.array([[{"line": 0, "sides": 1}]] * n, pa.list_(pa.struct([("line", pa.int32()), ("sides", pa.int32())])))
+    found = list(lines._variants(None)([packed.append_column("wanted", wanted)]))
+    assert {d for b in found for d in b.column("doc").to_pylist()} == set(range(n))
+    assert max(seen) <= most
+    cut = list(lines._cut("text", ["doc", "text", "n_lines", "n_dropped"])([packed.append_column("gone", pa.nulls(n, pa.list_(pa.int32())))]))
+    assert [t for b in cut for t in b.column("text").to_pylist()] == batch.column("text").to_pylist()
+    assert max(b.column("text").nbytes for b in cut) <= 2 * most
+
+
+def test_keys_of_a_batch_are_ordered_in_parts(monkeypatch):
+    """However many keys a batch has, few are held at once, and none is lost."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    whole = list(jaccard._keyed([batch], "text", 3, 90, 100))
+    monkeypatch.setattr(jaccard, "BATCH_KEYS", 40)
+    parts = list(jaccard._keyed([batch], "text", 3, 90, 100))
+    flat = lambda found: [k for keys, _, _ in found for x in keys for k in x.tolist()]
+    assert len(whole) == 1 and len(parts) >= 10 and flat(parts) == flat(whole)
+    assert [c for _, _, seen in parts for c in seen] == list(whole[0][2])
+
+
 @pytest.mark.parametrize("min_words", [4, 8])
 def test_lines(spark, tmp_path, min_words):
     docs, rows = documents(spark, tmp_path / "d", seed=3)

@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours to its smallest neighbour (large star), then its smaller
     neighbours and itself to the smallest (small star). The number of rounds
     grows with the logarithm of the longest path. A node's neighbours are never
-    collected; each step is a minimum per node and a join on the node. Before
+    collected; each step is a minimum per node and a join on the node. After
     each round the edges of a task become paths of one edge, which saves rounds.
     """
     downward = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
@@ -73,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
     schema = edges.schema
     short = lambda e, label: materialize(downward(in_fewer_tasks(e, rows).mapInArrow(_tied_to_roots, schema)), label)
     rows = edges.count()
-    now = short(edges.distinct(), "edges")
+    now = materialize(in_fewer_tasks(edges.distinct(), rows), "edges")
     while not _stars(now):
         all_ways = both(now)
         least = all_ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

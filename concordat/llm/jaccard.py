@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from concordat.llm.arrow import partitions, slices
 from concordat.llm.components import components, in_fewer_tasks
 from concordat.llm.grams import U, mix, shingles, word_hashes
-from concordat.session import materialize
+from concordat.session import materialize, scratch_scope
 
 SLICE_BYTES = 500_000
 SKETCH = 256
@@ -319,7 +319,7 @@ def _allocations(batch: pa.RecordBatch, words: int, num: int, den: int):
 def _reach(words: int, num: int, den: int):
     """How far the members of each failed bucket probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             rows = [(k, int(chosen.max()) + 1 if enough else 0) for _, _, _, _, _, exact, bad, chosen, enough, _ in _allocations(batch, words, num, den)
                     for k in exact[bad].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["key", "reach"])
@@ -330,7 +330,7 @@ def _neighbourhoods(words: int, num: int, den: int):
     """Probes and index rows of members of failed buckets. A member is indexed
     in the segments that others of its buckets probe."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             rows, lists = [[np.zeros(0, np.int64)] for _ in range(5)], [np.zeros(0, np.int64)]
             for c, band, seg, total, h, exact, bad, chosen, enough, reach in _allocations(batch, words, num, den):
                 less = key_of(band, seg, total[seg] - h)
@@ -368,6 +368,7 @@ def neighbourhoods(affected: DataFrame, rows: DataFrame, words: int, num: int, d
     ones among its smallest failed keys."""
     near = affected.join(rows, affected.rep == rows.doc).select("c", "text", "failed").repartition(parts, "c")
     reach = near.mapInArrow(_reach(words, num, den), "key long, reach long").groupBy("key").agg(F.max("reach").alias("reach"))
+    reach = materialize(reach, "reach")  # texts are on the way once at a time
     named = affected.select("c", F.explode("failed.key").alias("key")).join(reach, "key", "left")
     reached = named.groupBy("c").agg(F.collect_set(F.struct("key", "reach")).alias("failed"))
     return materialize(near.select("c", "text").join(reached, "c").mapInArrow(_neighbourhoods(words, num, den), "key long, c long, role long, asks boolean, before array<long>"), "neighbourhoods")
@@ -419,10 +420,18 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
         raise ValueError("the threshold must lie between 0 and 1")
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     sets = materialize(rows.mapInArrow(_sets("text", "doc", words), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, c1 long, c2 long, k0 long, k1 long, k2 long, k3 long, wide binary"), "sets")
+    with scratch_scope(docs.sparkSession):
+        final = materialize(_class_components(rows, sets, words, num, den), "class_components", result=True)
+    return (sets.select("doc", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left")
+            .select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component")))
+
+
+def _class_components(rows: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``c1, c2, n, component`` of each class of equal sets."""
     classes = materialize(sets.where("n > 0").groupBy("c1", "c2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc").alias("rep"), F.min("wide").alias("wide")), "classes")
     shingles_in_all = sets.agg(F.sum("n")).first()[0] or 0
     keys_in_all = 4 * shingles_in_all * (den - num) / (den + num) * den / num + 4 * classes.count()  # about
-    parts = max(partitions(docs), math.ceil(keys_in_all / PART_KEYS))
+    parts = max(partitions(rows), math.ceil(keys_in_all / PART_KEYS))
     stars = materialize(rows.select("text").mapInArrow(_keys("text", words, num, den, parts), f"part int, {', '.join(f'{c} binary' for c in _PACKED)}")
                         .repartition(parts, "part").sortWithinPartitions("part")
                         .mapInArrow(_buckets, "key long, c long, pivot long"), "stars")
@@ -433,7 +442,7 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
         .mapInArrow(_possible(num, den), f"a long, b long, rep_a {kind}, rep_b {kind}"), label)
     pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
-    texts = materialize(rows.join(classes.join(met, "c1", "left_semi").select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "texts")
+    texts = materialize(rows.join(classes.join(met, "c1", "left_semi").select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "texts", compression="zstd")
     check = _verify(words, num, den)
 
     def verified(picked: DataFrame) -> DataFrame:
@@ -451,7 +460,7 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
     open_keys = split.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     affected = materialize(split.join(open_keys, "key", "left_semi").groupBy("c", "rep", "component").agg(F.collect_set(F.struct("key")).alias("failed")), "affected")
     if not affected.isEmpty():
-        found = neighbourhoods(affected, texts, words, num, den, partitions(docs))
+        found = neighbourhoods(affected, texts, words, num, den, partitions(rows))
         sketches = (affected.select("c", "component").join(classes.withColumnRenamed("c1", "c"), "c"))
         known = lambda x: sketches.select(*(F.col(k).alias(f"{k}_{x}") for k in ("c", "component", "n", "k0", "k1", "k2", "k3")))
         probe = found.where("role >= 2").select("key", "c", (F.col("role") - 2).alias("role"), F.col("asks").alias("asks_a"), F.col("before").alias("before_a"))
@@ -464,7 +473,5 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         label = _settle(could(more, "more"), verified, label)
         of_class = _components_of(classes, label)
-    final = materialize(classes.select("c1", "c2", "n", "rep").join(of_class.select("rep", "c1", "component"), ["c1", "rep"])
-                        .select("c1", "c2", "n", "component"), "class_components")
-    return (sets.select("doc", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left")
-            .select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component")))
+    return (classes.select("c1", "c2", "n", "rep").join(of_class.select("rep", "c1", "component"), ["c1", "rep"])
+            .select("c1", "c2", "n", "component"))

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from concordat.llm.arrow import added, slices, spread, with_columns
 from concordat.llm.grams import SPACES, U, mix, word_hashes
-from concordat.session import materialize
+from concordat.session import materialize, scratch_scope
 
 MIN_WORDS, MIN_CHARACTERS = 8, 16
 #: Bytes of text that a task takes apart at once, whatever the size of its batches.
@@ -289,8 +289,20 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     """``docs`` with the repeated lines out of ``text``, and ``n_lines``, ``n_dropped``.
     ``min_words`` leaves lines of fewer words alone; by default every line takes part."""
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    kind = rows.schema["doc"].dataType
-    long, int_ = T.LongType(), T.IntegerType()
+    with scratch_scope(docs.sparkSession):
+        gone = materialize(_gone(rows, min_words), "gone", result=True)
+    clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "packed", "gone", "_llm_doc")]
+    docs = docs.drop(*clash)
+    schema = added(docs.schema, **{text: T.StringType(), "n_lines": T.IntegerType(), "n_dropped": T.IntegerType()})
+    whole = docs.withColumnRenamed(text, "text").mapInArrow(
+        _pack, T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("packed", T.BinaryType())]))
+    return (whole.join(gone.hint("merge"), whole[doc] == gone["_llm_doc"], "left").drop("_llm_doc")
+            .mapInArrow(_cut(text, schema.names), schema))
+
+
+def _gone(rows: DataFrame, min_words: int | None) -> DataFrame:
+    """``_llm_doc, gone``: the lines that go out of each document with any."""
+    kind, long, int_ = rows.schema["doc"].dataType, T.LongType(), T.IntegerType()
     found = materialize(rows.where("doc is not null").mapInArrow(_scan(min_words), T.StructType(
         [T.StructField("doc", kind), T.StructField("line", int_), T.StructField("n", int_)]
         + [T.StructField(c, long) for c in ("h1", "h2", *KEYS)])), "lines")
@@ -300,14 +312,6 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     marked = (first.select("h1", "h2", "n", "copies", "place", F.col("place.doc").alias("doc"), F.col("place.line").alias("line"))
               .join(near, ["doc", "line"], "left").where("copies > 1 or near")
               .select("h1", "h2", "n", F.col("place").alias("kept"), F.coalesce("near", F.lit(False)).alias("near")))
-    gone = (found.select("h1", "h2", "n", "doc", "line").join(marked.hint("merge"), ["h1", "h2", "n"])
+    return (found.select("h1", "h2", "n", "doc", "line").join(marked.hint("merge"), ["h1", "h2", "n"])
             .where(F.col("near") | (place != F.col("kept")))
             .groupBy("doc").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc", "_llm_doc"))
-    gone = materialize(gone, "gone")
-    clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "packed", "gone", "_llm_doc")]
-    docs = docs.drop(*clash)
-    schema = added(docs.schema, **{text: T.StringType(), "n_lines": int_, "n_dropped": int_})
-    whole = docs.withColumnRenamed(text, "text").mapInArrow(
-        _pack, T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("packed", T.BinaryType())]))
-    return (whole.join(gone.hint("merge"), whole[doc] == gone["_llm_doc"], "left").drop("_llm_doc")
-            .mapInArrow(_cut(text, schema.names), schema))

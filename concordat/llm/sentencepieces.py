@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from concordat.llm.arrow import added, int_lists, partitions, slices, spread, with_columns
+from concordat.llm.arrow import added, int_lists, offsets, partitions, slices, spread, with_columns
 
 MARK = "▁"
 BUNDLE_BYTES = 6_000_000
@@ -232,7 +232,10 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
         for batch in batches:
-            texts = [sp.decode(x.as_py() or []) for x in batch.column(ids)]
+            lists = batch.column(ids)
+            flat = np.asarray(lists.flatten())
+            at = offsets(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)).tolist()
+            texts = [sp.decode(flat[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
             yield with_columns(batch, **{out: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, added(df.schema, **{out: T.StringType()}))

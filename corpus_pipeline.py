@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm import decontaminate, jaccard, langid, lines, sentencepieces
 from concordat.llm.queries import END_ID, PIECES, language_model
-from concordat.session import materialize
+from concordat.session import materialize, scratch_scope
 
 #: A text whose best language has less than this is no text in a known language.
 MIN_LANGUAGE_SCORE = 0.3
@@ -37,10 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = F.struct("doc_id", F.xxhash64("text").alias("t"))
     rows = docs.withColumn("_row", row)
     known = rows.where("doc_id is not null").select("_row", "text")
-    found = jaccard.link_sets(known, doc="_row", words=5, threshold=(80, 100)).select("doc", "component")
-    keys = lambda df, label: materialize(df.select(F.col("doc").alias("_row")).distinct(), label)
-    gone = keys(found.where("component <> doc"), "copies")
-    again = keys(found.groupBy("doc").count().where("count > 1"), "repeats")
+    keys = lambda df, label: materialize(df.select(F.col("doc").alias("_row")).distinct(), label, result=True)
+    with scratch_scope(spark):
+        found = jaccard.link_sets(known, doc="_row", words=5, threshold=(80, 100)).select("doc", "component")
+        gone = keys(found.where("component <> doc"), "copies")
+        again = keys(found.groupBy("doc").count().where("count > 1"), "repeats")
     kept = rows.join(gone, "_row", "left_anti")
     once = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
     return kept.join(again, "_row", "left_anti").unionByName(once).select(docs.columns)
@@ -54,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether these give the text back. Ids
     are written in between: else each task holds two workers."""
-    ids = materialize(sentencepieces.encode(docs, PIECES, end_id=END_ID), "ids")
+    ids = materialize(sentencepieces.encode(docs, PIECES, end_id=END_ID), "ids", compression="zstd")
     both = sentencepieces.decode(ids, PIECES)
     return both.withColumns({"n_tokens": F.size("ids").cast("long"), "lossless": F.col("decoded") == F.coalesce("text", F.lit(""))}).drop("decoded")
 
@@ -71,7 +72,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch_scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"), result=True)
     return docs
 
 

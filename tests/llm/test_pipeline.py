@@ -1,7 +1,12 @@
 """The pipeline on a small table, each stage against brute force on its input."""
 
+import os
+import time
+
 import corpus_pipeline as cp
 from concordat.llm import queries
+from concordat.session import materialize, scratch_dir, scratch_scope
+from tests.llm.data import documents
 from tests.llm.test_near import brute_all_lines, brute_components
 
 
@@ -52,3 +57,34 @@ def test_odd_tables(spark, sf):
         for name, stage in cp.STAGES:
             rows = cp.materialize(stage(spark, rows, sf), "t")
             assert set(docs.columns) <= set(rows.columns) | {"ids"}, name
+
+
+def test_stages_leave_only_what_their_rows_read(spark, sf, tmp_path):
+    """Tables in between would stay on disk until the last stage has ended."""
+    docs = documents(spark, tmp_path / "d")[0].selectExpr("doc_id", "text", "'en' lang", "'s' source", "char_length(text) n_chars")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    left = lambda: set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    for stage, kept in ((cp.line_dedup, ["gone"]), (cp.near_duplicates, ["copies", "repeats"]), (cp.sentencepiece, ["ids"])):
+        before = left()
+        found = stage(spark, docs, sf)
+        assert sorted(x.rpartition("-")[0] for x in left() - before) == kept
+        assert found.count() > 0
+
+
+def test_results_outlive_their_scope_and_shuffles_go(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for d in disk.localDirs() for _, _, names in os.walk(d.getPath()) for x in names if x.startswith("shuffle_")}
+    scratch = lambda: {x.partition("-")[0] for x in os.listdir(scratch_dir(spark).removeprefix("file:"))}
+    before = files()
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            inner = materialize(spark.range(50_000).repartition(3, "id").groupBy("id").count(), "inner")
+            kept = materialize(inner.where("id < 10").repartition(2, "id"), "kept", result=True)
+        until = time.time() + 10
+        while files() - before and time.time() < until:  # they go in the background
+            time.sleep(0.1)
+        assert not files() - before
+        assert "inner" not in scratch()
+        assert kept.count() == 10
+    assert "kept" not in scratch()

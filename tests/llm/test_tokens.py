@@ -45,6 +45,19 @@ def test_empty_table_and_no_text(spark, tmp_path):
     assert tokenfile.read(spark, path).collect() == []
 
 
+def test_decoding_of_null_and_empty_lists(spark, pieces, monkeypatch):
+    """Also in a batch that is cut off in front."""
+    lists = [[5, 6], None, [], [7], [1000, 2, 31000]]
+    run = []
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<int>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: run.append(f))
+    sentencepieces.decode(df, queries.PIECES)
+    batch = pa.record_batch({"ids": pa.array([[9], *lists], pa.list_(pa.int32()))}).slice(1)
+    monkeypatch.setattr(sentencepieces, "load", lambda model: pieces)
+    got = next(run[0](iter([batch]))).column("decoded").to_pylist()
+    assert got == [pieces.decode(x or []) for x in lists]
+
+
 def test_changed_input_is_an_error():
     join = sentencepieces._join_back("ids", None, ["ids"])
     texts = pa.table({"_llm_bundle": [b"x"], "_llm_codes": [sentencepieces.pack(np.array([0, 1]))]})

@@ -4,9 +4,11 @@ Ids are replaced by their frequency rank over all documents, so that the ids
 seen most take one byte. A block holds the ranks of consecutive documents in
 two streams: control bytes with the byte lengths of four ranks each (two bits
 per rank, first rank lowest), and the ranks' bytes, little-endian. Both are
-read back by table lookup in numpy. A file is a Parquet file of such blocks; its
-shard number and block numbers give the order, its id lists and lengths the
-documents. The rank table is a Parquet file beside them.
+read back by table lookup in numpy. A file is a Parquet file of such blocks; their
+shard and block numbers give the order, their id lists and lengths the documents,
+and each block says how many ids of its shard stand before it. The rank table is
+a Parquet file beside them. Texts are encoded once: their ids stand in a table in
+between until the ranks are known.
 
 Texts are cut at single blanks between other characters, where no token
 crosses, so each distinct word of a batch is encoded once. Texts with other
@@ -32,10 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.llm.arrow import int_lists, slices, spread
-from concordat.session import materialize, scratch_path
+from concordat.session import materialize, scratch_path, scratch_scope
 
 SLICE_BYTES = 3_000_000
-COUNT_BYTES = 8_000_000
 BLOCK_IDS = 1 << 20
 #: White space but single blanks and line feeds, and characters whose class may differ between Unicode versions.
 _WHOLE = r"^\s|\s$|\s\s|[\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{10000}-\x{10ffff}]"
@@ -86,14 +87,6 @@ class Coded:
         self.flat = np.concatenate([flat, np.array([i for h in heads for i in h], np.int64)]).astype(np.int32)
         self.others = [e.ids for e in whole.encode_batch(text.filter(odd).to_pylist(), add_special_tokens=False)] if self.odd.any() else []
 
-    def counts(self) -> np.ndarray:
-        """How often each id stands in the batch."""
-        times = np.bincount(self.codes, minlength=len(self.lens))
-        total = np.bincount(self.flat, np.repeat(times, self.lens))
-        more = np.bincount(np.array([i for ids in self.others for i in ids], np.int64))
-        size = max(len(total), len(more))
-        return (np.pad(total, (0, size - len(total))) + np.pad(more, (0, size - len(more)))).astype(np.int64)
-
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         per_word = self.lens[self.codes]
@@ -148,24 +141,26 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _counts(tokenizer: tuple[str, bytes, str], end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for part in slices(iter([batch]), "text", COUNT_BYTES):
-                got = Coded(part.column("text"), tokenizer).counts()
-                got = np.pad(got, (0, max(0, end_id + 1 - len(got))))
-                got[end_id] += part.num_rows
-                total = np.pad(total, (0, max(0, len(got) - len(total))))
-                total[:len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-    return run
+def _schema(kind: T.DataType, *data: str) -> T.StructType:
+    """A block of documents, whose ids have type ``kind``, with its token ids in columns ``data``."""
+    return T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()),
+                         T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()),
+                         T.StructField("docs", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.IntegerType())),
+                         *(T.StructField(c, T.BinaryType()) for c in data)])
+
 
+def _plain(ids: np.ndarray) -> bytes:
+    """Ids, at least one, in as many bytes each as the largest needs."""
+    return ids.astype(np.min_scalar_type(ids.max()).newbyteorder("<")).tobytes()
 
-def _blocks(tokenizer: tuple[str, bytes, str], end_id: int, rank_of: np.ndarray):
+
+def _numbers(plain: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(plain, f"<u{len(plain) // n}")
+
+
+def _encoded(tokenizer: tuple[str, bytes, str], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for part in slices(iter([batch]), "text", SLICE_BYTES):
                 ids, counts = with_end(*encode_batch(part.column("text"), tokenizer), end_id)
@@ -173,33 +168,53 @@ def _blocks(tokenizer: tuple[str, bytes, str], end_id: int, rank_of: np.ndarray)
                 run_of = (ends - counts) // BLOCK_IDS
                 cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(counts)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    control, data = pack(rank_of[ids[ends[a] - counts[a]:ends[b - 1]]])
+                    n = int(counts[a:b].sum())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([int(counts[a:b].sum())], pa.int64()),
+                        [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()),
                          pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), part.column("doc").slice(a, b - a)),
-                         int_lists(counts[a:b], np.array([b - a]), pa.int32()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                        names=["shard", "block", "n_ids", "docs", "lens", "control", "data"])
-                    block += 1
+                         int_lists(counts[a:b], np.array([b - a]), pa.int32()), pa.array([_plain(ids[ends[a] - counts[a]:ends[b - 1]])], pa.binary())],
+                        names=["shard", "block", "before", "n_ids", "docs", "lens", "ids"])
+                    block, before = block + 1, before + n
+    return run
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1, np.int64)
+    for batch in batches:
+        for plain, n in zip(batch.column("ids"), batch.column("n_ids").to_pylist(), strict=True):
+            got = np.bincount(_numbers(plain.as_py(), n), minlength=len(total))
+            got[:len(total)] += total
+            total = got
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+
+
+def _blocks(rank_of: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                control, data = pack(rank_of[_numbers(row.column("ids")[0].as_py(), row.column("n_ids")[0].as_py())])
+                yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                                                 names=[*row.schema.names[:-1], "control", "data"])
     return run
 
 
 def write(docs: DataFrame, path: str, tokenizer: tuple[str, bytes, str], end_id: int = 0, doc: str = "doc_id", text: str = "text") -> None:
     """Write ``path/blocks`` and ``path/ranks``. ``tokenizer`` is the tokenizer's
     JSON, its vocabulary as ranks, and the pattern that goes with them."""
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    counted = rows.select("text").mapInArrow(_counts(tokenizer, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "id_counts")  # one row per entry of the vocabulary at most
-    known = counted.orderBy(F.desc("n"), "id").collect()
-    rank_of = np.zeros(max((r["id"] for r in known), default=0) + 1, np.int64)
-    rank_of[[r["id"] for r in known]] = np.arange(len(known))
     spark = docs.sparkSession
-    spark.createDataFrame([(i, r["id"]) for i, r in enumerate(known)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.LongType()),
-                           T.StructField("docs", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.IntegerType())),
-                           T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
-    (rows.repartitionByRange("doc").sortWithinPartitions("doc", "text")
-     .mapInArrow(_blocks(tokenizer, end_id, rank_of), schema).write.option("compression", "zstd").parquet(f"{path}/blocks"))
+    with scratch_scope(spark):
+        encoded = materialize(rows.repartitionByRange("doc").sortWithinPartitions("doc", "text")
+                              .mapInArrow(_encoded(tokenizer, end_id), _schema(kind, "ids")), "ids", compression="zstd")
+        counted = encoded.select("n_ids", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        known = counted.orderBy(F.desc("n"), "id").collect()  # one row per entry of the vocabulary at most
+        rank_of = np.zeros(max((r["id"] for r in known), default=0) + 1, np.int64)
+        rank_of[[r["id"] for r in known]] = np.arange(len(known))
+        spark.createDataFrame([(i, r["id"]) for i, r in enumerate(known)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
+        encoded.mapInArrow(_blocks(rank_of), _schema(kind, "control", "data")).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _read(id_of: np.ndarray):
@@ -220,13 +235,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
     id_of = np.array([r["id"] for r in ranks] or [0], np.int64)
     blocks = spark.read.parquet(f"{path}/blocks")
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(  # one row per file
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(  # one row per shard
         "shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    inside = blocks.select("shard", "block", "n_ids").withColumn(
-        "block_start", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))
-    places = inside.join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start"))
+    placed = blocks.join(F.broadcast(shards), "shard").withColumn("start", F.col("shard_start") + F.col("before"))
     kind = blocks.schema["docs"].dataType.elementType
-    return blocks.join(places, ["shard", "block"]).select("start", "docs", "lens", "control", "data").mapInArrow(
+    return placed.select("start", "docs", "lens", "control", "data").mapInArrow(
         _read(id_of), T.StructType([T.StructField("doc", kind), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 

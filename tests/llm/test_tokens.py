@@ -106,6 +106,47 @@ def test_token_files(spark, tmp_path, bpe):
     assert sorted(map(str, ((r["doc"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got))) == sorted(map(str, want))
 
 
+def test_texts_are_encoded_once(spark, tmp_path):
+    """Texts are read for the bounds of the shards and for their ids, and blocks are read without a shuffle."""
+    docs, rows = documents(spark, tmp_path / "d")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    path = str(tmp_path / "files")
+    tokenfile.write(docs.mapInArrow(counted, docs.schema), path, queries.byte_bpe())
+    assert seen.value <= 2 * len(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tokenfile.read(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_blocks_in_order(monkeypatch):
+    """Several blocks in a shard, their counts, and ids wider than two bytes."""
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 8)
+    texts = pa.array(["a b c d", None, "the end of it", "x " * 30, ""])
+    ids, counts = tokenfile.with_end(*tokenfile.encode_batch(texts, queries.byte_bpe()), 0)
+    assert tokenfile._numbers(tokenfile._plain(ids), len(ids)).tolist() == ids.tolist()
+    wide = np.array([0, 70_000, 255], np.int64)
+    assert tokenfile._numbers(tokenfile._plain(wide), 3).tolist() == wide.tolist()
+    monkeypatch.setattr(tokenfile.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    batch = pa.record_batch({"doc": pa.array(range(5), pa.int64()), "text": texts})
+    blocks = list(tokenfile._encoded(queries.byte_bpe(), 0)(iter([batch, batch])))
+    assert len(blocks) > 2 and [b["block"][0].as_py() for b in blocks] == list(range(len(blocks)))
+    assert [b["before"][0].as_py() for b in blocks] == (np.cumsum([b["n_ids"][0].as_py() for b in blocks]) - [b["n_ids"][0].as_py() for b in blocks]).tolist()
+    got = np.concatenate([tokenfile._numbers(b["ids"][0].as_py(), b["n_ids"][0].as_py()) for b in blocks])
+    assert got.tolist() == ids.tolist() * 2
+    found = list(tokenfile._counts(iter(pa.Table.from_batches(blocks).combine_chunks().to_batches())))[0]
+    assert dict(zip(found["id"].to_pylist(), found["n"].to_pylist(), strict=True)) == {i: 2 * n for i, n in enumerate(np.bincount(ids)) if n}
+
+
 def test_queries(spark, sf, pieces, bpe):
     docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()))
     got = {r["doc_id"]: r for r in queries.op1_sentencepiece(spark, sf).collect()}

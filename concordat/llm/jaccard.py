@@ -16,8 +16,13 @@ The method is a universe-partition pigeonhole:
 * Candidates are verified on the whole sets, in rounds, until no unverified one
   joins two components. A bucket that is then connected is done: pairs that it
   doesn't list change no component.
-* A bucket with several components costs more than it gives. Its members move that bucket's credit to others
-  (the cost-based allocation): with s such buckets and e empty segments, at most
+* A bucket with several components costs more than it gives, unless it has two
+  members only, whose one pair is known. A member with s such buckets and e empty
+  segments has no unseen link while ``s + e <= r``: a linked set shares more
+  segments. Such members drop out, with them buckets whose other members are of
+  one component, and so on.
+* Those that are left move their failed buckets' credit to others (the
+  cost-based allocation): at most
   ``s + e - r - 1`` of the segments that differ do so by two or more shingles,
   so among any ``s + e - r`` of the remaining segments one differs by a single
   shingle. The member probes the first ones with their one-deletion
@@ -79,9 +84,9 @@ def bands(num: int, den: int, top: int = 1 << 26) -> list[tuple[int, int, int]]:
     return out
 
 
-def segments(s: np.ndarray, num: int, den: int):
-    """For each band in which the set takes part: its number, r, the key of each
-    segment, the shingles of each segment, and each shingle's segment."""
+def _cut(s: np.ndarray, num: int, den: int):
+    """For each band in which the set takes part: its number, r, each shingle's
+    segment, the shingles of each segment, and the hashes that tell."""
     table = bands(num, den)
     own = np.searchsorted([b[0] for b in table], len(s), side="right") - 1
     for band in (int(own), int(own) + 1):
@@ -90,12 +95,23 @@ def segments(s: np.ndarray, num: int, den: int):
             continue
         h = mix(s ^ U((band + 1) * 0x9E3779B97F4A7C15 & _ALL))
         seg = ((h >> U(32)) % U(m)).astype(np.int64)
-        size = np.bincount(seg, minlength=m)
-        low_half = np.bincount(seg, (h & U(0xFFFFFFFF)).astype(np.float64), m).astype(U)
-        high_half = np.bincount(seg, (h >> U(32)).astype(np.float64), m).astype(U)
+        yield band, r, seg, np.bincount(seg, minlength=m), h
+
+
+def segments(s: np.ndarray, num: int, den: int):
+    """For each band in which the set takes part: its number, r, the key of each
+    segment, the shingles of each segment, and each shingle's segment."""
+    for band, r, seg, size, h in _cut(s, num, den):
+        low_half = np.bincount(seg, (h & U(0xFFFFFFFF)).astype(np.float64), len(size)).astype(U)
+        high_half = np.bincount(seg, (h >> U(32)).astype(np.float64), len(size)).astype(U)
         yield band, r, seg, size, low_half + (high_half << U(32)), h
 
 
+def room(s: np.ndarray, num: int, den: int) -> int:
+    """How many failed buckets the set may have without an unseen link, in each band."""
+    return min((r - int((size == 0).sum()) for _, r, _, size, _ in _cut(s, num, den)), default=0)
+
+
 def key_of(band: int, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
     return mix(mix(total) + U(band * 0xC2B2AE3D27D4EB4F & _ALL) + seg.astype(U) * U(0x165667B19E3779F9)).view(np.int64)
 
@@ -140,15 +156,15 @@ def sets_of(batch: pa.RecordBatch, text: str, words: int) -> Iterator[np.ndarray
             at += n
 
 
-def _sets(text: str, doc: str, words: int):
+def _sets(text: str, doc: str, words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for s in sets_of(batch, text, words):
-                rows.append((len(s), *identity(s), *sketch(s).tolist(), wide_sketch(s)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([batch.column(doc), *(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())],
-                                             names=["doc", "n", "c1", "c2", "k0", "k1", "k2", "k3", "wide"])
+                rows.append((len(s), *identity(s), *sketch(s).tolist(), room(s, num, den), wide_sketch(s)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([batch.column(doc), *(pa.array(c, pa.int64()) for c in cols[:8]), pa.array(cols[8], pa.binary())],
+                                             names=["doc", "n", "c1", "c2", "k0", "k1", "k2", "k3", "room", "wide"])
     return run
 
 
@@ -292,10 +308,10 @@ def _possible(num: int, den: int):
 
 
 def _allocations(batch: pa.RecordBatch, words: int, num: int, den: int):
-    """For each member of failed buckets and each band with one: what
-    :func:`segments` gives, the failed segments, the segments that it probes
-    (the first ones that are neither failed nor empty) and whether they are
-    enough."""
+    """For each member of failed buckets and each band where it may have an
+    unseen link: what :func:`segments` gives, the failed segments, the segments
+    that it probes (the first ones that are neither failed nor empty) and
+    whether they are enough."""
     for s, c, failed in zip(sets_of(batch, "text", words), batch.column("c").to_pylist(), batch.column("failed").to_pylist(), strict=True):
         if not len(s) or identity(s)[0] != c:
             continue
@@ -304,14 +320,14 @@ def _allocations(batch: pa.RecordBatch, words: int, num: int, den: int):
         for band, r, seg, size, total, h in segments(s, num, den):
             exact = key_of(band, np.arange(len(size)), total)
             bad = np.flatnonzero(np.isin(exact, names))
-            if not len(bad):
+            need = len(bad) + int((np.delete(size, bad) == 0).sum()) - r
+            if not len(bad) or need <= 0:
                 continue
             free = size > 0
             free[bad] = False
             free = np.flatnonzero(free)
             # A deletion that leaves nothing has a key that many sets share: such segments come last.
             free = np.concatenate([free[size[free] > 1], free[size[free] == 1]])
-            need = max(1, len(bad) + int((np.delete(size, bad) == 0).sum()) - r)
             reach = max(failed[k] for k in exact[bad].tolist())
             yield c, band, seg, total, h, exact, bad, free[:need], len(free) >= need, reach
 
@@ -362,6 +378,28 @@ def _could_link(num: int, den: int) -> Column:
     return ((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (bits * (den + num) <= n * (den - num)))
 
 
+def _open(members: DataFrame, least: int) -> DataFrame:
+    """Rows of buckets with several components and at least ``least`` members."""
+    found = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    return members.join(found.where(f"x < y and n >= {least}").select("key"), "key", "left_semi")
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """``c, component, failed``: members that may have unseen links, with the
+    failed buckets in which these would be. ``members`` has all members of each
+    bucket ``key``, once. They drop out in rounds, as long as a tenth goes."""
+    left = materialize(_open(members, 3), "failed")
+    now = left.count()
+    while now:
+        before = now
+        few = left.groupBy("c", "room").count().where("count <= room").select("c")
+        left = materialize(_open(left.join(few, "c", "left_anti"), 2), "failed")
+        now = left.count()
+        if now > 0.9 * before:
+            break
+    return left.groupBy("c", "component").agg(F.collect_set(F.struct("key")).alias("failed"))
+
+
 def neighbourhoods(affected: DataFrame, rows: DataFrame, words: int, num: int, den: int, parts: int) -> DataFrame:
     """``key, c, role`` of the members of failed buckets; ``asks`` where the
     member looks in the failed bucket ``key`` itself, and ``before``, the smaller
@@ -376,9 +414,9 @@ def neighbourhoods(affected: DataFrame, rows: DataFrame, words: int, num: int, d
 
 def _components_of(classes: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is None:
-        return classes.select("c1", "rep", F.col("rep").alias("component"))
+        return classes.select("c1", "rep", "room", F.col("rep").alias("component"))
     return (classes.join(label, classes.rep == label.node, "left")
-            .select("c1", "rep", F.coalesce("component", "rep").alias("component")))
+            .select("c1", "rep", "room", F.coalesce("component", "rep").alias("component")))
 
 
 def _settle(near: DataFrame, verified: Callable[[DataFrame], DataFrame], label: DataFrame | None = None) -> DataFrame | None:
@@ -419,7 +457,7 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
     if not 0 < num < den:
         raise ValueError("the threshold must lie between 0 and 1")
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    sets = materialize(rows.mapInArrow(_sets("text", "doc", words), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, c1 long, c2 long, k0 long, k1 long, k2 long, k3 long, wide binary"), "sets")
+    sets = materialize(rows.mapInArrow(_sets("text", "doc", words, num, den), f"doc {rows.schema['doc'].dataType.simpleString()}, n long, c1 long, c2 long, k0 long, k1 long, k2 long, k3 long, room long, wide binary"), "sets")
     with scratch_scope(docs.sparkSession):
         final = materialize(_class_components(rows, sets, words, num, den), "class_components", result=True)
     return (sets.select("doc", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left")
@@ -428,7 +466,7 @@ def link_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: i
 
 def _class_components(rows: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``c1, c2, n, component`` of each class of equal sets."""
-    classes = materialize(sets.where("n > 0").groupBy("c1", "c2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc").alias("rep"), F.min("wide").alias("wide")), "classes")
+    classes = materialize(sets.where("n > 0").groupBy("c1", "c2", "n", "k0", "k1", "k2", "k3").agg(F.min("doc").alias("rep"), F.min("wide").alias("wide"), F.min("room").alias("room")), "classes")
     shingles_in_all = sets.agg(F.sum("n")).first()[0] or 0
     keys_in_all = 4 * shingles_in_all * (den - num) / (den + num) * den / num + 4 * classes.count()  # about
     parts = max(partitions(rows), math.ceil(keys_in_all / PART_KEYS))
@@ -441,26 +479,32 @@ def _class_components(rows: DataFrame, sets: DataFrame, words: int, num: int, de
         pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
         .mapInArrow(_possible(num, den), f"a long, b long, rep_a {kind}, rep_b {kind}"), label)
     pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
-    texts = materialize(rows.join(classes.join(met, "c1", "left_semi").select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "texts", compression="zstd")
     check = _verify(words, num, den)
 
-    def verified(picked: DataFrame) -> DataFrame:
-        """The pairs that are links, by their whole texts."""
-        full = (picked.join(texts.select(F.col("doc").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
-                .join(texts.select(F.col("doc").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"))
-        links = full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b").mapInArrow(
-            check, f"rep_a {kind}, rep_b {kind}, a long, b long").select("rep_a", "rep_b").distinct()
-        return materialize(in_fewer_tasks(links, picked.count()), "links")
+    def texts(reps: DataFrame) -> DataFrame:
+        """The rows with one of these ids."""
+        return materialize(rows.join(reps.distinct(), "doc", "left_semi"), "texts", compression="zstd")
+
+    def verified(candidates: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """Tells which pairs are links, by their whole texts."""
+        known = texts(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("doc")))
+
+        def links(picked: DataFrame) -> DataFrame:
+            full = (picked.join(known.select(F.col("doc").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
+                    .join(known.select(F.col("doc").alias("rep_b"), F.col("text").alias("text_b")), "rep_b"))
+            found = full.select("rep_a", "rep_b", "a", "b", "text_a", "text_b").mapInArrow(
+                check, f"rep_a {kind}, rep_b {kind}, a long, b long").select("rep_a", "rep_b").distinct()
+            return materialize(in_fewer_tasks(found, picked.count()), "links")
+        return links
 
-    label = _settle(could(pairs, "candidates"), verified)
+    near = could(pairs, "candidates")
+    label = _settle(near, verified(near))
     members = stars.select("key", "c").union(stars.select("key", "pivot")).distinct()
     of_class = _components_of(classes, label)
-    split = members.join(of_class.withColumnRenamed("c1", "c"), "c")
-    open_keys = split.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    affected = materialize(split.join(open_keys, "key", "left_semi").groupBy("c", "rep", "component").agg(F.collect_set(F.struct("key")).alias("failed")), "affected")
+    affected = materialize(_unsettled(members.join(of_class.select(F.col("c1").alias("c"), "component", "room"), "c"))
+                           .join(of_class.select(F.col("c1").alias("c"), "rep"), "c"), "affected")
     if not affected.isEmpty():
-        found = neighbourhoods(affected, texts, words, num, den, partitions(rows))
+        found = neighbourhoods(affected, texts(affected.select(F.col("rep").alias("doc"))), words, num, den, partitions(rows))
         sketches = (affected.select("c", "component").join(classes.withColumnRenamed("c1", "c"), "c"))
         known = lambda x: sketches.select(*(F.col(k).alias(f"{k}_{x}") for k in ("c", "component", "n", "k0", "k1", "k2", "k3")))
         probe = found.where("role >= 2").select("key", "c", (F.col("role") - 2).alias("role"), F.col("asks").alias("asks_a"), F.col("before").alias("before_a"))
@@ -471,7 +515,8 @@ def _class_components(rows: DataFrame, sets: DataFrame, words: int, num: int, de
         again = F.col("asks_a") & ((F.col("asks") & (F.col("a") > F.col("b"))) | F.arrays_overlap("before_a", "before"))
         more = probe.join(index, ["key", "role"]).where((F.col("component_a") != F.col("component_b")) & _could_link(num, den) & ~again)
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        label = _settle(could(more, "more"), verified, label)
+        near = could(more, "more")
+        label = _settle(near, verified(near), label)
         of_class = _components_of(classes, label)
     return (classes.select("c1", "c2", "n", "rep").join(of_class.select("rep", "c1", "component"), ["c1", "rep"])
             .select("c1", "c2", "n", "component"))

@@ -90,6 +90,43 @@ def test_pigeonhole():
         assert keys[0] & keys[1] or len(a) < 10
 
 
+def test_chance_buckets_need_no_neighbourhoods(spark, tmp_path, monkeypatch):
+    """Phrases that many documents quote make buckets of several components, but
+    a linked set would share more segments than these."""
+    asked, real = [], jaccard.neighbourhoods
+    monkeypatch.setattr(jaccard, "neighbourhoods", lambda affected, *rest: asked.append(affected.count()) or real(affected, *rest))
+    rng = random.Random(3)
+    phrases = [words(rng, 5) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        w = words(rng, 80, 10**9)
+        for phrase in phrases:
+            at = rng.randrange(len(w))
+            w[at:at] = phrase
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            w[rng.randrange(len(w))] = "x"
+            rows.append((1000 + i, " ".join(w)))
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = jaccard.link_sets(spark.read.parquet(str(tmp_path / "d")), words=5, threshold=(80, 100)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows, 5, 80, 100))
+    assert not asked
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_linked_sets_share_more_segments_than_have_room(num, den):
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(10, 500))).astype(np.uint64))
+        b = np.unique(np.append(a[int(rng.integers(0, len(a) // 5 + 1)):], rng.integers(0, 2**63, int(rng.integers(0, len(a) // 10 + 1))).astype(np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if den * both < num * (len(a) + len(b) - both) or not both:
+            continue
+        keys = [{int(k) for band, _, _, n, total, _ in jaccard.segments(s, num, den) for k in jaccard.key_of(band, np.flatnonzero(n), total[n > 0])} for s in (a, b)]
+        if all(keys):
+            assert len(keys[0] & keys[1]) > max(jaccard.room(a, num, den), jaccard.room(b, num, den))
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -204,8 +204,9 @@ def _keyed(batches: Iterator[pa.RecordBatch], text: str, words: int, num: int, d
 
 def _keys(text: str, words: int, num: int, den: int, parts: int):
     """One row per batch and range of keys: the keys in order, as differences,
-    with the place of each one's first member among the batch's sets; and the
-    keys and places of further members and of their firsts."""
+    with the place of each one's first member among the batch's sets; the keys
+    and places of further members and of their firsts; and the places in use, as
+    differences, with the sets there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, owner, seen in _keyed(batches, text, words, num, den):
             key, c, pivot, new = _star(np.concatenate(keys).view(U), np.repeat(*(np.array(x, np.int64) for x in zip(*owner, strict=True))))
@@ -218,13 +219,13 @@ def _keys(text: str, words: int, num: int, den: int, parts: int):
                 used = np.unique(w)  # the members that the row refers to
                 rows.append((int(part[x]), _pack(np.diff(k[n], prepend=U(0)).view(np.int64)), _pack(w[n]),
                              _pack(np.diff(k[~n], prepend=U(0)).view(np.int64)), _pack(w[~n]), _pack(pivot[x:y][~n]),
-                             np.concatenate([[len(used)], used, members[used]]).astype("<i8").tobytes()))
+                             _pack(np.diff(used, prepend=0)), members[used].astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*rows, strict=True))],
                                              names=["part", *_PACKED])
     return run
 
 
-_PACKED = ["keys", "firsts", "more_keys", "more", "more_firsts", "members"]
+_PACKED = ["keys", "firsts", "more_keys", "more", "more_firsts", "used", "members"]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -266,10 +267,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != part:
                 yield from close()
                 part = now
-            table = np.frombuffer(members, "<i8")
-            used, who = table[1:1 + table[0]], table[1 + table[0]:]
+            k, f, mk, m, mf, used = (_unpack(x) for x in packed)
+            used, who = np.cumsum(used), np.frombuffer(members, "<i8")
             name = lambda x: who[np.searchsorted(used, x)]  # noqa: B023, E731
-            k, f, mk, m, mf = (_unpack(x) for x in packed)
             keys.append(np.cumsum(k.view(U), dtype=U))
             firsts.append(name(f))
             pairs.append(np.stack([np.cumsum(mk.view(U), dtype=U).view(np.int64), name(m), name(mf)]))

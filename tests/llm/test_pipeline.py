@@ -80,11 +80,11 @@ def test_results_outlive_their_scope_and_shuffles_go(spark):
     with scratch_scope(spark):
         with scratch_scope(spark):
             inner = materialize(spark.range(50_000).repartition(3, "id").groupBy("id").count(), "inner")
-            kept = materialize(inner.where("id < 10").repartition(2, "id"), "kept", result=True)
+            kept = materialize(inner.where("id < 10").repartition(2, "id"), "outliving", result=True)
         until = time.time() + 10
         while files() - before and time.time() < until:  # they go in the background
             time.sleep(0.1)
         assert not files() - before
         assert "inner" not in scratch()
         assert kept.count() == 10
-    assert "kept" not in scratch()
+    assert "outliving" not in scratch()
